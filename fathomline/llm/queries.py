@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from fathomline.llm.chat_format import digests, format_conversations
 from fathomline.llm.exact_dedup import exact_groups
 from fathomline.llm.mixing import mix
+from fathomline.llm.sharding import sharded
 from fathomline.llm.simhash import near_components
+from fathomline.llm.substring_dedup import without_repeats
+from fathomline.llm.topk import quantised, top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,11 +94,43 @@ from c left join e on c.source is not distinct from e.source and c.k = e.k and e
 """
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharded(_table(spark, sf_dir, "documents"), 40)
+    return found.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", quantised(F.col("embedding")).alias("vec"))
+    return top_k(rows, rows.where("vec_id % 100 = 0"))
+
+
+OP10_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) as bigint) as score
+  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from p)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_sharding": op5_sharding,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
+    "op10_topk": op10_topk,
 }
 
-SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op8_mixing": OP8_SQL}
+SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op8_mixing": OP8_SQL, "op10_topk": OP10_SQL}
