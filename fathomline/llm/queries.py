@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm.chat_format import digests, format_conversations
 from fathomline.llm.exact_dedup import exact_groups
+from fathomline.llm.language_id import learned, predicted
 from fathomline.llm.mixing import mix
 from fathomline.llm.sharding import sharded
 from fathomline.llm.simhash import near_components
@@ -123,9 +124,20 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _held_out() -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = predicted(docs, learned(docs.where(~_held_out())), keep=(_held_out().alias("held_out"),))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash": op7_simhash,
