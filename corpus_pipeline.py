@@ -1,10 +1,62 @@
-"""A corpus pipeline of the operators in ``fathomline.llm``."""
+"""A corpus pipeline of five of the operators in ``fathomline.llm``: documents in, token ids of a mix out.
+
+Every stage takes ``(spark, docs, sf_dir)``; ``run`` writes nothing, while a caller that writes each stage as
+Parquet and reads it back gets the same rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fathomline.llm.bpe import decoded, encoded
+from fathomline.llm.exact_dedup import exact_groups, normalised
+from fathomline.llm.language_id import learned, predicted
+from fathomline.llm.mixing import mixed
+from fathomline.llm.simhash import near_components
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known: those without a letter, or without a language of half the posterior, go."""
+    found = predicted(docs, learned(docs), keep=tuple(F.col(c) for c in COLUMNS))
+    return found.where("lang_pred <> 'und' and score >= 0.5").select(*COLUMNS)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for the case of A-Z, the document with the largest id; groups without ids stay as they are."""
+    gone = exact_groups(docs).where("keep_id is not null and not kept").select("id", "text_sha256").distinct()
+    marked = docs.select(*COLUMNS).withColumn("text_sha256", F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    same = marked.doc_id.eqNullSafe(gone.id) & (marked.text_sha256 == gone.text_sha256)
+    return marked.join(gone, same, "left_anti").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose SimHash links join them, the one with the smallest id; documents without ids stay."""
+    gone = near_components(docs).where("id <> component_id").select("id").distinct()
+    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("id"), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: a document appears as often as the mix draws it, dealt to shards and shuffled."""
+    return mixed(docs.select(*COLUMNS))
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_tokens, ids, ids_sha256, decoded_sha256)``: ids as little-endian unsigned 32-bit integers."""
+    found = encoded(docs).select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.col("ids").alias("kept_ids"), "ids")
+    return decoded(found).select("doc_id", "n_tokens", F.col("kept_ids").alias("ids"), "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("mix_sources", mix_sources),
+    ("bpe", tokenise),
+]
+#: SQL has neither the language model, the fingerprints nor the merges; the tests hold the pipeline against a plain version.
 ORACLE_SQL = None
 
 

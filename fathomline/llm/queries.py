@@ -11,6 +11,7 @@ from fathomline.llm.bpe import decoded, encoded
 from fathomline.llm.chat_format import digests, format_conversations
 from fathomline.llm.exact_dedup import exact_groups
 from fathomline.llm.language_id import learned, predicted
+from fathomline.llm.licences import licensed, templates
 from fathomline.llm.mixing import mix
 from fathomline.llm.sharding import sharded
 from fathomline.llm.simhash import near_components
@@ -142,6 +143,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded(found).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: a folder for each source, one in it for 500 ids, one in that for 50; each fifth is a licence file."""
+    docs = _table(spark, sf_dir, "documents")
+    n = F.col("doc_id")
+    deep = F.when(n % 10 != 0, F.concat(F.lit("/m"), F.floor(n / 50) % 10)).otherwise(F.lit(""))
+    name = F.concat(F.when(n % 5 == 0, F.lit("LICENSE.")).otherwise(F.lit("text.")), n)
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/p"), F.floor(n / 500), deep, F.lit("/"), name)
+    found = licensed(docs.select("doc_id", path.alias("path"), "text"), templates(spark), "doc_id")
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
@@ -151,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
+    "op9_licences": op9_licences,
     "op10_topk": op10_topk,
 }
 
