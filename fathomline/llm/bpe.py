@@ -1,36 +1,52 @@
 """BPE encoding through a table of distinct words, and decoding through a join of ids to pieces.
 
-Texts are split into words in Spark.  Each distinct word is encoded once, and its ids go to the buckets of
-documents that hold it.  There the documents' words meet them by position in the bucket's table.
+Texts are split into words in tasks of Spark.  Each distinct word is encoded once, and its ids go to the
+buckets of documents that hold it.  There the documents' words meet them by position.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.language_id import tokenizer_path
-from fathomline.llm.words import spread
+from fathomline.llm.words import passes, spread, text_bytes, xxh64
 from fathomline.session import partitions_of
 
-# The split pattern that byte-level vocabularies of this kind are published with, white space listed.
-_WS = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-#: Code points that the JVM and the tokenizers library class alike; texts with others are split by the library.
-ALIKE = r"\x00-\u086F\u2000-\u20BF\u3000-\u30FF\u4E00-\u9FA5\uAC00-\uD7A3"
+# The white space of the split pattern that byte-level vocabularies of this kind are published with,
+# "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+", and its endings after an apostrophe.
+WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+ENDINGS = [b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"]
+#: Code points that all versions of Unicode at hand class alike; texts with others are split by the library.
+ALIKE = [(0x0000, 0x086F), (0x2000, 0x20BF), (0x3000, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
+SPACE, LETTER, NUMBER, OTHER, ODD = range(5)
+#: Text bytes that one numpy pass splits.
+PASS = 32 << 20
 
 
 @cache
-def tokenizer(path: str):
-    import os
+def classes() -> np.ndarray:
+    """The class of each code point below 0x10000."""
+    out = np.full(0x10000, ODD, np.uint8)
+    for a, b in ALIKE:
+        for c in range(a, b + 1):
+            kind = unicodedata.category(chr(c))[0]
+            out[c] = LETTER if kind == "L" else NUMBER if kind == "N" else OTHER
+    out[WHITE] = SPACE
+    return out
+
 
+@cache
+def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -77,26 +93,97 @@ def _apart(text: str, token: str) -> list[str]:
     return [y for k, x in enumerate(pieces_) for y in ([token, x] if k else [x])]
 
 
-def split_columns(text: Column, path: str) -> list[Column]:
-    """``words`` of texts that Spark splits, else ``odd``: the text, for the library to split."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    odd = text.rlike(f"[^{ALIKE}]")
+def byte_classes(raw: np.ndarray) -> np.ndarray:
+    """The class of the character that each byte of UTF-8 belongs to."""
+    table = classes()
+    out = np.append(table[:128], np.full(128, ODD, np.uint8))[raw]
+    wide = np.append(raw, np.zeros(3, np.uint8)).astype(np.int32)
+    two, three = np.flatnonzero((raw >= 0xC2) & (raw < 0xE0)), np.flatnonzero((raw >= 0xE0) & (raw < 0xF0))
+    kind = table[((wide[two] & 31) << 6) | (wide[two + 1] & 63)]
+    out[two], out[two + 1] = kind, kind
+    kind = table[((wide[three] & 15) << 12) | ((wide[three + 1] & 63) << 6) | (wide[three + 2] & 63)]
+    for k in range(3):
+        out[three + k] = kind
+    return out
+
+
+def word_starts(raw: np.ndarray, off: np.ndarray, path: str) -> np.ndarray:
+    """Where words begin in texts ``raw[off[t]:off[t + 1]]``; words tile each text."""
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    kind = byte_classes(raw)
+    lead = (raw & 0xC0) != 0x80
+    begin = np.zeros(len(raw) + 1, bool)
+    begin[off] = True
+    before = np.append(np.uint8(ODD), kind[:-1])
+    start = lead & (begin[:-1] | (kind != before))
+    # Of white space before a word its last character is apart, and a blank goes to the word.
+    word = np.flatnonzero(start & ~begin[:-1] & (before == SPACE) & (kind != SPACE))
+    last = word - 1
+    for _ in range(2):
+        last = np.where(lead[last], last, last - 1)
+    start[last] = True
+    start[word[raw[last] == 0x20]] = False
+    # Endings after an apostrophe that begins a word are words.
+    mark = np.flatnonzero((raw == 0x27) & start)
+    limit = off[np.searchsorted(off, mark, "right")]
+    padded = np.append(raw, np.zeros(2, np.uint8))
+    for ending in ENDINGS:
+        hit = mark + len(ending) < limit
+        for k, byte in enumerate(ending):
+            hit &= padded[mark + 1 + k] == byte
+        at = mark[hit]
+        start[at + 1] = False
+        after = at + 1 + len(ending)
+        start[after[after < len(raw)]] = True
+    # Texts with other characters or special tokens are split by the library.
+    odd = set((np.searchsorted(off, np.flatnonzero(kind == ODD), "right") - 1).tolist())
+    whole = raw.tobytes()
     for token in special_tokens(path):
-        odd = odd | text.contains(token)
-    return [F.when(~odd, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("words"), F.when(odd, text).alias("odd")]
+        at = whole.find(token.encode())
+        while at >= 0:
+            odd.add(int(np.searchsorted(off, at, "right")) - 1)
+            at = whole.find(token.encode(), at + 1)
+    for t in odd:
+        a, b = int(off[t]), int(off[t + 1])
+        words = library_words(whole[a:b].decode(), path)
+        start[a:b] = False
+        start[a + np.cumsum([0, *(len(w.encode()) for w in words[:-1])])] = True
+    return np.flatnonzero(start)
+
+
+def split_texts(texts: pa.Array, path: str) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts in order, and the number of the first word of each text (one more for the end)."""
+    raw, off = text_bytes(texts)
+    start = word_starts(raw, off, path)
+    words = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(raw)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw)))
+    return words, np.searchsorted(start, off)
 
 
-def _lists(words: pa.Array, odd: pa.Array, path: str) -> pa.Array:
-    """The words of each text."""
-    if odd.null_count == len(odd):
-        return words
-    found = [library_words(t, path) if t is not None else None for t in odd.to_pylist()]
-    return pc.coalesce(pa.array(found, pa.list_(pa.string())), words.cast(pa.list_(pa.string())))
+def _slices(words: pa.Array, slices: int) -> np.ndarray:
+    raw, off = text_bytes(words)
+    return (xxh64(raw, off[:-1], off[1:]) % np.uint64(slices)).astype(np.int32)
 
 
-def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    off = np.asarray(lists.offsets).astype(np.int64)
-    return lists.values.slice(off[0], off[-1] - off[0]), off - off[0]
+def _in_order(words: pa.Array, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct words by slice and then bytes, and their slices in that order."""
+    order = pc.sort_indices(words).to_numpy().astype(np.int64)
+    part = _slices(words, slices)[order]
+    again = np.argsort(part, kind="stable")
+    return order[again], part[again]
+
+
+def _zipped(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _parts(key: np.ndarray) -> list[tuple[int, int, int]]:
+    """Each value of a sorted key with the range that has it."""
+    own, cut = np.unique(key, return_index=True)
+    return list(zip(own.tolist(), cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True)) if len(own) else []
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -104,84 +191,93 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
     The ids are those of the tokenizers library with the file at ``path`` (a byte-level BPE with the usual
     split pattern), without added special tokens; special tokens within a text count as such.  Null text is
-    empty, ids may be null or repeat, an empty table gives no rows, other columns are not read.  Documents
-    are dealt to as many buckets as there are shuffle partitions, by a hash of id and text; a bucket and the
-    table of its distinct words must fit a task.
+    empty, ids may be null or repeat, an empty table gives no rows, other columns are not read.
+
+    Documents are dealt to as many buckets as there are shuffle partitions, by a hash of id and text length.
+    Each batch sends its distinct words, with the buckets that hold them, to slices of the words.  A slice
+    encodes each of its words once, and tells each bucket the ids of the words that it holds in order.  A
+    bucket puts its own distinct words in that order, so ids meet words by position.  What travels is
+    compressed; a bucket or a slice must fit a task.
     """
     path = path or tokenizer_path("byte_bpe_50k.json")
     n = partitions_of(docs.sparkSession)
-    bucket = F.pmod(F.xxhash64(F.col(id_col), F.octet_length(F.col(text_col))), F.lit(n)).cast("int").alias("bucket")
-    rows = docs.select(bucket, F.col(id_col).alias("id"), *split_columns(F.col(text_col), path))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    bucket = F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text)), F.lit(n)).cast("int").alias("bucket")
+    rows = docs.select(bucket, F.col(id_col).alias("id"), text.alias("text"))
     kind = dict(rows.dtypes)["id"]
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            words, off = _flat(_lists(x.column("words"), x.column("odd"), path))
-            coded = words.dictionary_encode()
-            size = np.diff(off)
-            pair = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(x.column("bucket").to_numpy(), size))
-            word, bucket_ = pair // n, (pair % n).astype(np.int32)
-            cut = np.searchsorted(word, np.arange(len(coded.dictionary) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.ListArray.from_arrays(pa.array(cut), pa.array(bucket_))], ["word", "buckets"])
-
-    held = rows.select("bucket", "words", "odd").mapInArrow(distinct, "word string, buckets array<int>")
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids = None, []
-        for x in batches:
-            words, off = x.column(0), np.asarray(x.column(1).offsets).astype(np.int64)
-            coded = words.dictionary_encode()
-            new = coded.dictionary.to_pylist()
-            # Words come sorted, so only the first can have been encoded in the batch before.
-            skip = bool(new) and new[0] == last
-            table = [ids] * skip + [e.ids for e in tokenizer(path).encode_batch_fast(new[skip:], add_special_tokens=False)]
-            if new:
-                last, ids = new[-1], table[-1]
-            buckets = x.column(1).values.slice(off[0], off[-1] - off[0])
-            each = coded.indices.take(pa.array(np.repeat(np.arange(len(words)), np.diff(off))))
-            yield pa.RecordBatch.from_arrays([buckets, coded.dictionary.take(each), pa.array([np.array(i, "<u4").tobytes() for i in table], pa.binary()).take(each)], ["bucket", "word", "ids"])
-
-    table = held.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "bucket int, word string, ids binary")
+            for a, b in passes(x.column("text"), PASS):
+                words, first = split_texts(x.column("text").slice(a, b - a), path)
+                coded = words.dictionary_encode()
+                order, part = _in_order(coded.dictionary, n)
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                pair = np.unique(rank[coded.indices.to_numpy()] * n + np.repeat(x.column("bucket").to_numpy()[a:b], np.diff(first)))
+                cut = np.searchsorted(pair // n, np.arange(len(order) + 1)).astype(np.int32)
+                held = pa.ListArray.from_arrays(pa.array(cut), pa.array((pair % n).astype(np.int32)))
+                table = pa.table({"word": coded.dictionary.take(pa.array(order)), "buckets": held})
+                parts = _parts(part)
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in parts], pa.int32()), pa.array([_zipped(table.slice(i, j - i)) for _, i, j in parts], pa.binary())], ["slice", "words"])
+
+    held = rows.select("bucket", "text").mapInArrow(distinct, "slice int, words binary")
+
+    def encode(key: tuple, packs: pa.Table) -> pa.Table:
+        table = pa.concat_tables(pa.ipc.open_stream(p).read_all() for p in packs["words"].to_pylist()).combine_chunks()
+        coded = table["word"].combine_chunks().dictionary_encode()
+        lists = table["buckets"].combine_chunks()
+        order = pc.sort_indices(coded.dictionary).to_numpy().astype(np.int64)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words = coded.dictionary.take(pa.array(order)).to_pylist()
+        ids = [e.ids for a in range(0, len(words), 10_000) for e in tokenizer(path).encode_batch_fast(words[a : a + 10_000], add_special_tokens=False)]
+        count = np.array([len(x) for x in ids], np.int64)
+        flat, at = np.concatenate([np.array(x, np.uint32) for x in ids]), np.cumsum(count) - count
+        own = np.unique(lists.values.to_numpy().astype(np.int64) * len(words) + np.repeat(rank[coded.indices.to_numpy()], np.diff(np.asarray(lists.offsets))))
+        bucket_, word = own // len(words), own % len(words)
+        out = []
+        for b, i, j in _parts(bucket_):
+            w = word[i:j]
+            got = pa.table({"ids": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count[w])).astype(np.int32)), pa.array(flat[spread(at[w], count[w])]))})
+            out.append((b, _zipped(got)))
+        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "slice": pa.array([key[0].as_py()] * len(out), pa.int32()), "ids": pa.array([x for _, x in out], pa.binary())})
+
+    table = held.groupBy("slice").applyInArrow(encode, "bucket int, slice int, ids binary")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents of a batch and bucket in one compressed Arrow stream: ids, texts and the sizes of their words."""
-        how = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
         for x in batches:
-            lists = _lists(x.column("words"), x.column("odd"), path)
-            where = x.column("bucket").to_numpy()
-            order = np.argsort(where, kind="stable")
-            own, cut = np.unique(where[order], return_index=True)
-            packs = []
-            for rows_ in np.split(order, cut[1:]) if len(own) else []:
-                part = lists.take(pa.array(rows_))
-                words, off = _flat(part)
-                one = pa.table({"id": x.column("id").take(pa.array(rows_)), "text": pc.binary_join(part, ""), "sizes": pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pc.binary_length(words).cast(pa.uint32()))})
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, one.schema, options=how) as out:
-                    out.write_table(one)
-                packs.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(packs, pa.binary())], ["bucket", "pack"])
-
-    packed = rows.mapInArrow(pack, "bucket int, pack binary")
-
-    def assemble(docs_: pa.Table, words: pa.Table) -> pa.Table:
-        known = words["word"].combine_chunks()
-        ids = words["ids"].combine_chunks()
-        off = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // 4 if len(ids) else np.zeros(1, np.int64)
-        flat = np.frombuffer(ids.buffers()[2], "<u4") if len(ids) and ids.buffers()[2] is not None else np.zeros(0, "<u4")
-        out = []
-        for blob in docs_["pack"].to_pylist():
-            for batch in pa.ipc.open_stream(blob):
-                sizes, first = _flat(batch.column("sizes"))
-                at = np.append(0, np.cumsum(sizes.to_numpy().astype(np.int64)))
-                text = batch.column("text")
-                data = text.buffers()[2] or pa.py_buffer(b"")
-                each = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(at.astype(np.int32)), data)
-                place = pc.index_in(each, value_set=known).to_numpy()
-                count = off[place + 1] - off[place] if len(place) else np.zeros(0, np.int64)
-                tokens = flat[spread(off[place], count)] if len(place) else flat[:0]
-                ends = np.append(0, np.cumsum(count))[first]
-                out.append(pa.table({"id": batch.column("id"), "n_tokens": np.diff(ends), "ids": _binary(tokens, ends)}))
+            order = np.argsort(x.column("bucket").to_numpy(), kind="stable")
+            parts = _parts(x.column("bucket").to_numpy()[order])
+            each = [pa.table({c: x.column(c).take(pa.array(order[i:j])) for c in ("id", "text")}) for _, i, j in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in parts], pa.int32()), pa.array([_zipped(t) for t in each], pa.binary())], ["bucket", "docs"])
+
+    packed = rows.mapInArrow(pack, "bucket int, docs binary")
+
+    def assemble(docs_: pa.Table, told: pa.Table) -> pa.Table:
+        texts = [pa.ipc.open_stream(p).read_all().combine_chunks() for p in docs_["docs"].to_pylist()]
+        # A dictionary for each pack, merged into one for the bucket.
+        split = [(t, *split_texts(t["text"].combine_chunks() if t.num_rows else pa.array([], pa.string()), path)) for t in texts]
+        coded = [w.dictionary_encode() for _, w, _ in split]
+        every = pa.chunked_array([c.dictionary for c in coded], pa.string()).combine_chunks().dictionary_encode()
+        order, _ = _in_order(every.dictionary, n)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        told = sorted(zip(told["slice"].to_pylist(), told["ids"].to_pylist(), strict=True))
+        lists = [pa.ipc.open_stream(p).read_all()["ids"].combine_chunks() for _, p in told]
+        count = np.concatenate([np.zeros(0, np.int64), *(np.diff(np.asarray(x.offsets)).astype(np.int64) for x in lists)])
+        flat = np.concatenate([np.zeros(0, np.uint32), *(x.flatten().to_numpy() for x in lists)])
+        if len(count) != len(order):
+            raise RuntimeError("a bucket's words and the ids told to it differ")
+        at = np.cumsum(count) - count
+        out, seen = [], 0
+        to = rank[every.indices.to_numpy()]
+        for (t, _, first), c in zip(split, coded, strict=True):
+            word = to[seen : seen + len(c.dictionary)][c.indices.to_numpy()]
+            seen += len(c.dictionary)
+            size = count[word]
+            ends = np.append(0, np.cumsum(size))[first]
+            out.append(pa.table({"id": t["id"], "n_tokens": np.diff(ends), "ids": _binary(flat[spread(at[word], size)], ends)}))
         return pa.concat_tables(out)
 
     return packed.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(assemble, f"id {kind}, n_tokens bigint, ids binary")
