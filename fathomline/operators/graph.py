@@ -28,3 +28,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
         if moved.where("label <> was").isEmpty():
             return labels.select("id", F.col("label").alias("component"))
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+
+
+def distances(edges: DataFrame, sources: DataFrame, max_distance: float = float("inf"), max_rounds: int = 10_000) -> DataFrame:
+    """``(node, distance)``: least sum of ``edges(a, b, w)``, in either direction, from any of ``sources(node)``.
+
+    Each round relaxes only the edges of nodes that the round before brought nearer, and is checkpointed.
+    """
+    both = saved(edges.select("a", "b", "w").union(edges.select("b", "a", "w")).groupBy("a", "b").agg(F.min("w").alias("w")))
+    known = saved(sources.select("node").distinct().withColumn("distance", F.lit(0.0)))
+    front = known
+    for _ in range(max_rounds):
+        step = front.join(both, front.node == both.a).groupBy(F.col("b").alias("node")).agg(F.min(F.col("distance") + F.col("w")).alias("via"))
+        step = step.where(F.col("via") <= max_distance)
+        merged = saved(known.join(step, "node", "full").select("node", F.least("distance", "via").alias("distance"), (F.col("distance").isNull() | (F.col("via") < F.col("distance"))).alias("nearer")))
+        known, front = merged.select("node", "distance"), merged.where("nearer").select("node", "distance")
+        if front.isEmpty():
+            return known
+    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+
+
+def shortest_path(edges: DataFrame, start: int, end: int) -> DataFrame:
+    """``(node, distance)`` along one least path; of equal paths the one through smaller nodes, seen from the end."""
+    spark = edges.sparkSession
+    from_start = distances(edges, spark.createDataFrame([(start,)], "node bigint"))
+    from_end = distances(edges, spark.createDataFrame([(end,)], "node bigint")).withColumnRenamed("distance", "rest")
+    both = from_start.join(from_end, "node")
+    least = from_start.where(F.col("node") == end).select(F.col("distance").alias("total"))
+    on = both.crossJoin(F.broadcast(least)).where(F.abs(F.col("distance") + F.col("rest") - F.col("total")) <= 1e-9 * (1 + F.col("total")))
+    return on.groupBy(F.round("distance", 9).alias("distance")).agg(F.min("node").alias("node")).select("node", "distance")
