@@ -116,13 +116,13 @@ Q = {
         f"with g as ({_GRID}) select a.row, a.col, round(sum(b.value) / count(*), 6) as value from g a join g b on b.row between a.row - 1 and a.row + 1 and b.col between a.col - 1 and a.col + 1 group by 1, 2",
     ),
     "raster_composite": (
-        lambda s, d: r6(raster.composite(_layers(s, d)), "value", "alpha"),
+        lambda s, d: raster.composite(_layers(s, d)).withColumns({c: F.round(F.col(c) * 1.4142135623, 6) for c in ("value", "alpha")}),
         """with recursive l as (select l_partkey % 40 as row, l_suppkey % 30 as col, l_linenumber as priority, max(l_quantity) as value, max(l_discount) * 5 as alpha from lineitem group by 1, 2, 3),
         k as (select *, row_number() over (partition by row, col order by priority) as i, count(*) over (partition by row, col) as n from l),
         f as (select row, col, i, n, case when alpha > 1e-10 then value else 0 end as v, alpha as a from k where i = 1
           union all select k.row, k.col, k.i, k.n, case when f.a * (1 - k.alpha) + k.alpha > 1e-10 then (f.v * f.a * (1 - k.alpha) + k.value * k.alpha) / (f.a * (1 - k.alpha) + k.alpha) else 0 end, f.a * (1 - k.alpha) + k.alpha
           from f join k on k.row = f.row and k.col = f.col and k.i = f.i + 1)
-        select row, col, round(case when a > 1e-10 then v end, 6) as value, round(a, 6) as alpha from f where i = n""",
+        select row, col, round(case when a > 1e-10 then v end * 1.4142135623::double, 6) as value, round(a * 1.4142135623::double, 6) as alpha from f where i = n""",
     ),
     "first_valid_layer": (
         lambda s, d: raster.first_valid(_layers(s, d)),
