@@ -29,8 +29,8 @@ ENDINGS = [b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"]
 #: Code points that all versions of Unicode at hand class alike; texts with others are split by the library.
 ALIKE = [(0x0000, 0x086F), (0x2000, 0x20BF), (0x3000, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
 SPACE, LETTER, NUMBER, OTHER, ODD = range(5)
-#: Text bytes that one numpy pass splits.
-PASS = 32 << 20
+#: Text bytes whose distinct words are gathered at once.
+PASS = 16 << 20
 
 
 @cache
@@ -93,15 +93,18 @@ def _apart(text: str, token: str) -> list[str]:
     return [y for k, x in enumerate(pieces_) for y in ([token, x] if k else [x])]
 
 
+def _bits(raw: np.ndarray, at: np.ndarray, mask: int) -> np.ndarray:
+    return (raw[at] & np.uint8(mask)).astype(np.int32)
+
+
 def byte_classes(raw: np.ndarray) -> np.ndarray:
     """The class of the character that each byte of UTF-8 belongs to."""
     table = classes()
     out = np.append(table[:128], np.full(128, ODD, np.uint8))[raw]
-    wide = np.append(raw, np.zeros(3, np.uint8)).astype(np.int32)
     two, three = np.flatnonzero((raw >= 0xC2) & (raw < 0xE0)), np.flatnonzero((raw >= 0xE0) & (raw < 0xF0))
-    kind = table[((wide[two] & 31) << 6) | (wide[two + 1] & 63)]
+    kind = table[(_bits(raw, two, 31) << 6) | _bits(raw, two + 1, 63)]
     out[two], out[two + 1] = kind, kind
-    kind = table[((wide[three] & 15) << 12) | ((wide[three + 1] & 63) << 6) | (wide[three + 2] & 63)]
+    kind = table[(_bits(raw, three, 15) << 12) | (_bits(raw, three + 1, 63) << 6) | _bits(raw, three + 2, 63)]
     for k in range(3):
         out[three + k] = kind
     return out
@@ -155,7 +158,8 @@ def word_starts(raw: np.ndarray, off: np.ndarray, path: str) -> np.ndarray:
 def split_texts(texts: pa.Array, path: str) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in order, and the number of the first word of each text (one more for the end)."""
     raw, off = text_bytes(texts)
-    start = word_starts(raw, off, path)
+    parts = [off[a] + word_starts(raw[off[a] : off[b]], off[a : b + 1] - off[a], path) for a, b in passes(texts, 2 << 20)]
+    start = np.concatenate([np.zeros(0, np.int64), *parts])
     words = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(raw)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw)))
     return words, np.searchsorted(start, off)
 
@@ -255,11 +259,15 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     packed = rows.mapInArrow(pack, "bucket int, docs binary")
 
     def assemble(docs_: pa.Table, told: pa.Table) -> pa.Table:
-        texts = [pa.ipc.open_stream(p).read_all().combine_chunks() for p in docs_["docs"].to_pylist()]
-        # A dictionary for each pack, merged into one for the bucket.
-        split = [(t, *split_texts(t["text"].combine_chunks() if t.num_rows else pa.array([], pa.string()), path)) for t in texts]
-        coded = [w.dictionary_encode() for _, w, _ in split]
-        every = pa.chunked_array([c.dictionary for c in coded], pa.string()).combine_chunks().dictionary_encode()
+        # Of each pack its documents' ids, words by number and own distinct words; these are merged for the bucket.
+        split = []
+        for p in docs_["docs"].to_pylist():
+            t = pa.ipc.open_stream(p).read_all().combine_chunks()
+            words, first = split_texts(t["text"].combine_chunks(), path)
+            coded = words.dictionary_encode()
+            split.append((t["id"], first, coded.indices.to_numpy(), coded.dictionary))
+            del t, words, coded
+        every = pa.chunked_array([d for _, _, _, d in split], pa.string()).combine_chunks().dictionary_encode()
         order, _ = _in_order(every.dictionary, n)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -272,12 +280,12 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         at = np.cumsum(count) - count
         out, seen = [], 0
         to = rank[every.indices.to_numpy()]
-        for (t, _, first), c in zip(split, coded, strict=True):
-            word = to[seen : seen + len(c.dictionary)][c.indices.to_numpy()]
-            seen += len(c.dictionary)
+        for ids, first, indices, own in split:
+            word = to[seen : seen + len(own)][indices]
+            seen += len(own)
             size = count[word]
             ends = np.append(0, np.cumsum(size))[first]
-            out.append(pa.table({"id": t["id"], "n_tokens": np.diff(ends), "ids": _binary(flat[spread(at[word], size)], ends)}))
+            out.append(pa.table({"id": ids, "n_tokens": np.diff(ends), "ids": _binary(flat[spread(at[word], size)], ends)}))
         return pa.concat_tables(out)
 
     return packed.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(assemble, f"id {kind}, n_tokens bigint, ids binary")
@@ -296,15 +304,16 @@ def decoded(tokens: DataFrame, path: str | None = None, ids_col: str = "ids") ->
     path = path or tokenizer_path("byte_bpe_50k.json")
     rest = [c for c in tokens.columns if c != ids_col]
     schema = ", ".join(f"`{c}` {t}" for c, t in tokens.dtypes if c != ids_col)
+    table = tokens.sparkSession.sparkContext.broadcast(pieces(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, start, size = pieces(path)
+        data, start, size = table.value
         for x in batches:
             ids = pc.fill_null(x.column(x.num_columns - 1), b"")
             off = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
             cut = [0]
-            while cut[-1] < len(ids):  # a few MB at a time
-                cut.append(max(cut[-1] + 1, int(np.searchsorted(off, off[cut[-1]] + (4 << 20), "right")) - 1))
+            while cut[-1] < len(ids):  # about a MB at a time
+                cut.append(max(cut[-1] + 1, int(np.searchsorted(off, off[cut[-1]] + (1 << 20), "right")) - 1))
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 flat = np.frombuffer(ids.buffers()[2], "<u4", (off[b] - off[a]) // 4, off[a]) if off[b] > off[a] else np.zeros(0, "<u4")
                 known = flat < len(size)
