@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.language_id import tokenizer_path
-from fathomline.llm.words import passes, spread, text_bytes, xxh64
+from fathomline.llm.words import give_back, passes, spread, text_bytes, xxh64
 from fathomline.session import partitions_of
 
 # The white space of the split pattern that byte-level vocabularies of this kind are published with,
@@ -224,6 +224,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
                 table = pa.table({"word": coded.dictionary.take(pa.array(order)), "buckets": held})
                 parts = _parts(part)
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in parts], pa.int32()), pa.array([_zipped(table.slice(i, j - i)) for _, i, j in parts], pa.binary())], ["slice", "words"])
+            give_back()
 
     held = rows.select("bucket", "text").mapInArrow(distinct, "slice int, words binary")
 
@@ -245,6 +246,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             w = word[i:j]
             got = pa.table({"ids": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count[w])).astype(np.int32)), pa.array(flat[spread(at[w], count[w])]))})
             out.append((b, _zipped(got)))
+        give_back()
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "slice": pa.array([key[0].as_py()] * len(out), pa.int32()), "ids": pa.array([x for _, x in out], pa.binary())})
 
     table = held.groupBy("slice").applyInArrow(encode, "bucket int, slice int, ids binary")
@@ -255,6 +257,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             parts = _parts(x.column("bucket").to_numpy()[order])
             each = [pa.table({c: x.column(c).take(pa.array(order[i:j])) for c in ("id", "text")}) for _, i, j in parts]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in parts], pa.int32()), pa.array([_zipped(t) for t in each], pa.binary())], ["bucket", "docs"])
+            give_back()
 
     packed = rows.mapInArrow(pack, "bucket int, docs binary")
 
@@ -286,6 +289,8 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             size = count[word]
             ends = np.append(0, np.cumsum(size))[first]
             out.append(pa.table({"id": ids, "n_tokens": np.diff(ends), "ids": _binary(flat[spread(at[word], size)], ends)}))
+        del split, every, lists, flat, to
+        give_back()
         return pa.concat_tables(out)
 
     return packed.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(assemble, f"id {kind}, n_tokens bigint, ids binary")
@@ -328,5 +333,6 @@ def decoded(tokens: DataFrame, path: str | None = None, ids_col: str = "ids") ->
                     raw = out.tobytes()
                     text = pa.array([raw[p:q].decode("utf-8", "replace") for p, q in zip(ends[:-1], ends[1:], strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*(x.column(k).slice(a, b - a) for k in range(x.num_columns - 1)), text], [*rest, "text"])
+            give_back()
 
     return tokens.select(*rest, ids_col).mapInArrow(run, f"{schema}, text string")

@@ -13,10 +13,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.words import text_bytes
+from fathomline.llm.words import give_back, passes, split, strings, text_bytes
 
 #: Pieces of up to 8 bytes fit one integer; longer ones are not used.  A longer letter run is scored in parts.
 PIECE, RUN = 8, 64
@@ -24,6 +25,8 @@ PIECE, RUN = 8, 64
 SCALE = 64.0
 #: Words that one numpy pass scores.
 PASS_WORDS = 4096
+#: Text bytes whose distinct words one pass scores.
+PASS_BYTES = 8 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -132,8 +135,8 @@ def piece_counts(words: pa.Array, n: np.ndarray, path: str) -> np.ndarray:
 
 
 def letter_runs(text: Column) -> Column:
-    """The runs of letters of a text, lower-cased; empty strings may stand between them."""
-    return F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}]+")
+    """The runs of letters of a text, lower-cased, with a space between them."""
+    return F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}]+", " ")
 
 
 class Model:
@@ -160,17 +163,18 @@ def learned(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", tex
         return Model([], np.zeros((total + 1, 0)), path)
     part = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, sample_per_lang / sizes[lang]))))
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1_000_000)) < part[F.col("lang")] * 1_000_000)
-    words = sample.select("lang", F.explode(letter_runs(F.col("text"))).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = sample.select("lang", F.explode(F.split(letter_runs(F.col("text")), " ")).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
 
     def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             langs = np.array(x.column(0).to_pylist(), object)
             for lang in sorted(set(langs)):
                 own = pa.array(np.flatnonzero(langs == lang))
-                spaced = pa.compute.binary_join_element_wise(" ", x.column(1).take(own), "")
+                spaced = pc.binary_join_element_wise(" ", x.column(1).take(own), "")
                 uses = piece_counts(spaced, x.column(2).take(own).to_numpy().astype(float), path)
                 used = np.flatnonzero(uses)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(uses[used])], ["lang", "piece", "uses"])
+            give_back()
 
     uses = words.mapInArrow(expected, "lang string, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toPandas()
     counts = np.zeros((total, len(languages)))
@@ -193,29 +197,27 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, prob, path = shared.value
         for x in batches:
-            lists = x.column(x.num_columns - 1)
-            off = np.asarray(lists.offsets).astype(np.int64)
-            words = lists.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
-            number = words.indices.to_numpy()
-            real = np.array([len(w) > 0 for w in words.dictionary.to_pylist()], bool)
-            score = word_scores(pa.compute.binary_join_element_wise(" ", words.dictionary, ""), prob, path)
-            score[~real] = 0
-            n = np.diff(off)
-            has, total = np.zeros(len(n), np.int64), np.zeros((len(n), len(languages)))
-            some = np.flatnonzero(n)
-            if len(some):
-                cut = (off[:-1] - off[0])[some]
-                has[some] = np.add.reduceat(real[number].astype(np.int64), cut)
-                for k in range(len(languages)):
+            runs = x.column(x.num_columns - 1)
+            has, total = np.zeros(x.num_rows, np.int64), np.zeros((x.num_rows, len(languages)))
+            for a, b in passes(runs, PASS_BYTES):
+                w = split(runs.slice(a, b - a))
+                has[a:b] = np.diff(w.first)
+                words = strings(w.buf, w.start, w.end).dictionary_encode()
+                score = word_scores(pc.binary_join_element_wise(" ", words.dictionary.cast(pa.string()), ""), prob, path)
+                some = a + np.flatnonzero(has[a:b])
+                number, cut = words.indices.to_numpy(), w.first[:-1][has[a:b] > 0]
+                for k in range(len(languages) if len(some) else 0):
                     total[some, k] = np.add.reduceat(score[number, k], cut)
+                give_back()
             if languages:
                 best = total.argmax(axis=1)
                 share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 name = np.where(has > 0, np.array(languages, object)[best], "und")
                 share = np.where(has > 0, share, 0.0)
             else:
-                name, share = np.full(len(n), "und", object), np.zeros(len(n))
+                name, share = np.full(x.num_rows, "und", object), np.zeros(x.num_rows)
             yield pa.RecordBatch.from_arrays([*(x.column(k) for k in range(x.num_columns - 1)), pa.array(name, pa.string()), pa.array(share)], [*x.schema.names[:-1], "lang_pred", "score"])
+            give_back()
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")

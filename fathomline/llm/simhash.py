@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.words import passes, split, xxh64
+from fathomline.llm.words import give_back, passes, split, xxh64
 from fathomline.operators.graph import components
 from fathomline.session import saved
 
@@ -59,6 +59,7 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(fingerprints(x.column(1)).view(np.int64))], ["id", "fp"])
+            give_back()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")

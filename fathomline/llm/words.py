@@ -5,6 +5,8 @@ A word is a run of bytes without ASCII white space: ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -141,6 +143,13 @@ def _xxh64(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np
     return h
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on after a task, and an executor's share is small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(x: np.ndarray, salt: int) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     with np.errstate(over="ignore"):
