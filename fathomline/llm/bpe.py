@@ -30,7 +30,7 @@ ENDINGS = [b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"]
 ALIKE = [(0x0000, 0x086F), (0x2000, 0x20BF), (0x3000, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
 SPACE, LETTER, NUMBER, OTHER, ODD = range(5)
 #: Text bytes whose distinct words are gathered at once.
-PASS = 16 << 20
+PASS = 6 << 20
 
 
 @cache
