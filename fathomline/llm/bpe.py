@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.language_id import tokenizer_path
-from fathomline.llm.words import give_back, passes, spread, text_bytes, xxh64
+from fathomline.llm.words import gathered, give_back, passes, small_batches, spread, text_bytes, xxh64
 from fathomline.session import partitions_of
 
 # The white space of the split pattern that byte-level vocabularies of this kind are published with,
@@ -29,7 +29,7 @@ ENDINGS = [b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"]
 #: Code points that all versions of Unicode at hand class alike; texts with others are split by the library.
 ALIKE = [(0x0000, 0x086F), (0x2000, 0x20BF), (0x3000, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
 SPACE, LETTER, NUMBER, OTHER, ODD = range(5)
-#: Text bytes whose distinct words are gathered at once.
+#: Text bytes that are gathered before their distinct words are taken, at most twice as many at once.
 PASS = 6 << 20
 
 
@@ -205,14 +205,15 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     """
     path = path or tokenizer_path("byte_bpe_50k.json")
     n = partitions_of(docs.sparkSession)
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     bucket = F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text)), F.lit(n)).cast("int").alias("bucket")
     rows = docs.select(bucket, F.col(id_col).alias("id"), text.alias("text"))
     kind = dict(rows.dtypes)["id"]
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            for a, b in passes(x.column("text"), PASS):
+        for x in gathered(batches, "text", PASS):
+            for a, b in passes(x.column("text"), 2 * PASS):
                 words, first = split_texts(x.column("text").slice(a, b - a), path)
                 coded = words.dictionary_encode()
                 order, part = _in_order(coded.dictionary, n)
@@ -252,11 +253,12 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     table = held.groupBy("slice").applyInArrow(encode, "bucket int, slice int, ids binary")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in gathered(batches, "text", PASS):
             order = np.argsort(x.column("bucket").to_numpy(), kind="stable")
             parts = _parts(x.column("bucket").to_numpy()[order])
-            each = [pa.table({c: x.column(c).take(pa.array(order[i:j])) for c in ("id", "text")}) for _, i, j in parts]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in parts], pa.int32()), pa.array([_zipped(t) for t in each], pa.binary())], ["bucket", "docs"])
+            each = [_zipped(pa.table({c: x.column(c).take(pa.array(order[i:j])) for c in ("id", "text")})) for _, i, j in parts]
+            del x
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in parts], pa.int32()), pa.array(each, pa.binary())], ["bucket", "docs"])
             give_back()
 
     packed = rows.mapInArrow(pack, "bucket int, docs binary")
@@ -307,6 +309,7 @@ def decoded(tokens: DataFrame, path: str | None = None, ids_col: str = "ids") ->
     nothing, bytes that are not UTF-8 give U+FFFD, null ids an empty text.
     """
     path = path or tokenizer_path("byte_bpe_50k.json")
+    small_batches(tokens.sparkSession)
     rest = [c for c in tokens.columns if c != ids_col]
     schema = ", ".join(f"`{c}` {t}" for c, t in tokens.dtypes if c != ids_col)
     table = tokens.sparkSession.sparkContext.broadcast(pieces(path))
