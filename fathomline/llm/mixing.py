@@ -11,6 +11,8 @@ from fathomline.session import saved
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Units (source, pass, block) up to which their table is broadcast; beyond it the join shuffles.
 BROADCAST_UNITS = 100_000
+#: Hex digits of a key that name its part: a million parts, so a block of 64 has at most 16,384.
+PART_DIGITS = 5
 
 
 def word_count(text):
@@ -88,11 +90,16 @@ def mix(docs: DataFrame, shards: int = 16, blocks: int = 64, most: float = 3.0,
     sums = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("block")) - F.col("words"))
     hit = sums.join(per.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s"))).where("words > 0 and rest >= before and rest < before + words")
     hit = hit.select(F.col("s"), F.col("block").alias("b"), "before", "rest")
-    inside = small.join(hit, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("s", "b").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)))
+    inside = small.join(hit, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).withColumn("part", F.substring("key", 1, PART_DIGITS))
+    # The block may hold a large share of a large source, so its parts are summed first and only the one with the cut is put in order.
+    parts = inside.groupBy("s", "b", "part", "before", "rest").agg(F.sum("size").alias("words"))
+    parts = parts.withColumn("held", F.col("before") + F.sum("words").over(Window.partitionBy("s", "b").orderBy("part")) - F.col("words"))
+    parts = parts.where("words > 0 and rest >= held and rest < held + words").select(F.col("s").alias("ps"), F.col("part").alias("pp"), "held")
+    inside = inside.join(parts, F.col("s").eqNullSafe(F.col("ps")) & (F.col("part") == F.col("pp")))
+    inside = inside.withColumn("upto", F.col("held") + F.sum("size").over(Window.partitionBy("s", "b").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)))
     cut = inside.groupBy("s", F.col("b").alias("cut_block")).agg(
         F.min(F.when(F.col("upto") > F.col("rest"), F.col("key"))).alias("cut_key"),
-        (F.max("rest") - F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))), F.max("before"))).alias("gap"),
+        (F.max("rest") - F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))), F.max("held"))).alias("gap"),
     )
     cut = saved(cut)
     beyond = small.join(cut, F.col("source").eqNullSafe(F.col("s"))).where("size > 0 and (block > cut_block or (block = cut_block and key >= cut_key))")
