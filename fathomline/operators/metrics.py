@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.functions.time import from_micros, micros
+from fathomline.operators.temporal import asof
+
 
 def paired(df: DataFrame, keys: list[str], x: str, ref: str) -> DataFrame:
     """``(keys, n, bias, r, amp, willmott, murphy, rms_error)`` of a model against a reference, over rows where both are.
@@ -84,3 +89,31 @@ def detrended(df: DataFrame, keys: list[str], x: str, y: str, into: str = "resid
 def enumerate_groups(df: DataFrame, key: str, index: str) -> DataFrame:
     """``(key, members)`` with members in order.  An array holds a whole group, so use it where groups are small."""
     return df.groupBy(key).agg(F.sort_array(F.collect_list(index)).alias("members"))
+
+
+def lag_scan(x: DataFrame, ref: DataFrame, keys: list[str], lags: list[float], ts: str = "ts", value: str = "value", least: int = 3) -> DataFrame:
+    """``(keys, lag, r, n)``: the correlation of ``ref`` with ``x`` that many seconds later, for each of ``lags``.
+
+    ``x`` is linear between its samples and counts only there; lags of fewer than ``least`` pairs have no row.
+    Only ``ref`` is repeated for the lags, so give the sparser series as ``ref``.
+    """
+    tried = ref.where(F.col(value).isNotNull()).select(*keys, F.col(ts), F.col(value).alias("_ref"), F.explode(F.array(*(F.lit(float(s)) for s in lags))).alias("lag"))
+    tried = tried.withColumn(ts, from_micros(micros(F.col(ts)) + (F.col("lag") * 1e6).cast("long")))
+    found = asof(tried, x.where(F.col(value).isNotNull()), keys, ts, value).where("t0 is not null and t1 is not null")
+    back, whole = micros(F.col(ts)) - micros(F.col("t0")), micros(F.col("t1")) - micros(F.col("t0"))
+    at = F.when(whole == 0, F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * back / F.nullif(whole, F.lit(0)))
+    out = found.withColumn("_x", at).groupBy(*keys, "lag").agg(F.corr("_x", "_ref").alias("r"), F.count("*").alias("n"))
+    return out.where(F.col("n") >= least)
+
+
+def best_lag(scan: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, lag, r)`` of the largest correlation in a ``lag_scan``, the lag nearest 0 of equal ones."""
+    top = F.max(F.struct("r", (-F.abs("lag")).alias("near"), "lag")).alias("_t")
+    return scan.where("r is not null and not isnan(r)").groupBy(*keys).agg(top).select(*keys, "_t.lag", "_t.r")
+
+
+def period_energy(df: DataFrame, keys: list[str], t: str, value: str, periods: list[float]) -> DataFrame:
+    """``(keys, period, energy)``: squared mean products of the value with a cosine and a sine of each trial period."""
+    angle = [F.lit(2 * math.pi / p) * F.col(t) for p in periods]
+    sums = [F.struct(F.lit(float(p)).alias("period"), (F.pow(F.avg(F.col(value) * F.cos(a)), 2) + F.pow(F.avg(F.col(value) * F.sin(a)), 2)).alias("energy")) for p, a in zip(periods, angle, strict=True)]
+    return df.groupBy(*keys).agg(F.array(*sums).alias("_p")).select(*keys, F.inline("_p"))

@@ -7,15 +7,20 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fathomline-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a checkpoint in the folder that the cluster shares.
 
     ``spark.checkpoint.dir`` names that folder.  Only where it is unset, as in tests on one machine,
     a temporary folder is used.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fathomline-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
