@@ -13,6 +13,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 BROADCAST_UNITS = 100_000
 #: Hex digits of a key that name its part: a million parts, so a block of 64 has at most 16,384.
 PART_DIGITS = 5
+#: Leading bits of the hash that shuffles a shard, by whose values the shard is dealt to tasks.
+SHARD_PART_BITS = 8
 
 
 def word_count(text):
@@ -139,7 +141,13 @@ def mix(docs: DataFrame, shards: int = 16, blocks: int = 64, most: float = 3.0,
 
 
 def mixed(docs: DataFrame, shards: int = 16, **options) -> DataFrame:
-    """The mix itself: ``docs`` with a row for each draw, dealt by shard and shuffled within it."""
-    drawn = mix(docs, shards, **options).withColumn("mix_draw", F.explode("mix_draws"))
-    dealt = drawn.repartition("mix_draw.shard").sortWithinPartitions("mix_draw.shard", F.xxhash64("mix_key", "mix_draw.pass"))
+    """The mix itself: ``docs`` with a row for each draw, dealt by shard and shuffled within it.
+
+    A shard is as large as the mix over ``shards``, so it is dealt in ``2 ** SHARD_PART_BITS`` ranges of the
+    hash that shuffles it: within a range rows are in the hash's order, and no task holds a shard.
+    """
+    turn = F.xxhash64("mix_key", "mix_draw.pass")
+    drawn = mix(docs, shards, **options).withColumn("mix_draw", F.explode("mix_draws")).withColumn("mix_turn", turn)
+    drawn = drawn.withColumn("mix_range", F.shiftright("mix_turn", 64 - SHARD_PART_BITS))
+    dealt = drawn.repartition("mix_draw.shard", "mix_range").sortWithinPartitions("mix_draw.shard", "mix_turn")
     return dealt.select(*docs.columns)
