@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathomline.session import saved
+
 # Short statements by which texts declare a licence.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -25,6 +27,7 @@ TEMPLATES = [
 ]
 #: Lines with such a word are the headers that are held to the templates.
 CUE = r"(?i)licen[sc]e|copyright|permission is hereby|redistribution and use|spdx"
+SALTS = 16
 TERM = r"[a-z0-9]+(?:\.[a-z0-9]+)*"
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)([._-].*)?$"
 
@@ -40,27 +43,28 @@ def templates(spark: SparkSession) -> DataFrame:
 def scanned(files: DataFrame, known: DataFrame, id_col: str = "id", text_col: str = "text", least: float = 0.6) -> DataFrame:
     """``(id, own_licence, own_score)`` for ids of ``files`` with a line whose cosine to a template is ``least`` or more.
 
-    A line's vector has term counts times ln((files + 1) / (files with the term + 1)) + 1; terms of no template
-    count as in no file.  Counts cover the whole texts of all files.  The best line and template of an id
-    count, equal ones by the first licence by name.  Null texts have no lines, null ids are one id.
-    The templates' terms are a fixed few, so their table and counts are broadcast; only lines with a cue go on.
+    A line's vector has term counts times ln((files + 1) / (files with the term + 1)) + 1.  Counts cover every term of
+    the lines and templates over the whole texts of all files, so a line is judged alike in a small and in a large
+    corpus of the same kind.  The best line and template of an id count, equal ones by the first licence by name.
+    Null texts have no lines, null ids are one id.  The templates are a fixed few, so their vectors are broadcast;
+    only lines with a cue go on, and meet the counts by term and salt, as a third of all lines may hold one term.
     """
-    spark = files.sparkSession
     word = known.select("template", "licence", F.explode(terms(F.col("statement"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
     rows = files.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    vocab = F.array(*(F.lit(t) for t in sorted({r["term"] for r in word.select("term").distinct().collect()})))
-    seen = rows.select(F.explode(F.concat(F.array(F.lit("")), F.coalesce(F.array_intersect(vocab, terms(F.col("text"))), F.array().cast("array<string>")))).alias("term"))
-    df = {r["term"]: r["n"] for r in seen.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row for each term of the templates and one for all files
-    total = df.pop("", 0)
+    total = rows.count()
     weight = lambda n: F.log((F.lit(total) + 1) / (n + 1)) + 1
-    counted = spark.createDataFrame(sorted(df.items()), "term string, n bigint")
-    idf = word.select("term").distinct().join(F.broadcast(counted), "term", "left").select("term", weight(F.coalesce("n", F.lit(0))).alias("idf"))
-    goal = word.join(F.broadcast(idf), "term").select("template", "licence", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    goal = goal.join(F.broadcast(goal.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))), "template")
     line = rows.where(F.col("text").rlike(CUE)).select("id", F.posexplode(F.split("text", "\n")).alias("line", "said")).where(F.col("said").rlike(CUE))
     line = line.select("id", F.struct(F.xxhash64("said"), "line", F.crc32("said")).alias("line"), F.explode(terms(F.col("said"))).alias("term"))
-    line = line.groupBy("id", "line", "term").agg(F.count("*").alias("tf")).join(F.broadcast(idf), "term", "left")
-    line = line.select("id", "line", "term", (F.col("tf") * F.coalesce("idf", weight(F.lit(0)))).alias("v"))
+    line = saved(line.groupBy("id", "line", "term").agg(F.count("*").alias("tf")))
+    wanted = line.select("term").union(word.select("term")).distinct()
+    seen = rows.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    idf = wanted.join(seen.join(wanted, "term", "left_semi"), "term", "left").select("term", weight(F.coalesce("n", F.lit(0))).alias("idf"))
+    idf = saved(idf)
+    goal = word.join(idf, "term").select("template", "licence", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    goal = saved(goal.join(goal.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length")), "template"))
+    dealt = idf.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    line = line.withColumn("salt", F.pmod(F.xxhash64("id", "line"), F.lit(SALTS)).cast("int")).join(dealt, ["term", "salt"])
+    line = line.select("id", "line", "term", (F.col("tf") * F.col("idf")).alias("v"))
     length = line.groupBy("id", "line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("own"), F.collect_list(F.struct("term", "v")).alias("has"))
     near = length.select("id", "line", "own", F.explode("has").alias("x")).select("id", "line", "own", "x.term", "x.v").join(F.broadcast(goal), "term")
     score = near.groupBy("id", "line", "template", "licence").agg(F.round(F.sum(F.col("v") * F.col("w")) / (F.first("own") * F.first("length")), 6).alias("score"))

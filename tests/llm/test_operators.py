@@ -256,3 +256,13 @@ def test_licences_and_inheritance(spark):
     files = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c.py", "code"), (3, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), (4, "a/b/d/e", "x\nThis work is licensed under the GNU General Public License, version 3.\n"), (5, "z/f", None), (6, None, "Copyright nobody"), (7, "a/q", "")]
     got = {r["id"]: (r["licence"], r["licence_dir"]) for r in licences.licensed(spark.createDataFrame(files, "id long, path string, text string"), licences.templates(spark)).collect()}
     assert got == {1: ("MIT", None), 2: ("Apache-2.0", "a/b"), 3: ("Apache-2.0", None), 4: ("GPL-3.0", None), 5: (None, None), 6: (None, None), 7: ("MIT", "a")}
+
+
+def test_a_licence_line_is_found_alike_in_corpora_of_two_sizes(spark):
+    def score(n):
+        files = spark.range(n).selectExpr("id", "concat_ws('\n', 'this project is by us', if(id % 10 = 0, 'This project is released under the MIT License.', 'the end')) as text")
+        return licences.scanned(files, licences.templates(spark)).where("id = 0").first()
+
+    small, large = score(100), score(100_000)
+    assert small["own_licence"] == large["own_licence"] == "MIT"
+    assert abs(small["own_score"] - large["own_score"]) < 0.05
