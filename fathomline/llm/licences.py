@@ -1,10 +1,12 @@
-"""Licence scans: sparse TF-IDF cosine of header lines to templates, then inheritance from the nearest ancestor.
+"""Licence scans: sparse TF-IDF cosine of texts, header blocks and lines to templates, then inheritance from the nearest ancestor.
 
 DataFrame operations only.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,50 +26,78 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 ]
-#: Lines with such a word are the headers that are held to the templates.
+#: Whole licences, a file for each.
+TEXTS = Path(__file__).parent / "licence_texts"
+#: The licences that SPDX identifiers name; those of the GNU licences can say which versions follow.
+SPDX = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0"]
+#: Texts, blocks, sentences and lines with such a word are held to the templates.
 CUE = r"(?i)licen[sc]e|copyright|permission is hereby|redistribution and use|spdx"
 SALTS = 16
-TERM = r"[a-z0-9]+(?:\.[a-z0-9]+)*"
+#: An SPDX identifier is one term with its tag, so an unknown one is like no other.
+TAG = r"spdx-license-identifier:\s*\(*"
+TERM = r"spdx:[a-z0-9]+(?:[.+-]+[a-z0-9]+)*\+?|[a-z0-9]+(?:\.[a-z0-9]+)*"
+#: Between blocks are lines without a letter or digit, comment marks or not.
+GAP = r"\n[^\p{L}\p{N}]*\n"
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)([._-].*)?$"
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    return F.regexp_extract_all(F.regexp_replace(F.lower(text), TAG, "spdx:"), F.lit(TERM), F.lit(0))
+
+
+def units(text: Column) -> Column:
+    """What of a text is held to templates: the whole, and its blocks, sentences, lines and SPDX identifiers with a cue, each once."""
+    cued = lambda parts: F.filter(parts, lambda x: x.rlike(CUE))
+    blocks = cued(F.split(text, GAP))
+    joined = F.transform(blocks, lambda x: F.regexp_replace(x, r"\n[^\p{L}\p{N}\n]*", " "))
+    sentences = cued(F.flatten(F.transform(joined, lambda x: F.split(x, r"(?<=[.!?])\s+"))))
+    lines = cued(F.flatten(F.transform(blocks, lambda x: F.split(x, "\n"))))
+    tags = F.regexp_extract_all(text, F.lit("(?i)" + TAG + "[a-z0-9]+(?:[.+-]+[a-z0-9]+)*\\+?"), F.lit(0))
+    return F.array_distinct(F.concat(F.array(text), blocks, sentences, lines, tags))
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(TEMPLATES)], "template int, licence string, statement string")
+    tags = [(name, f"SPDX-License-Identifier: {name}{end}") for name in SPDX for end in (["", "-only", "-or-later", "+"] if "GPL" in name else [""])]
+    whole = [(p.stem, p.read_text()) for p in sorted(TEXTS.glob("*.txt"))]
+    return spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(TEMPLATES + tags + whole)], "template int, licence string, statement string")
 
 
 def scanned(files: DataFrame, known: DataFrame, id_col: str = "id", text_col: str = "text", least: float = 0.6) -> DataFrame:
-    """``(id, own_licence, own_score)`` for ids of ``files`` with a line whose cosine to a template is ``least`` or more.
+    """``(id, own_licence, own_score)`` for ids of ``files`` with a unit whose cosine to a template is ``least`` or more.
 
-    A line's vector has term counts times ln((files + 1) / (files with the term + 1)) + 1.  Counts cover every term of
-    the lines and templates over the whole texts of all files, so a line is judged alike in a small and in a large
-    corpus of the same kind.  The best line and template of an id count, equal ones by the first licence by name.
-    Null texts have no lines, null ids are one id.  The templates are a fixed few, so their vectors are broadcast;
-    only lines with a cue go on, and meet the counts by term and salt, as a third of all lines may hold one term.
+    A unit is the whole text, or a block, sentence, line or SPDX identifier of it, see ``units``.  Its vector has term
+    counts times ln((files + 1) / (files with the term + 1)) + 1.  Counts cover every term of the units and templates
+    over the whole texts of all files, so a unit is judged alike in a small and in a large corpus of the same kind.  The best unit and template of an id count, equal ones by the first licence by name.
+    Null texts have no units, null ids are one id.  The templates are a fixed few, so their vectors are broadcast;
+    only texts with a cue go on, and meet the counts by term and salt, as a third of all units may hold one term.
     """
     word = known.select("template", "licence", F.explode(terms(F.col("statement"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
     rows = files.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     total = rows.count()
     weight = lambda n: F.log((F.lit(total) + 1) / (n + 1)) + 1
-    line = rows.where(F.col("text").rlike(CUE)).select("id", F.posexplode(F.split("text", "\n")).alias("line", "said")).where(F.col("said").rlike(CUE))
-    line = line.select("id", F.struct(F.xxhash64("said"), "line", F.crc32("said")).alias("line"), F.explode(terms(F.col("said"))).alias("term"))
-    line = saved(line.groupBy("id", "line", "term").agg(F.count("*").alias("tf")))
-    wanted = line.select("term").union(word.select("term")).distinct()
+    unit = rows.where(F.col("text").rlike(CUE)).select("id", F.posexplode(units(F.col("text"))).alias("unit", "said"))
+    unit = unit.select("id", F.struct(F.xxhash64("said"), "unit", F.crc32("said")).alias("unit"), F.explode(terms(F.col("said"))).alias("term"))
+    unit = saved(unit.groupBy("id", "unit", "term").agg(F.count("*").alias("tf")))
+    wanted = unit.select("term").union(word.select("term")).distinct()
     seen = rows.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     idf = wanted.join(seen.join(wanted, "term", "left_semi"), "term", "left").select("term", weight(F.coalesce("n", F.lit(0))).alias("idf"))
     idf = saved(idf)
     goal = word.join(idf, "term").select("template", "licence", "term", (F.col("tf") * F.col("idf")).alias("w"))
     goal = saved(goal.join(goal.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length")), "template"))
     dealt = idf.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    line = line.withColumn("salt", F.pmod(F.xxhash64("id", "line"), F.lit(SALTS)).cast("int")).join(dealt, ["term", "salt"])
-    line = line.select("id", "line", "term", (F.col("tf") * F.col("idf")).alias("v"))
-    length = line.groupBy("id", "line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("own"), F.collect_list(F.struct("term", "v")).alias("has"))
-    near = length.select("id", "line", "own", F.explode("has").alias("x")).select("id", "line", "own", "x.term", "x.v").join(F.broadcast(goal), "term")
-    score = near.groupBy("id", "line", "template", "licence").agg(F.round(F.sum(F.col("v") * F.col("w")) / (F.first("own") * F.first("length")), 6).alias("score"))
+    unit = unit.withColumn("salt", F.pmod(F.xxhash64("id", "unit"), F.lit(SALTS)).cast("int")).join(dealt, ["term", "salt"])
+    unit = unit.select("id", "unit", "term", (F.col("tf") * F.col("idf")).alias("v"))
+    length = unit.groupBy("id", "unit").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("own"), F.collect_list(F.struct("term", "v")).alias("has"))
+    near = length.select("id", "unit", "own", F.explode("has").alias("x")).select("id", "unit", "own", "x.term", "x.v").join(F.broadcast(goal), "term")
+    score = near.groupBy("id", "unit", "template", "licence").agg(F.round(F.sum(F.col("v") * F.col("w")) / (F.first("own") * F.first("length")), 6).alias("score"))
     best = score.where(F.col("score") >= least).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
     return best.select("id", F.col("b.licence").alias("own_licence"), (-F.col("b.s")).alias("own_score"))
 

@@ -266,3 +266,14 @@ def test_a_licence_line_is_found_alike_in_corpora_of_two_sizes(spark):
     small, large = score(100), score(100_000)
     assert small["own_licence"] == large["own_licence"] == "MIT"
     assert abs(small["own_score"] - large["own_score"]) < 0.05
+
+
+def test_licence_files_wrapped_headers_and_spdx(spark):
+    full = {p.stem: p.read_text() for p in licences.TEXTS.glob("*.txt")}
+    said = {name: f"Copyright 2020 Jane Doe and the others\n\n{text}" for name, text in full.items()}
+    gpl = "/*\n * This file is part of Foo.\n *\n * Foo is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version.\n *\n */\nint x;"
+    code = [("GPL-2.0", gpl.format(2)), ("GPL-3.0", gpl.format(3)), ("MIT", "# SPDX-License-Identifier: MIT\nx = 1"), ("GPL-3.0", "// spdx-license-identifier: (GPL-3.0-only OR Nobody)"), (None, "# SPDX-License-Identifier: ISC"), ("MIT", "Nothing here is said of it. Released under the MIT License. " + "More words follow in this same long line. " * 9)]
+    want = dict(enumerate([*said, *(name for name, _ in code), *[None] * 40]))
+    texts = [*said.values(), *(text for _, text in code), *["the file is a part of this one and is free or not"] * 40]
+    found = licences.scanned(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), licences.templates(spark)).collect()
+    assert {r["id"]: r["own_licence"] for r in found} == {k: name for k, name in want.items() if name}
