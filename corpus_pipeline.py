@@ -14,6 +14,7 @@ from fathomline.llm.exact_dedup import exact_groups, normalised
 from fathomline.llm.language_id import learned, predicted
 from fathomline.llm.mixing import mixed
 from fathomline.llm.simhash import near_components
+from fathomline.session import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,9 +34,20 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose SimHash links join them, the one with the smallest id; documents without ids stay."""
-    gone = near_components(docs).where("id <> component_id").select("id").distinct()
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("id"), "left_anti")
+    """Of rows whose SimHash links join them, one: that with the smallest id, then the smallest digest of the row; rows without ids come last.
+
+    A digest names a row and all that equal it.  Few digests go or are repeated, so only those are looked up.
+    """
+    said = F.struct("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text"), "lang", "source", "n_chars")
+    marked = docs.select(*COLUMNS).withColumn("digest", F.unhex(F.sha2(F.to_json(said).cast("binary"), 256)))
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest")
+    found = near_components(marked.select(name.alias("doc_id"), "text")).select("id.digest", (F.col("id") == F.col("component_id")).alias("kept"))
+    known = saved(found.groupBy("digest", "kept").agg(F.count("*").alias("n")).where("not kept or n > 1"))
+    rest = marked.join(known, "digest", "left_anti")
+    repeated = known.where("kept").select("digest")
+    if not repeated.isEmpty():
+        rest = rest.unionByName(marked.join(repeated, "digest", "left_semi").dropDuplicates(["digest"]))
+    return rest.select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fathomline.llm import bpe, chat_format, exact_dedup, language_id, licences, mixing, queries, sharding, simhash, substring_dedup, topk
 from tests.oracle import both
 
@@ -277,3 +278,12 @@ def test_licence_files_wrapped_headers_and_spdx(spark):
     texts = [*said.values(), *(text for _, text in code), *["the file is a part of this one and is free or not"] * 40]
     found = licences.scanned(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), licences.templates(spark)).collect()
     assert {r["id"]: r["own_licence"] for r in found} == {k: name for k, name in want.items() if name}
+
+
+def test_near_copies_leave_one_row_of_each_component(spark):
+    a, b, c, d = ("the river runs to the sea and back again", "nine old ships lie here in the mud", "no one knows what it was", "four more words than that")
+    rows = [(1, a), (7, a), (7, b), (7, b), (8, b), (None, c), (None, c), (9, d), (None, d), (3, None), (3, None), (4, "")]
+    rows = [(i, text, "x", "s", 1) for i, text in rows] + [(7, b, "y", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs.repartition(3), SF).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (7, b), (None, c), (9, d), (3, None)], key=repr)
