@@ -61,3 +61,11 @@ def test_raster_fill_and_bilinear(spark):
 
 def test_components_of_nothing(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_nearest_of_far_and_unplaced_points(spark):
+    near = spark.createDataFrame([(1, 0.0, 0.0), (2, 1e12, 0.0), (3, None, 0.0), (4, float("nan"), 0.0)], "pid long, x double, y double")
+    right = spark.createDataFrame([(10, 0.0, 0.5), (11, 0.0, None), (12, 1.0, float("nan"))], "qid long, x double, y double")
+    for rounds in (1, 3):
+        assert sorted((r["pid"], r["qid"], r["rank"]) for r in spatial.knn(near, right, 2, 0.5, rounds=rounds).collect()) == [(1, 10, 1), (2, 10, 1)]
+    assert spatial.knn(near, right.where("qid > 10"), 2, 0.5, rounds=3).count() == 0
