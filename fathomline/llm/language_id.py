@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.words import give_back, passes, split, strings, text_bytes
+from fathomline.llm.words import give_back, passes, split, spread, strings, text_bytes
 
-#: Pieces of up to 8 bytes fit one integer; longer ones are not used.  A longer letter run is scored in parts.
-PIECE, RUN = 8, 64
+#: Pieces of up to 8 bytes fit one integer; longer ones are found by their first 8 bytes and compared whole.
+PIECE = 8
 #: Every byte of a word is scaled by this so that products of probabilities stay in range; logs take it back.
 SCALE = 64.0
-#: Words that one numpy pass scores.
-PASS_WORDS = 4096
+#: Sums are brought back to a largest of 1 each so many bytes, so words of any length stay in range.
+REST = 32
+#: Places of words that one numpy pass scores, unless a single word has more.
+PASS_PLACES = 1 << 18
 #: Text bytes whose distinct words one pass scores.
 PASS_BYTES = 8 << 20
 
@@ -35,103 +38,190 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Vocabulary(NamedTuple):
+    """Pieces as numbers.  Short ones: for each length their bytes as sorted integers.  Long ones: sorted, by their first 8 bytes."""
+
+    keys: list[np.ndarray]
+    numbers: list[np.ndarray]
+    prefix: np.ndarray
+    cut: np.ndarray
+    tail: np.ndarray
+    size: np.ndarray
+    number: np.ndarray
+    total: int
+    longest: int
+
+
 @cache
-def vocabulary(path: str) -> tuple[list[np.ndarray], list[np.ndarray], int]:
-    """For each length the pieces' bytes as sorted integers and their numbers; and how many pieces there are."""
+def vocabulary(path: str) -> Vocabulary:
+    """All pieces of the file, and every single byte."""
     with open(path, "rb") as f:
-        pieces = sorted({p for p in (base64.b64decode(line.split()[0]) for line in f) if len(p) <= PIECE} | {bytes([b]) for b in range(256)})
+        pieces = sorted({base64.b64decode(line.split()[0]) for line in f} | {bytes([b]) for b in range(256)})
     keys, numbers = [], []
     for n in range(1, PIECE + 1):
         own = sorted((int.from_bytes(p, "little"), k) for k, p in enumerate(pieces) if len(p) == n)
         keys.append(np.array([x for x, _ in own], np.uint64))
         numbers.append(np.array([k for _, k in own], np.int32))
-    return keys, numbers, len(pieces)
+    long = sorted((int.from_bytes(p[:PIECE], "little"), p[PIECE:], k) for k, p in enumerate(pieces) if len(p) > PIECE)
+    prefix, cut = np.unique(np.array([x for x, _, _ in long], np.uint64), return_index=True)
+    longest = max(map(len, pieces))
+    tail = np.zeros((len(long), longest - PIECE + 1), np.uint8)
+    for i, (_, rest, _) in enumerate(long):
+        tail[i, : len(rest)] = np.frombuffer(rest, np.uint8)
+    size = np.array([PIECE + len(rest) for _, rest, _ in long], np.int64)
+    return Vocabulary(keys, numbers, prefix, np.append(cut, len(long)), tail, size, np.array([k for _, _, k in long], np.int64), len(pieces), longest)
+
+
+class Matches(NamedTuple):
+    """Pieces that words hold.  ``short``: (words, places, lengths), the number of pieces for none; long ones by place."""
 
+    short: np.ndarray
+    place: np.ndarray
+    word: np.ndarray
+    size: np.ndarray
+    number: np.ndarray
+    cut: np.ndarray
 
-def _grid(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(start), int(size.max()) + PIECE), np.uint8)
+
+def _grid(buf: np.ndarray, start: np.ndarray, size: np.ndarray, more: int) -> np.ndarray:
+    out = np.zeros((len(start), int(size.max()) + more), np.uint8)
     at = np.arange(out.shape[1])
     held = at < size[:, None]
     out[held] = buf[(start[:, None] + at)[held]]
     return out
 
 
-def _matches(grid: np.ndarray, size: np.ndarray, path: str) -> np.ndarray:
-    """The piece of each word at each place with each length, the number of pieces for none: (words, places, lengths)."""
-    keys, numbers, total = vocabulary(path)
-    places = grid.shape[1] - PIECE
-    out = np.full((len(grid), places, PIECE), total, np.int32)
+def _matches(buf: np.ndarray, start: np.ndarray, size: np.ndarray, path: str) -> Matches:
+    """The pieces of each word ``buf[start:start + size]`` at each place."""
+    voc = vocabulary(path)
+    grid = _grid(buf, start, size, voc.longest + 1)
+    places = grid.shape[1] - voc.longest - 1
+    out = np.full((len(grid), places, PIECE), voc.total, np.int32)
     key = np.zeros((len(grid), places), np.uint64)
     for n in range(PIECE):
         key |= grid[:, n : n + places].astype(np.uint64) << np.uint64(8 * n)
         fits = np.arange(places) + n < size[:, None]
         want = key[fits]
-        at = np.minimum(np.searchsorted(keys[n], want), len(keys[n]) - 1)
-        out[:, :, n][fits] = np.where(keys[n][at] == want, numbers[n][at], total)
-    return out
-
-
-def _forward(found: np.ndarray, size: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """Sums over segmentations of each prefix, scaled: (places + 1, words, languages); prob's last row is 0."""
-    words, places, _ = found.shape
+        at = np.minimum(np.searchsorted(voc.keys[n], want), len(voc.keys[n]) - 1)
+        out[:, :, n][fits] = np.where(voc.keys[n][at] == want, voc.numbers[n][at], voc.total)
+    word, place = np.nonzero(np.arange(places) + PIECE < size[:, None]) if len(voc.prefix) else (np.zeros(0, np.int64),) * 2
+    want = key[word, place]
+    at = np.minimum(np.searchsorted(voc.prefix, want), max(len(voc.prefix) - 1, 0))
+    hit = voc.prefix[at] == want if len(want) else np.zeros(0, bool)
+    word, place, at = word[hit], place[hit], at[hit]
+    many = voc.cut[at + 1] - voc.cut[at]
+    piece = spread(voc.cut[at], many)
+    word, place = np.repeat(word, many), np.repeat(place, many)
+    fits = place + voc.size[piece] <= size[word]
+    word, place, piece = word[fits], place[fits], piece[fits]
+    along = np.arange(voc.tail.shape[1])
+    same = (grid[word[:, None], place[:, None] + PIECE + along[:-1]] == voc.tail[piece, :-1]) | (along[:-1] >= voc.size[piece, None] - PIECE)
+    same = same.all(axis=1)
+    word, place, piece = word[same], place[same], piece[same]
+    order = np.argsort(place, kind="stable")
+    word, place, piece = word[order], place[order], piece[order]
+    return Matches(out, place, word, voc.size[piece], voc.number[piece], np.searchsorted(place, np.arange(places + 1)))
+
+
+def _live(size: np.ndarray, i: int) -> int:
+    """How many words reach beyond place i; words come longest first."""
+    return int(np.searchsorted(-size, -i, "left"))
+
+
+def _forward(found: Matches, size: np.ndarray, prob: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over segmentations of each prefix, (places + 1, words, languages), and the logs taken out of them up to each REST places.
+
+    The last row of prob is 0.
+    """
+    words, places, _ = found.short.shape
     alpha = np.zeros((places + 1, words, prob.shape[1]))
+    taken = np.zeros((places // REST + 1, words, prob.shape[1]))
     alpha[0] = 1.0
-    live = words
     for i in range(places):
-        live = int(np.searchsorted(-size, -i, "left"))  # words come longest first
+        live = _live(size, i)
+        if i and i % REST == 0:
+            near = alpha[i : i + longest + 1, :live]
+            most = near.max(axis=0)
+            most[most <= 0] = 1.0
+            near /= most
+            taken[i // REST] = taken[i // REST - 1]
+            taken[i // REST, :live] += np.log(most)
         for n in range(min(PIECE, places - i)):
-            alpha[i + n + 1, :live] += alpha[i, :live] * (prob[found[:live, i, n]] * SCALE ** (n + 1))
-    return alpha
+            alpha[i + n + 1, :live] += alpha[i, :live] * (prob[found.short[:live, i, n]] * SCALE ** (n + 1))
+        a, b = found.cut[i], found.cut[i + 1]
+        if a < b:
+            w, n = found.word[a:b], found.size[a:b]
+            np.add.at(alpha, (i + n, w), alpha[i, w] * (prob[found.number[a:b]] * (SCALE**n)[:, None]))
+    return alpha, taken
+
 
+def _passes(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Words longest first, about PASS_PLACES places at a time."""
+    order = np.argsort(-size, kind="stable")
+    a = 0
+    while a < len(order):
+        b = a + max(1, PASS_PLACES // max(int(size[order[a]]), 1))
+        yield order[a:b]
+        a = b
 
-def _runs(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and size of parts of up to RUN bytes of each word, and the word of each."""
-    size = np.diff(off)
-    parts = -(-size // RUN)
-    word = np.repeat(np.arange(len(size)), parts)
-    nth = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
-    start = off[:-1][word] + nth * RUN
-    return start, np.minimum(off[1:][word] - start, RUN), word
+
+def _total(alpha: np.ndarray, taken: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Log of each word's sum, the scale of its bytes included."""
+    every = np.arange(len(size))
+    return np.log(np.maximum(alpha[size, every], 1e-300)) + taken[np.maximum(size - 1, 0) // REST, every]
 
 
 def word_scores(words: pa.Array, prob: np.ndarray, path: str) -> np.ndarray:
     """Log probability of each word in each language, summed over segmentations."""
     buf, off = text_bytes(words)
-    start, size, word = _runs(buf, off)
+    start, size = off[:-1], np.diff(off)
     out = np.zeros((len(words), prob.shape[1]))
-    order = np.argsort(-size, kind="stable")
-    for a in range(0, len(order), PASS_WORDS):
-        k = order[a : a + PASS_WORDS]
-        alpha = _forward(_matches(_grid(buf, start[k], size[k]), size[k], path), size[k], prob)
-        total = alpha[size[k], np.arange(len(k))]
-        np.add.at(out, word[k], np.log(np.maximum(total, 1e-300)) - size[k, None] * np.log(SCALE))
+    for k in _passes(size):
+        if not size[k[0]]:
+            break  # the rest are empty
+        alpha, taken = _forward(_matches(buf, start[k], size[k], path), size[k], prob, vocabulary(path).longest)
+        out[k] = _total(alpha, taken, size[k]) - size[k, None] * np.log(SCALE)
     return out
 
 
 def piece_counts(words: pa.Array, n: np.ndarray, path: str) -> np.ndarray:
     """Expected uses of each piece in the words, each n times, if all pieces were equally likely (forward-backward)."""
-    total = vocabulary(path)[2]
-    prob = np.append(np.full(total, 1.0 / total), 0.0)[:, None]
+    voc = vocabulary(path)
+    prob = np.append(np.full(voc.total, 1.0 / voc.total), 0.0)
     buf, off = text_bytes(words)
-    start, size, word = _runs(buf, off)
-    out = np.zeros(total + 1)
-    order = np.argsort(-size, kind="stable")
-    for a in range(0, len(order), PASS_WORDS):
-        k = order[a : a + PASS_WORDS]
-        found = _matches(_grid(buf, start[k], size[k]), size[k], path)
-        alpha = _forward(found, size[k], prob)[:, :, 0]
+    start, size = off[:-1], np.diff(off)
+    out = np.zeros(voc.total + 1)
+    for k in _passes(size):
+        if not size[k[0]]:
+            break
+        found = _matches(buf, start[k], size[k], path)
+        alpha, taken = _forward(found, size[k], prob[:, None], voc.longest)
+        total, alpha, taken = _total(alpha, taken, size[k])[:, 0], alpha[:, :, 0], taken[:, :, 0]
         beta = np.zeros_like(alpha)
         beta[size[k], np.arange(len(k))] = 1.0
-        places = found.shape[1]
+        put = np.zeros(len(k))
+        places = found.short.shape[1]
         for i in range(places - 1, -1, -1):
+            live = _live(size[k], i)
+            share = alpha[i, :live] * np.exp(taken[i // REST, :live] + put[:live] - total[:live]) * n[k[:live]]
             for m in range(min(PIECE, places - i)):
-                beta[i] += prob[found[:, i, m], 0] * SCALE ** (m + 1) * beta[i + m + 1]
-        weight = n[word[k]] / np.maximum(beta[0], 1e-300)
-        for i in range(places):
-            for m in range(min(PIECE, places - i)):
-                use = alpha[i] * prob[found[:, i, m], 0] * SCALE ** (m + 1) * beta[i + m + 1] * weight
-                out += np.bincount(found[:, i, m], use, total + 1)
-    return out[:total]
+                piece = found.short[:live, i, m]
+                step = prob[piece] * SCALE ** (m + 1) * beta[i + m + 1, :live]
+                beta[i, :live] += step
+                out += np.bincount(piece, share * step, voc.total + 1)
+            a, b = found.cut[i], found.cut[i + 1]
+            if a < b:
+                w, z, piece = found.word[a:b], found.size[a:b], found.number[a:b]
+                step = prob[piece] * SCALE**z * beta[i + z, w]
+                np.add.at(beta, (i, w), step)
+                out += np.bincount(piece, share[w] * step, voc.total + 1)
+            if i % REST == 0:
+                near = beta[i : i + voc.longest + 1, :live]
+                most = near.max(axis=0)
+                most[most <= 0] = 1.0
+                near /= most
+                put[:live] += np.log(most)
+    return out[: voc.total]
 
 
 def letter_runs(text: Column) -> Column:
@@ -158,7 +248,7 @@ def learned(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", tex
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
-    total = vocabulary(path)[2]
+    total = vocabulary(path).total
     if not languages:
         return Model([], np.zeros((total + 1, 0)), path)
     part = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, sample_per_lang / sizes[lang]))))
@@ -190,15 +280,14 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     ``score`` is the posterior of the predicted language, each equally likely beforehand; equal ones go to
     the first by name.  A text that is null or has no letter is ``und`` with score 0, as all are without a
     learned language.  Repeated rows are predicted alike; ids may be null; an empty table gives no rows.
+    Only the letters of a text go to Python; the kept columns stay in the JVM.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.prob, model.path))
-    rows = docs.select(F.col(id_col).alias("id"), *keep, letter_runs(F.col(text_col)).alias("runs"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         languages, prob, path = shared.value
-        for x in batches:
-            runs = x.column(x.num_columns - 1)
-            has, total = np.zeros(x.num_rows, np.int64), np.zeros((x.num_rows, len(languages)))
+        for runs in batches:
+            has, total = np.zeros(len(runs), np.int64), np.zeros((len(runs), len(languages)))
             for a, b in passes(runs, PASS_BYTES):
                 w = split(runs.slice(a, b - a))
                 has[a:b] = np.diff(w.first)
@@ -209,15 +298,12 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
                 for k in range(len(languages) if len(some) else 0):
                     total[some, k] = np.add.reduceat(score[number, k], cut)
                 give_back()
+            name, share = np.full(len(runs), "und", object), np.zeros(len(runs))
             if languages:
-                best = total.argmax(axis=1)
-                share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                name = np.where(has > 0, np.array(languages, object)[best], "und")
-                share = np.where(has > 0, share, 0.0)
-            else:
-                name, share = np.full(x.num_rows, "und", object), np.zeros(x.num_rows)
-            yield pa.RecordBatch.from_arrays([*(x.column(k) for k in range(x.num_columns - 1)), pa.array(name, pa.string()), pa.array(share)], [*x.schema.names[:-1], "lang_pred", "score"])
-            give_back()
+                name = np.where(has > 0, np.array(languages, object)[total.argmax(axis=1)], "und")
+                share = np.where(has > 0, 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
+            yield pa.StructArray.from_arrays([pa.array(name, pa.string()), pa.array(share)], ["lang_pred", "score"])
 
-    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    told = F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()  # so that it runs once a row
+    rows = docs.select(F.col(id_col).alias("id"), *keep, told(letter_runs(F.col(text_col))).alias("_told"))
+    return rows.select(*(rows[c] for c in rows.columns[:-1]), "_told.lang_pred", "_told.score")

@@ -1,6 +1,11 @@
+import base64
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -220,26 +225,87 @@ def test_top_k_is_brute_force(spark):
 
 def test_languages(spark):
     rows = [(i, t, la) for i, (t, la) in enumerate([("the cat and the dog of the house", "en"), ("der Hund und die Katze des Hauses", "de")] * 30)]
-    df = spark.createDataFrame([*rows, (900, None, "en"), (901, "123 !!", "de"), (902, "x" * 9000, None)], "doc_id long, text string, lang string")
+    df = spark.createDataFrame([*rows, (900, None, "en"), (901, "123 !!", "de"), (902, "x" * 9000, None), (0, rows[0][1], "en")], "doc_id long, text string, lang string")
+    clash = df.select("*", *(F.lit(1).alias(c) for c in ("id", "runs", "_told", "lang_pred", "score", "held_out", "n", "word")))
+    assert sorted(map(repr, language_id.predicted(clash, language_id.learned(clash)).collect())) == sorted(map(repr, language_id.predicted(df, language_id.learned(df)).collect()))
     got = {r["id"]: r for r in language_id.predicted(df, language_id.learned(df)).collect()}
     assert all(got[i]["lang_pred"] == la and 0 <= got[i]["score"] <= 1 for i, _, la in rows)
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and len(got) == 63
 
 
+def _pieces(path):
+    with open(path, "rb") as f:
+        return sorted({base64.b64decode(line.split()[0]) for line in f} | {bytes([b]) for b in range(256)})
+
+
 def test_forward_sums_all_segmentations():
+    """Also over pieces of more than 8 bytes and words of any length, with exact fractions."""
     path = language_id.tokenizer_path("byte_bpe_multi_50k.tiktoken")
-    keys, numbers, total = language_id.vocabulary(path)
-    prob = np.append(np.random.default_rng(0).random(total) / total, 0)[:, None]
-    table = {(n + 1, int(k)): int(p) for n in range(8) for k, p in zip(keys[n], numbers[n])}
+    number = {p: k for k, p in enumerate(_pieces(path))}
+    longest = max(map(len, number))
+    prob = np.append(np.random.default_rng(0).random(len(number)) / len(number), 0)[:, None]
+    words = [" the", " \u00e9t\u00e9", " x", " international", " \u043c\u0435\u0436\u0434\u0443\u043d\u0430\u0440\u043e\u0434\u043d\u044b\u0439", " \u65e5\u672c\u8a9e\u306e\u6587\u7ae0", " " + "international" * 40]
+    assert any(len(p) > 8 and p in w.encode() for p in number for w in words)
+    got = language_id.word_scores(pa.array(words), prob, path)[:, 0]
+    for w, log in zip(words, got):
+        raw = w.encode()
+        sums = [Fraction(1)]
+        for j in range(1, len(raw) + 1):
+            sums.append(sum((sums[i] * Fraction(float(prob[number[raw[i:j]], 0])) for i in range(max(0, j - longest), j) if raw[i:j] in number), Fraction(0)))
+        want = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+        assert abs(log - want) < 1e-8 * abs(want)
 
-    def brute(w):
-        if not w:
-            return 1.0
-        return sum(prob[table[n, k], 0] * brute(w[n:]) for n in range(1, min(8, len(w)) + 1) if (n, k := int.from_bytes(w[:n], "little")) in table)
 
-    words = [" the", " été", " x"]
-    got = language_id.word_scores(pa.array(words), prob, path)[:, 0]
-    assert np.allclose(got, [np.log(brute(w.encode())) for w in words])
+def test_expected_piece_counts():
+    path = language_id.tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    number = {p: k for k, p in enumerate(_pieces(path))}
+    q = 1 / len(number)
+
+    def ways(raw):
+        if not raw:
+            return [()]
+        return [(raw[:n], *rest) for n in range(1, len(raw) + 1) if raw[:n] in number for rest in ways(raw[n:])]
+
+    words, times = [" inter", " national", " ab"], np.array([2.0, 1.0, 5.0])
+    want = np.zeros(len(number))
+    for w, n in zip(words, times):
+        each = ways(w.encode())
+        total = sum(q ** len(x) for x in each)
+        for x in each:
+            for p in x:
+                want[number[p]] += n * q ** len(x) / total
+    assert np.allclose(language_id.piece_counts(pa.array(words), times, path), want)
+    long = language_id.piece_counts(pa.array([" " + "international" * 30]), np.ones(1), path)
+    sizes = np.array([len(p) for p in _pieces(path)])
+    assert abs((long * sizes).sum() - 391) < 1e-6  # each segmentation covers every byte once
+
+
+def test_language_query_is_a_plain_version(spark):
+    """The query against a version in plain Python: sample, counts, posterior; and what it gets right where it didn't learn."""
+    got = {r["doc_id"]: r for r in queries.op4_language_id(spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows}
+    path = language_id.tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    runs = {r["doc_id"]: [" " + w for w in re.findall(r"[^\W\d_]+", r["text"].lower())] if r["text"] else [] for r in rows}
+    languages = sorted({r["lang"] for r in rows if r["lang"] is not None and r["text"] is not None and not held[r["doc_id"]]})
+    counts = np.full((len(_pieces(path)), len(languages)), 0.1)
+    for k, lang in enumerate(languages):
+        words = Counter(w for r in rows if r["lang"] == lang and not held[r["doc_id"]] for w in runs[r["doc_id"]])
+        counts[:, k] += np.round(language_id.piece_counts(pa.array(list(words)), np.array(list(words.values()), float), path), 6)
+    prob = np.vstack([counts / counts.sum(axis=0), np.zeros(len(languages))])
+    assert set(got) == set(held) and {i for i, r in got.items() if r["held_out"]} == {i for i, h in held.items() if h}
+    right = []
+    for r in rows:
+        mine, words = got[r["doc_id"]], runs[r["doc_id"]]
+        if not words:
+            assert (mine["lang_pred"], mine["score"]) == ("und", 0.0)
+            continue
+        total = language_id.word_scores(pa.array(words), prob, path).sum(axis=0)
+        assert mine["lang_pred"] == languages[int(total.argmax())]
+        assert abs(mine["score"] - 1 / np.exp(total - total.max()).sum()) < 1e-6
+        if held[r["doc_id"]] and r["lang"] is not None:
+            right.append(mine["lang_pred"] == r["lang"])
+    assert len(right) > 20 and np.mean(right) >= 0.95
 
 
 def test_chat_escapes_are_reversible(spark):
