@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.language_id import tokenizer_path
-from fathomline.llm.words import gathered, give_back, passes, small_batches, spread, text_bytes, xxh64
+from fathomline.llm.words import gathered, give_back, passes, spread, text_bytes, xxh64
 from fathomline.session import partitions_of
 
 # The white space of the split pattern that byte-level vocabularies of this kind are published with,
@@ -31,6 +31,8 @@ ALIKE = [(0x0000, 0x086F), (0x2000, 0x20BF), (0x3000, 0x30FF), (0x4E00, 0x9FA5),
 SPACE, LETTER, NUMBER, OTHER, ODD = range(5)
 #: Text bytes that are gathered before their distinct words are taken, at most twice as many at once.
 PASS = 6 << 20
+#: Text bytes of a bucket of documents, on average and at most unless a single text is longer than that.
+BUCKET = 16 << 20
 
 
 @cache
@@ -190,26 +192,27 @@ def _parts(key: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(own.tolist(), cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True)) if len(own) else []
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, decode: bool = False) -> DataFrame:
     """``(id, n_tokens, ids)`` for each row of ``docs``: token ids of the whole text as little-endian unsigned 32-bit integers.
 
     The ids are those of the tokenizers library with the file at ``path`` (a byte-level BPE with the usual
     split pattern), without added special tokens; special tokens within a text count as such.  Null text is
-    empty, ids may be null or repeat, an empty table gives no rows, other columns are not read.
+    empty, ids may be null or repeat, an empty table gives no rows, other columns are not read.  With
+    ``decode`` a column ``text`` has what ``decoded`` makes of the ids, where they are made.
 
-    Documents are dealt to as many buckets as there are shuffle partitions, by a hash of id and text length.
-    Each batch sends its distinct words, with the buckets that hold them, to slices of the words.  A slice
+    Documents are dealt to buckets of about BUCKET bytes by a hash of id and text; how many is counted first.
+    Each batch sends its distinct words, with the buckets that hold them, to as many slices of the words.  A slice
     encodes each of its words once, and tells each bucket the ids of the words that it holds in order.  A
     bucket puts its own distinct words in that order, so ids meet words by position.  What travels is
-    compressed; a bucket or a slice must fit a task.
+    compressed.  A task holds one bucket or one slice, whatever the size of the table, and streams what it gives.
     """
     path = path or tokenizer_path("byte_bpe_50k.json")
-    n = partitions_of(docs.sparkSession)
-    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    bucket = F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text)), F.lit(n)).cast("int").alias("bucket")
+    n = max(partitions_of(docs.sparkSession), -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // BUCKET))
+    bucket = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n)).cast("int").alias("bucket")
     rows = docs.select(bucket, F.col(id_col).alias("id"), text.alias("text"))
     kind = dict(rows.dtypes)["id"]
+    table = docs.sparkSession.sparkContext.broadcast(pieces(path)) if decode else None
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in gathered(batches, "text", PASS):
@@ -250,7 +253,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         give_back()
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "slice": pa.array([key[0].as_py()] * len(out), pa.int32()), "ids": pa.array([x for _, x in out], pa.binary())})
 
-    table = held.groupBy("slice").applyInArrow(encode, "bucket int, slice int, ids binary")
+    told_ids = held.groupBy("slice").applyInArrow(encode, "bucket int, slice int, ids binary")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in gathered(batches, "text", PASS):
@@ -263,79 +266,89 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
     packed = rows.mapInArrow(pack, "bucket int, docs binary")
 
-    def assemble(docs_: pa.Table, told: pa.Table) -> pa.Table:
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs, told = [], []
+        for x in batches:
+            for s, p in zip(x.column("slice").to_pylist(), x.column("pack").to_pylist(), strict=True):
+                packs.append(p) if s < 0 else told.append((s, p))
         # Of each pack its documents' ids, words by number and own distinct words; these are merged for the bucket.
         split = []
-        for p in docs_["docs"].to_pylist():
-            t = pa.ipc.open_stream(p).read_all().combine_chunks()
+        while packs:
+            t = pa.ipc.open_stream(packs.pop()).read_all().combine_chunks()
             words, first = split_texts(t["text"].combine_chunks(), path)
             coded = words.dictionary_encode()
-            split.append((t["id"], first, coded.indices.to_numpy(), coded.dictionary))
+            split.append((t["id"].combine_chunks(), first, coded.indices.to_numpy(), coded.dictionary))
             del t, words, coded
         every = pa.chunked_array([d for _, _, _, d in split], pa.string()).combine_chunks().dictionary_encode()
         order, _ = _in_order(every.dictionary, n)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        told = sorted(zip(told["slice"].to_pylist(), told["ids"].to_pylist(), strict=True))
-        lists = [pa.ipc.open_stream(p).read_all()["ids"].combine_chunks() for _, p in told]
+        lists = [pa.ipc.open_stream(p).read_all()["ids"].combine_chunks() for _, p in sorted(told)]
         count = np.concatenate([np.zeros(0, np.int64), *(np.diff(np.asarray(x.offsets)).astype(np.int64) for x in lists)])
         flat = np.concatenate([np.zeros(0, np.uint32), *(x.flatten().to_numpy() for x in lists)])
         if len(count) != len(order):
             raise RuntimeError("a bucket's words and the ids told to it differ")
         at = np.cumsum(count) - count
-        out, seen = [], 0
         to = rank[every.indices.to_numpy()]
-        for ids, first, indices, own in split:
+        seen = len(to)
+        del every, lists, told, order, rank
+        while split:
+            ids, first, indices, own = split.pop()
+            seen -= len(own)
             word = to[seen : seen + len(own)][indices]
-            seen += len(own)
             size = count[word]
             ends = np.append(0, np.cumsum(size))[first]
-            out.append(pa.table({"id": ids, "n_tokens": np.diff(ends), "ids": _binary(flat[spread(at[word], size)], ends)}))
-        del split, every, lists, flat, to
+            tokens = flat[spread(at[word], size)]
+            columns = [ids, pa.array(np.diff(ends)), _binary(tokens, ends)]
+            if table is not None:
+                columns.append(_texts(tokens, ends, table.value))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids", "text"][: len(columns)])
         give_back()
-        return pa.concat_tables(out)
 
-    return packed.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(assemble, f"id {kind}, n_tokens bigint, ids binary")
+    both = packed.select("bucket", F.lit(-1).alias("slice"), F.col("docs").alias("pack")).union(told_ids.select("bucket", "slice", "ids"))
+    return both.groupBy("bucket").applyInArrow(assemble, f"id {kind}, n_tokens bigint, ids binary" + (", text string" if decode else ""))
 
 
 def _binary(tokens: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(tokens, "<u4"))])
 
 
+def _texts(tokens: np.ndarray, ends: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Array:
+    """The texts whose ids are ``tokens[ends[t]:ends[t + 1]]``: each id's piece, in order."""
+    data, start, size = table
+    known = tokens < len(size)
+    flat = np.where(known, tokens, 0).astype(np.int64)
+    count = np.where(known, size[flat], 0) if len(size) else np.zeros(len(flat), np.int64)
+    out = data[spread(start[flat], count)] if len(flat) and len(size) else data[:0]
+    cut = np.append(0, np.cumsum(count))[ends]
+    text = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(out)))
+    try:
+        text.validate(full=True)
+    except pa.ArrowInvalid:
+        raw = out.tobytes()
+        text = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.string())
+    return text
+
+
 def decoded(tokens: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
     """``tokens`` with the string column ``text`` instead of ``ids``: each id joined with its piece, in order.
 
-    The table of pieces is as large as the vocabulary and held by every task.  Ids without a piece give
-    nothing, bytes that are not UTF-8 give U+FFFD, null ids an empty text.
+    The table of pieces is as large as the vocabulary, so it is broadcast, and the join looks ids up by position.
+    Only ids go to Python.  A column of ``tokens`` that is called ``text`` gives way to the result.  Ids without a
+    piece give nothing, bytes that are not UTF-8 give U+FFFD, null ids an empty text.
     """
-    path = path or tokenizer_path("byte_bpe_50k.json")
-    small_batches(tokens.sparkSession)
-    rest = [c for c in tokens.columns if c != ids_col]
-    schema = ", ".join(f"`{c}` {t}" for c, t in tokens.dtypes if c != ids_col)
-    table = tokens.sparkSession.sparkContext.broadcast(pieces(path))
+    table = tokens.sparkSession.sparkContext.broadcast(pieces(path or tokenizer_path("byte_bpe_50k.json")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, start, size = table.value
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
-            ids = pc.fill_null(x.column(x.num_columns - 1), b"")
+            ids = pc.fill_null(x, b"")
             off = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
-            cut = [0]
-            while cut[-1] < len(ids):  # about a MB at a time
-                cut.append(max(cut[-1] + 1, int(np.searchsorted(off, off[cut[-1]] + (1 << 20), "right")) - 1))
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
+            out = []
+            for a, b in passes(ids, 1 << 20):
                 flat = np.frombuffer(ids.buffers()[2], "<u4", (off[b] - off[a]) // 4, off[a]) if off[b] > off[a] else np.zeros(0, "<u4")
-                known = flat < len(size)
-                flat = np.where(known, flat, 0).astype(np.int64)
-                count = np.where(known, size[flat], 0)
-                out = data[spread(start[flat], count)] if len(flat) else data[:0]
-                ends = np.append(0, np.cumsum(count))[(off[a : b + 1] - off[a]) // 4]
-                text = pa.StringArray.from_buffers(b - a, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(out)))
-                try:
-                    text.validate(full=True)
-                except pa.ArrowInvalid:
-                    raw = out.tobytes()
-                    text = pa.array([raw[p:q].decode("utf-8", "replace") for p, q in zip(ends[:-1], ends[1:], strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*(x.column(k).slice(a, b - a) for k in range(x.num_columns - 1)), text], [*rest, "text"])
+                out.append(_texts(flat, (off[a : b + 1] - off[a]) // 4, table.value))
+            yield pa.concat_arrays(out) if out else pa.array([], pa.string())
             give_back()
 
-    return tokens.select(*rest, ids_col).mapInArrow(run, f"{schema}, text string")
+    text = F.arrow_udf(run, "string")(F.col(ids_col)).alias("text")
+    return tokens.select(*(tokens[c] for c in tokens.columns if c not in (ids_col, "text")), text)

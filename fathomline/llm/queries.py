@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm.bpe import decoded, encoded
+from fathomline.llm.bpe import encoded
 from fathomline.llm.chat_format import digests, format_conversations
 from fathomline.llm.exact_dedup import exact_groups
 from fathomline.llm.language_id import learned, predicted
@@ -138,10 +138,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = encoded(_table(spark, sf_dir, "documents"))
-    found = found.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return decoded(found).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
-
+    found = encoded(_table(spark, sf_dir, "documents"), decode=True)
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,15 +13,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
-
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
 #: Text bytes that one numpy pass takes, unless a single text is longer.
 PASS_BYTES = 4 << 20
 
@@ -153,16 +149,6 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let Spark hand texts to Python 2,000 rows at a time, unless the user has set a number of rows.
-
-    A batch is held by the JVM outside its heap and again by the worker, in each task, so Spark's
-    10,000 rows of whole texts are most of what an executor has beside its heap.
-    """
-    if spark.conf.get(ROWS_SETTING, None) is None:
-        spark.conf.set(ROWS_SETTING, "2000")
-
-
 def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in batches of at least ``most`` bytes of ``column``, but for the last."""
     held: list[pa.RecordBatch] = []

@@ -73,15 +73,39 @@ def test_empty_tables(spark, empty):
 
 
 def test_bpe_is_the_library(docs):
+    """Also with an extra column for each internal name, repeated rows, and ids that repeat or are null."""
     t = bpe.tokenizer(language_id.tokenizer_path("byte_bpe_50k.json"))
-    enc = bpe.encoded(docs.select("doc_id", "text"))
-    got = sorted((str(r["id"]), r["n_tokens"], bytes(r["ids"])) for r in enc.collect())
+    enc = bpe.encoded(docs.withColumns({c: F.lit("x") for c in ("slice", "words", "docs", "ids", "n_tokens", "pack")}), decode=True)
+    got = sorted((str(r["id"]), r["n_tokens"], bytes(r["ids"]), r["text"]) for r in enc.collect())
     want = []
     for r in corpus():
         ids = t.encode(r[1] or "", add_special_tokens=False).ids
-        want.append((str(r[0]), len(ids), np.array(ids, "<u4").tobytes()))
+        want.append((str(r[0]), len(ids), np.array(ids, "<u4").tobytes(), r[1] or ""))
     assert got == sorted(want)
     assert sorted(r["text"] for r in bpe.decoded(enc).collect()) == sorted(r[1] or "" for r in corpus())
+    assert docs.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+def test_decoding_of_odd_ids(spark):
+    rows = [(1, None), (2, b""), (3, np.array([70000, 72], "<u4").tobytes()), (4, np.array([164], "<u4").tobytes())]
+    got = {r["id"]: r["text"] for r in bpe.decoded(spark.createDataFrame(rows, "id int, ids binary")).collect()}
+    assert got[1] == got[2] == "" and got[3] == "i" and got[4] == "\ufffd"
+
+
+def test_bpe_query_is_the_library(spark):
+    t = bpe.tokenizer(language_id.tokenizer_path("byte_bpe_50k.json"))
+    want = set()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = t.encode(r["text"] or "", add_special_tokens=False).ids
+        said = t.decode(ids, skip_special_tokens=False)
+        want.add((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(said.encode()).hexdigest()))
+    assert {tuple(r) for r in queries.op3_bpe(spark, SF).collect()} == want
+
+
+def test_bpe_deals_many_buckets(docs, monkeypatch):
+    few = {repr(r) for r in bpe.encoded(docs).collect()}
+    monkeypatch.setattr(bpe, "BUCKET", 20_000)
+    assert {repr(r) for r in bpe.encoded(docs).collect()} == few
 
 
 def test_words_are_the_library():
