@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm.bpe import decoded, encoded
+from fathomline.llm.bpe import encoded
 from fathomline.llm.exact_dedup import exact_groups, normalised
 from fathomline.llm.language_id import learned, predicted
 from fathomline.llm.mixing import mixed
@@ -57,8 +57,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, n_tokens, ids, ids_sha256, decoded_sha256)``: ids as little-endian unsigned 32-bit integers."""
-    found = encoded(docs).select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.col("ids").alias("kept_ids"), "ids")
-    return decoded(found).select("doc_id", "n_tokens", F.col("kept_ids").alias("ids"), "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    found = encoded(docs, decode=True)
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 STAGES = [
