@@ -6,6 +6,7 @@ fingerprints, so any number of equal texts costs one row.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.llm.hot import spread_join
 from fathomline.llm.words import give_back, passes, split, xxh64
 from fathomline.operators.graph import components
 from fathomline.session import saved
@@ -155,30 +157,33 @@ def links(fps: DataFrame, most: int = 2, cap: int = 64) -> DataFrame:
     In a larger key, where all pairs would grow with its square, every member instead lists itself
     and its 64 one-bit neighbours: two members within 2 bits share one of those, and all that share
     one are within 2 bits, so tying them to the smallest keeps every component (at most 65 a group).
+    With ``most`` 1 the same neighbours are listed, and of those that share one only pairs 1 bit apart are links:
+    a member that is itself such a neighbour of the others is tied to each of them.
     """
     if most > 2:
         raise ValueError("links are exact up to 2 differing bits")
+    if most < 1:
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
     n, both = bit_counts(fps)
-    rows = None
-    for i, (part, t) in enumerate(allotted(n, both, most)):
-        if t < 0:
-            continue
-        flips = F.array(*(F.lit(x).cast("long") for x in _flips(part, t)))
-        one = fps.select(F.lit(i).alias("part"), "fp", F.posexplode(flips).alias("turn", "flip")).select(
-            "part", F.col("fp").bitwiseAND(F.lit(_long(part)).cast("long")).bitwiseXOR(F.col("flip")).alias("key"), "fp", (F.col("turn") > 0).alias("probe")
-        )
-        rows = one if rows is None else rows.union(one)
+    probes = [(i, _long(part), flip, k > 0) for i, (part, t) in enumerate(allotted(n, both, most)) if t >= 0 for k, flip in enumerate(_flips(part, t))]
+    kind = "array<struct<part:int,mask:bigint,flip:bigint,probe:boolean>>"
+    every = F.from_json(F.lit(json.dumps([dict(zip(("part", "mask", "flip", "probe"), p, strict=True)) for p in probes])), kind)
+    rows = fps.select("fp", F.explode(every).alias("p"))
+    rows = rows.select("p.part", F.col("fp").bitwiseAND(F.col("p.mask")).bitwiseXOR(F.col("p.flip")).alias("key"), "fp", "p.probe")
     size = rows.groupBy("part", "key").agg(F.count("*").alias("members"), F.count(F.when(~F.col("probe"), 1)).alias("held"))
-    rows = rows.join(size.where("held > 0 and members > 1"), ["part", "key"])
+    rows = rows.join(size.where("held > 0 and members > 1").hint("merge"), ["part", "key"])
     cold = rows.where(F.col("members") <= cap)
     a = cold.where(~F.col("probe")).select("part", "key", F.col("fp").alias("a"))
     b = cold.select("part", "key", F.col("fp").alias("b"), "probe")
-    near = a.join(b, ["part", "key"]).where(F.expr(f"bit_count(a ^ b) between 1 and {most}")).select("a", "b")
+    near = a.hint("merge").join(b, ["part", "key"]).where(F.expr(f"bit_count(a ^ b) between 1 and {most}")).select("a", "b")
     hot = rows.where(F.col("members") > cap).select("part", "fp").distinct()
-    ball = hot.select("part", "fp", F.explode(F.array(*(F.lit(x).cast("long") for x in _flips(list(range(BITS)), most - 1)))).alias("flip"))
-    ball = ball.select("part", F.col("fp").bitwiseXOR(F.col("flip")).alias("spot"), "fp")
-    star = ball.groupBy("part", "spot").agg(F.min("fp").alias("a"))
-    tied = ball.join(star, ["part", "spot"]).where("fp <> a").select("a", F.col("fp").alias("b"))
+    ball = hot.select("part", "fp", F.explode(F.array(*(F.lit(x).cast("long") for x in _flips(list(range(BITS)), 1)))).alias("flip"))
+    ball = ball.select("part", F.col("fp").bitwiseXOR(F.col("flip")).alias("spot"), "fp", (F.col("flip") == 0).alias("own"))
+    if most == 1:  # the member at the spot itself, tied to the others
+        star = ball.where("own").select("part", "spot", F.col("fp").alias("a"))
+    else:
+        star = ball.groupBy("part", "spot").agg(F.min("fp").alias("a"))
+    tied = ball.join(star.hint("merge"), ["part", "spot"]).where("fp <> a").select("a", F.col("fp").alias("b"))
     return near.union(tied).distinct()
 
 
@@ -190,8 +195,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     become its name unless a component has no other.  No other column is read.
     """
     each = saved(simhash(docs, id_col, text_col))
-    fps = saved(each.groupBy("fp").agg(F.min("id").alias("least")))
-    found = components(links(fps, most)).withColumnRenamed("id", "fp")
-    named = fps.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    fps = saved(each.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("held")))
+    found = components(links(fps.select("fp"), most)).withColumnRenamed("id", "fp")
+    named = fps.join(found, "fp", "left").select("fp", "least", "held", F.coalesce("component", "fp").alias("root"))
     name = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return each.join(named.join(name, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    named = saved(named.join(name, "root").select("fp", "held", "component_id"))
+    return spread_join(each, named, "fp", "held").select("id", "fp", "component_id")
