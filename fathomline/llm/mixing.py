@@ -18,7 +18,7 @@ SHARD_PART_BITS = 8
 
 
 def word_count(text):
-    """Number of words as a column; null is 0.  Counts the word ends: a non-space before a space or the end."""
+    """Number of words as a column; null is 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
@@ -78,9 +78,14 @@ def mix(docs: DataFrame, shards: int = 16, blocks: int = 64, most: float = 3.0,
 
     Sources are assumed to be as few as a catalogue's: their totals and quotas are handled on the driver.
     Null text has size 0, null source is a source, null id hashes as an empty text, rows alike in id and
-    text are taken alike, columns of ``docs`` stay untouched, and an empty table gives no rows.
+    text are taken alike, and an empty table gives no rows.  Columns of ``docs`` stay untouched whatever their names,
+    but for one that has the name of an added column and gives way to it.
     """
     spark = docs.sparkSession
+    added = ["mix_size", "mix_source_size", "mix_target", "mix_key", "mix_draws"]
+    given = docs.columns
+    docs = docs.toDF(*(f"_{k}" for k in range(len(given))))  # names that none of those below has
+    id_col, text_col, source_col = (f"_{given.index(c)}" for c in (id_col, text_col, source_col))
     key = F.sha2(F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))), 256)
     block = F.shiftright(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") * blocks, 32).cast("int")
     sized = docs.withColumn("mix_size", word_count(F.col(text_col))).withColumn("mix_key", key).withColumn("mix_block", block)
@@ -137,7 +142,7 @@ def mix(docs: DataFrame, shards: int = 16, blocks: int = 64, most: float = 3.0,
     one = F.array(F.struct(F.col("base").cast("int").alias("pass"), F.col("cut_shard").alias("shard")))
     fitted = F.when(F.coalesce(F.col("mix_key") == F.col("fit_key"), F.lit(False)), one).otherwise(none)
     found = found.withColumn("mix_draws", F.when(F.col("mix_size") > 0, F.concat(F.coalesce(draws, none), fitted)).otherwise(none))
-    return found.select(*(docs[c] for c in docs.columns), "mix_size", "mix_source_size", "mix_target", "mix_key", "mix_draws")
+    return found.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(given) if c not in added), *added)
 
 
 def mixed(docs: DataFrame, shards: int = 16, **options) -> DataFrame:
@@ -146,8 +151,11 @@ def mixed(docs: DataFrame, shards: int = 16, **options) -> DataFrame:
     A shard is as large as the mix over ``shards``, so it is dealt in ``2 ** SHARD_PART_BITS`` ranges of the
     hash that shuffles it: within a range rows are in the hash's order, and no task holds a shard.
     """
-    turn = F.xxhash64("mix_key", "mix_draw.pass")
-    drawn = mix(docs, shards, **options).withColumn("mix_draw", F.explode("mix_draws")).withColumn("mix_turn", turn)
+    given = docs.columns
+    named = docs.toDF(*(f"_{k}" for k in range(len(given))))
+    columns = {c: f"_{given.index(options.pop(c, of))}" for c, of in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    drawn = mix(named, shards, **columns, **options).withColumn("mix_draw", F.explode("mix_draws"))
+    drawn = drawn.withColumn("mix_turn", F.xxhash64("mix_key", "mix_draw.pass"))
     drawn = drawn.withColumn("mix_range", F.shiftright("mix_turn", 64 - SHARD_PART_BITS))
     dealt = drawn.repartition("mix_draw.shard", "mix_range").sortWithinPartitions("mix_draw.shard", "mix_turn")
-    return dealt.select(*docs.columns)
+    return dealt.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(given)))
