@@ -72,10 +72,11 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     first = np.searchsorted(start, off)
     keep = ~space
     keep[1:] |= space[1:] & ~space[:-1]
-    at = np.zeros(len(raw) + 1, np.int64)
+    at = np.zeros(len(raw) + 1, np.int32 if len(raw) < 2**31 else np.int64)
     np.cumsum(keep, out=at[1:])
     buf = np.where(space, np.uint8(32), LOWER[raw] if lower else raw)[keep]
-    return Words(buf, at[start], at[end - 1] + 1 if len(end) else at[end], first)
+    start, end = at[start].astype(np.int64), at[end - 1].astype(np.int64) + 1 if len(end) else end
+    return Words(buf, start, end, first)
 
 
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
