@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,13 +67,18 @@ def cf_time(text: Column) -> Column:
     return from_micros(micros(since) + F.round(part * size[unit] * 1e6))
 
 
-def solar_radiation(ts: Column, peak: float = 1000.0, lat: float = 37.775, lon: float = -122.419) -> Column:
-    """Idealised clear-sky radiation: peak times the sine of the sun's elevation, never negative."""
-    day = F.dayofyear(ts)
-    b = F.radians((F.lit(360.0) / 365.0) * (day - 81))
-    equation = 9.87 * F.sin(2 * b) - 7.53 * F.cos(b) - 1.5 * F.sin(b)
-    hour = (micros(ts) % DAY) / 3.6e9
-    angle = F.radians(15.0 * (hour + lon / 15.0 + equation / 60.0 - 12.0))
-    tilt = F.radians(23.45 * F.sin(b))
-    here = F.radians(F.lit(lat))
-    return F.greatest(F.lit(0.0), peak * (F.sin(here) * F.sin(tilt) + F.cos(here) * F.cos(tilt) * F.cos(angle)))
+def equation_of_time(ts: Column) -> Column:
+    """Minutes that solar time is ahead of mean time, from the earth's orbit."""
+    d = 6.24004077 + 0.01720197 * ((micros(ts) - 946_684_800_000_000) / float(DAY))  # days since 2000
+    return -7.659 * F.sin(d) + 9.863 * F.sin(2 * d + 3.5932)
+
+
+def solar_radiation(ts: Column, peak: float = 1000.0, lat: float = 37.775, lon: float = -122.419, declination: bool = True) -> Column:
+    """Idealised clear-sky radiation: peak times the sine of the sun's elevation, never negative; without ``declination`` as at an equinox."""
+    us = micros(ts) + (equation_of_time(ts) * 60e6).cast("long")  # apparent time
+    at = F.timestamp_micros(us)
+    day = (us - F.unix_micros(F.date_trunc("year", at))) / float(DAY)  # of the year, from 0
+    tilt = math.pi / 180 * 23.45 * F.sin(2 * math.pi / 365 * (day - 81)) if declination else F.lit(0.0)
+    hour = F.pmod(us + int(86400 * lon / 360.0) * 1_000_000, F.lit(DAY)) / 3.6e9
+    here = math.radians(lat)
+    return F.greatest(F.lit(0.0), peak * (math.sin(here) * F.sin(tilt) + math.cos(here) * F.cos(tilt) * F.cos((hour - 12) * (math.pi / 12))))

@@ -53,21 +53,25 @@ def fir(df: DataFrame, keys: list[str], order: list[str], value: str, size: int,
         raise ValueError("window is hanning or boxcar")
     back, ahead = _reach(size)
     w = Window.partitionBy(*keys).orderBy(*order)
-    near = F.collect_list(F.struct(F.col("_i").alias("i"), F.col(value).cast("double").alias("v"))).over(w.rowsBetween(-back, ahead))
-
-    def weight(i: Column) -> Column:
-        place = i - F.col("_i") + back + 1
-        return (1 - F.cos(2 * math.pi * place / (size + 1))) / (size + 1) if window == "hanning" else F.lit(1.0 / size)
-
-    def add(total: Column, x: Column) -> Column:
-        has = x["v"].isNotNull()
-        return F.struct(
-            (total["s"] + F.when(has, weight(x["i"]) * x["v"]).otherwise(0.0)).alias("s"), (total["w"] + F.when(has, weight(x["i"])).otherwise(0.0)).alias("w")
-        )
-
-    df = df.withColumn("_i", F.row_number().over(w)).withColumn("_near", near)
-    df = df.withColumn("_f", F.aggregate("_near", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), add))
-    return df.withColumn(into, F.when((F.col("_f.w") >= least) & (F.col("_f.w") > 0), F.col("_f.s") / F.col("_f.w"))).drop("_i", "_near", "_f")
+    near = w.rowsBetween(-back, ahead)
+    v = F.col(value).cast("double")
+    one = F.when(v.isNotNull(), 1.0)
+    summed = lambda x: F.coalesce(F.sum(x).over(near), F.lit(0.0))
+    if window == "boxcar":
+        s, n = summed(v) / size, summed(one) / size
+        return df.withColumn(into, F.when((n >= least) & (n > 0), s / n))
+    # The weight of sample i in the window of sample j is 1 - cos(step * (i - j + back + 1)): with the cosine of a
+    # difference taken apart, weighted sums are sums of v, v cos(step * i) and v sin(step * i) over the window.
+    step = 2 * math.pi / (size + 1)
+    turn = F.lit(step) * (F.col("_i") % (size + 1))
+    df = df.withColumn("_i", F.row_number().over(w)).withColumns({"_c": F.cos(turn), "_d": F.sin(turn)})
+    away = F.lit(step) * ((F.col("_i") - (back + 1)) % (size + 1))
+
+    def weighted(x: Column) -> Column:
+        return (summed(x) - F.cos(away) * summed(x * F.col("_c")) - F.sin(away) * summed(x * F.col("_d"))) / (size + 1)
+
+    s, n = weighted(v), weighted(one)
+    return df.withColumn(into, F.when((n >= least) & (n > 0), s / n)).drop("_i", "_c", "_d")
 
 
 def decompose(df: DataFrame, keys: list[str], t: str, value: str, omegas: list[float]) -> DataFrame:

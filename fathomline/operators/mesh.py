@@ -22,10 +22,20 @@ def half_edges(cell_nodes: DataFrame) -> DataFrame:
     return cell_nodes.select("cell", "pos", F.col("node").alias("a"), F.coalesce(F.lead("node").over(w), first).alias("b"))
 
 
-def edges_of(cell_nodes: DataFrame) -> DataFrame:
-    """``(n1, n2, left, right)``, n1 < n2: the cell whose ring runs n1 to n2 is left; null beyond the boundary."""
+def edges_of(cell_nodes: DataFrame, more: str = "error") -> DataFrame:
+    """``(n1, n2, left, right)``, n1 < n2: the cell whose ring runs n1 to n2 is left; null beyond the boundary.
+
+    More than one cell on a side of an edge is no mesh and an error; with ``more='last'`` the one of the largest number counts.
+    """
+    if more not in ("error", "last"):
+        raise ValueError("more is error or last")
     h = half_edges(cell_nodes).select(F.least("a", "b").alias("n1"), F.greatest("a", "b").alias("n2"), (F.col("a") < F.col("b")).alias("ahead"), "cell")
-    return h.groupBy("n1", "n2").agg(F.max(F.when(F.col("ahead"), F.col("cell"))).alias("left"), F.max(F.when(~F.col("ahead"), F.col("cell"))).alias("right"))
+    sides = {"left": F.when(F.col("ahead"), F.col("cell")), "right": F.when(~F.col("ahead"), F.col("cell"))}
+    e = h.groupBy("n1", "n2").agg(*(f(c).alias(n + s) for n, c in sides.items() for f, s in ((F.max, ""), (F.count, "_held"))))
+    if more == "error":
+        many = F.raise_error(F.concat_ws(" ", F.lit("several cells on a side of edge"), "n1", "n2"))
+        e = e.withColumns({n: F.when(F.col(f"{n}_held") > 1, many.cast("bigint")).otherwise(F.col(n)) for n in sides})
+    return e.select("n1", "n2", "left", "right")
 
 
 def boundary_edges(edges: DataFrame) -> DataFrame:
@@ -45,15 +55,20 @@ def _sides(cell_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     h = half_edges(cell_nodes)
     a = nodes.select(F.col("node").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = nodes.select(F.col("node").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    return h.join(a, "a").join(b, "b").withColumn("cross", F.col("ax") * F.col("by") - F.col("bx") * F.col("ay"))
+    s = h.join(a, "a").join(b, "b")
+    # Seen from a corner of the cell, so that products of large coordinates don't cancel.
+    own = Window.partitionBy("cell")
+    s = s.withColumn("_o", F.min(F.struct("pos", "ax", "ay")).over(own)).withColumns({"x0": F.col("_o.ax"), "y0": F.col("_o.ay")}).drop("_o")
+    s = s.withColumns({"ax": F.col("ax") - F.col("x0"), "ay": F.col("ay") - F.col("y0"), "bx": F.col("bx") - F.col("x0"), "by": F.col("by") - F.col("y0")})
+    return s.withColumn("cross", F.col("ax") * F.col("by") - F.col("bx") * F.col("ay"))
 
 
 def cell_geometry(cell_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(cell, area, cx, cy, sides)``: signed area (counter-clockwise positive) and area-weighted centroid."""
     s = _sides(cell_nodes, nodes).groupBy("cell").agg(
-        (F.sum("cross") / 2).alias("area"), F.sum((F.col("ax") + F.col("bx")) * F.col("cross")).alias("mx"), F.sum((F.col("ay") + F.col("by")) * F.col("cross")).alias("my"), F.count("*").alias("sides")
+        (F.sum("cross") / 2).alias("area"), F.sum((F.col("ax") + F.col("bx")) * F.col("cross")).alias("mx"), F.sum((F.col("ay") + F.col("by")) * F.col("cross")).alias("my"), F.count("*").alias("sides"), F.first("x0").alias("x0"), F.first("y0").alias("y0")
     )
-    return s.select("cell", "area", (F.col("mx") / (6 * F.col("area"))).alias("cx"), (F.col("my") / (6 * F.col("area"))).alias("cy"), "sides")
+    return s.select("cell", "area", (F.col("x0") + F.col("mx") / (6 * F.col("area"))).alias("cx"), (F.col("y0") + F.col("my") / (6 * F.col("area"))).alias("cy"), "sides")
 
 
 def edge_geometry(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -26,10 +26,10 @@ def gradient(grid: DataFrame, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
 
 
 def hillshade(grid: DataFrame, azimuth: float = 225.0, zenith: float = 45.0, factor: float = 10.0) -> DataFrame:
-    """``(row, col, shade)`` from 0 to 1 of the slope under light from ``azimuth``."""
+    """``(row, col, shade)``: cosine of the angle between the slope, made ``factor`` times steeper, and light from ``azimuth``; negative in the shade."""
     g = gradient(grid)
     slope = F.atan(factor * F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
-    aspect = F.atan2("gy", "gx")
+    aspect = F.atan2(F.col("gy"), -F.col("gx"))
     z, a = F.radians(F.lit(zenith)), F.radians(F.lit(azimuth))
     return g.select("row", "col", (F.cos(z) * F.cos(slope) + F.sin(z) * F.sin(slope) * F.cos(a - aspect)).alias("shade"))
 

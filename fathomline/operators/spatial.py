@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.session import saved
 
-def bounds(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    return points.agg(F.min(x).alias("xmin"), F.max(x).alias("xmax"), F.min(y).alias("ymin"), F.max(y).alias("ymax"))
 
+def bounds(points: DataFrame, x: str = "x", y: str = "y", keys: list[str] | None = None) -> DataFrame:
+    """``(keys, xmin, xmax, ymin, ymax)``."""
+    return points.groupBy(*(keys or [])).agg(F.min(x).alias("xmin"), F.max(x).alias("xmax"), F.min(y).alias("ymin"), F.max(y).alias("ymax"))
 
-def within_radius(left: DataFrame, right: DataFrame, r: float, lid: str = "pid", rid: str = "qid") -> DataFrame:
-    """``(lid, rid, d)`` for pairs at most ``r`` apart.  Both have x and y; the right side goes to its 9 buckets of side r."""
+
+def within_radius(left: DataFrame, right: DataFrame, r: float, lid: str = "pid", rid: str = "qid", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(lid, rid, *keep, d)`` for pairs at most ``r`` apart, ``keep`` of the right side.  Both have x and y; the right side goes to its 9 buckets of side r."""
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     a = left.select(lid, F.col("x").alias("ax"), F.col("y").alias("ay"), F.floor(F.col("x") / r).alias("bx"), F.floor(F.col("y") / r).alias("by"))
-    b = right.select(rid, F.col("x").alias("cx"), F.col("y").alias("cy"), F.explode(near).alias("i"), F.floor(F.col("x") / r).alias("fx"), F.floor(F.col("y") / r).alias("fy"))
-    b = b.select(rid, "cx", "cy", (F.col("fx") + F.col("i")).alias("bx"), "fy", F.explode(near).alias("j")).select(rid, "cx", "cy", "bx", (F.col("fy") + F.col("j")).alias("by"))
+    b = right.select(rid, *keep, F.col("x").alias("cx"), F.col("y").alias("cy"), F.explode(near).alias("i"), F.floor(F.col("x") / r).alias("fx"), F.floor(F.col("y") / r).alias("fy"))
+    b = b.select(rid, *keep, "cx", "cy", (F.col("fx") + F.col("i")).alias("bx"), "fy", F.explode(near).alias("j")).select(rid, *keep, "cx", "cy", "bx", (F.col("fy") + F.col("j")).alias("by"))
     d = F.sqrt((F.col("ax") - F.col("cx")) * (F.col("ax") - F.col("cx")) + (F.col("ay") - F.col("cy")) * (F.col("ay") - F.col("cy")))
-    return a.join(b, ["bx", "by"]).select(lid, rid, d.alias("d")).where(F.col("d") <= r)
+    return a.join(b, ["bx", "by"]).select(lid, rid, *keep, d.alias("d")).where(F.col("d") <= r)
 
 
 def knn(left: DataFrame, right: DataFrame, k: int, r: float, lid: str = "pid", rid: str = "qid", rounds: int = 30) -> DataFrame:
@@ -37,18 +40,30 @@ def knn(left: DataFrame, right: DataFrame, k: int, r: float, lid: str = "pid", r
         full = got.groupBy(lid).agg(F.count("*").alias("_n")).where(F.col("_n") >= have).select(lid)
         part = got.join(full, lid, "left_semi")
         done = part if done is None else done.unionByName(part)
-        todo = todo.join(full, lid, "left_anti").checkpoint() if todo.sparkSession.sparkContext.getCheckpointDir() else todo.join(full, lid, "left_anti")
+        todo = saved(todo.join(full, lid, "left_anti"))
         if not have or todo.isEmpty():
             return done
         r = r * 2 if n < rounds - 1 else float("inf")
     raise RuntimeError(f"points left after {rounds} rounds")
 
 
-def idw(left: DataFrame, right: DataFrame, r: float, value: str, floor: float = 0.01, lid: str = "pid", rid: str = "qid") -> DataFrame:
-    """``(lid, value)``: mean of the points within ``r`` weighted by 1 / distance, distances at least ``floor`` * r."""
-    pair = within_radius(left, right, r, lid, rid).join(right.select(rid, value), rid).where(F.col(value).isNotNull())
+def idw(left: DataFrame, right: DataFrame, r: float, value: str, floor: float = 0.01, lid: str = "pid", rid: str = "qid", closest: int | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
+    """``(lid, value, n)``: mean of the points within ``r`` weighted by 1 / distance, distances at least ``floor`` * r.
+
+    With ``closest``, a point that has fewer than so many within ``r`` takes its ``closest`` nearest; else one
+    without any has no row.  Values are clipped to ``low`` and ``high``.
+    """
+    right = right.where(F.col(value).isNotNull())
+    pair = within_radius(left, right, r, lid, rid, (value,))
+    if closest:
+        held = saved(pair.groupBy(lid).agg(F.count("*").alias("_n")).where(F.col("_n") >= closest).select(lid))
+        far = knn(left.join(held, lid, "left_anti"), right, closest, r, lid, rid).join(right.select(rid, value), rid)
+        pair = pair.join(held, lid, "left_semi").unionByName(far.drop("rank"))
+    v = F.col(value).cast("double")
+    v = F.greatest(v, F.lit(low)) if low is not None else v
+    v = F.least(v, F.lit(high)) if high is not None else v
     w = 1 / F.greatest(F.col("d"), F.lit(floor * r))
-    return pair.groupBy(lid).agg((F.sum(F.col(value) * w) / F.sum(w)).alias(value), F.count("*").alias("n"))
+    return pair.groupBy(lid).agg((F.sum(v * w) / F.sum(w)).alias(value), F.count("*").alias("n"))
 
 
 def points_in_polygons(points: DataFrame, rings: DataFrame, cell: float, pid: str = "pid", poly: str = "poly") -> DataFrame:

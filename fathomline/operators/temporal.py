@@ -47,7 +47,8 @@ def select_increasing(df: DataFrame, keys: list[str], order: list[str], value: s
 def asof(left: DataFrame, right: DataFrame, keys: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
     """``left`` with the right series' last sample at or before its time (``t0, v0``) and first at or after (``t1, v1``).
 
-    Both tables are united and two windows carry the samples, so the cost is one shuffle and sort by key.
+    Both tables are united and two windows carry the samples, so the cost is one shuffle and two sorts by key,
+    linear in the length of a series.
     Of right samples of one time the largest value counts.
     """
     one = right.where(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(F.max(value).alias("_v"))
@@ -56,7 +57,9 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], ts: str = "ts", val
     both = mine.unionByName(other).withColumn("_s", F.when(F.col("_side") == 0, F.struct(F.col(ts).alias("t"), F.col("_v").alias("v"))))
     w = Window.partitionBy(*keys).orderBy(ts)
     past = F.last("_s", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_s", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    # Looking back from the other end: a frame that ends at the series' end would be read anew from each row.
+    back = Window.partitionBy(*keys).orderBy(F.col(ts).desc()).rangeBetween(Window.unboundedPreceding, 0)
+    ahead = F.last("_s", ignorenulls=True).over(back)
     out = both.withColumn("_p", past).withColumn("_a", ahead).where("_side = 1")
     return out.select("_row.*", F.col("_p.t").alias("t0"), F.col("_p.v").alias("v0"), F.col("_a.t").alias("t1"), F.col("_a.v").alias("v1"))
 
@@ -85,13 +88,25 @@ def interp_near(left: DataFrame, right: DataFrame, keys: list[str], max_seconds:
     return found.withColumn("interp", at).drop("t0", "v0", "t1", "v1")
 
 
-def fill_invalid(df: DataFrame, keys: list[str], order: list[str], value: str, into: str = "filled") -> DataFrame:
-    """``df`` with null values interpolated by position between their neighbours, constant at the ends."""
+def fill_invalid(df: DataFrame, keys: list[str], order: list[str], value: str, into: str = "filled", ends: str = "constant") -> DataFrame:
+    """``df`` with null values interpolated by position between their neighbours.
+
+    Beyond the first and last value they are constant, or with ``ends='linear'`` on the line through both.
+    """
+    if ends not in ("constant", "linear"):
+        raise ValueError("ends is constant or linear")
     w = Window.partitionBy(*keys).orderBy(*order)
+    back = Window.partitionBy(*keys).orderBy(F.col("_i").desc()).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_i", F.row_number().over(w)).withColumn("_s", F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v"))))
-    df = df.withColumn("_p", F.last("_s", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first("_s", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    df = df.withColumn("_p", F.last("_s", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.last("_s", True).over(back))
     mid = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (F.col("_i") - F.col("_p.i")) / F.nullif(F.col("_n.i") - F.col("_p.i"), F.lit(0))
-    return df.withColumn(into, F.coalesce(value, mid, F.col("_p.v"), F.col("_n.v"))).drop("_i", "_s", "_p", "_n")
+    if ends == "linear":
+        every = Window.partitionBy(*keys)
+        a, b = F.min("_s").over(every), F.max("_s").over(every)
+        df = df.withColumns({"_a": a, "_b": b})
+        line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("_i") - F.col("_a.i")) / F.nullif(F.col("_b.i") - F.col("_a.i"), F.lit(0))
+        mid = F.coalesce(mid, line)
+    return df.withColumn(into, F.coalesce(value, mid, F.col("_p.v"), F.col("_n.v"))).drop("_i", "_s", "_p", "_n", "_a", "_b")
 
 
 def forward_fill(df: DataFrame, keys: list[str], value: str, days: float = 30, ts: str = "ts", into: str = "filled") -> DataFrame:
@@ -163,7 +178,7 @@ def dist_along(df: DataFrame, keys: list[str], order: list[str], x: str, y: str,
     return df.withColumn("_d", F.coalesce(step, F.lit(0.0))).withColumn(into, F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_d")
 
 
-def release_intervals(df: DataFrame, keys: list[str], gap_seconds: float, ts: str = "ts") -> DataFrame:
+def gap_sessions(df: DataFrame, keys: list[str], gap_seconds: float, ts: str = "ts") -> DataFrame:
     """``(keys, start, end, n)``: stretches without a gap of more than ``gap_seconds``."""
     w = Window.partitionBy(*keys).orderBy(ts)
     new = F.when(micros(F.col(ts)) - F.lag(micros(F.col(ts))).over(w) <= gap_seconds * 1e6, 0).otherwise(1)
@@ -172,11 +187,14 @@ def release_intervals(df: DataFrame, keys: list[str], gap_seconds: float, ts: st
 
 
 def dice_interval(df: DataFrame, start: str, end: str, seconds: float, overlap: float = 0.0) -> DataFrame:
-    """``df`` with a row for each of the equal windows, about ``seconds`` wide, that cover start to end with an overlap."""
+    """``df`` with a row for each of the equal windows, at least ``seconds`` wide, that cover start to end with an overlap.
+
+    There are as many as fit; a span shorter than one window is one window unless it falls short by an advance or more, which has none.
+    """
     a, b = micros(F.col(start)), micros(F.col(end))
-    n = F.greatest(F.lit(1), F.ceil((b - a - seconds * 1e6 * overlap) / (seconds * 1e6 * (1 - overlap)))).cast("int")
+    n = 1 + ((b - a - seconds * 1e6) / (seconds * 1e6 * (1 - overlap))).cast("int")
     width = (b - a) / (n * (1 - overlap) + overlap)
-    df = df.withColumn("_k", F.explode(F.sequence(F.lit(0), n - 1)))
+    df = df.where(n >= 1).withColumn("_k", F.explode(F.sequence(F.lit(0), n - 1)))
     return df.withColumn("window_start", from_micros(F.round(a + F.col("_k") * width * (1 - overlap)))).withColumn("window_end", from_micros(F.round(a + F.col("_k") * width * (1 - overlap) + width))).drop("_k")
 
 

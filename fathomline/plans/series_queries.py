@@ -149,7 +149,7 @@ Q = {
         select user_id, cast(any_value(s) as bigint) as sign, min(ts) as start, max(ts) as "end", count(*) as n from c group by user_id, g""",
     ),
     "release_intervals": (
-        lambda s, d: S.release_intervals(events(s, d), ["user_id"], 43200),
+        lambda s, d: S.gap_sessions(events(s, d), ["user_id"], 43200),
         """with b as (select *, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) <= 43200000000 then 0 else 1 end as nw from events),
         c as (select *, sum(nw) over (partition by user_id order by ts) as g from b) select user_id, min(ts) as start, max(ts) as "end", count(*) as n from c group by user_id, g""",
     ),

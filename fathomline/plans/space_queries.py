@@ -22,8 +22,8 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts and suppliers as nodes, linked where a supplier shipped over 49 of a part in one line."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 50")
+    """Parts and suppliers as nodes, linked where a supplier shipped a part."""
+    li = table(spark, sf_dir, "lineitem")
     return li.select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")).distinct()
 
 
@@ -51,7 +51,7 @@ def _cell_geometry(s: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
-    return mesh.edges_of(cells(s, d)[1])
+    return mesh.edges_of(cells(s, d)[1], more="last")
 
 
 def _layers(s: SparkSession, d: str) -> DataFrame:
@@ -79,7 +79,7 @@ Q = {
         k as (select *, row_number() over (partition by pid order by d, qid) as rank from j) select pid, qid, round(d, 6) as d, rank from k where rank <= 3""",
     ),
     "bounds_by_label": (
-        lambda s, d: points(s, d).groupBy("f").agg(F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"), F.max("y").alias("ymax")),
+        lambda s, d: spatial.bounds(points(s, d), keys=["f"]),
         f"select f, min(x) as xmin, max(x) as xmax, min(y) as ymin, max(y) as ymax from ({_PTS}) group by 1",
     ),
     "rect_overlaps": (
@@ -158,13 +158,15 @@ Q = {
     ),
     "components": (
         lambda s, d: graph.components(supply_edges(s, d)),
-        """with recursive e as (select distinct l_partkey * 2 as a, l_suppkey * 2 + 1 as b from lineitem where l_quantity >= 50), u as (select a, b from e union select b, a from e),
-        r as (select a as id, a as root from u union select u.b, r.root from r join u on u.a = r.id) select id, min(root) as component from r group by id""",
+        """with recursive e as (select distinct l_partkey * 2 as a, l_suppkey * 2 + 1 as b from lineitem), u as materialized (select a, b from e union all select b, a from e),
+        r(id, root) using key (id) as (select distinct a, a from u union select u.b, min(r.root) from r join u on u.a = r.id join recurring.r as o on o.id = u.b where r.root < o.root group by u.b)
+        select id, root as component from r""",
     ),
     "distance_transform": (
         lambda s, d: graph.distances(supply_edges(s, d).withColumn("w", F.lit(1.0)), s.createDataFrame([(3,)], "node bigint")),
-        """with recursive e as (select distinct l_partkey * 2 as a, l_suppkey * 2 + 1 as b from lineitem where l_quantity >= 50), u as (select a, b from e union select b, a from e),
-        r as (select 3 as node, 0 as k union select u.b, k + 1 from r join u on u.a = r.node where k < 12) select cast(node as bigint) as node, cast(min(k) as double) as distance from r group by 1""",
+        """with recursive e as (select distinct l_partkey * 2 as a, l_suppkey * 2 + 1 as b from lineitem), u as materialized (select a, b from e union all select b, a from e),
+        r(node, k) using key (node) as (select 3::bigint, 0 union select u.b, min(r.k) + 1 from r join u on u.a = r.node where u.b not in (select node from recurring.r) group by u.b)
+        select node, cast(k as double) as distance from r""",
     ),
     "redimension_rank": (
         lambda s, d: reshape.redimension(events(s, d), ["user_id", "event_type"], "place", ["ts", "event_id"]).select("event_id", F.col("place").cast("long").alias("place")),

@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that the cluster shares, ``spark.checkpoint.dir``.
+
+    Where it is unset, one process alone gets a temporary one; on a cluster that is an error, as no executor sees another's.
+    """
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fathomline-"))
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
@@ -17,8 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a checkpoint in the folder that the cluster shares.
 
-    ``spark.checkpoint.dir`` names that folder.  Only where it is unset, as in tests on one machine,
-    a temporary folder is used.
+    ``spark.checkpoint.dir`` names that folder, see ``shared_folder``.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
