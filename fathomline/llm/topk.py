@@ -1,7 +1,8 @@
-"""Exact top-k search by inner product: a ball tree for each shard, searched by branch and bound."""
+"""Exact top-k search by inner product: a ball tree for each shard, built once and searched by branch and bound."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,11 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.session import partitions_of, saved
+from fathomline.session import saved
 
 LEAF = 128
-#: Queries of a block, and rows whose scores give every query its first lower bound.
-QUERY_BLOCK, SEEDS = 2048, 2048
+#: Queries and rows that meet in one task, and rows whose scores give every query its first lower bound.
+QUERY_BLOCK, SHARD_ROWS, SEEDS = 4096, 50_000, 2048
+#: Rows are dealt to shards by the nearest of so many of the seeds, so that shards are small balls.
+CELLS = 64
+#: Cells that a query is sent to in each round but the last, best bound first.
+ROUNDS = (1, 7)
 EXACT = float(2**53)
 
 
@@ -79,16 +84,16 @@ class BallTree:
         return q @ c.T + length[:, None] * r + wide * 1e-9 + 1
 
 
-def searched(v: np.ndarray, ids: np.ndarray, q: np.ndarray, qid: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids of the k best rows for each query, best first; id -1 slots beyond the last have rank < 0 scores of the least long.
+def searched(tree: BallTree, v: np.ndarray, ids: np.ndarray, q: np.ndarray, qid: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the k best rows for each query, best first; a slot without a row has the largest long as id.
 
-    ``floor`` is a score that k rows of the whole table reach, so what lies under it is left out.
+    ``floor`` is a score that k rows of the whole table reach, so what lies under it is left out.  Each query goes
+    first into the child of the larger bound for that query.
     """
     least, none = np.iinfo(np.int64).min, np.iinfo(np.int64).max
     score, name = np.full((len(q), k), least), np.full((len(q), k), none)
     if not len(v):
         return score, name
-    tree = BallTree(v)
     bound = tree.bounds(q)
     todo = [(0, np.arange(len(q)))]
     while todo:
@@ -109,52 +114,108 @@ def searched(v: np.ndarray, ids: np.ndarray, q: np.ndarray, qid: np.ndarray, flo
             best = np.lexsort((n, ~s), axis=1)[:, :k]
             score[live], name[live] = np.take_along_axis(s, best, 1), np.take_along_axis(n, best, 1)
         else:
-            pair = sorted((left, right), key=lambda x: bound[live, x].mean())
-            todo += [(x, live) for x in pair]
+            first = bound[live, left] >= bound[live, right]
+            todo += [(right, live[first]), (left, live[first]), (left, live[~first]), (right, live[~first])]
     return score, name
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "vec", shards: int | None = None) -> DataFrame:
+def _padded(x: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(x, ((0, 0), (0, width - x.shape[1])))
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "vec", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query the k rows of highest inner product, ties to the smaller id.
 
-    Both tables have a long ``id_col`` and an array of longs ``vec_col``; a row with the query's id is not
-    its result.  Rows with a null id or vector take no part, shorter vectors count as filled with zeros,
-    queries alike in id and vector are asked once, and fewer than k rows give fewer results.  Queries go
-    in blocks to every shard of the rows.  First each query is scored against SEEDS rows; its kth score
-    there is shared with all shards, and their trees skip every ball that can't reach it.
+    Both tables have a long ``id_col`` and an array of longs ``vec_col``; other columns are not read.  A row with the
+    query's id is not its result.  Rows with a null id or vector take no part, repeated rows count as often as they
+    occur, shorter vectors count as filled with zeros, queries alike in id and vector are asked once, and fewer than k
+    rows give fewer results.  A score beyond 64 bits counts as the largest or smallest long.
+
+    Rows are dealt to cells by the nearest of CELLS seeds, and a cell to shards of about ``shard_rows``, however many of
+    its vectors are equal.  A shard's tree is built once and saved.  Queries visit shards in rounds, those of the cell
+    with the largest bound first; after each round every query's kth score so far is shared with all shards to
+    come, so later rounds skip cells, and trees balls, that can't reach it.  First bounds come from SEEDS rows.  A
+    shard meets queries in blocks, and goes to those blocks alone that have a query for it.
     """
     spark = rows.sparkSession
-    shards = shards or partitions_of(spark)
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null and v is not null")
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null and v is not null").distinct()
     seeds = rows.orderBy(F.xxhash64("id"), "id").limit(SEEDS).toArrow()  # at most SEEDS rows
     seed_v, seed_id = matrix(seeds["v"]), seeds["id"].to_numpy()
+    pivots = np.unique(seed_v, axis=0)
+    pivots = pivots[:: max(1, -(-len(pivots) // CELLS))].astype(np.float64)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for a in range(0, x.num_rows, 4096):
+                y = x.slice(a, 4096)
+                v = matrix(y.column(1), pivots.shape[1]).astype(np.float64)
+                p = _padded(pivots, v.shape[1])
+                far = (v**2).sum(axis=1)[:, None] - 2 * v @ p.T + (p**2).sum(axis=1)
+                cell = far.argmin(axis=1)
+                away = np.sqrt(((v - p[cell]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([y.column(0), y.column(1), pa.array(cell.astype(np.int32)), pa.array(away)], ["id", "v", "cell", "away"])
+
+    placed = saved(rows.mapInArrow(dealt, "id bigint, v array<bigint>, cell int, away double"))
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).orderBy("cell").collect()  # at most CELLS rows and one
+    parts = {c["cell"]: -(-c["n"] // shard_rows) for c in cells}
+    radius = np.array([c["radius"] for c in cells])
+    centre = pivots[[c["cell"] for c in cells]]
+    number = np.array([c["cell"] for c in cells], np.int32)
+    of = F.create_map(*(F.lit(x) for c, n in parts.items() for x in (c, n))) if parts else F.create_map().cast("map<int,int>")
+    shard = F.struct("cell", F.pmod(F.monotonically_increasing_id(), of[F.col("cell")]).cast("int").alias("part"))
+
+    def build(key: tuple, held: pa.Table) -> pa.Table:
+        v, ids = matrix(held["v"]), held["id"].to_numpy()
+        tree = pickle.dumps((BallTree(v), v, ids), protocol=5)
+        return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([tree], pa.binary())})
+
+    trees = saved(placed.withColumn("_s", shard).select("_s.cell", "_s.part", "id", "v").groupBy("cell", "part").applyInArrow(build, "cell int, part int, tree binary"))
 
     def floored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            q = matrix(x.column(1), seed_v.shape[1])
-            v = np.pad(seed_v, ((0, 0), (0, q.shape[1] - seed_v.shape[1])))
-            got = products(q, v)
-            own = seed_id[None, :] == x.column(0).to_numpy()[:, None]
-            got[own] = np.iinfo(np.int64).min
-            floor = np.partition(got, -k, axis=1)[:, -k] if len(seed_id) >= k else np.full(len(q), np.iinfo(np.int64).min)
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(floor)], ["id", "v", "floor"])
-
-    asked = saved(asked.mapInArrow(floored, "id bigint, v array<bigint>, floor bigint"))
+            for a in range(0, x.num_rows, 1024):
+                y = x.slice(a, 1024)
+                q = matrix(y.column(1), max(seed_v.shape[1], centre.shape[1]))
+                got = products(q, _padded(seed_v, q.shape[1]))
+                got[seed_id[None, :] == y.column(0).to_numpy()[:, None]] = np.iinfo(np.int64).min
+                floor = np.partition(got, -k, axis=1)[:, -k] if len(seed_id) >= k else np.full(len(q), np.iinfo(np.int64).min)
+                c, length = _padded(centre, q.shape[1]), np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
+                most = q @ c.T + length[:, None] * radius
+                most += (length[:, None] * (radius + np.sqrt((c**2).sum(axis=1)))) * 1e-9 + 1  # for rounding
+                order = np.argsort(-most, axis=1, kind="stable")
+                cut = pa.array((np.arange(len(q) + 1) * len(number)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cut, pa.array(z.ravel())) for z in (number[order], np.take_along_axis(most, order, 1))]
+                yield pa.RecordBatch.from_arrays([y.column(0), y.column(1), pa.array(floor), *lists], ["id", "v", "floor", "cells", "most"])
+
+    asked = asked.mapInArrow(floored, "id bigint, v array<bigint>, floor bigint, cells array<int>, most array<double>")
+    asked = saved(asked.withColumn("ask", F.monotonically_increasing_id()))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def search(held: pa.Table, wanted: pa.Table) -> pa.Table:
-        v, q = matrix(held["v"]), matrix(wanted["v"])
-        width = max(v.shape[1], q.shape[1])
-        v, q = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (v, q))
-        qid = wanted["id"].to_numpy()
-        score, name = searched(v, held["id"].to_numpy(), q, qid, wanted["floor"].to_numpy(), k)
-        real = name != np.iinfo(np.int64).max
-        ask = np.broadcast_to(np.arange(len(q))[:, None], real.shape)[real]
-        return pa.table({"query_id": qid[ask], "query": wanted["v"].combine_chunks().take(pa.array(ask)), "vec_id": name[real], "score": score[real]})
-
-    found = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(search, "query_id bigint, query array<bigint>, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = {"ask": [], "vec_id": [], "score": []}
+        if held.num_rows and wanted.num_rows:
+            tree, v, ids = pickle.loads(held["tree"][0].as_py())
+            q, ask = matrix(wanted["v"]), wanted["ask"].to_numpy()
+            width = max(v.shape[1], q.shape[1])
+            tree.centre = list(_padded(np.stack(tree.centre), width))
+            score, name = searched(tree, _padded(v, width), ids, _padded(q, width), wanted["id"].to_numpy(), wanted["floor"].to_numpy(), k)
+            real = name != np.iinfo(np.int64).max
+            out = {"ask": np.broadcast_to(ask[:, None], real.shape)[real], "vec_id": name[real], "score": score[real]}
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in out.items()})
+
+    best, floors, begin = None, asked.select("ask", "floor"), 0
+    for n in (*ROUNDS, CELLS + 1):
+        zipped = F.slice(F.arrays_zip("cells", "most"), begin + 1, n)
+        visit = asked.drop("floor").join(floors, "ask").select("ask", "id", "v", "floor", F.explode(zipped).alias("c")).where("c.most >= floor")
+        visit = visit.select("ask", "id", "v", "floor", "c.cells", F.explode(F.sequence(F.lit(0), of[F.col("c.cells")] - 1)).alias("part"))
+        visit = visit.withColumnRenamed("cells", "cell").withColumn("block", F.pmod(F.xxhash64("ask"), F.lit(blocks)))
+        sent = trees.join(visit.select("cell", "part", "block").distinct(), ["cell", "part"]).select("cell", "part", "block", "tree").toDF("c", "p", "b", "tree")
+        found = sent.groupBy("c", "p", "b").cogroup(visit.groupBy("cell", "part", "block")).applyInArrow(search, "ask bigint, vec_id bigint, score bigint")
+        found = found if best is None else best.select("ask", "vec_id", "score").union(found)
+        order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
+        best = saved(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        kth = best.where(F.col("rank") == k).select("ask", F.col("score").alias("kth"))
+        floors = asked.select("ask", "floor").join(kth, "ask", "left").select("ask", F.greatest("floor", F.coalesce("kth", "floor")).alias("floor"))
+        begin += n
+    return best.join(asked.select("ask", F.col("id").alias("query_id")), "ask").select("query_id", "rank", "vec_id", "score")

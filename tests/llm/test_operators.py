@@ -234,17 +234,21 @@ def test_mix_meets_targets(spark):
     assert mixing.quotas(np.array([10, 0, 30]), 7, 1).sum(axis=0).tolist() == [10, 0, 30]
 
 
-def test_top_k_is_brute_force(spark):
+@pytest.mark.parametrize("shard_rows", [37, 50_000])
+def test_top_k_is_brute_force(spark, monkeypatch, shard_rows):
+    """Also with repeated rows, a vector that a third of all rows hold, nulls, other columns, and blocks of queries."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "CELLS", 8)
     rng = np.random.default_rng(1)
     v = [(i, [int(x) for x in rng.integers(-9, 9, 5)]) for i in range(600)] + [(700, None), (None, [1, 2, 3, 4, 5]), (701, []), (702, [10**18] * 5)]
-    df = spark.createDataFrame(v, "vec_id long, vec array<bigint>")
-    got = [tuple(r) for r in topk.top_k(df, df.where("vec_id % 100 = 0"), shards=5).orderBy("query_id", "rank").collect()]
+    v += [(1000 + i, [3, -2, 5, 0, 1]) for i in range(300)] + [v[7]] * 2 + [(100, [9, 9, 9, 9, 9])]
+    df = spark.createDataFrame(v, "vec_id long, vec array<bigint>").withColumns({c: F.lit(1) for c in ("id", "v", "cell", "part", "block", "ask", "floor", "rank", "score")})
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 100 = 0"), shard_rows=shard_rows).collect())
     want = []
-    for q, a in v:
-        if q is not None and q % 100 == 0 and a is not None:
-            s = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b)))), i) for i, b in v if i is not None and b is not None and i != q)[:10]
-            want += [(q, k + 1, i, -p) for k, (p, i) in enumerate(s)]
-    assert got == want
+    for q, a in {(q, tuple(a)) for q, a in v if q is not None and q % 100 == 0 and a is not None}:
+        s = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b)))), i) for i, b in v if i is not None and b is not None and i != q)[:10]
+        want += [(q, k + 1, i, -p) for k, (p, i) in enumerate(s)]
+    assert got == sorted(want)
 
 
 def test_languages(spark):
