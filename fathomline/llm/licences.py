@@ -70,20 +70,26 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(TEMPLATES + tags + whole)], "template int, licence string, statement string")
 
 
-def scanned(files: DataFrame, known: DataFrame, id_col: str = "id", text_col: str = "text", least: float = 0.6) -> DataFrame:
-    """``(id, own_licence, own_score)`` for ids of ``files`` with a unit whose cosine to a template is ``least`` or more.
+def text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("string").cast("binary"), 256))
+
+
+def scored(files: DataFrame, known: DataFrame, text_col: str = "text", least: float = 0.6) -> DataFrame:
+    """``(digest, own_licence, own_score)``: of distinct texts those with a unit whose cosine to a template is ``least`` or more.
 
     A unit is the whole text, or a block, sentence, line or SPDX identifier of it, see ``units``.  Its vector has term
     counts times ln((files + 1) / (files with the term + 1)) + 1.  Counts cover every term of the units and templates
-    over the whole texts of all files, so a unit is judged alike in a small and in a large corpus of the same kind.  The best unit and template of an id count, equal ones by the first licence by name.
-    Null texts have no units, null ids are one id.  The templates are a fixed few, so their vectors are broadcast;
-    only texts with a cue go on, and meet the counts by term and salt, as a third of all units may hold one term.
+    over the whole texts of all files, so a unit is judged alike in a small and in a large corpus of the same kind.  The best unit
+    and template of a text count, equal ones by the first licence by name.  A text that declares a licence says so with a
+    cue, so others have none; null texts have no units.  The templates are a fixed few, so their vectors are broadcast;
+    units meet the counts by term and salt, as a third of all units may hold one term.
     """
     word = known.select("template", "licence", F.explode(terms(F.col("statement"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
-    rows = files.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = files.select(F.col(text_col).cast("string").alias("text"))
     total = rows.count()
     weight = lambda n: F.log((F.lit(total) + 1) / (n + 1)) + 1
-    unit = rows.where(F.col("text").rlike(CUE)).select("id", F.posexplode(units(F.col("text"))).alias("unit", "said"))
+    cued = rows.where(F.col("text").rlike(CUE)).groupBy(text_key(F.col("text")).alias("id")).agg(F.first("text").alias("text"))  # each text once
+    unit = cued.select("id", F.posexplode(units(F.col("text"))).alias("unit", "said"))
     unit = unit.select("id", F.struct(F.xxhash64("said"), "unit", F.crc32("said")).alias("unit"), F.explode(terms(F.col("said"))).alias("term"))
     unit = saved(unit.groupBy("id", "unit", "term").agg(F.count("*").alias("tf")))
     wanted = unit.select("term").union(word.select("term")).distinct()
@@ -99,7 +105,13 @@ def scanned(files: DataFrame, known: DataFrame, id_col: str = "id", text_col: st
     near = length.select("id", "unit", "own", F.explode("has").alias("x")).select("id", "unit", "own", "x.term", "x.v").join(F.broadcast(goal), "term")
     score = near.groupBy("id", "unit", "template", "licence").agg(F.round(F.sum(F.col("v") * F.col("w")) / (F.first("own") * F.first("length")), 6).alias("score"))
     best = score.where(F.col("score") >= least).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
-    return best.select("id", F.col("b.licence").alias("own_licence"), (-F.col("b.s")).alias("own_score"))
+    return best.select(F.col("id").alias("digest"), F.col("b.licence").alias("own_licence"), (-F.col("b.s")).alias("own_score"))
+
+
+def scanned(files: DataFrame, known: DataFrame, id_col: str = "id", text_col: str = "text", least: float = 0.6) -> DataFrame:
+    """``(id, own_licence, own_score)`` for each row of ``files`` whose text has a licence, see ``scored``."""
+    rows = files.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("digest"))
+    return rows.join(scored(files, known, text_col, least), "digest").drop("digest")
 
 
 def licensed(files: DataFrame, known: DataFrame, id_col: str = "id", path_col: str = "path", text_col: str = "text", least: float = 0.6) -> DataFrame:
@@ -109,12 +121,13 @@ def licensed(files: DataFrame, known: DataFrame, id_col: str = "id", path_col: s
     (LICENSE, COPYING or NOTICE, perhaps with an ending) in which one was found: there the best score counts,
     equal ones by the first path.  ``licence_dir`` is that directory, null for a licence of the file's own or
     none.  Directories, not files, are joined with their ancestors, so a root above all files costs a row for
-    each directory.  Null paths inherit nothing and name no directory; repeated rows are judged alike.
+    each directory.  Null paths inherit nothing and name no directory; rows are judged by their own text and path,
+    so ids may be null or repeat; other columns are not read.
     """
-    own = scanned(files, known, id_col, text_col, least)
-    rows = files.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"))
+    own = saved(scored(files, known, text_col, least))
+    rows = files.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), text_key(F.col(text_col)).alias("digest"))
     rows = rows.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")).withColumn("name", F.regexp_extract("path", "[^/]*$", 0))
-    rows = rows.join(own.withColumnRenamed("id", "own_id"), F.col("id").eqNullSafe(F.col("own_id")), "left").drop("own_id")
+    rows = rows.join(own, "digest", "left").drop("digest")  # a left join, of which hot digests can be split
     held = rows.where(F.col("own_licence").isNotNull() & F.col("name").rlike(LICENCE_FILE))
     held = held.groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", "own_licence")).alias("b")).select(F.col("dir").alias("up"), F.col("b.own_licence").alias("given"))
     part = F.split("dir", "/")

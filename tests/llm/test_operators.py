@@ -353,6 +353,62 @@ def test_licences_and_inheritance(spark):
     assert got == {1: ("MIT", None), 2: ("Apache-2.0", "a/b"), 3: ("Apache-2.0", None), 4: ("GPL-3.0", None), 5: (None, None), 6: (None, None), 7: ("MIT", "a")}
 
 
+def test_licences_of_null_and_repeated_ids_and_rows(spark):
+    mit, code = "Released under the MIT License.", "plain code"
+    files = [(None, "a/x", mit), (None, "b/y", code), (1, "c/x", mit), (1, "c/y", code), (2, "d/LICENSE", mit), (2, "d/LICENSE", mit), (2, "d/e/f", code), (2, "d/e/f", code), (3, "e", None), (3, None, mit)]
+    df = spark.createDataFrame(files, "id long, path string, text string").withColumns({c: F.lit("x") for c in ("digest", "own_licence", "licence", "unit", "term", "dir", "name", "up", "given")})
+    got = sorted((str(r["id"]), str(r["path"]), str(r["licence"])) for r in licences.licensed(df, licences.templates(spark)).collect())
+    assert got == sorted([("None", "a/x", "MIT"), ("None", "b/y", "None"), ("1", "c/x", "MIT"), ("1", "c/y", "None"), *[("2", "d/LICENSE", "MIT"), ("2", "d/e/f", "MIT")] * 2, ("3", "e", "None"), ("3", "None", "MIT")])
+
+
+def test_licence_query_is_brute_force(spark):
+    """Cosines of all units of all documents to all templates in plain Python, and the nearest directory with a licence file."""
+    larger = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "text", "source").collect()
+    term, tag = re.compile(r"spdx:[a-z0-9]+(?:[.+-]+[a-z0-9]+)*\+?|[a-z0-9]+(?:\.[a-z0-9]+)*"), re.compile(licences.TAG)
+    terms = lambda t: term.findall(tag.sub("spdx:", t.lower()))
+    total = len(docs)
+    held = Counter(t for r in docs if r["text"] for t in set(terms(r["text"])))
+    weigh = lambda t: {w: n * (math.log((total + 1) / (held[w] + 1)) + 1) for w, n in Counter(terms(t)).items()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    known = [(r["licence"], weigh(r["statement"])) for r in licences.templates(spark).collect()]
+    known = [(name, v, length(v)) for name, v in known]
+    cue = re.compile(licences.CUE[4:], re.I)
+
+    def own(text):
+        if not text or not cue.search(text):
+            return None
+        units, blocks = {text}, [b for b in re.split(r"\n[\W_]*\n", text) if cue.search(b)]
+        units |= set(blocks) | {x for b in blocks for x in b.split("\n") if cue.search(x)}
+        units |= {x for b in blocks for x in re.split(r"(?<=[.!?])\s+", re.sub(r"\n(?:(?!\n)[\W_])*", " ", b)) if cue.search(x)}
+        units |= {m[0] for m in re.finditer("(?i)" + licences.TAG + r"[a-z0-9]+(?:[.+-]+[a-z0-9]+)*\+?", text)}
+        best = []
+        for u in units:
+            v = weigh(u)
+            n = length(v)
+            best += [(-round(sum(x * w.get(t, 0) for t, x in v.items()) / (n * m), 6), name) for name, w, m in known if n]
+        return min(best) if best and -min(best)[0] >= 0.6 else None
+
+    found = {r["doc_id"]: own(r["text"]) for r in docs}
+    path = {}
+    for r in docs:
+        n = r["doc_id"]
+        path[n] = f"{r['source'] if r['source'] is not None else 'none'}/p{n // 500}{f'/m{n // 50 % 10}' if n % 10 else ''}/{'LICENSE' if n % 5 == 0 else 'text'}.{n}"
+    given = {}
+    for n, p in path.items():
+        if n % 5 == 0 and found[n]:
+            folder = p.rsplit("/", 1)[0]
+            given[folder] = min(given.get(folder, (1, "~", "")), (found[n][0], p, found[n][1]))
+    want = {}
+    for n, p in path.items():
+        folder = p.rsplit("/", 1)[0]
+        while folder and folder not in given:
+            folder = folder.rpartition("/")[0]
+        want[n] = (found[n][1], None) if found[n] else (given[folder][2], folder) if folder else (None, None)
+    got = {r["doc_id"]: (r["licence"], r["licence_dir"]) for r in queries.op9_licences(spark, larger).collect()}
+    assert sum(x is not None for x in found.values()) > 5 and got == want
+
+
 def test_a_licence_line_is_found_alike_in_corpora_of_two_sizes(spark):
     def score(n):
         files = spark.range(n).selectExpr("id", "concat_ws('\n', 'this project is by us', if(id % 10 = 0, 'This project is released under the MIT License.', 'the end')) as text")
