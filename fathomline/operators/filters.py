@@ -106,3 +106,102 @@ def recompose(df: DataFrame, comps: DataFrame, keys: list[str], t: str, into: st
     found = df.join(each, keys, "left") if keys else df.join(F.broadcast(each), F.lit(True), "left")
     wave = F.transform("_c", lambda c: c["amplitude"] * F.cos(c["omega"] * F.col(t) - c["phase"]))
     return found.withColumn(into, F.aggregate(wave, F.lit(0.0), lambda a, x: a + x)).drop("_c")
+
+
+def butter(order: int, cut: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numerator and denominator of a digital Butterworth low pass; ``cut`` is the half-power frequency over half the sampling rate."""
+    if not 0 < cut < 1:
+        raise ValueError("the cutoff must be longer than the time step")
+    warped = 4 * math.tan(math.pi * cut / 2)
+    poles = warped * np.exp(1j * math.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
+    gain = (warped**order / np.prod(4 - poles)).real
+    return gain * np.poly(-np.ones(order)), np.poly((4 + poles) / (4 - poles)).real
+
+
+def _settled(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The filter's state in a series that has been 1 for ever."""
+    n = len(a) - 1
+    step = np.zeros((n, n))
+    step[:, 0] = -a[1:]
+    step[: n - 1, 1:] = np.eye(n - 1)
+    return np.linalg.solve(np.eye(n) - step, b[1:] - a[1:] * b[0])
+
+
+def _run(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    out, s, b0, b1, a1 = np.empty(len(x)), state.copy(), b[0], b[1:], a[1:]
+    for i, v in enumerate(x):
+        y = b0 * v + s[0]
+        s[:-1] = s[1:]
+        s[-1] = 0.0
+        s += b1 * v - a1 * y
+        out[i] = y
+    return out
+
+
+def both_ways(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The filter forward and backward, so without delay, over a series that goes on mirrored at its ends."""
+    pad, start = 3 * max(len(a), len(b)), _settled(b, a)
+    long = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    there = _run(b, a, long, start * long[0])[::-1]
+    return _run(b, a, there, start * there[0])[::-1][pad:-pad]
+
+
+#: Samples of a series that one task filters, besides those on both sides from which its filter settles.
+BLOCK = 20_000
+
+
+def lowpass(df: DataFrame, keys: list[str], order: list[str], value: str, step: float, cutoff: float, degree: int = 4, causal: bool = False, into: str = "filtered") -> DataFrame:
+    """``df`` with a Butterworth low pass of evenly spaced samples, ``step`` and ``cutoff`` in one unit of time.
+
+    The half-power frequency is ``step / cutoff`` of half the sampling rate, so half the response is at twice the cutoff.
+    Without ``causal`` it runs both ways.  A null makes its series null, and so does a length of 15 or less at degree 4.
+
+    A series is dealt in blocks with samples on both sides from which what lies beyond has decayed below 1e-13 of its
+    size, so no task holds a series.
+    """
+    b, a = butter(degree, step / cutoff)
+    halo = int(math.ceil(-30.0 / math.log(np.abs(np.roots(a)).max()))) + 3 * (degree + 1)
+    block = max(BLOCK, 4 * halo)
+    w, every = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys)
+    s = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(every), "_ok": F.count(value).over(every) == F.count("*").over(every)})
+    s = s.withColumn("_v", F.when(F.col("_ok") & (F.col("_n") > 3 * (degree + 1)), F.col(value).cast("double")))
+    own = F.floor(F.col("_i") / block)
+    near = F.array_distinct(F.array(own, F.floor(F.greatest(F.col("_i") - halo, F.lit(0)) / block), F.floor(F.least(F.col("_i") + halo, F.col("_n") - 1) / block)))
+    dealt = s.select(*keys, "_i", "_v", own.alias("_own"), F.explode(near).alias("_block"))
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("_i")
+        v = x["_v"].to_numpy()
+        if not np.isnan(v).any():
+            v = _run(b, a, v, np.zeros(degree)) if causal else both_ways(b, a, v)
+        return x.assign(_f=v)[x["_own"] == x["_block"]][[*keys, "_i", "_f"]]
+
+    kinds = dict(df.dtypes)
+    found = dealt.groupBy(*keys, "_block").applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "_i int, _f double"]))
+    return s.join(found, [*keys, "_i"]).withColumn(into, F.when(~F.isnan("_f"), F.col("_f"))).select(*df.columns, into)
+
+
+def windowed_slope(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, size: int, into: str = "slope") -> DataFrame:
+    """``df`` with the local slope of y over x: of their parts faster than a Hanning mean, mean product over mean square."""
+    s = fir(fir(df, keys, order, x, size, into="_lx"), keys, order, y, size, into="_ly")
+    s = s.withColumns({"_xy": (F.col(x) - F.col("_lx")) * (F.col(y) - F.col("_ly")), "_xx": (F.col(x) - F.col("_lx")) * (F.col(x) - F.col("_lx"))})
+    s = fir(fir(s, keys, order, "_xy", size, into="_sxy"), keys, order, "_xx", size, into="_sxx")
+    return s.withColumn(into, F.col("_sxy") / F.nullif(F.col("_sxx"), F.lit(0.0))).select(*df.columns, into)
+
+
+def nearest_mean(df: DataFrame, keys: list[str], x: str, y: str, n: int, into: str = "mean") -> DataFrame:
+    """``df`` with the mean of the n values nearest in x, of equally near ones those before.
+
+    The n nearest of sorted values lie within n - 1 places on either side.
+    """
+    w = Window.partitionBy(*keys).orderBy(x)
+    near = F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).over(w.rowsBetween(1 - n, n - 1))
+    here = F.transform("_near", lambda s: F.struct(F.abs(s["x"] - F.col(x)).alias("d"), s["x"].alias("x"), s["y"].alias("y")))
+    best = F.slice(F.array_sort(here), 1, n)
+    return df.withColumn("_near", near).withColumn(into, F.aggregate(best, F.lit(0.0), lambda a, s: a + s["y"]) / F.size(best)).drop("_near")
+
+
+def thinned(df: DataFrame, keys: list[str], order: list[str], value: str, stride: int, smooth: bool = True) -> DataFrame:
+    """Every ``stride``-th row in order, its value smoothed by a Hanning mean of twice the stride before."""
+    s = fir(df, keys, order, value, 2 * stride, into="_f").withColumn(value, F.col("_f")).drop("_f") if smooth else df
+    return s.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).where(F.col("_i") % stride == 0).drop("_i")

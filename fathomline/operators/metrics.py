@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.time import from_micros, micros
-from fathomline.operators.temporal import asof
+from fathomline.operators.temporal import asof, bin_mean, period
 
 
 def paired(df: DataFrame, keys: list[str], x: str, ref: str) -> DataFrame:
@@ -117,3 +118,92 @@ def period_energy(df: DataFrame, keys: list[str], t: str, value: str, periods: l
     angle = [F.lit(2 * math.pi / p) * F.col(t) for p in periods]
     sums = [F.struct(F.lit(float(p)).alias("period"), (F.pow(F.avg(F.col(value) * F.cos(a)), 2) + F.pow(F.avg(F.col(value) * F.sin(a)), 2)).alias("energy")) for p, a in zip(periods, angle, strict=True)]
     return df.groupBy(*keys).agg(F.array(*sums).alias("_p")).select(*keys, F.inline("_p"))
+
+
+def sigma_median(df: DataFrame, keys: list[str], layer: str, value: str) -> DataFrame:
+    """``(keys, sigma)``: at which share of evenly spaced layers, in order, half of the sum of a layered value lies, linear within a layer."""
+    w, every = Window.partitionBy(*keys).orderBy(layer), Window.partitionBy(*keys)
+    s = df.withColumns({"_c": F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_t": F.sum(value).over(every), "_n": F.count("*").over(every), "_i": F.row_number().over(w)})
+    share = (F.col("_i") - (F.col("_c") - F.col("_t") / 2) / F.nullif(F.col(value), F.lit(0))) / F.col("_n")
+    return s.where(F.col("_c") >= F.col("_t") / 2).groupBy(*keys).agg(F.min_by(share, "_i").alias("sigma"))
+
+
+def mean_time(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
+    """``(keys, mean_ts)``, to the microsecond below."""
+    total = F.sum(micros(F.col(ts)).cast("decimal(38,0)"))  # a sum of many times exceeds 64 bits
+    return df.groupBy(*keys).agg(from_micros(F.floor(total / F.count(ts))).alias("mean_ts"))
+
+
+def nan_rms(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``(keys, rms)`` over values that are neither null nor not a number."""
+    return rms(df.where(~F.isnan(F.col(value).cast("double"))), keys, value)
+
+
+def combine_sources(sources: dict[str, DataFrame], seconds: int, common: bool = True, ts: str = "ts", value: str = "value") -> DataFrame:
+    """``(source, bin, mean)``: means of several series in the same bins, see ``temporal.bin_mean``, over the period that all share, or that any covers.
+
+    Only samples in the period count, its ends included.
+    """
+    every = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("source"), F.col(ts).alias("ts"), F.col(value).alias("value")) for name, df in sources.items()])
+    if common:
+        spans = period(every, "source", "ts")  # one row
+        every = every.join(F.broadcast(spans), F.col("ts").between(F.col("shared_start"), F.col("shared_end"))).select("source", "ts", "value")
+    return bin_mean(every, ["source"], seconds)
+
+
+def kernel_density(df: DataFrame, points: list[float], value: str, weight: str, width: float) -> DataFrame:
+    """``(at, density)``: a sum of Gaussians of ``width`` around values, by weight, at the given points; the weights sum to 1 first."""
+    each = F.array(*(F.struct(F.lit(float(p)).alias("at"), (F.exp(-0.5 * F.pow((F.lit(float(p)) - F.col(value)) / width, 2)) * F.col(weight)).alias("g")) for p in points))
+    s = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).select(F.col(weight).alias("w"), F.inline(each))
+    return s.groupBy("at").agg((F.sum("g") / F.sum("w") / (width * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def bandwidth(df: DataFrame, value: str, weight: str, rule: str = "scott") -> DataFrame:
+    """``(n_effective, spread, width)``: of a weighted sample, (sum w) ** 2 / sum w ** 2, its unbiased deviation, and Scott's or Silverman's width in one dimension."""
+    if rule not in ("scott", "silverman"):
+        raise ValueError("rule is scott or silverman")
+    sums = df.agg(F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col(weight)).alias("w2"), F.sum(F.col(weight) * F.col(value)).alias("s"), F.sum(F.col(weight) * F.col(value) * F.col(value)).alias("q"))
+    n = F.col("w") * F.col("w") / F.col("w2")
+    spread = F.sqrt((F.col("q") / F.col("w") - F.pow(F.col("s") / F.col("w"), 2)) / (1 - 1 / n))
+    factor = F.pow(n, -0.2) if rule == "scott" else F.pow(n * 3 / 4, -0.2)
+    return sums.select(n.alias("n_effective"), spread.alias("spread"), (spread * factor).alias("width"))
+
+
+def bootstrap(df: DataFrame, key: str, value: str, replicates: int, seed: int = 0) -> DataFrame:
+    """``(replicate, mean, variance)`` of resamples with replacement: each row counts a Poisson number of times, mean 1, by a hash of its key.
+
+    So a resample takes no shuffle of rows, its size is that of the table on average, and reruns agree.
+    """
+    u = (F.pmod(F.xxhash64(F.col(key), F.col("replicate"), F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    upto, total, count = math.exp(-1), 0.0, F.lit(0)
+    for k in range(20):
+        total += upto
+        upto /= k + 1
+        count = count + F.when(u > total, 1).otherwise(0)
+    s = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("c", count)
+    sums = s.groupBy("replicate").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("v")).alias("a"), F.sum(F.col("c") * F.col("v") * F.col("v")).alias("q"))
+    return sums.select("replicate", (F.col("a") / F.col("n")).alias("mean"), (F.col("q") / F.col("n") - F.pow(F.col("a") / F.col("n"), 2)).alias("variance"))
+
+
+def rotated_to_principal(df: DataFrame, keys: list[str], u: str, v: str, near: float | None = None) -> DataFrame:
+    """``df`` with ``along`` and ``across`` the direction of greatest variance of each series; of its two senses that nearer to the angle ``near``."""
+    theta = principal_theta(df, keys, u, v)
+    if near is not None:
+        off = F.abs(F.pmod(F.col("theta") - near + math.pi, F.lit(2 * math.pi)) - math.pi)
+        theta = theta.withColumn("theta", F.when(off > math.pi / 2, F.pmod(F.col("theta") + math.pi, F.lit(2 * math.pi))).otherwise(F.col("theta")))
+    s = df.join(theta, keys)
+    c, d = F.cos("theta"), F.sin("theta")
+    return s.withColumns({"along": c * F.col(u) + d * F.col(v), "across": c * F.col(v) - d * F.col(u)})
+
+
+def autocorrelation(df: DataFrame, keys: list[str], index: str, value: str, max_lag: int) -> DataFrame:
+    """``(keys, lag, r, n)``: correlation of values ``lag`` apart with each other, over the pairs of each lag alone."""
+    later = df.select(*keys, F.col(index).alias("_j"), F.col(value).alias("_b"))
+    now = df.select(*keys, F.col(value).alias("_a"), F.col(index).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag")).withColumn("_j", F.col("_i") + F.col("lag"))
+    return now.join(later, [*keys, "_j"]).where("_a is not null and _b is not null").groupBy(*keys, "lag").agg(F.corr("_a", "_b").alias("r"), F.count("*").alias("n"))
+
+
+def windowed_median(df: DataFrame, keys: list[str], value: str, window: float) -> DataFrame:
+    """``(keys, median)`` of the values within ``window`` of the median of all."""
+    mid = df.groupBy(*keys).agg(F.median(value).alias("_m"))
+    return df.join(mid, keys).where(F.abs(F.col(value) - F.col("_m")) <= window).groupBy(*keys).agg(F.median(value).alias("median"))

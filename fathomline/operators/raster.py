@@ -106,3 +106,63 @@ def rotated(grid: DataFrame, quarter_turns: int, rows: int, cols: int) -> DataFr
 
 def to_points(grid: DataFrame, x0: float, y0: float, dx: float, dy: float) -> DataFrame:
     return grid.where("value is not null").select((F.lit(x0) + F.col("col") * dx).alias("x"), (F.lit(y0) + F.col("row") * dy).alias("y"), "value")
+
+
+def decimated(grid: DataFrame, n: int) -> DataFrame:
+    """Each n-th row and column."""
+    return grid.where((F.col("row") % n == 0) & (F.col("col") % n == 0)).select((F.col("row") / n).cast("long").alias("row"), (F.col("col") / n).cast("long").alias("col"), "value")
+
+
+def combined(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
+    """``(row, col, value)``: the sum (``+``), difference (``-``) or product (``*``) of two rasters where both have cells."""
+    ops = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y}
+    if op not in ops:
+        raise ValueError("op is +, - or *")
+    both = a.select("row", "col", F.col("value").alias("_a")).join(b.select("row", "col", F.col("value").alias("_b")), ["row", "col"])
+    return both.select("row", "col", ops[op](F.col("_a"), F.col("_b")).alias("value"))
+
+
+def upsampled(grid: DataFrame) -> DataFrame:
+    """Twice the resolution: each cell's value at even places, means of the two or four cells around at odd ones, where all of them exist."""
+    share = grid.where("value is not null").select(F.col("row").alias("r"), F.col("col").alias("c"), "value", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("i"))
+    share = share.select("r", "c", "value", "i", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("j"))
+    to = share.select((2 * F.col("r") + F.col("i")).alias("row"), (2 * F.col("c") + F.col("j")).alias("col"), "value")
+    wanted = (1 + F.pmod(F.col("row"), F.lit(2))) * (1 + F.pmod(F.col("col"), F.lit(2)))
+    return to.groupBy("row", "col").agg(F.avg("value").alias("value"), F.count("*").alias("_n")).where(F.col("_n") == wanted).select("row", "col", "value")
+
+
+def rectified(points: DataFrame, dx: float, dy: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """``(row, col, value)``: points ``(x, y, value)`` of a regular lattice as cells; several in one cell give their mean."""
+    row, col = F.bround((F.col("y") - y0) / dy, 0).cast("long"), F.bround((F.col("x") - x0) / dx, 0).cast("long")
+    return points.groupBy(row.alias("row"), col.alias("col")).agg(F.avg("value").alias("value"))
+
+
+def nearest_cell(points: DataFrame, grid: DataFrame, pid: str = "pid") -> DataFrame:
+    """``(pid, value)`` of the nearest cell to points in cell coordinates; halves go down, as 0.49 and not 0.5 is added before the fraction is cut."""
+    at = points.select(pid, F.floor(F.col("y") + 0.49).alias("row"), F.floor(F.col("x") + 0.49).alias("col"))
+    return at.join(grid.select("row", "col", "value"), ["row", "col"], "left").select(pid, "value")
+
+
+def masked(grid: DataFrame, box: tuple[float, float, float, float], value: float | None = None, invert: bool = False) -> DataFrame:
+    """Cells outside ``(col, col, row, row)`` bounds, or with ``invert`` those inside, get ``value``."""
+    held = F.col("col").between(box[0], box[1]) & F.col("row").between(box[2], box[3])
+    return grid.select("row", "col", F.when(~held if invert else held, F.col("value")).otherwise(F.lit(value).cast("double")).alias("value"))
+
+
+def ordered_hits(rasters: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Rasters ``(name, priority, resolution, xmin, xmax, ymin, ymax)`` that touch a box, with their ``place`` by priority, resolution and name."""
+    hit = rasters.where((F.col("xmin") <= box[1]) & (F.col("xmax") >= box[0]) & (F.col("ymin") <= box[3]) & (F.col("ymax") >= box[2]))
+    return hit.withColumn("place", F.row_number().over(Window.orderBy("priority", "resolution", "name")) - 1)  # a row for each file
+
+
+def blended(layers: DataFrame) -> DataFrame:
+    """``(row, col, value)``: mean of overlapping layers ``(row, col, value, weight)`` by weight."""
+    ok = layers.where("value is not null and weight > 0")
+    return ok.groupBy("row", "col").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"))
+
+
+def growing_scale(points: DataFrame, sites: DataFrame, rate: float, pid: str = "pid") -> DataFrame:
+    """``(pid, value)``: the least over ``sites(x, y, value)`` of a site's value and ``rate - 1`` times the distance to it.  Sites are few and broadcast."""
+    s = F.broadcast(sites.agg(F.collect_list(F.struct("x", "y", "value")).alias("s")))  # one row
+    far = F.transform("s", lambda a: a["value"] + (rate - 1) * F.sqrt(F.pow(F.col("x") - a["x"], 2) + F.pow(F.col("y") - a["y"], 2)))
+    return points.join(s).select(pid, F.array_min(far).alias("value"))

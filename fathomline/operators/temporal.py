@@ -201,3 +201,67 @@ def dice_interval(df: DataFrame, start: str, end: str, seconds: float, overlap:
 def lagged(df: DataFrame, seconds: float, ts: str = "ts") -> DataFrame:
     """The series that many seconds later."""
     return df.withColumn(ts, from_micros(micros(F.col(ts)) + int(seconds * 1e6)))
+
+
+def increasing_times(df: DataFrame, keys: list[str], arrived: list[str], ts: str = "ts") -> DataFrame:
+    """Rows, in order of arrival, later than every one before: what requests that overlap have in common counts once."""
+    return select_increasing(df, keys, arrived, ts)
+
+
+def shifted(df: DataFrame, value: str, amplify: float = 1.0, delay_seconds: float = 0.0, offset: float = 0.0, centre: float = 0.0, ts: str = "ts") -> DataFrame:
+    """The series that many seconds later, stretched about ``centre`` and raised by ``offset``."""
+    return lagged(df, delay_seconds, ts).withColumn(value, (F.col(value) - centre) * amplify + centre + offset)
+
+
+def weighted_sum(series: dict[str, DataFrame], weights: dict[str, float], ts: str = "ts", value: str = "value") -> DataFrame:
+    """``(ts, value)``: the sum of several series by weight; a time that one lacks is an error, as are repeated ones."""
+    each = [df.select(F.col(ts).alias("ts"), (F.col(value) * float(weights[n])).alias("v")) for n, df in series.items()]
+    both = each[0]
+    for df in each[1:]:
+        both = both.unionByName(df)
+    lacks = F.raise_error(F.concat_ws(" ", F.lit("not all series have one value at"), F.col("ts").cast("string"))).cast("double")
+    return both.groupBy("ts").agg(F.when(F.count("*") == len(each), F.sum("v")).otherwise(lacks).alias("value")).select(F.col("ts").alias(ts), F.col("value").alias(value))
+
+
+def merged_gages(first: DataFrame, second: DataFrame, keys: list[str], amplify: float = 1.0, delay_seconds: float = 0.0, ts: str = "ts", value: str = "value") -> DataFrame:
+    """``(keys, ts, value)``: the first series, and where it has no value that of the second, shifted and stretched."""
+    own = first.select(*keys, ts, F.col(value).alias("_a"))
+    other = shifted(second, value, amplify, delay_seconds, ts=ts).select(*keys, ts, F.col(value).alias("_b"))
+    return own.join(other, [*keys, ts], "full").select(*keys, ts, F.coalesce("_a", "_b").alias(value))
+
+
+def padded_time(df: DataFrame, keys: list[str], seconds: float, ts: str = "ts") -> DataFrame:
+    """``df`` with its first row earlier and its last later by ``seconds``, values as they are."""
+    w, us = Window.partitionBy(*keys), micros(F.col(ts))
+    at = us - F.when(us == F.min(us).over(w), int(seconds * 1e6)).otherwise(0) + F.when(us == F.max(us).over(w), int(seconds * 1e6)).otherwise(0)
+    return df.withColumn(ts, from_micros(at))
+
+
+def regular(df: DataFrame, keys: list[str], seconds: float, value: str, longest: float | None = None, ts: str = "ts") -> DataFrame:
+    """``(keys, ts, value)`` each ``seconds`` from the first to the last sample, linear between samples; a gap of over ``longest`` seconds is an error."""
+    w = Window.partitionBy(*keys).orderBy(ts)
+    step = int(seconds * 1e6)
+    s = df.where(F.col(value).isNotNull()).select(*keys, micros(F.col(ts)).alias("_t"), F.col(value).cast("double").alias("_v"), micros(F.lead(ts).over(w)).alias("_n"), F.lead(value).over(w).cast("double").alias("_w"), F.min(micros(F.col(ts))).over(Window.partitionBy(*keys)).alias("_z"))
+    gap = F.col("_n") - F.col("_t")
+    if longest is not None:
+        s = s.withColumn("_n", F.when(gap > longest * 1e6, F.raise_error(F.lit("a gap of the series is too long")).cast("bigint")).otherwise(F.col("_n")))
+    first = F.ceil((F.col("_t") - F.col("_z")) / step)
+    last = F.when(F.col("_n").isNull(), F.floor((F.col("_t") - F.col("_z")) / step)).otherwise(F.ceil((F.col("_n") - F.col("_z")) / step) - 1)
+    s = s.where(last >= first).select("*", F.explode(F.sequence(first, last)).alias("_k")).withColumn("_at", F.col("_z") + F.col("_k") * step)
+    at = F.when(F.col("_n").isNull(), F.col("_v")).otherwise(F.col("_v") + (F.col("_w") - F.col("_v")) * (F.col("_at") - F.col("_t")) / F.nullif(F.col("_n") - F.col("_t"), F.lit(0)))
+    return s.select(*keys, from_micros(F.col("_at")).alias(ts), at.alias(value))
+
+
+def release_log(df: DataFrame, time: str, ids: list[str]) -> DataFrame:
+    """``(time, count, id_min, id_max ...)``: for each release time how many particles and the range of each of ``ids``."""
+    return df.groupBy(time).agg(F.count("*").alias("count"), *(f(c).alias(f"{c}_{n}") for c in ids for f, n in ((F.min, "min"), (F.max, "max"))))
+
+
+def downcasts(df: DataFrame, keys: list[str], order: str, z: str, surface: float, least: int = 10) -> DataFrame:
+    """``(keys, cast, start, end, n)``: runs of samples that sink below ``surface``, more than ``least`` long; runs that touch an end of the series are partial and left out."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    s = df.withColumn("_d", F.coalesce((F.lead(z).over(w) - F.col(z) < 0) & (F.col(z) < surface), F.lit(False)))
+    s = s.withColumns({"_new": F.when(F.lag("_d").over(w).eqNullSafe(F.col("_d")), 0).otherwise(1), "_end": F.lag(F.lit(1)).over(w).isNull() | F.lead(F.lit(1)).over(w).isNull()})
+    s = s.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_d")
+    runs = s.groupBy(*keys, "_g").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n"), F.max("_end").alias("_e")).where((F.col("n") > least) & ~F.col("_e"))
+    return runs.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("start")) - 1).alias("cast"), "start", "end", "n")
