@@ -126,6 +126,20 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP6_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+u as (select doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: {'i': i, 'g': array_to_string(w[i:i + 12], ' ')})) as x from d where len(w) >= 13),
+l as (select x.g as g, min(doc_id) as least from u group by 1),
+hit as (select doc_id, u.x.i as i from u join l on u.x.g = l.g where least < doc_id),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as p from hit),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (
+  select words.doc_id, count(*) as n_words, count(gone.p) as n_removed, string_agg(word, ' ' order by words.p) filter (gone.p is null) as kept
+  from words left join gone on words.doc_id = gone.doc_id and words.p = gone.p group by 1)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join kept using (doc_id)
+"""
+
+
 def _held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
 
@@ -166,4 +180,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
 }
 
-SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op8_mixing": OP8_SQL, "op10_topk": OP10_SQL}
+SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op10_topk": OP10_SQL}
