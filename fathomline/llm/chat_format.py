@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from fathomline.llm.words import passes, spread, text_bytes
 from fathomline.session import partitions_of
@@ -144,16 +145,15 @@ def digests(parts: DataFrame) -> DataFrame:
         yield batch([closed()] if now else [])
 
     kind = dict(parts.dtypes)["conv_id"]
+    own = to_arrow_type(parts.schema["conv_id"].dataType)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     types = [parts.schema["conv_id"].dataType, "bigint", "string", "bigint", "string", "bigint"]
     arrow = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def batch(done: list) -> pa.RecordBatch:
-        first = pa.array([r[0] for r in done], type=ARROW.get(kind, pa.string()))
+        first = pa.array([r[0] for r in done], type=own)
         return pa.RecordBatch.from_arrays([first, *(pa.array([r[k] for r in done], type=arrow[k]) for k in range(1, 6))], names)
 
     schema = ", ".join(f"{n} {kind if k == 0 else types[k]}" for k, n in enumerate(names))
     return parts.repartition("conv_id").sortWithinPartitions("conv_id", "first_turn", "seq").mapInArrow(run, schema)
 
-
-ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}

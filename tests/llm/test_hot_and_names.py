@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.llm import exact_dedup, mixing, queries, sharding, simhash
+from fathomline.llm import chat_format, exact_dedup, mixing, queries, sharding, simhash
 from fathomline.llm.hot import spread_join
 from tests.llm.test_operators import fingerprint
 
@@ -148,3 +148,13 @@ def test_mix_of_other_columns_repeated_rows_and_nulls(spark):
     drawn = want.select("doc_id", "text", "source", F.explode("mix_draws")).drop("col")
     assert sorted(map(repr, out.select("doc_id", "text", "source").collect())) == sorted(map(repr, drawn.collect()))
     assert mixing.mixed(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["binary", "string", "int", "decimal(5,1)", "date", "double"])
+def test_chats_of_any_id_type_and_other_columns(spark, kind):
+    rows = [(k % 3, t, r, x) for k in range(6) for t, r, x in [(k, "user", "a"), (k, "assistant", None)]] + [(None, 1, "assistant", "b"), (None, 1, "assistant", "b")]
+    talk = spark.createDataFrame(rows, "c int, turn long, role string, text string").withColumn("conv_id", F.col("c").cast("string").cast(kind) if kind != "date" else F.date_add(F.lit("2020-01-01").cast("date"), F.col("c")))
+    talk = talk.withColumns({c: F.lit("x") for c in ("conv", "seq", "n_turns", "formatted", "first_turn", "loss_start")})
+    got = chat_format.digests(chat_format.format_conversations(talk)).collect()
+    assert sorted((r["n_turns"], r["loss_chars"]) for r in got) == [(2, 2), (4, 0), (4, 0), (4, 0)]
+    assert sum(r["conv_id"] is None for r in got) == 1
