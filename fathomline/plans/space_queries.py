@@ -18,7 +18,7 @@ def points(spark: SparkSession, sf_dir: str, pid: str = "pid") -> DataFrame:
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return li.groupBy((F.col("l_partkey") % 40).alias("row"), (F.col("l_suppkey") % 30).alias("col")).agg(F.max("l_extendedprice").alias("value"))
+    return li.groupBy(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col")).agg(F.max("l_extendedprice").alias("value"))
 
 
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 _PTS = "select vec_id as pid, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y, cast(label as double) as f from embeddings"
-_GRID = "select l_partkey % 40 as row, l_suppkey % 30 as col, max(l_extendedprice) as value from lineitem group by 1, 2"
+_GRID = "select l_partkey as row, l_suppkey as col, max(l_extendedprice) as value from lineitem group by 1, 2"
 _RING = """o as (select l_orderkey as cell, l_partkey as node, row_number() over (partition by l_orderkey order by l_partkey) - 1 as pos, count(*) over (partition by l_orderkey) as n from (select distinct l_orderkey, l_partkey from lineitem)),
 ring as (select cell, pos, node from o where n >= 3),
 h as (select cell, pos, node as a, coalesce(lead(node) over (partition by cell order by pos), first_value(node) over (partition by cell order by pos)) as b from ring),
@@ -56,7 +56,7 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
 
 def _layers(s: SparkSession, d: str) -> DataFrame:
     li = table(s, d, "lineitem")
-    return li.groupBy((F.col("l_partkey") % 40).alias("row"), (F.col("l_suppkey") % 30).alias("col"), F.col("l_linenumber").alias("priority")).agg(F.max("l_quantity").alias("value"), (F.max("l_discount") * 5).alias("alpha"))
+    return li.groupBy(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col"), F.col("l_linenumber").alias("priority")).agg(F.max("l_quantity").alias("value"), (F.max("l_discount") * 5).alias("alpha"))
 
 
 def _transect(s: SparkSession, d: str) -> DataFrame:
@@ -117,7 +117,7 @@ Q = {
     ),
     "raster_composite": (
         lambda s, d: raster.composite(_layers(s, d)).withColumns({c: F.round(F.col(c) * 1.4142135623, 6) for c in ("value", "alpha")}),
-        """with recursive l as (select l_partkey % 40 as row, l_suppkey % 30 as col, l_linenumber as priority, max(l_quantity) as value, max(l_discount) * 5 as alpha from lineitem group by 1, 2, 3),
+        """with recursive l as (select l_partkey as row, l_suppkey as col, l_linenumber as priority, max(l_quantity) as value, max(l_discount) * 5 as alpha from lineitem group by 1, 2, 3),
         k as (select *, row_number() over (partition by row, col order by priority) as i, count(*) over (partition by row, col) as n from l),
         f as (select row, col, i, n, case when alpha > 1e-10 then value else 0 end as v, alpha as a from k where i = 1
           union all select k.row, k.col, k.i, k.n, case when f.a * (1 - k.alpha) + k.alpha > 1e-10 then (f.v * f.a * (1 - k.alpha) + k.value * k.alpha) / (f.a * (1 - k.alpha) + k.alpha) else 0 end, f.a * (1 - k.alpha) + k.alpha
@@ -126,7 +126,7 @@ Q = {
     ),
     "first_valid_layer": (
         lambda s, d: raster.first_valid(_layers(s, d)),
-        "select row, col, arg_min(value, priority) as value from (select l_partkey % 40 as row, l_suppkey % 30 as col, l_linenumber as priority, max(l_quantity) as value from lineitem group by 1, 2, 3) group by 1, 2",
+        "select row, col, arg_min(value, priority) as value from (select l_partkey as row, l_suppkey as col, l_linenumber as priority, max(l_quantity) as value from lineitem group by 1, 2, 3) group by 1, 2",
     ),
     "label_average": (
         lambda s, d: r6(raster.average_by_label(grid(s, d).withColumn("value", F.when(F.col("row") % 5 != 0, F.col("value"))), grid(s, d).withColumn("label", (F.col("row") + F.col("col")) % 9)), "value"),

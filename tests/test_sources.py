@@ -3,6 +3,7 @@ import datetime
 import pytest
 
 from fathomline.operators import metrics as M
+from fathomline.sources import observations
 from fathomline.sources import text as X
 from fathomline.streaming import series as V
 from pyspark.sql import functions as F
@@ -68,3 +69,22 @@ def test_stream_across_batches(spark, tmp_path):
     got = run(V.sign_windows(source, "k", "v", -1.0, 1.0), "signs")
     assert sorted(got) == [(1, -1, at(3), at(6), 3), (1, 1, at(0), at(2), 3), (1, 1, at(7), at(8), 2)]
     assert len(run(V.drop_repeats(source, ["k"], "30 days"), "once")) == 1
+
+
+def test_positions_and_local_times(spark):
+    lines = spark.createDataFrame([("$GPGGA,005744.000,0721.1657,N,08159.6998,W,2,11,0.8,20.7,M,3.1,M,0.8,0000*6C",), ("$GPGGA,005744.000,0721.1657,N,08159.6998,W,2,11,0.8,20.7,M,3.1,M,0.8,0000*6D",), ("noise",)], "value string")
+    got = observations.fixes(lines).collect()
+    assert len(got) == 1 and got[0]["kind"] == "GGA" and abs(got[0]["lat"] - (7 + 21.1657 / 60)) < 1e-9 and abs(got[0]["lon"] + 81 + 59.6998 / 60) < 1e-9
+    times = ["2023-11-05 00:30", "2023-11-05 01:30", "2023-11-05 02:30", "2023-07-01 12:00"]
+    df = observations.local_series(spark.createDataFrame([(t,) for t in times], "t string"), "t", "America/Los_Angeles")
+    assert [None if r["ts"] is None else r["ts"].strftime("%m-%d %H:%M") for r in df.collect()] == ["11-05 07:30", None, "11-05 10:30", "07-01 19:00"]
+    assert abs(spark.range(1).select(observations.salinity(F.lit(53087.0))).first()[0] - 35.0) < 0.05
+
+
+def test_wind_answers_and_midnight(spark):
+    said = '{"metadata": {"id": "9"}, "data": [{"t": "1996-02-20 01:18", "s": "2.5", "d": "", "g": "3", "f": "1,1"}]}'
+    r = observations.station_readings(spark.createDataFrame([(1, said)], "k int, j string"), "j", ["k"], wind=True).first()
+    assert (r["station"], r["speed"], r["direction"], r["gust"]) == ("9", 2.5, None, 3.0)
+    day = '{"Data": {"Providers": [{"Records": [{"Date": "2020-02-29", "Hour": "2400", "Station": "5", "HlyEto": {"Value": "x", "Qc": "A"}}]}]}}'
+    r = observations.weather_records(spark.createDataFrame([(day,)], "j string"), "j", ["HlyEto"]).first()
+    assert str(r["ts"]) == "2020-03-01 00:00:00" and r["HlyEto"] is None and r["HlyEto_qc"] == "A"
