@@ -25,6 +25,8 @@ from fathomline.llm.words import Words, mix64, passes, split, spread, strings, x
 from fathomline.session import partitions_of
 
 ROUNDS, LONG = 3, 4
+#: Text bytes of a bucket of documents, on average.
+BUCKET = 16 << 20
 NONE = np.iinfo(np.int64).max
 
 
@@ -106,15 +108,15 @@ def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     words also start in a text of a smaller id.  Windows are judged on the input.  ``kept`` is the words that
     stay, joined by one space.  Null text has no words; rows without an id lose nothing and are nobody's
     source; rows that share an id are never each other's source; texts shorter than a window stay whole; an
-    empty table gives no rows; other columns are not read.  Each bucket of documents must fit a task, so
-    ``spark.sql.shuffle.partitions`` should grow with the input as usual.
+    empty table gives no rows; other columns are not read.  Documents are dealt by a hash of id and text to buckets of
+    about BUCKET bytes, how many is counted first, and names to as many slices; a task holds one of them.
     """
     if window < 11:
         raise ValueError("anchors need windows of 11 words or more")
-    n = slices = partitions_of(docs.sparkSession)
     size = window - LONG + 1
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("bucket", F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(n)).cast("int"))
+    n = slices = max(partitions_of(docs.sparkSession), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
     bucketed = rows.groupBy("bucket")
 
     def name_anchors(key: tuple, held: pa.Table) -> pa.Table:

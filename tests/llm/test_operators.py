@@ -168,7 +168,7 @@ def test_allotment_covers_and_adapts():
         assert sum(t for _, t in plan) == 2 - len(plan) + 1
 
 
-def test_repeated_passages(docs):
+def test_repeated_passages(docs, monkeypatch):
     rows = [(r[0], re.findall(WORD, r[1] or "")) for r in corpus()]
     least = {}
     for i, w in rows:
@@ -182,8 +182,10 @@ def test_repeated_passages(docs):
             if i is not None and least[tuple(w[s : s + 13])] < i:
                 gone[s : s + 13] = [True] * 13
         want.append((str(i), len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
-    got = [(str(r["id"]), r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.without_repeats(docs).collect()]
-    assert sorted(got) == sorted(want)
+    for bucket in (16 << 20, 5_000):
+        monkeypatch.setattr(substring_dedup, "BUCKET", bucket)
+        got = [(str(r["id"]), r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.without_repeats(docs).collect()]
+        assert sorted(got) == sorted(want)
 
 
 def test_exact_groups(docs):
