@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.words import Words, mix64, passes, split, spread, strings, xxh64
+from fathomline.llm.words import Words, give_back, mix64, passes, split, spread, strings, xxh64
 from fathomline.session import partitions_of
 
 ROUNDS, LONG = 3, 4
@@ -88,9 +88,11 @@ def _texts(held: pa.Table):
     if isinstance(texts, pa.ChunkedArray):
         texts, ids = pa.concat_arrays(texts.chunks), pa.concat_arrays(ids.chunks)
     ids = ids.fill_null(NONE).to_numpy(zero_copy_only=False)
+    give_back()  # what the bucket before has left
     for a, b in passes(texts):
         w = split(texts[a:b])
         yield w, xxh64(w.buf, w.start, w.end), ids[a:b]
+    give_back()
 
 
 def _dealt(slices: int, key: np.ndarray, **columns: np.ndarray) -> list[tuple[int, dict[str, np.ndarray]]]:
@@ -141,6 +143,7 @@ def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     asked = bucketed.applyInArrow(name_anchors, "slice int, bucket int, names binary")
 
     def shared_anchors(rows: pa.Table) -> pa.Table:
+        give_back()
         lists = [_eight(b) for b in rows["names"].to_pylist()]
         name = np.concatenate(lists)
         owner = np.repeat(rows["bucket"].to_numpy(), [len(x) for x in lists])
@@ -194,6 +197,7 @@ def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     windows = bucketed.cogroup(shared.groupBy("bucket")).applyInArrow(name_windows, "slice int, bucket int, one binary, two binary, least binary, many binary")
 
     def least_owners(rows: pa.Table) -> pa.Table:
+        give_back()
         one, two, least, many = (np.concatenate([np.frombuffer(b, t) for b in rows[c].to_pylist()]) for c, t in (("one", np.uint64), ("two", np.uint64), ("least", np.int64), ("many", bool)))
         owner = np.repeat(rows["bucket"].to_numpy(), [len(b) // 8 for b in rows["one"].to_pylist()])
         order = np.lexsort((least, two, one))
