@@ -38,8 +38,6 @@ TEMPLATES = [
 TEXTS = Path(__file__).parent / "licence_texts"
 #: The licences that SPDX identifiers name; those of the GNU licences can say which versions follow.
 SPDX = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0"]
-#: Texts, blocks, sentences and lines with such a word are held to the templates.
-CUE = r"(?i)licen[sc]e|copyright|permission is hereby|redistribution and use|spdx"
 SALTS = 16
 #: An SPDX identifier is one term with its tag, so an unknown one is like no other.
 TAG = r"spdx-license-identifier:\s*\(*"
@@ -54,12 +52,11 @@ def terms(text: Column) -> Column:
 
 
 def units(text: Column) -> Column:
-    """What of a text is held to templates: the whole, and its blocks, sentences, lines and SPDX identifiers with a cue, each once."""
-    cued = lambda parts: F.filter(parts, lambda x: x.rlike(CUE))
-    blocks = cued(F.split(text, GAP))
+    """What of a text is held to templates: the whole, and its blocks, sentences, lines and SPDX identifiers, each once."""
+    blocks = F.split(text, GAP)
     joined = F.transform(blocks, lambda x: F.regexp_replace(x, r"\n[^\p{L}\p{N}\n]*", " "))
-    sentences = cued(F.flatten(F.transform(joined, lambda x: F.split(x, r"(?<=[.!?])\s+"))))
-    lines = cued(F.flatten(F.transform(blocks, lambda x: F.split(x, "\n"))))
+    sentences = F.flatten(F.transform(joined, lambda x: F.split(x, r"(?<=[.!?])\s+")))
+    lines = F.flatten(F.transform(blocks, lambda x: F.split(x, "\n")))
     tags = F.regexp_extract_all(text, F.lit("(?i)" + TAG + "[a-z0-9]+(?:[.+-]+[a-z0-9]+)*\\+?"), F.lit(0))
     return F.array_distinct(F.concat(F.array(text), blocks, sentences, lines, tags))
 
@@ -74,31 +71,65 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("string").cast("binary"), 256))
 
 
+def telling(goal: DataFrame, least: float) -> DataFrame:
+    """``(template, term, share, rest)``: the terms by which a template is found, their shares of its squared length, and the share of the others.
+
+    The others are a template's most frequent terms in the corpus, as many as hold half of ``least`` squared.
+    """
+    share = goal.select("template", "term", "n", (F.col("w") * F.col("w") / (F.col("length") * F.col("length"))).alias("share"))
+    often = Window.partitionBy("template").orderBy(F.desc("n"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    share = share.withColumn("light", F.sum("share").over(often) <= least * least / 2)
+    rest = share.where("light").groupBy("template").agg(F.sum("share").alias("rest"))
+    return share.where("not light").join(rest, "template", "left").select("template", "term", "share", F.coalesce("rest", F.lit(0.0)).alias("rest"))
+
+
+def hopeful(parts: DataFrame, tell: DataFrame, least: float) -> DataFrame:
+    """The ``key`` of each of ``parts(key, said)`` that may reach a cosine of ``least``, and few others.
+
+    By Cauchy and Schwarz a cosine is at most the root of the share of a template's squared length in the terms that
+    the part holds, and the part holds at most ``rest`` of it in terms that don't tell.
+    """
+    has = parts.select("key", F.explode(F.array_distinct(terms(F.col("said")))).alias("term"))
+    has = has.join(F.broadcast(tell), "term").select("key", "template", "term", "share", "rest").distinct()
+    bound = has.groupBy("key", "template").agg((F.sum("share") + F.first("rest")).alias("bound"))
+    return bound.where(F.col("bound") >= (least - 1e-5) ** 2).select("key").distinct()
+
+
 def scored(files: DataFrame, known: DataFrame, text_col: str = "text", least: float = 0.6) -> DataFrame:
     """``(digest, own_licence, own_score)``: of distinct texts those with a unit whose cosine to a template is ``least`` or more.
 
     A unit is the whole text, or a block, sentence, line or SPDX identifier of it, see ``units``.  Its vector has term
     counts times ln((files + 1) / (files with the term + 1)) + 1.  Counts cover every term of the units and templates
     over the whole texts of all files, so a unit is judged alike in a small and in a large corpus of the same kind.  The best unit
-    and template of a text count, equal ones by the first licence by name.  A text that declares a licence says so with a
-    cue, so others have none; null texts have no units.  The templates are a fixed few, so their vectors are broadcast;
-    units meet the counts by term and salt, as a third of all units may hold one term.
+    and template of a text count, equal ones by the first licence by name; null texts have no units.  Texts and then units
+    that a bound on the cosine rules out are left aside, which loses none, see ``hopeful``; a unit's terms are all among its
+    text's, but for SPDX identifiers that a line ends before, so texts with such a tag stay.  The templates are a fixed few, so their
+    vectors are broadcast; units meet the counts by term and salt, as a third of all units may hold one term.
     """
+    if not 0 < least <= 1:
+        raise ValueError("least must be over 0 and at most 1")
     word = known.select("template", "licence", F.explode(terms(F.col("statement"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
     rows = files.select(F.col(text_col).cast("string").alias("text"))
     total = rows.count()
     weight = lambda n: F.log((F.lit(total) + 1) / (n + 1)) + 1
-    cued = rows.where(F.col("text").rlike(CUE)).groupBy(text_key(F.col("text")).alias("id")).agg(F.first("text").alias("text"))  # each text once
-    unit = cued.select("id", F.posexplode(units(F.col("text"))).alias("unit", "said"))
-    unit = unit.select("id", F.struct(F.xxhash64("said"), "unit", F.crc32("said")).alias("unit"), F.explode(terms(F.col("said"))).alias("term"))
-    unit = saved(unit.groupBy("id", "unit", "term").agg(F.count("*").alias("tf")))
-    wanted = unit.select("term").union(word.select("term")).distinct()
-    seen = rows.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    idf = wanted.join(seen.join(wanted, "term", "left_semi"), "term", "left").select("term", weight(F.coalesce("n", F.lit(0))).alias("idf"))
-    idf = saved(idf)
-    goal = word.join(idf, "term").select("template", "licence", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    n = F.coalesce("n", F.lit(0))
+    seen = rows.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    held = seen.join(F.broadcast(word.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    goal = word.join(held, "term", "left").select("template", "licence", "term", n.alias("n"), (F.col("tf") * weight(n)).alias("w"))
     goal = saved(goal.join(goal.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length")), "template"))
-    dealt = idf.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tell = saved(telling(goal, least))
+    keyed = rows.where("text is not null").select(text_key(F.col("text")).alias("key"), F.col("text").alias("said"))
+    tagged = keyed.where(F.col("said").rlike("(?i)" + TAG)).select("key")
+    likely = saved(hopeful(keyed, tell, least).union(tagged).distinct())
+    likely = keyed.join(likely, "key", "left_semi").groupBy("key").agg(F.first("said").alias("text"))  # each text once
+    unit = likely.select("key", F.posexplode(units(F.col("text"))).alias("unit", "said"))
+    unit = saved(unit.select(F.struct("key", F.xxhash64("said"), "unit", F.crc32(F.col("said").cast("binary"))).alias("key"), "said"))
+    unit = unit.join(hopeful(unit, tell, least), "key", "left_semi")
+    unit = unit.select(F.col("key.key").alias("id"), F.col("key").alias("unit"), F.explode(terms(F.col("said"))).alias("term"))
+    unit = saved(unit.groupBy("id", "unit", "term").agg(F.count("*").alias("tf")))
+    wanted = unit.select("term").distinct()
+    idf = wanted.join(seen.groupBy("term").agg(F.count("*").alias("n")).join(wanted, "term", "left_semi"), "term", "left").select("term", weight(n).alias("idf"))
+    dealt = saved(idf).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     unit = unit.withColumn("salt", F.pmod(F.xxhash64("id", "unit"), F.lit(SALTS)).cast("int")).join(dealt, ["term", "salt"])
     unit = unit.select("id", "unit", "term", (F.col("tf") * F.col("idf")).alias("v"))
     length = unit.groupBy("id", "unit").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("own"), F.collect_list(F.struct("term", "v")).alias("has"))

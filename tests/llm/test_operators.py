@@ -375,14 +375,13 @@ def test_licence_query_is_brute_force(spark):
     length = lambda v: math.sqrt(sum(x * x for x in v.values()))
     known = [(r["licence"], weigh(r["statement"])) for r in licences.templates(spark).collect()]
     known = [(name, v, length(v)) for name, v in known]
-    cue = re.compile(licences.CUE[4:], re.I)
 
     def own(text):
-        if not text or not cue.search(text):
+        if not text:
             return None
-        units, blocks = {text}, [b for b in re.split(r"\n[\W_]*\n", text) if cue.search(b)]
-        units |= set(blocks) | {x for b in blocks for x in b.split("\n") if cue.search(x)}
-        units |= {x for b in blocks for x in re.split(r"(?<=[.!?])\s+", re.sub(r"\n(?:(?!\n)[\W_])*", " ", b)) if cue.search(x)}
+        units, blocks = {text}, re.split(r"\n[\W_]*\n", text)
+        units |= set(blocks) | {x for b in blocks for x in b.split("\n")}
+        units |= {x for b in blocks for x in re.split(r"(?<=[.!?])\s+", re.sub(r"\n(?:(?!\n)[\W_])*", " ", b))}
         units |= {m[0] for m in re.finditer("(?i)" + licences.TAG + r"[a-z0-9]+(?:[.+-]+[a-z0-9]+)*\+?", text)}
         best = []
         for u in units:
@@ -421,6 +420,15 @@ def test_a_licence_line_is_found_alike_in_corpora_of_two_sizes(spark):
     assert abs(small["own_score"] - large["own_score"]) < 0.05
 
 
+def test_a_licence_without_a_usual_word_is_found(spark):
+    """A passage of the MIT licence that names neither licence nor copyright, and an identifier on the line after its tag."""
+    passage = licences.TEXTS.joinpath("MIT.txt").read_text().split("\n\n")[3].replace("\n", " ").replace("COPYRIGHT HOLDERS", "OWNERS")
+    assert not re.search("licen[sc]e|copyright", passage, re.I)
+    texts = [passage, "# SPDX-License-Identifier:\n# MIT", "plain words", "", None, *["the words and the others of a text"] * 30]
+    found = licences.scanned(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), licences.templates(spark)).collect()
+    assert {r["id"]: r["own_licence"] for r in found} == {0: "MIT", 1: "MIT"}
+
+
 def test_licence_files_wrapped_headers_and_spdx(spark):
     full = {p.stem: p.read_text() for p in licences.TEXTS.glob("*.txt")}
     said = {name: f"Copyright 2020 Jane Doe and the others\n\n{text}" for name, text in full.items()}
