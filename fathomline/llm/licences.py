@@ -5,6 +5,8 @@ DataFrame operations only.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -72,27 +74,44 @@ def text_key(text: Column) -> Column:
 
 
 def telling(goal: DataFrame, least: float) -> DataFrame:
-    """``(template, term, share, rest)``: the terms by which a template is found, their shares of its squared length, and the share of the others.
+    """``(template, rest, tell)``: the terms by which a template is found with their shares of its squared length, and the share of the others.
 
     The others are a template's most frequent terms in the corpus, as many as hold half of ``least`` squared.
     """
     share = goal.select("template", "term", "n", (F.col("w") * F.col("w") / (F.col("length") * F.col("length"))).alias("share"))
     often = Window.partitionBy("template").orderBy(F.desc("n"), "term").rowsBetween(Window.unboundedPreceding, 0)
-    share = share.withColumn("light", F.sum("share").over(often) <= least * least / 2)
-    rest = share.where("light").groupBy("template").agg(F.sum("share").alias("rest"))
-    return share.where("not light").join(rest, "template", "left").select("template", "term", "share", F.coalesce("rest", F.lit(0.0)).alias("rest"))
+    light = F.sum("share").over(often) <= least * least / 2
+    tell = F.collect_list(F.when(~F.col("light"), F.struct("term", "share"))).alias("tell")
+    return share.withColumn("light", light).groupBy("template").agg(F.sum(F.when(F.col("light"), F.col("share")).otherwise(0.0)).alias("rest"), tell)
 
 
-def hopeful(parts: DataFrame, tell: DataFrame, least: float) -> DataFrame:
-    """The ``key`` of each of ``parts(key, said)`` that may reach a cosine of ``least``, and few others.
+def hopeful(tell: DataFrame, least: float) -> Callable[[Column], Column]:
+    """A condition on a text or unit: it may reach a cosine of ``least``; few others fulfil it.
 
     By Cauchy and Schwarz a cosine is at most the root of the share of a template's squared length in the terms that
-    the part holds, and the part holds at most ``rest`` of it in terms that don't tell.
+    the text holds, and a text holds at most ``rest`` of it in terms that don't tell.  The terms of the templates are
+    a fixed few, so they are literals of the plan and each row is judged where it is, without a shuffle.
     """
-    has = parts.select("key", F.explode(F.array_distinct(terms(F.col("said")))).alias("term"))
-    has = has.join(F.broadcast(tell), "term").select("key", "template", "term", "share", "rest").distinct()
-    bound = has.groupBy("key", "template").agg((F.sum("share") + F.first("rest")).alias("bound"))
-    return bound.where(F.col("bound") >= (least - 1e-5) ** 2).select("key").distinct()
+    found = tell.collect()
+    shares: dict[str, list[dict]] = {}
+    for k, row in enumerate(found):
+        for term, share in row.tell:
+            shares.setdefault(term, []).append({"k": k, "share": share})
+    if not shares:
+        return lambda text: F.lit(False)
+    of_term = F.from_json(F.lit(json.dumps(shares)), "map<string, array<struct<k: int, share: double>>>")
+    rest = F.array(*[F.lit(float(row.rest)) for row in found])
+    goal = (least - 1e-5) ** 2
+
+    def added(sums: Column, one: Column) -> Column:
+        return F.transform(sums, lambda x, k: F.when(k == one["k"], x + one["share"]).otherwise(x))
+
+    def condition(text: Column) -> Column:
+        telling = F.filter(F.array_distinct(terms(text)), lambda x: x.isin(list(shares)))
+        held = F.flatten(F.transform(telling, lambda x: F.element_at(of_term, x)))
+        return F.exists(F.aggregate(held, rest, added), lambda x: x >= goal)
+
+    return condition
 
 
 def scored(files: DataFrame, known: DataFrame, text_col: str = "text", least: float = 0.6) -> DataFrame:
@@ -117,15 +136,11 @@ def scored(files: DataFrame, known: DataFrame, text_col: str = "text", least: fl
     held = seen.join(F.broadcast(word.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     goal = word.join(held, "term", "left").select("template", "licence", "term", n.alias("n"), (F.col("tf") * weight(n)).alias("w"))
     goal = saved(goal.join(goal.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length")), "template"))
-    tell = saved(telling(goal, least))
-    keyed = rows.where("text is not null").select(text_key(F.col("text")).alias("key"), F.col("text").alias("said"))
-    tagged = keyed.where(F.col("said").rlike("(?i)" + TAG)).select("key")
-    likely = saved(hopeful(keyed, tell, least).union(tagged).distinct())
-    likely = keyed.join(likely, "key", "left_semi").groupBy("key").agg(F.first("said").alias("text"))  # each text once
-    unit = likely.select("key", F.posexplode(units(F.col("text"))).alias("unit", "said"))
-    unit = saved(unit.select(F.struct("key", F.xxhash64("said"), "unit", F.crc32(F.col("said").cast("binary"))).alias("key"), "said"))
-    unit = unit.join(hopeful(unit, tell, least), "key", "left_semi")
-    unit = unit.select(F.col("key.key").alias("id"), F.col("key").alias("unit"), F.explode(terms(F.col("said"))).alias("term"))
+    may = hopeful(telling(goal, least), least)
+    likely = rows.where(F.col("text").rlike("(?i)" + TAG) | may(F.col("text")))
+    likely = likely.groupBy(text_key(F.col("text")).alias("id")).agg(F.first("text").alias("text"))  # each text once
+    unit = likely.select("id", F.posexplode(units(F.col("text"))).alias("unit", "said")).where(may(F.col("said")))
+    unit = unit.select("id", F.struct(F.xxhash64("said"), "unit", F.crc32(F.col("said").cast("binary"))).alias("unit"), F.explode(terms(F.col("said"))).alias("term"))
     unit = saved(unit.groupBy("id", "unit", "term").agg(F.count("*").alias("tf")))
     wanted = unit.select("term").distinct()
     idf = wanted.join(seen.groupBy("term").agg(F.count("*").alias("n")).join(wanted, "term", "left_semi"), "term", "left").select("term", weight(n).alias("idf"))
