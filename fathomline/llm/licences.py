@@ -63,10 +63,14 @@ def units(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(text), blocks, sentences, lines, tags))
 
 
-def templates(spark: SparkSession) -> DataFrame:
+def statements() -> list[tuple[str, str]]:
+    """Licences and what declares them: short statements, SPDX identifiers and whole licences."""
     tags = [(name, f"SPDX-License-Identifier: {name}{end}") for name in SPDX for end in (["", "-only", "-or-later", "+"] if "GPL" in name else [""])]
-    whole = [(p.stem, p.read_text()) for p in sorted(TEXTS.glob("*.txt"))]
-    return spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(TEMPLATES + tags + whole)], "template int, licence string, statement string")
+    return TEMPLATES + tags + [(p.stem, p.read_text()) for p in sorted(TEXTS.glob("*.txt"))]
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(statements())], "template int, licence string, statement string")
 
 
 def text_key(text: Column) -> Column:

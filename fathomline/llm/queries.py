@@ -11,6 +11,7 @@ from fathomline.llm.bpe import encoded
 from fathomline.llm.chat_format import digests, format_conversations
 from fathomline.llm.exact_dedup import exact_groups
 from fathomline.llm.language_id import learned, predicted
+from fathomline.llm.licence_sql import licence_sql
 from fathomline.llm.licences import licensed, templates
 from fathomline.llm.mixing import mix
 from fathomline.llm.sharding import sharded
@@ -180,4 +181,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
 }
 
-SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op10_topk": OP10_SQL}
+SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op9_licences": licence_sql(), "op10_topk": OP10_SQL}
