@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.operators.graph import components
-from fathomline.operators.mesh import cell_geometry, cell_neighbours, edge_geometry, half_edges
+from fathomline.operators.mesh import cell_geometry, cell_neighbours, edge_geometry, half_edges, perot
 from fathomline.operators.spatial import knn, points_in_polygons, within_radius
 from fathomline.session import saved
 
@@ -138,6 +138,11 @@ def edge_slopes(edges: DataFrame, cell_nodes: DataFrame, nodes: DataFrame, value
     return e.select("n1", "n2", F.coalesce((F.col("r_value") - F.col("l_value")) / far, F.lit(0.0)).alias("value"))
 
 
+def cell_gradient(edges: DataFrame, cell_nodes: DataFrame, nodes: DataFrame, values: DataFrame) -> DataFrame:
+    """``(cell, u, v)``: the gradient of ``values(cell, value)``: slopes across edges as normal components, see ``mesh.perot``; edges without two values have slope 0."""
+    return perot(cell_nodes, nodes, edges, edge_slopes(edges, cell_nodes, nodes, values))
+
+
 def contour_edges(edges: DataFrame, values: DataFrame, level: float) -> DataFrame:
     """``(n1, n2)`` of the edges between a cell below a level and one at or above it."""
     v = values.select("cell", F.col("value").alias("v"))
