@@ -222,3 +222,27 @@ def polygon_circumcentre(cell_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
         three = three.join(nodes.select(F.col("node").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y")), n)
     x, y = circumcentre(*(F.col(f"{n}{k}") for n in "abc" for k in "xy"))
     return three.select("cell", x.alias("x"), y.alias("y")).groupBy("cell").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+def circumcentre_errors(cell_nodes: DataFrame, nodes: DataFrame, by_radius: bool = False) -> DataFrame:
+    """``(cell, error)``: population deviation of the distances from ``polygon_circumcentre`` to a cell's nodes, ``by_radius`` over their mean; 0 for triangles."""
+    far = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
+    centre = polygon_circumcentre(cell_nodes, nodes).select("cell", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    each = cell_nodes.select("cell", "node").join(nodes.select("node", "x", "y"), "node").join(centre, "cell").select("cell", far.alias("_d"))
+    error = F.stddev_pop("_d") / F.avg("_d") if by_radius else F.stddev_pop("_d")
+    return each.groupBy("cell").agg(F.when(F.count("*") > 3, error).otherwise(0.0).alias("error"))
+
+
+def edge_clearance(edges: DataFrame, cell_nodes: DataFrame, nodes: DataFrame, both: bool = False, least_area: float = 1e-5) -> DataFrame:
+    """``(n1, n2, clearance)``: how far the circumcentres of an edge's cells lie on their own side of the edge's centre, over the root of their areas.
+
+    The smaller of the two, and at the boundary that of the only cell; with ``both`` the mean of the two, null at the boundary.
+    Areas count as at least ``least_area``.
+    """
+    size = cell_geometry(cell_nodes, nodes).select("cell", F.sqrt(F.greatest("area", F.lit(least_area))).alias("size"))
+    c = polygon_circumcentre(cell_nodes, nodes).join(size, "cell")
+    a, b = (c.select(F.col("cell").alias(s), *(F.col(x).alias(f"_{s}_{x}") for x in ("x", "y", "size"))) for s in ("left", "right"))
+    e = edge_geometry(edges, nodes).join(a, "left", "left").join(b, "right", "left")
+    own = lambda s, sign: sign * ((F.col(f"_{s}_x") - F.col("ex")) * F.col("nx") + (F.col(f"_{s}_y") - F.col("ey")) * F.col("ny")) / F.col(f"_{s}_size")
+    left, right = own("left", -1), own("right", 1)
+    return e.select("n1", "n2", ((left + right) / 2 if both else F.least(left, right)).alias("clearance"))

@@ -166,3 +166,30 @@ def growing_scale(points: DataFrame, sites: DataFrame, rate: float, pid: str = "
     s = F.broadcast(sites.agg(F.collect_list(F.struct("x", "y", "value")).alias("s")))  # one row
     far = F.transform("s", lambda a: a["value"] + (rate - 1) * F.sqrt(F.pow(F.col("x") - a["x"], 2) + F.pow(F.col("y") - a["y"], 2)))
     return points.join(s).select(pid, F.array_min(far).alias("value"))
+
+
+#: The steps from a cell to a neighbour of a graph, by degree: two ends, then the other cells that must have values too.
+STEPS = {
+    4: [((0, 0), (1, 0)), ((0, 0), (0, 1))],
+    8: [((0, 0), (1, 1), (0, 1), (1, 0)), ((0, 1), (1, 0), (0, 0), (1, 1))],
+    16: [((0, 0), (2, 1), (1, 0), (1, 1)), ((0, 1), (2, 0), (1, 0), (1, 1)), ((0, 0), (1, 2), (0, 1), (1, 1)), ((0, 2), (1, 0), (0, 1), (1, 1))],
+}
+
+
+def cell_edges(grid: DataFrame, degree: int = 8, highest: float | None = None, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
+    """``(a_row, a_col, b_row, b_col, length, value)``: a raster as a graph: links of cells that have values, none of them above ``highest``.
+
+    Degree 4 links the next cells in rows and columns, 8 diagonals too, 16 also the jumps of a knight.  All cells that a link
+    touches have values, and their mean is the link's.  Each cell deals itself to the links that it can be part of, so one
+    aggregation finds them all.
+    """
+    steps = [s for d in STEPS if d <= degree for s in STEPS[d]]
+    parts = [(k, r, c) for k, cells in enumerate(steps) for r, c in cells]
+    deal = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(r).alias("r"), F.lit(c).alias("c")) for k, r, c in parts))).alias("_p")
+    held = grid.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.lit(True) if highest is None else F.col("value") <= highest))
+    each = held.select("row", "col", "value", deal).groupBy((F.col("row") - F.col("_p.r")).alias("_r"), (F.col("col") - F.col("_p.c")).alias("_c"), F.col("_p.k").alias("_k"))
+    found = each.agg(F.avg("value").alias("value"), F.count("*").alias("_n"))
+    ends = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("n", "ar", "ac", "br", "bc"), (len(s), *s[0], *s[1]), strict=True))) for s in steps))
+    found = found.withColumn("_e", F.get(ends, F.col("_k"))).where("_n = _e.n")
+    length = F.sqrt(F.pow((F.col("_e.br") - F.col("_e.ar")) * dy, 2) + F.pow((F.col("_e.bc") - F.col("_e.ac")) * dx, 2))
+    return found.select(*((F.col(f"_{k[-1]}") + F.col(f"_e.{k}")).alias(n) for k, n in (("ar", "a_row"), ("ac", "a_col"), ("br", "b_row"), ("bc", "b_col"))), length.alias("length"), "value")

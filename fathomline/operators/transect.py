@@ -101,3 +101,16 @@ def casts_to_transect(casts: DataFrame, station: str, distance: str, depth: str)
 def averaged(transects: DataFrame, value: str) -> DataFrame:
     """``(sample, layer, value, n)``: mean over transects of one grid, missing cells left out."""
     return transects.groupBy("sample", "layer").agg(F.avg(value).alias(value), F.count(value).alias("n"))
+
+
+def secondary_strength(t: DataFrame, value: str, order: str, keys: list[str], sign: float = 1.0) -> DataFrame:
+    """``(keys, strength)``: mean sideways velocity of a column's upper bins, of as many bins as have a negative one, counted along ``order``; 0 if none has.
+
+    Null, not-a-number and zero-thickness bins don't count.  Give ``sign=-1`` where ``order`` runs up from the bed.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys)
+    s = t.withColumn("_v", F.when(F.col(value).isNotNull() & ~F.isnan(value) & (F.col("dz") != 0), F.col(value)))
+    s = s.withColumn("_m", F.count_if(F.col("_v") < 0).over(w)).withColumn("_i", F.count("_v").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    return s.groupBy(*keys).agg(F.coalesce(sign * F.avg(F.when(F.col("_i") <= F.col("_m"), F.col("_v"))), F.lit(0.0)).alias("strength"))

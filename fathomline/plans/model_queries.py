@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import time as T
-from fathomline.operators import mesh_joins, spectra
+from fathomline.operators import mesh_joins, raster, spectra, transect
 from fathomline.plans.more_queries import _LAT, _cell_values, _lat
 from fathomline.plans.series_queries import events, r6, table
+from fathomline.plans.space_queries import _GRID, grid
 from fathomline.sources import models
 
 LAG, BINS = 6, 16
@@ -60,6 +61,24 @@ def _three_files(s: SparkSession, d: str) -> DataFrame:
     return r6(found.join(inner, "cell").join(c, "cell").select("cell", "corners", "places", "x", "sides", "cx", "cy"), "x")
 
 
+def _errors(s: SparkSession, d: str) -> DataFrame:
+    nodes, ring, _ = _lat(s, d)
+    return r6(mesh_joins.circumcentre_errors(ring, nodes), "error")
+
+
+def _clearance(s: SparkSession, d: str) -> DataFrame:
+    nodes, ring, edges = _lat(s, d)
+    return r6(mesh_joins.edge_clearance(edges, ring, nodes), "clearance")
+
+
+def _secondary(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max((F.col("l_quantity") - 25) * 1.4142135623).alias("v"), F.lit(0.5).alias("dz"))
+    return r6(transect.secondary_strength(t, "v", "l_linenumber", ["l_orderkey"]), "strength")
+
+
+_CENTRES = """t as (select p.cell, a.x as ax, a.y as ay, b.x - a.x as bx, b.y - a.y as b_y, c.x - a.x as cx, c.y - a.y as c_y from h p join h q on q.cell = p.cell and q.a = p.b join nodes a on a.node = p.a join nodes b on b.node = p.b join nodes c on c.node = q.b),
+cc as (select cell, avg(ax + (c_y * (bx * bx + b_y * b_y) - b_y * (cx * cx + c_y * c_y)) / (2 * (bx * c_y - b_y * cx))) as x, avg(ay + (bx * (cx * cx + c_y * c_y) - cx * (bx * bx + b_y * b_y)) / (2 * (bx * c_y - b_y * cx))) as y from t group by 1)"""
+
 Q = {
     "spectrum": (
         _spectrum,
@@ -92,4 +111,21 @@ Q = {
         f"""with {_LAT}, k as (select * from ring where cell % 2 = 0 or pos < 3), f as (select cell, count(*) as corners, cast(sum((pos + 1) * node) as bigint) as places, round(sum(x), 6) as x from k join nodes using (node) group by 1)
         select cell, corners, places, x, 4 as sides, 0.5::double as cx, 0.25::double as cy from f""",
     ),
+    "circumcentre_errors": (_errors, f"with {_LAT}, {_CENTRES} select cell, round(stddev_pop(sqrt((n.x - cc.x) ** 2 + (n.y - cc.y) ** 2)), 6) as error from ring join nodes n using (node) join cc using (cell) group by 1"),
+    "edge_clearance": (
+        _clearance,
+        f"""with {_LAT}, {_CENTRES}, c as (select cc.*, sqrt(greatest(area, 1e-5::double)) as size from cc join g using (cell))
+        select n1, n2, round(least(((ex - a.x) * nx + (ey - a.y) * ny) / a.size, ((b.x - ex) * nx + (b.y - ey) * ny) / b.size), 6) as clearance from eg left join c a on a.cell = l left join c b on b.cell = r""",
+    ),
+    "cell_edges": (
+        lambda s, d: r6(raster.cell_edges(grid(s, d), 8, 60000.0, 2.0, 1.0), "length", "value"),
+        f"""with g as (select * from ({_GRID}) where value <= 60000), q as (select a.row as r, a.col as c, a.value + b.value + x.value + y.value as total from g a join g b on b.row = a.row + 1 and b.col = a.col + 1 join g x on x.row = a.row and x.col = a.col + 1 join g y on y.row = a.row + 1 and y.col = a.col)
+        select r as a_row, c as a_col, r + 1 as b_row, c + 1 as b_col, round(sqrt(5.0::double), 6) as length, round(total / 4, 6) as value from q union all select r, c + 1, r + 1, c, round(sqrt(5.0::double), 6), round(total / 4, 6) from q
+        union all select a.row, a.col, b.row, b.col, case when a.row = b.row then 2.0::double else 1.0::double end, round((a.value + b.value) / 2, 6) from g a join g b on (b.row = a.row + 1 and b.col = a.col) or (b.row = a.row and b.col = a.col + 1)""",
+    ),
+    "secondary_strength": (
+        _secondary,
+        """with t as (select l_orderkey, l_linenumber as k, max((l_quantity - 25) * 1.4142135623::double) as v from lineitem group by 1, 2), m as (select *, row_number() over (partition by l_orderkey order by k) as i, count(*) filter (v < 0) over (partition by l_orderkey) as m from t)
+        select l_orderkey, round(coalesce(avg(v) filter (i <= m), 0), 6) + 0.0::double as strength from m group by 1""",
+    ),
 }

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from fathomline.operators import mesh, mesh_joins, spectra
+from fathomline.operators import mesh, mesh_joins, raster, spectra, transect
 from fathomline.sources import models
 
 
@@ -84,3 +84,45 @@ def test_three_file_mesh(spark):
     assert [tuple(r) for r in edges.collect()] == [(0, 0, 1, 1, 0, None)]
     assert [tuple(r) for r in cells.orderBy("cell").collect()] == [(0, 0.5, 0.25), (1, 1.5, 2.5), (2, 1.0, 2.0)]
     assert [tuple(r) for r in ring.orderBy("cell", "pos").collect()] == [(0, 0, 0), (0, 1, 1), (0, 2, 2), (1, 0, 0), (1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 0, 4), (2, 1, 5), (2, 2, 6)]
+
+
+def test_cell_edges_against_all_stencils(spark):
+    r = np.random.default_rng(5)
+    held = {(int(i), int(j)): float(v) for (i, j), v in np.ndenumerate(r.uniform(0, 1, (7, 8))) if v < 0.8}
+    rows = [(i, j, v) for (i, j), v in held.items()] + [(50, 50, None), (50, 51, float("nan"))]
+    for degree, reach in ((4, {(0, 1)}), (8, {(0, 1), (1, 1)}), (16, {(0, 1), (1, 1), (1, 2)})):
+        got = {((x.a_row, x.a_col), (x.b_row, x.b_col)): (x.length, x.value) for x in raster.cell_edges(spark.createDataFrame(rows, "row long, col long, value double"), degree, 0.75, 3.0, 2.0).collect()}
+        want = {}
+        for a in held:
+            for b in held:
+                far = (abs(a[0] - b[0]), abs(a[1] - b[1]))
+                if (a[0], -a[1]) >= (b[0], -b[1]) and a[0] >= b[0] or tuple(sorted(far)) not in reach:
+                    continue
+                box = [(i, j) for i in range(min(a[0], b[0]), max(a[0], b[0]) + 1) for j in range(min(a[1], b[1]), max(a[1], b[1]) + 1)]
+                # of a knight's six cells, the two corners off its way do not count
+                touched = [c for c in box if sum(far) < 3 or c in (a, b) or (2 * c[0] - a[0] - b[0]) ** 2 + (2 * c[1] - a[1] - b[1]) ** 2 <= 1]
+                if all(held.get(c, 9.0) <= 0.75 for c in touched):
+                    want[frozenset((a, b))] = (math.hypot(far[0] * 2, far[1] * 3), np.mean([held[c] for c in touched]))
+        assert {frozenset(k) for k in got} == set(want) and len(got) == len(want)
+        for k, v in got.items():
+            assert v == (pytest.approx(want[frozenset(k)][0]), pytest.approx(want[frozenset(k)][1]))
+
+
+def test_secondary_strength(spark):
+    rows = [("a", 1, 2.0, 0.5), ("a", 2, None, 0.5), ("a", 3, 1.0, 0.5), ("a", 4, -1.0, 0.5), ("a", 5, -3.0, 0.5), ("a", 6, -9.0, 0.0), ("b", 1, 1.0, 0.5), ("c", 1, None, 0.5)]
+    t = spark.createDataFrame(rows, "k string, i int, v double, dz double")
+    assert {r.k: r.strength for r in transect.secondary_strength(t, "v", "i", ["k"]).collect()} == {"a": 1.5, "b": 0.0, "c": 0.0}
+
+
+def test_clearance_and_circumcentre_errors_of_a_lattice(spark):
+    nodes, ring = mesh.rectilinear(spark, 4, 4, 2.0, 1.0)
+    assert {round(r.error, 9) for r in mesh_joins.circumcentre_errors(ring, nodes).collect()} == {0.0}
+    edges = mesh.edges_of(ring)
+    one = {round(abs(r.clearance), 9) for r in mesh_joins.edge_clearance(edges, ring, nodes).collect()}
+    assert one == {round(0.5 / math.sqrt(2), 9), round(1 / math.sqrt(2), 9)}
+    two = mesh_joins.edge_clearance(edges, ring, nodes, both=True)
+    assert two.where("clearance is null").count() == edges.where("left is null or right is null").count()
+    kite = spark.createDataFrame([(0, 0.0, 0.0), (1, 2.0, 0.0), (2, 1.0, 3.0), (3, 0.0, 1.0)], "node long, x double, y double")
+    cell = spark.createDataFrame([(0, k, k) for k in range(4)] + [(1, k, k) for k in range(3)], "cell long, pos int, node long")
+    got = {r.cell: r.error for r in mesh_joins.circumcentre_errors(cell, kite).collect()}
+    assert got[1] == 0 and got[0] > 0.01
