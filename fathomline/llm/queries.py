@@ -14,6 +14,7 @@ from fathomline.llm.language_id import learned, predicted
 from fathomline.llm.licence_sql import licence_sql
 from fathomline.llm.licences import licensed, templates
 from fathomline.llm.mixing import mix
+from fathomline.llm.prefix_trie import listed_sha256, ordered_turns, prefix_trie
 from fathomline.llm.sharding import sharded
 from fathomline.llm.simhash import near_components
 from fathomline.llm.substring_dedup import without_repeats
@@ -168,6 +169,60 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def with_shared_heads(turns: DataFrame) -> DataFrame:
+    """Turns in which conversation c begins with the first h of conversation c - c % 5 and goes on with its own after h; h = crc32(c) % 9."""
+    counts = turns.groupBy("conv").agg(F.count("*").alias("n"))
+    told = counts.select("conv", (F.col("conv") - F.col("conv") % 5).alias("base"), F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(9)).alias("h"))
+    told = told.join(counts.select(F.col("conv").alias("base"), F.col("n").alias("most")), "base", "left")
+    head = turns.where("pos < 9").select(F.col("conv").alias("base"), "pos", "id", "size").join(told, "base").where("pos <= h").select("conv", "pos", "id", "size")
+    moved = told.select("conv", "h", (F.least("h", F.coalesce("most", F.lit(0))) - F.col("h")).alias("by"))
+    tail = turns.join(moved, "conv").where("pos > h").select("conv", (F.col("pos") + F.col("by")).alias("pos"), "id", "size")
+    return head.unionByName(tail)
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = ordered_turns(_table(spark, sf_dir, "conversations"))
+    nodes, ends = prefix_trie(with_shared_heads(turns), turns.select("conv").distinct())
+    found = nodes.join(listed_sha256(ends, "key", "conv"), "key", "left")
+    return found.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")
+    )
+
+
+OP11_SQL = """
+with recursive bits as (
+  select i, 0 as k, i as v from (select cast(unnest(range(256)) as bigint) as i)
+  union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
+tab as (select i, v from bits where k = 8),
+cs as (select distinct conv_id as c, cast(conv_id as varchar) as s from conversations where conv_id is not null),
+crc as (
+  select c, s, 0 as k, cast(4294967295 as bigint) as v from cs
+  union all select c, s, k + 1, xor(crc.v >> 8, tab.v) from crc join tab on tab.i = xor(crc.v, cast(ascii(substr(s, k + 1, 1)) as bigint)) & 255 where k < length(s)),
+hs as (select c, c - c % 5 as base, xor(v, 4294967295) % 9 as h from crc where k = length(s)),
+t as (
+  select conv_id as c, coalesce(role, '') || chr(31) || sha256(coalesce(text, '')) as id, strlen(coalesce(text, '')) as size,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(coalesce(role, '') || coalesce(text, ''))) as p from conversations),
+r as (
+  select hs.c, t.p, t.id, t.size from hs join t on t.c = hs.base and t.p <= hs.h
+  union all
+  select hs.c, t.p - hs.h + least(hs.h, (select count(*) from t as b where b.c = hs.base)) as p, t.id, t.size from hs join t on t.c = hs.c and t.p > hs.h),
+l as (select c, list(id order by p) as ids, list(size order by p) as sizes from r group by c),
+w as (select cs.c, coalesce(ids, []) as ids, coalesce(sizes, []) as sizes from cs left join l on cs.c = l.c),
+x as (select c, unnest(range(0, len(ids) + 1)) as d, ids, sizes from w),
+n as (
+  select ids[1:d] as name, d as depth, min(c) as conv_id, count(*) as n_convs, coalesce(max(sizes[d]), 0) as size,
+    coalesce(string_agg(cast(c as varchar), ',' order by c) filter (len(ids) = d), '') as ends
+  from (select c, d, ids, sizes from x) group by 1, 2),
+k as (select a.name, a.depth, count(b.depth) as n_children from n as a left join n as b on b.depth = a.depth + 1 and b.name[1:a.depth] = a.name group by 1, 2),
+u as (
+  select a.name, a.depth, count(*) filter (k.n_children = 0) as n_leaves, sum((b.n_convs - 1) * b.size) as saved_tokens
+  from n as a join n as b on b.depth >= a.depth and b.name[1:a.depth] = a.name join k on k.name = b.name and k.depth = b.depth group by 1, 2)
+select n.conv_id, n.depth, up.conv_id as parent_conv_id, n.n_convs, k.n_children, u.n_leaves, cast(u.saved_tokens as bigint) as saved_tokens, sha256(n.ends) as ends_sha256
+from n join k on k.name = n.name and k.depth = n.depth join u on u.name = n.name and u.depth = n.depth
+left join n as up on up.depth = n.depth - 1 and n.name[1:n.depth - 1] = up.name and n.depth > 0
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
@@ -179,6 +234,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_licences": op9_licences,
     "op10_topk": op10_topk,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
-SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op9_licences": licence_sql(), "op10_topk": OP10_SQL}
+SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op9_licences": licence_sql(), "op10_topk": OP10_SQL, "op11_prefix_trie": OP11_SQL}
