@@ -19,6 +19,7 @@ from fathomline.llm.sharding import sharded
 from fathomline.llm.simhash import near_components
 from fathomline.llm.substring_dedup import without_repeats
 from fathomline.llm.topk import quantised, top_k
+from fathomline.llm.whitening import scaled, whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -223,6 +224,10 @@ left join n as up on up.depth = n.depth - 1 and n.name[1:n.depth - 1] = up.name
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings").select("vec_id", scaled(F.col("embedding")).alias("vec")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
@@ -235,6 +240,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licences": op9_licences,
     "op10_topk": op10_topk,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_whitening": op12_whitening,
 }
 
 SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op9_licences": licence_sql(), "op10_topk": OP10_SQL, "op11_prefix_trie": OP11_SQL}
