@@ -14,6 +14,7 @@ from fathomline.llm.language_id import learned, predicted
 from fathomline.llm.licence_sql import licence_sql
 from fathomline.llm.licences import licensed, templates
 from fathomline.llm.mixing import mix
+from fathomline.llm.near_graph import near_vectors
 from fathomline.llm.prefix_trie import listed_sha256, ordered_turns, prefix_trie
 from fathomline.llm.sharding import sharded
 from fathomline.llm.simhash import near_components
@@ -228,6 +229,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings").select("vec_id", scaled(F.col("embedding")).alias("vec")))
 
 
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
@@ -241,6 +246,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_whitening": op12_whitening,
+    "op13_near_vectors": op13_near_vectors,
 }
 
 SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op9_licences": licence_sql(), "op10_topk": OP10_SQL, "op11_prefix_trie": OP11_SQL}

@@ -282,7 +282,7 @@ def whiten(rows: DataFrame, components: int = 4, id_col: str = "vec_id", vec_col
     mean = _summed(fit, lambda v: white(v).sum(axis=0), k) / n
     spread = _summed(fit, lambda v: (white(v) - mean).T @ (white(v) - mean), k * k).reshape(k, k) / n
     error = float(np.abs(spread - np.eye(k)).max())
-    share = e / total
+    share = np.minimum(e / total, 1.0)
     small = 4.0 * (n * max(most, 1.0)) ** 2 * width < SAFE
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
