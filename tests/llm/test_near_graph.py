@@ -15,6 +15,7 @@ def brute(rows, threshold=0.9):
     good = [i for i, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     width = max((len(rows[i][1]) for i in good), default=0)
     u = np.array([[*rows[i][1], *[0.0] * (width - len(rows[i][1]))] for i in good], float).reshape(len(good), width)
+    u /= np.abs(u).max(axis=1, initial=0)[:, None]
     u /= np.sqrt((u * u).sum(axis=1))[:, None]
     near = u @ u.T >= threshold
     a, b = np.nonzero(near)
