@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.operators.keyed import joined
+
 
 def _reach(size: int) -> tuple[int, int]:
     """Samples before and after the centre; of an even window the centre is the later of the middle two."""
@@ -178,7 +180,7 @@ def lowpass(df: DataFrame, keys: list[str], order: list[str], value: str, step:
 
     kinds = dict(df.dtypes)
     found = dealt.groupBy(*keys, "_block").applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "_i int, _f double"]))
-    return s.join(found, [*keys, "_i"]).withColumn(into, F.when(~F.isnan("_f"), F.col("_f"))).select(*df.columns, into)
+    return joined(s, found, [*keys, "_i"]).withColumn(into, F.when(~F.isnan("_f"), F.col("_f"))).select(*df.columns, into)
 
 
 def windowed_slope(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, size: int, into: str = "slope") -> DataFrame:

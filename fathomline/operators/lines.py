@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.operators.graph import components
+from fathomline.operators.spatial import within_radius
 from fathomline.operators.temporal import dist_along
 
 
@@ -44,12 +45,15 @@ def sampled(edges: DataFrame, eid: str, samples: int = 5) -> DataFrame:
 
 
 def merged(segments: DataFrame, sid: str = "seg", tolerance: float = 0.0) -> DataFrame:
-    """``(sid, line)``: segments (x1, y1, x2, y2) of which ends meet, exactly or in one cell of ``tolerance``, are one line, named by its smallest segment.
+    """``(sid, line)``: segments (x1, y1, x2, y2) of which ends meet, exactly or within ``tolerance``, are one line, named by its smallest segment.
 
-    Where more than two ends meet, lines end.
+    Ends within ``tolerance`` of each other, directly or through others, are one place.  Where more than two ends meet, lines end.
     """
-    place = (lambda c: F.floor(F.col(c) / tolerance)) if tolerance else F.col
-    ends = segments.select(sid, F.explode(F.array(*(F.struct(place(f"x{k}").alias("x"), place(f"y{k}").alias("y")) for k in (1, 2)))).alias("p"))
+    ends = segments.select(sid, F.explode(F.array(*(F.struct(F.col(f"x{k}").cast("double").alias("x"), F.col(f"y{k}").cast("double").alias("y")) for k in (1, 2)))).alias("p"))
+    if tolerance:
+        places = ends.select("p").distinct().select("p", "p.x", "p.y")
+        near = within_radius(places, places.withColumnRenamed("p", "q"), tolerance, "p", "q")
+        ends = ends.join(components(near.select(F.col("p").alias("a"), F.col("q").alias("b"))), F.col("p") == F.col("id")).select(sid, F.col("component").alias("p"))
     pair = ends.groupBy("p").agg(F.count("*").alias("n"), F.min(sid).alias("a"), F.max(sid).alias("b")).where("n = 2 and a <> b")
     found = components(pair.select("a", "b"))
     return segments.select(sid).join(found.withColumnRenamed("id", sid), sid, "left").select(sid, F.coalesce("component", sid).alias("line"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.functions.geometry import circumcentre
 from fathomline.operators.graph import components
 from fathomline.operators.mesh import cell_geometry, cell_neighbours, edge_geometry, half_edges, perot
 from fathomline.operators.spatial import knn, points_in_polygons, within_radius
@@ -178,11 +179,8 @@ def main_component(edges: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def linear_strings(edges: DataFrame) -> DataFrame:
-    """``(n1, n2, string)``: edges ``(n1, n2)`` that meet at nodes of two edges are one string, named by its smallest edge number.
-
-    Edges are numbered by n1 and n2: the name is ``n1 * 2 ** 32 + n2`` of the smallest.
-    """
-    e = edges.select("n1", "n2", (F.col("n1") * (1 << 32) + F.col("n2")).alias("e"))
+    """``(n1, n2, string)``: edges ``(n1, n2)`` that meet at nodes of two edges are one string, named by its smallest edge, a struct of its nodes."""
+    e = edges.select("n1", "n2", F.struct("n1", "n2").alias("e"))
     end = e.select(F.explode(F.array("n1", "n2")).alias("node"), "e")
     two = end.groupBy("node").agg(F.count("*").alias("n"), F.min("e").alias("a"), F.max("e").alias("b")).where("n = 2")
     found = components(two.select("a", "b"))
@@ -213,8 +211,6 @@ def angle_errors(edges: DataFrame, cell_nodes: DataFrame, nodes: DataFrame) -> D
 
 def polygon_circumcentre(cell_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(cell, x, y)``: mean of the circumcentres of each three consecutive nodes of a ring."""
-    from fathomline.functions.geometry import circumcentre
-
     h = half_edges(cell_nodes)
     nxt = h.select("cell", F.col("a").alias("b"), F.col("b").alias("c"))
     three = h.select("cell", "a", "b").join(nxt, ["cell", "b"])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.time import from_micros, micros
+from fathomline.operators.keyed import joined
 from fathomline.operators.temporal import asof, bin_mean, period
 
 
@@ -20,7 +21,7 @@ def paired(df: DataFrame, keys: list[str], x: str, ref: str) -> DataFrame:
     """
     both = df.where(F.col(x).isNotNull() & F.col(ref).isNotNull() & ~F.isnan(x) & ~F.isnan(ref))
     means = both.groupBy(*keys).agg(F.avg(ref).alias("_m"))
-    both = both.join(means, keys) if keys else both.crossJoin(means)
+    both = joined(both, means, keys)
     err = F.pow(F.col(x) - F.col(ref), 2)
     span = F.pow(F.abs(F.col(x) - F.col("_m")) + F.abs(F.col(ref) - F.col("_m")), 2)
     return both.groupBy(*keys).agg(
@@ -162,7 +163,9 @@ def bandwidth(df: DataFrame, value: str, weight: str, rule: str = "scott") -> Da
     """``(n_effective, spread, width)``: of a weighted sample, (sum w) ** 2 / sum w ** 2, its unbiased deviation, and Scott's or Silverman's width in one dimension."""
     if rule not in ("scott", "silverman"):
         raise ValueError("rule is scott or silverman")
-    sums = df.agg(F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col(weight)).alias("w2"), F.sum(F.col(weight) * F.col(value)).alias("s"), F.sum(F.col(weight) * F.col(value) * F.col(value)).alias("q"))
+    mean = df.agg((F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).alias("_m"))
+    off = F.col(value).cast("double") - F.col("_m")  # squares of large values would cancel
+    sums = joined(df, mean, []).agg(F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col(weight)).alias("w2"), F.sum(F.col(weight) * off).alias("s"), F.sum(F.col(weight) * off * off).alias("q"))
     n = F.col("w") * F.col("w") / F.col("w2")
     spread = F.sqrt((F.col("q") / F.col("w") - F.pow(F.col("s") / F.col("w"), 2)) / (1 - 1 / n))
     factor = F.pow(n, -0.2) if rule == "scott" else F.pow(n * 3 / 4, -0.2)
@@ -174,15 +177,17 @@ def bootstrap(df: DataFrame, key: str, value: str, replicates: int, seed: int =
 
     So a resample takes no shuffle of rows, its size is that of the table on average, and reruns agree.
     """
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("replicate"), F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    u = (F.pmod(F.xxhash64(F.col("_key"), F.col("replicate"), F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
     upto, total, count = math.exp(-1), 0.0, F.lit(0)
     for k in range(20):
         total += upto
         upto /= k + 1
         count = count + F.when(u > total, 1).otherwise(0)
-    s = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("c", count)
-    sums = s.groupBy("replicate").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("v")).alias("a"), F.sum(F.col("c") * F.col("v") * F.col("v")).alias("q"))
-    return sums.select("replicate", (F.col("a") / F.col("n")).alias("mean"), (F.col("q") / F.col("n") - F.pow(F.col("a") / F.col("n"), 2)).alias("variance"))
+    held = df.where(F.col(value).isNotNull()).select(F.col(key).alias("_key"), F.col(value).cast("double").alias("v"))
+    held = joined(held, held.agg(F.avg("v").alias("_m")), []).withColumn("v", F.col("v") - F.col("_m"))  # squares of large values would cancel
+    s = held.select("_key", "v", "_m", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("c", count)
+    sums = s.groupBy("replicate").agg(F.max("_m").alias("m"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("v")).alias("a"), F.sum(F.col("c") * F.col("v") * F.col("v")).alias("q"))
+    return sums.select("replicate", (F.col("m") + F.col("a") / F.col("n")).alias("mean"), (F.col("q") / F.col("n") - F.pow(F.col("a") / F.col("n"), 2)).alias("variance"))
 
 
 def rotated_to_principal(df: DataFrame, keys: list[str], u: str, v: str, near: float | None = None) -> DataFrame:
@@ -191,7 +196,7 @@ def rotated_to_principal(df: DataFrame, keys: list[str], u: str, v: str, near: f
     if near is not None:
         off = F.abs(F.pmod(F.col("theta") - near + math.pi, F.lit(2 * math.pi)) - math.pi)
         theta = theta.withColumn("theta", F.when(off > math.pi / 2, F.pmod(F.col("theta") + math.pi, F.lit(2 * math.pi))).otherwise(F.col("theta")))
-    s = df.join(theta, keys)
+    s = joined(df, theta, keys)
     c, d = F.cos("theta"), F.sin("theta")
     return s.withColumns({"along": c * F.col(u) + d * F.col(v), "across": c * F.col(v) - d * F.col(u)})
 
@@ -206,4 +211,4 @@ def autocorrelation(df: DataFrame, keys: list[str], index: str, value: str, max_
 def windowed_median(df: DataFrame, keys: list[str], value: str, window: float) -> DataFrame:
     """``(keys, median)`` of the values within ``window`` of the median of all."""
     mid = df.groupBy(*keys).agg(F.median(value).alias("_m"))
-    return df.join(mid, keys).where(F.abs(F.col(value) - F.col("_m")) <= window).groupBy(*keys).agg(F.median(value).alias("median"))
+    return joined(df, mid, keys).where(F.abs(F.col(value) - F.col("_m")) <= window).groupBy(*keys).agg(F.median(value).alias("median"))

@@ -57,15 +57,21 @@ def fill(grid: DataFrame, iterations: int = 7) -> DataFrame:
 
 
 def bilinear(grid: DataFrame, points: DataFrame, pid: str = "pid") -> DataFrame:
-    """``(pid, value)`` at points in cell coordinates (x by col, y by row); where a corner is missing, the nearest cell."""
-    at = points.select(pid, "x", "y", F.floor("x").alias("c0"), F.floor("y").alias("r0"))
-    corner = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))
-    each = at.select("*", F.explode(corner).alias("k")).select(pid, "x", "y", (F.col("r0") + F.col("k.i")).alias("row"), (F.col("c0") + F.col("k.j")).alias("col"))
-    w = (1 - F.abs(F.col("x") - F.col("col"))) * (1 - F.abs(F.col("y") - F.col("row")))
-    each = each.withColumn("w", w).join(grid.select("row", "col", "value"), ["row", "col"], "left")
-    lost = F.sum(F.when(F.col("value").isNull() & (F.col("w") > 0), 1).otherwise(0))
-    near = F.max_by("value", F.struct("w", -F.col("row"), -F.col("col")))
-    return each.groupBy(pid).agg(F.when(lost == 0, F.sum(F.col("w") * F.coalesce("value", F.lit(0.0)))).otherwise(near).alias("value"))
+    """``(pid, value)`` at points in cell coordinates (x by col, y by row), between the four cells around a point.
+
+    A missing corner gives no value.  Points beyond the last row or column, or before the first by a cell or more, take the cell
+    at their coordinates plus 0.49, rounded towards 0, if the raster has it; less than a cell before the first, the line
+    through the first two goes on.  The raster ends at its largest row and column.
+    """
+    ends = grid.agg((F.max("row") + 1).alias("_rows"), (F.max("col") + 1).alias("_cols"))  # one row
+    at = points.select(pid, "x", "y", F.col("x").cast("bigint").alias("c0"), F.col("y").cast("bigint").alias("r0")).crossJoin(F.broadcast(ends))
+    inside = (F.col("r0") >= 0) & (F.col("c0") >= 0) & (F.col("r0") < F.col("_rows") - 1) & (F.col("c0") < F.col("_cols") - 1)
+    dx, dy = F.col("x") - F.col("c0"), F.col("y") - F.col("r0")
+    corner = lambda i, j: F.struct((F.col("r0") + i).alias("row"), (F.col("c0") + j).alias("col"), ((dy if i else 1 - dy) * (dx if j else 1 - dx)).alias("w"))
+    near = F.struct((F.col("y") + 0.49).cast("bigint").alias("row"), (F.col("x") + 0.49).cast("bigint").alias("col"), F.lit(1.0).alias("w"))
+    each = at.select(pid, F.explode(F.when(inside, F.array(*(corner(i, j) for i in (0, 1) for j in (0, 1)))).otherwise(F.array(near))).alias("k")).select(pid, "k.row", "k.col", "k.w")
+    each = each.join(grid.select("row", "col", "value"), ["row", "col"], "left")
+    return each.groupBy(pid).agg(F.when(F.count("value") == F.count("*"), F.sum(F.col("w") * F.col("value"))).alias("value"))
 
 
 def composite(layers: DataFrame) -> DataFrame:

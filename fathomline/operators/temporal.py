@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.time import from_micros, micros
+from fathomline.operators.keyed import joined
 
 
 def _cols(names: list[str]) -> list[Column]:
@@ -227,7 +228,7 @@ def merged_gages(first: DataFrame, second: DataFrame, keys: list[str], amplify:
     """``(keys, ts, value)``: the first series, and where it has no value that of the second, shifted and stretched."""
     own = first.select(*keys, ts, F.col(value).alias("_a"))
     other = shifted(second, value, amplify, delay_seconds, ts=ts).select(*keys, ts, F.col(value).alias("_b"))
-    return own.join(other, [*keys, ts], "full").select(*keys, ts, F.coalesce("_a", "_b").alias(value))
+    return joined(own, other, [*keys, ts], "full").select(*keys, ts, F.coalesce("_a", "_b").alias(value))
 
 
 def padded_time(df: DataFrame, keys: list[str], seconds: float, ts: str = "ts") -> DataFrame:

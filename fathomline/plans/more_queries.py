@@ -249,9 +249,13 @@ Q = {
     ),
     "bilinear": (
         lambda s, d: r6(raster.bilinear(grid(s, d), _probes(s, d).select("pid", (F.col("x") * 0.7).alias("x"), (F.col("y") * 9).alias("y"))), "value"),
-        f"""with {_PROBES}, q as (select pid, x * 0.7::double as x, y * 9 as y from p), g as ({_GRID}), k as (select pid, x, y, cast(floor(y) as bigint) + i.i as row, cast(floor(x) as bigint) + j.j as col from q, (values (0), (1)) as i(i), (values (0), (1)) as j(j)),
-        w as (select pid, k.row, k.col, (1 - abs(x - k.col)) * (1 - abs(y - k.row)) as w, g.value from k left join g on g.row = k.row and g.col = k.col)
-        select pid, round(case when count(*) filter (value is null and w > 0) = 0 then sum(w * coalesce(value, 0)) else arg_max(value, {{'w': w, 'r': -row, 'c': -col}}) end, 6) as value from w group by 1""",
+        f"""with {_PROBES}, q as (select pid, x * 0.7::double as x, y * 9 as y from p), g as ({_GRID}), s as (select max(row) + 1 as rs, max(col) + 1 as cs from g),
+        a as (select pid, x, y, cast(trunc(y) as bigint) as r0, cast(trunc(x) as bigint) as c0, cast(trunc(y + 0.49::double) as bigint) as rn, cast(trunc(x + 0.49::double) as bigint) as cn from q),
+        k as (select a.*, r0 >= 0 and c0 >= 0 and r0 < rs - 1 and c0 < cs - 1 as inside from a, s),
+        w as (select pid, case when inside then r0 + i.i else rn end as row, case when inside then c0 + j.j else cn end as col,
+          case when inside then (case when i.i = 1 then y - r0 else 1 - (y - r0) end) * (case when j.j = 1 then x - c0 else 1 - (x - c0) end) else 1 end as w
+          from k, (values (0), (1)) as i(i), (values (0), (1)) as j(j) where inside or i.i + j.j = 0)
+        select pid, round(case when count(*) = count(value) then sum(w * value) end, 6) as value from w left join g on g.row = w.row and g.col = w.col group by 1""",
     ),
     "nearest_cell": (
         lambda s, d: raster.nearest_cell(_probes(s, d).select("pid", F.floor("x").alias("x"), (F.floor(F.col("y") * 9) + 0.5).alias("y")), grid(s, d)),
@@ -391,11 +395,11 @@ Q = {
     ),
     "utm": (
         lambda s, d: table(s, d, "supplier").select("s_suppkey", *(F.round(c, 3).alias(n) for c, n in zip(G.to_utm(F.col("s_suppkey") % 50 / 10.0 - 125, F.col("s_suppkey") % 70 + 0.5, -123.0), ("east", "north")))),
-        """with c as (select s_suppkey, radians(s_suppkey % 70 + 0.5::double) as f, radians(s_suppkey % 50 / 10.0::double - 125) - radians(-123.0::double) as o, (6378137.0::double ** 2 - 6356752.314245::double ** 2) / 6356752.314245::double ** 2 as e, 6378137.0::double ** 2 / 6356752.314245::double as c from supplier),
-        a as (select *, 0.5::double * ln((1 + cos(f) * sin(o)) / (1 - cos(f) * sin(o))) as ep, atan(tan(f) / cos(o)) - f as nu, c / sqrt(1 + e * cos(f) * cos(f)) * 0.9996::double as v, 0.75::double * e as al, f + sin(2 * f) / 2 as j2 from c),
-        b as (select *, e / 2 * ep * ep * cos(f) * cos(f) as ta, (3 * j2 + sin(2 * f) * cos(f) * cos(f)) / 4 as j4 from a),
-        d as (select *, (5 * j4 + sin(2 * f) * cos(f) ** 4) / 3 as j6 from b)
-        select s_suppkey, round(ep * v * (1 + ta / 3) + 500000, 3) as east, round(nu * v * (1 + ta) + 0.9996::double * c * (f - al * j2 + 5 / 3.0::double * al ** 2 * j4 - 35 / 27.0::double * al ** 3 * j6), 3) as north from d""",
+        """with z as (select *, 1 / 298.257223563::double as fl from supplier), n as (select s_suppkey, fl / (2 - fl) as n, sin(radians(s_suppkey % 70 + 0.5::double)) as s, radians(s_suppkey % 50 / 10.0::double - 125 + 123) as o from z),
+        t as (select *, sinh(atanh(s) - 2 * sqrt(n) / (1 + n) * atanh(2 * sqrt(n) / (1 + n) * s)) as t, 6378137.0::double * 0.9996::double / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) as a from n),
+        u as (select *, atan2(t, cos(o)) as x, atanh(sin(o) / sqrt(1 + t * t)) as e from t),
+        c as (select *, unnest([{'j': 1, 'c': n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180}, {'j': 2, 'c': 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440}, {'j': 3, 'c': 61 * n ** 3 / 240 - 103 * n ** 4 / 140}, {'j': 4, 'c': 49561 * n ** 4 / 161280}]) as k from u)
+        select s_suppkey, round(500000 + any_value(a) * (any_value(e) + sum(k.c * cos(2 * k.j * x) * sinh(2 * k.j * e))), 3) as east, round(any_value(a) * (any_value(x) + sum(k.c * sin(2 * k.j * x) * cosh(2 * k.j * e))), 3) as north from c group by 1""",
     ),
     "triangle_tests": (
         lambda s, d: r6(points(s, d).select("pid", G.orientation(F.col("x"), F.col("y"), F.lit(0.1), F.lit(0.2), F.lit(-0.1), F.lit(0.0)).alias("side"), (G.in_circle((F.lit(0.0), F.lit(0.0)), (F.lit(0.2), F.lit(0.0)), (F.lit(0.0), F.lit(0.2)), (F.col("x"), F.col("y"))) * 1000).alias("inside"), *(c.alias(n) for c, n in zip(G.rotated(F.lit(0.5), F.col("x"), F.col("y")), ("rx", "ry")))), "side", "inside", "rx", "ry"),

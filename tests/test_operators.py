@@ -58,8 +58,9 @@ def test_rectilinear_mesh_and_paths(spark):
 def test_raster_fill_and_bilinear(spark):
     g = spark.createDataFrame([(r, c, None if (r, c) == (1, 1) else float(r + c)) for r in range(3) for c in range(3)], "row int, col int, value double")
     assert raster.fill(g).where("row = 1 and col = 1").first()["value"] == 2.0
-    p = spark.createDataFrame([(1, 0.5, 0.0), (2, 2.0, 2.0)], "pid long, x double, y double")
-    assert {r["pid"]: r["value"] for r in raster.bilinear(g, p).collect()} == {1: 0.5, 2: 4.0}
+    p = spark.createDataFrame([(1, 0.5, 0.0), (2, 2.0, 2.0), (3, 1.9, 2.4), (4, 2.6, 0.0), (5, 0.0, -0.5), (6, 0.0, -1.5), (7, 0.2, 0.2)], "pid long, x double, y double")
+    assert {r["pid"]: r["value"] for r in raster.bilinear(raster.fill(g), p).collect()} == {1: 0.5, 2: 4.0, 3: 4.0, 4: None, 5: -0.5, 6: None, 7: pytest.approx(0.4)}
+    assert {r["pid"]: r["value"] for r in raster.bilinear(g, p).collect()} == {1: None, 2: 4.0, 3: 4.0, 4: None, 5: None, 6: None, 7: None}  # a corner is missing
 
 
 def test_components_of_nothing(spark):

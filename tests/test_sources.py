@@ -72,9 +72,9 @@ def test_stream_across_batches(spark, tmp_path):
 
 
 def test_positions_and_local_times(spark):
-    lines = spark.createDataFrame([("$GPGGA,005744.000,0721.1657,N,08159.6998,W,2,11,0.8,20.7,M,3.1,M,0.8,0000*6C",), ("$GPGGA,005744.000,0721.1657,N,08159.6998,W,2,11,0.8,20.7,M,3.1,M,0.8,0000*6D",), ("noise",)], "value string")
+    lines = spark.createDataFrame([("$GPGGA,123456.000,3745.5000,N,12227.2500,W,1,08,1.0,12.3,M,0.0,M,,*43",), ("$GPGGA,123456.000,3745.5000,N,12227.2500,W,1,08,1.0,12.3,M,0.0,M,,*42",), ("noise",)], "value string")
     got = observations.fixes(lines).collect()
-    assert len(got) == 1 and got[0]["kind"] == "GGA" and abs(got[0]["lat"] - (7 + 21.1657 / 60)) < 1e-9 and abs(got[0]["lon"] + 81 + 59.6998 / 60) < 1e-9
+    assert len(got) == 1 and got[0]["kind"] == "GGA" and abs(got[0]["lat"] - (37 + 45.5 / 60)) < 1e-9 and abs(got[0]["lon"] + 122 + 27.25 / 60) < 1e-9
     times = ["2023-11-05 00:30", "2023-11-05 01:30", "2023-11-05 02:30", "2023-07-01 12:00"]
     df = observations.local_series(spark.createDataFrame([(t,) for t in times], "t string"), "t", "America/Los_Angeles")
     assert [None if r["ts"] is None else r["ts"].strftime("%m-%d %H:%M") for r in df.collect()] == ["11-05 07:30", None, "11-05 10:30", "07-01 19:00"]
@@ -82,7 +82,7 @@ def test_positions_and_local_times(spark):
 
 
 def test_wind_answers_and_midnight(spark):
-    said = '{"metadata": {"id": "9"}, "data": [{"t": "1996-02-20 01:18", "s": "2.5", "d": "", "g": "3", "f": "1,1"}]}'
+    said = '{"metadata": {"id": "9"}, "data": [{"t": "2011-03-04 05:06", "s": "2.5", "d": "", "g": "3", "f": "1,1"}]}'
     r = observations.station_readings(spark.createDataFrame([(1, said)], "k int, j string"), "j", ["k"], wind=True).first()
     assert (r["station"], r["speed"], r["direction"], r["gust"]) == ("9", 2.5, None, 3.0)
     day = '{"Data": {"Providers": [{"Records": [{"Date": "2020-02-29", "Hour": "2400", "Station": "5", "HlyEto": {"Value": "x", "Qc": "A"}}]}]}}'
