@@ -1,7 +1,7 @@
 """A corpus pipeline of five of the operators in ``fathomline.llm``: documents in, token ids of a mix out.
 
-Every stage takes ``(spark, docs, sf_dir)``; ``run`` writes nothing, while a caller that writes each stage as
-Parquet and reads it back gets the same rows.
+Every stage takes ``(spark, docs, sf_dir)``; ``run`` saves what each stage but the last returns, once, where checkpoints go; a
+caller that writes each stage as Parquet and reads it back gets the same rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: those without a letter, or without a language of half the posterior, go."""
+    """Documents whose language is known: those without a letter, or without a language of half the posterior, go.
+
+    The model learns from a sample of the same documents that it judges.
+    """
     found = predicted(docs, learned(docs), keep=tuple(F.col(c) for c in COLUMNS))
     return found.where("lang_pred <> 'und' and score >= 0.5").select(*COLUMNS)
 
@@ -36,7 +39,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows whose SimHash links join them, one: that with the smallest id, then the smallest digest of the row; rows without ids come last.
 
-    A digest names a row and all that equal it.  Few digests go or are repeated, so only those are looked up.
+    A digest names a row and all that equal it; it is taken of JSON, which leaves null fields out.  Few digests go or are repeated, so only those are looked up.
     """
     said = F.struct("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text"), "lang", "source", "n_chars")
     marked = docs.select(*COLUMNS).withColumn("digest", F.unhex(F.sha2(F.to_json(said).cast("binary"), 256)))
@@ -74,6 +77,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,10 +15,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.llm.words import give_back, passes, split, spread, strings, text_bytes
+from fathomline.session import saved
 
 #: Pieces of up to 8 bytes fit one integer; longer ones are found by their first 8 bytes and compared whole.
 PIECE = 8
@@ -236,11 +237,32 @@ class Model:
         self.languages, self.prob, self.path = languages, prob, path
 
 
+def sampled(rows: DataFrame, sizes: dict[str, int], most: int) -> DataFrame:
+    """``(lang, text)`` of at most ``most`` of ``rows(lang, id, text)`` a language, those of the least hashes of id and text.
+
+    Rows alike in language, id and text are one row, so null or repeated ids choose nothing by themselves.  A share of the
+    hashes is looked at that holds a quarter more than is wanted; where rows repeat so often that it holds
+    too few, it widens, at last to all.  ``sizes`` has the number of rows of each language.
+    """
+    full = 1 << 53
+    share = {lang: min(1.0, 1.25 * most / n) for lang, n in sizes.items()}
+    hashed = rows.withColumn("_h", F.pmod(F.xxhash64("id", "text", F.lit("lang")), F.lit(full)))
+    while True:
+        part = F.create_map(*(F.lit(x) for lang, p in share.items() for x in (lang, int(p * full))))
+        picked = saved(hashed.where(F.col("_h") < part[F.col("lang")]).groupBy("lang", "_h").agg(F.any_value("text").alias("text")))
+        held = {r["lang"]: r["n"] for r in picked.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        short = [lang for lang, p in share.items() if p < 1 and held.get(lang, 0) < most]
+        if not short:
+            best = Window.partitionBy("lang").orderBy("_h")  # little more than ``most`` rows
+            return picked.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= most).select("lang", "text")
+        share |= {lang: min(1.0, 16 * share[lang]) for lang in short}
+
+
 def learned(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample_per_lang: int = 2000, smoothing: float = 0.1, path: str | None = None) -> Model:
     """A model of the languages in ``docs``; rows without text or language teach nothing.
 
-    It is fitted on a bounded sample of labelled rows: of each language the rows that a hash of their id
-    picks, ``sample_per_lang`` of them on average.  Piece counts are expected counts over all
+    It is fitted on a bounded sample of labelled rows, ``sample_per_lang`` of each language at most, see
+    ``sampled``.  Piece counts are expected counts over all
     segmentations, smoothed by ``smoothing`` for each piece.  The result is as large as the vocabulary
     times the number of languages, whatever the input.
     """
@@ -251,8 +273,7 @@ def learned(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", tex
     total = vocabulary(path).total
     if not languages:
         return Model([], np.zeros((total + 1, 0)), path)
-    part = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, sample_per_lang / sizes[lang]))))
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1_000_000)) < part[F.col("lang")] * 1_000_000)
+    sample = sampled(rows, sizes, sample_per_lang)
     words = sample.select("lang", F.explode(F.split(letter_runs(F.col("text")), " ")).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
 
     def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

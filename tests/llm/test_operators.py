@@ -310,6 +310,19 @@ def test_expected_piece_counts():
     assert abs((long * sizes).sum() - 391) < 1e-6  # each segmentation covers every byte once
 
 
+@pytest.mark.parametrize("ids", ["null", "equal", "own", "same rows"])
+def test_language_sample_is_bounded_whatever_the_ids(spark, ids):
+    """Null and equal ids teach as others do, of more rows than wanted exactly so many count, and rows that repeat are one."""
+    rows = [(None if ids == "null" else 7 if ids != "own" else 2 * i + k, (lang, w, 0 if ids == "same rows" and i % 10 else i)) for i in range(3000) for k, (lang, w) in enumerate((("en", "the cat"), ("de", "der Hund")))]
+    df = spark.createDataFrame([(lang, i, f"{w} {n}") for i, (lang, w, n) in rows], "lang string, id long, text string")
+    held = {r["lang"]: (r["n"], r["d"]) for r in language_id.sampled(df, {"en": 3000, "de": 3000}, 250).groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("text").alias("d")).collect()}
+    assert held == {"en": (250, 250), "de": (250, 250)}
+    assert sorted(map(tuple, language_id.sampled(df, {"en": 3000, "de": 3000}, 9000).distinct().collect())) == sorted({(lang, f"{w} {n}") for _, (lang, w, n) in rows})
+    model = language_id.learned(df, id_col="id", sample_per_lang=250)
+    got = language_id.predicted(spark.createDataFrame([(1, "the cat"), (2, "der Hund")], "doc_id long, text string"), model).collect()
+    assert [r["lang_pred"] for r in sorted(got, key=lambda r: r["id"])] == ["en", "de"]
+
+
 def test_language_query_is_a_plain_version(spark):
     """The query against a version in plain Python: sample, counts, posterior; and what it gets right where it didn't learn."""
     got = {r["doc_id"]: r for r in queries.op4_language_id(spark, SF).collect()}

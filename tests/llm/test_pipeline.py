@@ -62,6 +62,31 @@ def test_pipeline_is_its_plain_version(spark):
     assert len(got) > 50 and sorted(got) == sorted(want)
 
 
+def test_run_makes_each_stage_once(spark, monkeypatch):
+    """Every row that a stage returns is made once: an accumulator in each stage's plan counts them."""
+    made = {}
+
+    def counting(name, stage):
+        count = made[name] = spark.sparkContext.accumulator(0)
+
+        def seen(batches):
+            for x in batches:
+                count.add(x.num_rows)
+                yield x
+
+        def run(spark, docs, sf_dir):
+            out = stage(spark, docs, sf_dir)
+            return out.mapInArrow(seen, out.schema)
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counting(*s) for s in corpus_pipeline.STAGES])
+    rows = corpus_pipeline.run(spark, SF).collect()
+    found = {name: c.value for name, c in made.items()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert found["bpe"] == len(rows) == found["mix_sources"] and docs >= found["language_id"] >= found["exact_dedup"] >= found["simhash_near_dedup"] > 0
+
+
 def test_stages_take_nulls_repeats_other_columns_and_empty_tables(spark):
     rows = [(1, "der Hund und die Katze", "de", "s"), (1, "the dog and the cat", "en", "s"), (1, "the dog and the cat", "en", "s"), (None, "the dog and a house", "en", None), (None, None, None, None), (5, "", "en", "s"), (6, "123", None, "t")]
     docs = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in ("id", "digest", "size", "runs", "bucket", "kept", "mix_key", "base")})
