@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomline.operators import quadtree
+from fathomline.operators import mesh, quadtree, rings
+from fathomline.plans.more_queries import _LAT, lattice
 from fathomline.plans.series_queries import r6, table
 
 
@@ -36,6 +37,29 @@ edge as (select poly, x as x0, y as y0, coalesce(lead(x) over w, first_value(x)
 box as (select poly, min(x) as xa, max(x) as xb, min(y) as ya, max(y) as yb from ring group by 1)"""
 _NEAR = "sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))"
 
+def faces(s: SparkSession, d: str) -> DataFrame:
+    """The lattice's cells from its edges alone."""
+    nodes, ring = lattice(s, d)
+    return rings.cells_from_edges(mesh.edges_of(ring).select("n1", "n2"), nodes, 4).select(F.col("cell.a").alias("cell"), "pos", "node")
+
+
+def rims(s: SparkSession, d: str) -> DataFrame:
+    """The lattice's boundaries where every 11th cell is left out."""
+    nodes, ring = lattice(s, d)
+    found = rings.ordered_boundaries(mesh.edges_of(ring.where("cell % 11 <> 5")), nodes)
+    return r6(found.select(F.col("ring.a").alias("a"), F.col("ring.b").alias("b"), "pos", "node", "area"), "area")
+
+
+def sizes(s: SparkSession, d: str) -> DataFrame:
+    """Parts' sizes as a raster 40 wide."""
+    n = F.col("p_partkey")
+    return table(s, d, "part").select(F.floor(n / 40).alias("row"), (n % 40).alias("col"), F.col("p_size").cast("double").alias("value"))
+
+
+def crossings(s: SparkSession, d: str) -> DataFrame:
+    return r6(rings.contours(sizes(s, d), 30.5).select(F.col("h.kind").alias("kind"), F.col("h.row").alias("row"), F.col("h.col").alias("col"), "x", "y"), "x", "y")
+
+
 Q = {
     "quad_radius": (
         lambda s, d: r6(quadtree.within(posts(s, d), crowded(s, d), 1.5), "d"),
@@ -51,4 +75,31 @@ Q = {
         select qid, m.poly from m join edge using (poly) group by 1, 2
         having sum(case when (y0 <= m.y) <> (y1 <= m.y) and m.x < x0 + (m.y - y0) * (x1 - x0) / (y1 - y0) then 1 else 0 end) % 2 = 1""",
     ),
+    "faces_of_edges": (
+        faces,
+        f"""with {_LAT}, t as (select cell, min(node) as first from ring group by 1), s as (select ring.cell, ring.pos as start, first from ring join t using (cell) where node = first)
+        select first as cell, (pos - start + 4) % 4 as pos, node from ring join s using (cell)""",
+    ),
+    "ordered_boundaries": (
+        rims,
+        f"""with recursive {_LAT}, ok as (select * from h where cell % 11 <> 5), b as (select a, b from ok where not exists (select 1 from ok as o where o.a = ok.b and o.b = ok.a)),
+        turn as (select b.a as i, b.b as j, c.b as k, atan2(p.y - q.y, p.x - q.x) - atan2(r.y - q.y, r.x - q.x) as t from b join b as c on c.a = b.b join nodes p on p.node = b.a join nodes q on q.node = b.b join nodes r on r.node = c.b),
+        nxt as (select i, j, arg_min(k, case when t <= 0 then t + 2 * pi() else t end) as k from turn group by 1, 2),
+        walk as (select i as a, j as b, i, j, 0 as pos from nxt union all select w.a, w.b, n.i, n.j, w.pos + 1 from walk w join nxt m on m.i = w.i and m.j = w.j join nxt n on n.i = w.j and n.j = m.k
+          where (n.i, n.j) <> (w.a, w.b) and (n.i > w.a or (n.i = w.a and n.j > w.b))),
+        size as (select i, j, count(*) as n from (select a, b, i, j from walk) group by 1, 2),
+        whole as (select w.a, w.b, max(w.pos) as last from walk w group by 1, 2),
+        done as (select w.a, w.b from whole join walk w on w.a = whole.a and w.b = whole.b and w.pos = whole.last join nxt m on m.i = w.i and m.j = w.j where w.j = w.a and m.k = w.b),
+        ring2 as (select w.* from walk w join done using (a, b)),
+        area as (select w.a, w.b, sum(p.x * q.y - q.x * p.y) / 2 as area from ring2 w join nodes p on p.node = w.i join nodes q on q.node = w.j group by 1, 2)
+        select w.a, w.b, w.pos, w.i as node, round(area, 6) as area from ring2 w join area using (a, b)""",
+    ),
+    "contour_crossings": (
+        crossings,
+        """with g as (select p_partkey // 40 as row, p_partkey % 40 as col, p_size as v from part),
+        n as (select a.row, a.col, k.kind, a.v as v, b.v as w from g a, (values (0, 0, 1), (1, 1, 0)) as k(kind, i, j) join g b on b.row = a.row + k.i and b.col = a.col + k.j),
+        sq as (select a.row, a.col from g a join g b on b.row = a.row and b.col = a.col + 1 join g c on c.row = a.row + 1 and c.col = a.col join g d on d.row = a.row + 1 and d.col = a.col + 1)
+        select kind, row, col, round(case when kind = 0 then col + (30.5 - v) / (w - v)::double else col end, 6) as x, round(case when kind = 1 then row + (30.5 - v) / (w - v)::double else row end, 6) as y from n
+        where (v >= 30.5) <> (w >= 30.5) and exists (select 1 from sq where (sq.row = n.row and sq.col = n.col) or (sq.row = n.row - (1 - kind) and sq.col = n.col - kind))""",
+    ),
 }
