@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomline.operators import mesh, quadtree, rings
+from fathomline.operators import mesh, quadtree, rings, solve, spanning
 from fathomline.plans.more_queries import _LAT, lattice
 from fathomline.plans.series_queries import r6, table
 
@@ -60,6 +60,40 @@ def crossings(s: SparkSession, d: str) -> DataFrame:
     return r6(rings.contours(sizes(s, d), 30.5).select(F.col("h.kind").alias("kind"), F.col("h.row").alias("row"), F.col("h.col").alias("col"), "x", "y"), "x", "y")
 
 
+def shipped(s: SparkSession, d: str) -> DataFrame:
+    """Parts and suppliers as nodes, linked where a supplier shipped a part, at the least quantity."""
+    li = table(s, d, "lineitem")
+    return li.groupBy((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")).agg(F.min("l_quantity").alias("w"))
+
+
+def bottleneck(s: SparkSession, d: str) -> DataFrame:
+    """From each supplier to five others."""
+    k = table(s, d, "supplier").select("s_suppkey")
+    n = k.agg(F.max("s_suppkey").alias("n"))
+    pairs = k.crossJoin(F.broadcast(n)).select((F.col("s_suppkey") * 2 + 1).alias("u"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: ((F.col("s_suppkey") + i * 7 - 1) % F.col("n") + 1) * 2 + 1)).alias("v"))
+    return spanning.bottlenecks(shipped(s, d), pairs)
+
+
+def forest(s: SparkSession, d: str) -> DataFrame:
+    return spanning.spanning_forest(shipped(s, d))
+
+
+def levels(s: SparkSession, d: str) -> DataFrame:
+    """Four by four raster points for each part, over the lattice."""
+    nodes, ring = lattice(s, d)
+    n, k = F.col("p_partkey"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k")
+    fine = table(s, d, "part").select(n, "p_size", k).select((F.floor(n / 40) * 4 + F.floor(F.col("k") / 4)).alias("row"), (n % 40 * 4 + F.col("k") % 4).alias("col"), ((F.col("p_size") * 7 + F.col("k") * 29) % 53).cast("double").alias("value"))
+    return spanning.connection_levels(mesh.edges_of(ring), ring, nodes, fine, 0.013, 0.017, 0.25, 0.25)
+
+
+def spread(s: SparkSession, d: str) -> DataFrame:
+    """Each fourth cell's largest quantity, weighed by cell number, over the lattice."""
+    nodes, ring = lattice(s, d)
+    samples = table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("cell")).agg(F.max("l_quantity").alias("value")).where("cell % 4 = 0")
+    samples = samples.join(ring.select("cell").distinct(), "cell").select("cell", "value", (1.0 + F.col("cell") % 3).alias("weight"))
+    return r6(solve.extrapolated(mesh.edges_of(ring), ring, nodes, samples, 2.0, 1.0, tolerance=1e-13), "value", "weight")
+
+
 Q = {
     "quad_radius": (
         lambda s, d: r6(quadtree.within(posts(s, d), crowded(s, d), 1.5), "d"),
@@ -102,4 +136,26 @@ Q = {
         select kind, row, col, round(case when kind = 0 then col + (30.5 - v) / (w - v)::double else col end, 6) as x, round(case when kind = 1 then row + (30.5 - v) / (w - v)::double else row end, 6) as y from n
         where (v >= 30.5) <> (w >= 30.5) and exists (select 1 from sq where (sq.row = n.row and sq.col = n.col) or (sq.row = n.row - (1 - kind) and sq.col = n.col - kind))""",
     ),
+    "bottleneck_paths": (
+        bottleneck,
+        """with l as (select l_partkey as p, l_suppkey as s, min(l_quantity) as w from lineitem group by 1, 2),
+        m0 as (select a.s as i, b.s as j, min(greatest(a.w, b.w)) as w from l a join l b on a.p = b.p group by 1, 2),
+        """
+        + ",\n        ".join(f"m{k + 1} as (select a.i, b.j, min(greatest(a.w, b.w)) as w from m{k} a join m{k} b on a.j = b.i group by 1, 2)" for k in range(7))
+        + """,
+        n as (select max(s_suppkey) as n from supplier), q as (select distinct s_suppkey as i, (s_suppkey + k.k * 7 - 1) % n + 1 as j from supplier, n, (values (1), (2), (3), (4), (5)) as k(k))
+        select q.i * 2 + 1 as u, q.j * 2 + 1 as v, case when q.i <> q.j then w end as w from q left join m7 using (i, j)""",
+    ),
+    "spanning_forest": (forest, None),
+    "connection_levels": (levels, None),
+    "extrapolated": (
+        spread,
+        f"""with recursive {_LAT}, k as (select l as i, r as j, len / sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) as k from eg join g a on a.cell = l join g b on b.cell = r),
+        o as (select i, j, k from k union all select j, i, k from k), d as (select cell as i, 2 * area + coalesce((select sum(k) from o where o.i = g.cell), 0) as d from g),
+        f as (select d.i, d, case when i % 4 = 0 then coalesce(value * (1 + i % 3), 0) else 0 end as b, case when i % 4 = 0 and value is not null then 1 + i % 3 else 0 end as c from d left join cv on cv.cell = d.i),
+        x as (select 0 as n, i, b / d as v, c / d as w from f union all
+          select any_value(x.n) + 1, f.i, (any_value(f.b) + coalesce(sum(o.k * y.v), 0)) / any_value(f.d), (any_value(f.c) + coalesce(sum(o.k * y.w), 0)) / any_value(f.d)
+          from x join f using (i) left join o on o.i = f.i left join x y on y.i = o.j where x.n < 100 group by f.i)
+        select i as cell, round(v / w, 6) as value, round(w, 6) as weight from x where n = 100""",
+    ),
 }
