@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomline.operators import mesh, quadtree, rings, solve, spanning
+from fathomline.operators import mesh, overlay, quadtree, rings, solve, spanning
 from fathomline.plans.more_queries import _LAT, lattice
 from fathomline.plans.series_queries import r6, table
 
@@ -31,10 +31,10 @@ def stars(s: SparkSession, d: str) -> DataFrame:
 
 _CROWDED = "q as (select o_orderkey as qid, u * u * u * 100 as x, v * v * v * 100 as y from (select o_orderkey, o_totalprice / 500000.0::double as u, (o_orderkey % 1000) / 1000.0::double as v from orders))"
 _POSTS = "p as (select s_suppkey as pid, s_suppkey % 41 + 0.25::double as x, s_suppkey * 7 % 53 + 0.75::double as y from supplier)"
-_STARS = """c as (select c_nationkey as poly, row_number() over (partition by c_nationkey order by c_custkey) - 1 as pos, count(*) over (partition by c_nationkey) as n, 4 + 14 * (c_acctbal + 1000) / 11000::double as far from customer),
-ring as (select poly, pos, poly % 5 * 20 + 10 + far * cos(2 * 3.141592653589793::double * pos / n) as x, poly // 5 * 20 + 10 + far * sin(2 * 3.141592653589793::double * pos / n) as y from c),
-edge as (select poly, x as x0, y as y0, coalesce(lead(x) over w, first_value(x) over w) as x1, coalesce(lead(y) over w, first_value(y) over w) as y1 from ring window w as (partition by poly order by pos)),
-box as (select poly, min(x) as xa, max(x) as xb, min(y) as ya, max(y) as yb from ring group by 1)"""
+_STARS = """corner as (select c_nationkey as poly, row_number() over (partition by c_nationkey order by c_custkey) - 1 as pos, count(*) over (partition by c_nationkey) as n, 4 + 14 * (c_acctbal + 1000) / 11000::double as far from customer),
+star as (select poly, pos, poly % 5 * 20 + 10 + far * cos(2 * 3.141592653589793::double * pos / n) as x, poly // 5 * 20 + 10 + far * sin(2 * 3.141592653589793::double * pos / n) as y from corner),
+edge as (select poly, x as x0, y as y0, coalesce(lead(x) over w, first_value(x) over w) as x1, coalesce(lead(y) over w, first_value(y) over w) as y1 from star window w as (partition by poly order by pos)),
+box as (select poly, min(x) as xa, max(x) as xb, min(y) as ya, max(y) as yb from star group by 1)"""
 _NEAR = "sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))"
 
 def faces(s: SparkSession, d: str) -> DataFrame:
@@ -94,6 +94,16 @@ def spread(s: SparkSession, d: str) -> DataFrame:
     return r6(solve.extrapolated(mesh.edges_of(ring), ring, nodes, samples, 2.0, 1.0, tolerance=1e-13), "value", "weight")
 
 
+def shares(s: SparkSession, d: str) -> DataFrame:
+    """How much of each lattice cell lies in each nation's star."""
+    nodes, ring = lattice(s, d)
+    return r6(overlay.areas_in_regions(ring, nodes, quadtree.ring_edges(stars(s, d))).where("area > 1e-6"), "area", "share")
+
+
+def cuts(s: SparkSession, d: str) -> DataFrame:
+    return r6(overlay.halves(quadtree.ring_edges(stars(s, d)), 50.0, 50.0, 1.0, 2.0), "left", "right")
+
+
 Q = {
     "quad_radius": (
         lambda s, d: r6(quadtree.within(posts(s, d), crowded(s, d), 1.5), "d"),
@@ -158,4 +168,25 @@ Q = {
           from x join f using (i) left join o on o.i = f.i left join x y on y.i = o.j where x.n < 100 group by f.i)
         select i as cell, round(v / w, 6) as value, round(w, 6) as weight from x where n = 100""",
     ),
+    "areas_in_regions": (
+        shares,
+        f"""with {_LAT}, {_STARS}, a as (select cell, p.x as x0, p.y as y0, q.x as x1, q.y as y1 from h join nodes p on p.node = a join nodes q on q.node = b),
+        a2 as (select cell, x0, y0, x1, y1, min(x0) over w as ox, min(y0) over w as oy, max(x0) over w as mx, max(y0) over w as my from a window w as (partition by cell)),
+        b2 as (select edge.*, xa, xb, ya, yb from edge join box using (poly)),
+        m as (select a2.*, poly, b2.x0 as u0, b2.y0 as v0, b2.x1 as u1, b2.y1 as v1 from a2 join b2 on ox <= xb and mx >= xa and oy <= yb and my >= ya),
+        k as (select *, (u1 - u0) * (y1 - y0) - (v1 - v0) * (x1 - x0) as d, (x0 - ox) * (y1 - oy) - (x1 - ox) * (y0 - oy) as ca, (u0 - ox) * (v1 - oy) - (u1 - ox) * (v0 - oy) as cb from m),
+        c as (select *, ((v0 - y0) * (u1 - u0) - (u0 - x0) * (v1 - v0)) / nullif(d, 0) as t, ((v0 - y0) * (x1 - x0) - (u0 - x0) * (y1 - y0)) / nullif(d, 0) as u from k),
+        x as (select cell, poly, sum(sign(d) * ((1 - t) * ca - (1 - u) * cb)) as part from c where t >= 0 and t < 1 and u >= 0 and u < 1 group by 1, 2),
+        pa as (select cell, poly, x0, y0, ca from k group by all having sum(case when (v0 <= y0) <> (v1 <= y0) and x0 < u0 + (y0 - v0) * (u1 - u0) / nullif(v1 - v0, 0) then 1 else 0 end) % 2 = 1),
+        pb as (select cell, poly, u0, v0, cb from k group by all having sum(case when (y0 <= v0) <> (y1 <= v0) and u0 < x0 + (v0 - y0) * (x1 - x0) / nullif(y1 - y0, 0) then 1 else 0 end) % 2 = 1),
+        s as (select cell, poly, part from x union all select cell, poly, ca from pa union all select cell, poly, cb from pb),
+        t as (select cell, poly, sum(part) / 2 as area from s group by 1, 2)
+        select t.cell, poly as region, round(t.area, 6) as area, round(t.area / g.area, 6) as share from t join g on g.cell = t.cell where t.area > 1e-6""",
+    ),
+    "polygon_halves": (
+        cuts,
+        f"""with {_STARS}, s as (select poly, (y0 - 50) - 2 * (x0 - 50) as s0, (y1 - 50) - 2 * (x1 - 50) as s1, (x0 - 50) * (y1 - 50) - (x1 - 50) * (y0 - 50) as c from edge),
+        w as (select poly, c, case when s0 >= 0 and s1 >= 0 then 1 when s0 < 0 and s1 < 0 then 0 when s0 >= 0 then s0 / (s0 - s1) else s1 / (s1 - s0) end as w from s)
+        select poly, round(sum(c * w) / 2, 6) as left, round(sum(c * (1 - w)) / 2, 6) as right from w group by 1""",
+    ),
 }
