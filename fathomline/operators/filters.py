@@ -79,15 +79,39 @@ def fir(df: DataFrame, keys: list[str], order: list[str], value: str, size: int,
 def decompose(df: DataFrame, keys: list[str], t: str, value: str, omegas: list[float]) -> DataFrame:
     """``(keys, omega, amplitude, phase)``: the least-squares fit of ``amplitude * cos(omega * t - phase)`` summed over ``omegas``.
 
-    ``omegas`` are angular frequencies.  Rows without t or value are left out.  The normal equations are
-    sums by key, so a series is never gathered; each key's small system is solved for the least norm.
+    ``omegas`` are angular frequencies.  Rows without t or value are left out.  Each task adds up the normal equations of its rows
+    by key, and their sums by key and place are Spark's, so a series is never gathered; each key's small system is solved for the
+    least norm.
     """
-    n = 2 * len(omegas)
-    basis = [f(F.lit(float(o)) * F.col(t)) for o in omegas for f in (F.cos, F.sin)]
+    n, own = 2 * len(omegas), [f"_k{i}" for i in range(len(keys))]
     here = df.where(F.col(t).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    here = here.select(*keys, *(b.alias(f"_b{i}") for i, b in enumerate(basis)), F.col(value).cast("double").alias("_h"))
-    sums = [F.sum(F.col(f"_b{i}") * F.col(f"_b{j}")) for i in range(n) for j in range(n)]
-    sums = here.groupBy(*keys).agg(F.array(*sums).alias("_a"), F.array(*(F.sum(F.col(f"_b{i}") * F.col("_h")) for i in range(n))).alias("_y")).where("_a[0] is not null")
+    here = here.select(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), F.col(t).cast("double").alias("_t"), F.col(value).cast("double").alias("_h"))
+
+    def normal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        told = lambda: pd.DataFrame([(*k, v.tolist()) for k, v in held.items()], columns=[*own, "_s"], dtype=object)
+        for x in batches:
+            turn = np.outer(x["_t"].to_numpy(), omegas)
+            basis = np.stack([np.cos(turn), np.sin(turn)], axis=2).reshape(len(x), n)
+            h = x["_h"].to_numpy()
+            key = [tuple(None if pd.isna(v) else v for v in r) for r in x[own].drop_duplicates().itertuples(index=False)] if own else [()]
+            at = x[own].apply(lambda c: pd.factorize(c, use_na_sentinel=False)[0]) if own else None
+            number = at.groupby(own, sort=False).ngroup().to_numpy() if own else np.zeros(len(x), int)
+            for i, k in enumerate(key):
+                rows = number == i
+                s = np.concatenate([(basis[rows].T @ basis[rows]).ravel(), basis[rows].T @ h[rows]])
+                held[k] = held[k] + s if k in held else s
+            if len(held) > 256:
+                yield told()
+                held = {}
+        if held:
+            yield told()
+
+    kinds = dict(df.dtypes)
+    parts = here.mapInPandas(normal, ", ".join([*(f"{o} {kinds[k]}" for k, o in zip(keys, own, strict=True)), "_s array<double>"]))
+    each = parts.select(*(F.col(o).alias(k) for k, o in zip(keys, own, strict=True)), F.posexplode("_s").alias("_i", "_v")).groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"))
+    held = F.array_sort(F.collect_list(F.struct("_i", "_v")))["_v"]  # n (n + 1) numbers
+    sums = each.groupBy(*keys).agg(held.alias("_s")).select(*keys, F.slice("_s", 1, n * n).alias("_a"), F.slice("_s", n * n + 1, n).alias("_y")).where("size(_y) > 0")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -98,7 +122,6 @@ def decompose(df: DataFrame, keys: list[str], t: str, value: str, omegas: list[f
             out = x[keys].loc[x.index.repeat(len(omegas))].reset_index(drop=True)
             yield out.assign(omega=np.tile(omegas, len(x)).astype(float), amplitude=np.hypot(part[:, :, 0], part[:, :, 1]).ravel(), phase=np.arctan2(part[:, :, 1], part[:, :, 0]).ravel())
 
-    kinds = dict(df.dtypes)
     return sums.mapInPandas(solve, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "omega double, amplitude double, phase double"]))
 
 

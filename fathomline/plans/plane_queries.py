@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomline.operators import mesh, overlay, quadtree, rings, solve, spanning
+from fathomline.operators import mesh, overlay, quadtree, rings, solve, spanning, tiles
 from fathomline.plans.more_queries import _LAT, lattice
 from fathomline.plans.series_queries import r6, table
 
@@ -189,4 +189,18 @@ Q = {
         w as (select poly, c, case when s0 >= 0 and s1 >= 0 then 1 when s0 < 0 and s1 < 0 then 0 when s0 >= 0 then s0 / (s0 - s1) else s1 / (s1 - s0) end as w from s)
         select poly, round(sum(c * w) / 2, 6) as left, round(sum(c * (1 - w)) / 2, 6) as right from w group by 1""",
     ),
+    "tiles_smoothed": (
+        lambda s, d: r6(tiles.smoothed(sizes(s, d), size=32), "value"),
+        """with g as (select p_partkey // 40 as row, p_partkey % 40 as col, cast(p_size as double) as v from part), m as (select max(row) as rs, max(col) as cs from g),
+        k as (select g.row, g.col, least(greatest(g.row + i.i, 0), rs) as r, least(greatest(g.col + j.j, 0), cs) as c from g, m, (values (-1), (0), (1)) as i(i), (values (-1), (0), (1)) as j(j))
+        select k.row, k.col, round(avg(v), 6) as value from k left join g on g.row = k.r and g.col = k.c group by 1, 2""",
+    ),
+    "tiles_filled": (
+        lambda s, d: r6(tiles.filled(sizes(s, d).withColumn("value", F.when(F.col("value") < 45, F.col("value"))), iterations=1, size=32), "value"),
+        """with g as (select p_partkey // 40 as row, p_partkey % 40 as col, case when p_size < 45 then cast(p_size as double) end as v from part), m as (select max(row) as rs, max(col) as cs from g),
+        a as (select r.r as row, c.c as col, v from m, range(0, 100000) as r(r), range(0, 40) as c(c) left join g on g.row = r.r and g.col = c.c where r.r <= rs and c.c <= cs),
+        k as (select a.row, a.col, a.v as own, least(greatest(a.row + i.i, 0), rs) as r, least(greatest(a.col + j.j, 0), cs) as c from a, m, (values (-1), (0), (1)) as i(i), (values (-1), (0), (1)) as j(j)),
+        f as (select k.row, k.col, any_value(own) as own, avg(b.v) as near from k left join g as b on b.row = k.r and b.col = k.c group by 1, 2)
+        select f.row, f.col, round(coalesce(own, near), 6) as value from f where coalesce(own, near) is not null or exists (select 1 from g where g.row = f.row and g.col = f.col)""",
+    ),
 }
