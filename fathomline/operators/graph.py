@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.session import saved
+from fathomline.session import saved, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """Connected components: ``(id, component)`` for every id in an edge, component the smallest id reachable.
 
-    Each round takes the smallest label among neighbours and then the label of that label, so paths
-    shorten by more than half.  Every round aggregates on the map side before its shuffle, is
-    checkpointed, and survives lost executors.  Edges with a null end are ignored; repeated edges
+    Each round takes the smallest label among neighbours, hands it on to the node that gave the label before, so that all
+    under that follow it, and then takes the label of that label, so long paths take few rounds in any order of ids.  Every round aggregates on the map side before its shuffle, is
+    written to the shared folder, and survives lost executors.  Edges with a null end are ignored; repeated edges
     and loops change nothing; an empty table gives an empty result.
     """
     pairs = edges.select(F.col(a).alias("s"), F.col(b).alias("t")).where("s is not null and t is not null")
@@ -21,9 +21,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
     labels = saved(pairs.groupBy(F.col("s").alias("id")).agg(F.min(F.least("s", "t")).alias("label")))
     for _ in range(max_rounds):
         near = pairs.join(labels, pairs.s == labels.id).groupBy(F.col("t").alias("id")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "id", "left").select("id", F.col("label").alias("was"), F.least("label", "near").alias("now"))
+        seen = labels.join(near, "id", "left").select("id", "label", F.least("label", "near").alias("now"))
+        above = seen.where("now < label").select(F.col("label").alias("id"), F.lit(None).cast(labels.schema["label"].dataType).alias("was"), "now")
+        hooked = seen.select("id", F.col("label").alias("was"), "now").unionByName(above).groupBy("id").agg(F.max("was").alias("was"), F.min("now").alias("now"))
         up = labels.select(F.col("id").alias("now"), F.col("label").alias("above"))
-        moved = saved(hooked.join(up, "now", "left").select("id", "was", F.least("now", F.coalesce("above", "now")).alias("label")))
+        moved = written(hooked.join(up, "now", "left").select("id", "was", F.least("now", F.coalesce("above", "now")).alias("label")))
         labels = moved.select("id", "label")
         if moved.where("label <> was").isEmpty():
             return labels.select("id", F.col("label").alias("component"))
@@ -33,7 +35,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
 def distances(edges: DataFrame, sources: DataFrame, max_distance: float = float("inf"), max_rounds: int = 10_000) -> DataFrame:
     """``(node, distance)``: least sum of ``edges(a, b, w)``, in either direction, from any of ``sources(node)``.
 
-    Each round relaxes only the edges of nodes that the round before brought nearer, and is checkpointed.
+    Each round relaxes only the edges of nodes that the round before brought nearer, and is written to the shared folder.
     """
     both = saved(edges.select("a", "b", "w").union(edges.select("b", "a", "w")).groupBy("a", "b").agg(F.min("w").alias("w")))
     known = saved(sources.select("node").distinct().withColumn("distance", F.lit(0.0)))
@@ -41,7 +43,7 @@ def distances(edges: DataFrame, sources: DataFrame, max_distance: float = float(
     for _ in range(max_rounds):
         step = front.join(both, front.node == both.a).groupBy(F.col("b").alias("node")).agg(F.min(F.col("distance") + F.col("w")).alias("via"))
         step = step.where(F.col("via") <= max_distance)
-        merged = saved(known.join(step, "node", "full").select("node", F.least("distance", "via").alias("distance"), (F.col("distance").isNull() | (F.col("via") < F.col("distance"))).alias("nearer")))
+        merged = written(known.join(step, "node", "full").select("node", F.least("distance", "via").alias("distance"), (F.col("distance").isNull() | (F.col("via") < F.col("distance"))).alias("nearer")))
         known, front = merged.select("node", "distance"), merged.where("nearer").select("node", "distance")
         if front.isEmpty():
             return known
@@ -63,8 +65,8 @@ def shortest_path(edges: DataFrame, start: int, end: int) -> DataFrame:
     on = saved(far.where(F.col("node") == end).select("node"))
     while True:
         more = on.join(jump, "node").select(F.col("up").alias("node"))
-        grown = saved(on.union(more).distinct())
+        grown = written(on.union(more).distinct())
         if grown.count() == on.count():
             return grown.join(far, "node").select("node", "distance")
         on = grown
-        jump = saved(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("above")), "up").select("node", F.col("above").alias("up")))
+        jump = written(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("above")), "up").select("node", F.col("above").alias("up")))

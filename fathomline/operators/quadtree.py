@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.session import saved
+from fathomline.session import saved, written
 
 #: Points whose places shape a tree, halvings of each side at most, and points of a leaf.
 SAMPLE, LEVELS, LEAF_POINTS = 1 << 17, 24, 4096
@@ -212,11 +212,11 @@ def nearest(left: DataFrame, right: DataFrame, k: int, lid: str = "pid", rid: st
     done = None
     while have:
         got = within(todo, right, F.col("_w"), tree, lid, rid).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        got = saved(got)
+        got = written(got)
         full = got.groupBy(lid).agg(F.count("*").alias("_m")).where(F.col("_m") >= have).select(lid)
         part = got.join(full, lid, "left_semi")
         done = part if done is None else done.unionByName(part)
-        todo = saved(todo.join(full, lid, "left_anti").withColumn("_w", F.col("_w") * 2))
+        todo = written(todo.join(full, lid, "left_anti").withColumn("_w", F.col("_w") * 2))
         if todo.isEmpty():
             break
     return done if done is not None else within(left, right, -1.0, tree, lid, rid).withColumn("rank", F.lit(1)).where("false")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.operators.quadtree import in_polygons
-from fathomline.session import saved
+from fathomline.session import written
 
 #: Doublings at most: a chain of 2 ** ROUNDS links.
 ROUNDS = 40
@@ -17,12 +17,13 @@ def ranked(links: DataFrame) -> DataFrame:
 
     Every h has one row, ``nxt`` is null at the end of a chain, and no two rows have the same ``nxt``.  A cycle starts at its
     smallest h.  Each round joins every link with that which its pointer leads to and doubles the pointer, so a chain of n links takes
-    log n rounds forwards, to find what is smallest, and log n back to the start; each round is checkpointed.
+    log n rounds forwards, to find what is smallest, and log n back to the start; each round is written to the shared folder.
     """
-    state = saved(links.select("h", F.col("nxt").alias("p"), F.col("h").alias("least")))
+    state = written(links.select("h", F.col("nxt").alias("p"), F.col("h").alias("least")))
     for _ in range(ROUNDS):
         seen = state.select(F.col("h").alias("_h"), F.col("p").alias("_p"), F.col("least").alias("_least"))
-        moved = saved(state.join(seen, F.col("p") == F.col("_h"), "left").select("h", F.when(F.col("p").isNotNull(), F.col("_p")).alias("p"), F.col("least").alias("was"), F.least("least", "_least").alias("least")))
+        moved = state.join(seen, F.col("p") == F.col("_h")).select("h", F.col("_p").alias("p"), F.col("least").alias("was"), F.least("least", "_least").alias("least"))
+        moved = written(moved.unionByName(state.where("p is null").select("h", "p", F.col("least").alias("was"), "least")))
         state = moved.select("h", "p", "least")
         if moved.where("least <> was").isEmpty():
             break
@@ -35,19 +36,20 @@ def ranked(links: DataFrame) -> DataFrame:
         open_ = state.join(chains.select(F.col("h").alias("_c")), F.col("p") == F.col("_c"), "left_semi")
         if open_.isEmpty():
             break
-        state = saved(state.join(seen, F.col("p") == F.col("_h"), "left").select("h", F.col("_p").alias("p"), "least"))
+        state = written(state.join(seen, F.col("p") == F.col("_h")).select("h", F.col("_p").alias("p"), "least").unionByName(state.where("p is null")))
     start = state.where(F.col("p").isNotNull() & (F.col("least") == F.col("h"))).select(F.col("h").alias("_s"), F.lit(True).alias("closed"))
     # pointers back, broken at the first link of each cycle
     back = links.where("nxt is not null").select(F.col("nxt").alias("_to"), F.col("h").alias("_from"))
     state = links.select("h").join(start, F.col("h") == F.col("_s"), "left").join(back, F.col("h") == F.col("_to"), "left")
-    state = saved(state.select("h", F.when(F.col("closed").isNull(), F.col("_from")).alias("p"), F.coalesce("closed", F.lit(False)).alias("closed"), F.lit(0).cast("long").alias("pos")))
-    state = saved(state.select("h", "p", "closed", F.when(F.col("p").isNotNull(), 1).otherwise(0).cast("long").alias("pos"), F.coalesce("p", "h").alias("ring")))
+    state = written(state.select("h", F.when(F.col("closed").isNull(), F.col("_from")).alias("p"), F.coalesce("closed", F.lit(False)).alias("closed"), F.lit(0).cast("long").alias("pos")))
+    state = written(state.select("h", "p", "closed", F.when(F.col("p").isNotNull(), 1).otherwise(0).cast("long").alias("pos"), F.coalesce("p", "h").alias("ring")))
     for _ in range(ROUNDS):
         if state.where("p is not null").isEmpty():
             return state.select("h", "ring", "pos", "closed")
         seen = state.select(F.col("h").alias("_h"), F.col("p").alias("_p"), F.col("pos").alias("_pos"), F.col("ring").alias("_ring"), F.col("closed").alias("_closed"))
-        on = state.join(seen, F.col("p") == F.col("_h"), "left")
-        state = saved(on.select("h", F.col("_p").alias("p"), (F.col("closed") | F.coalesce("_closed", F.lit(False))).alias("closed"), (F.col("pos") + F.coalesce("_pos", F.lit(0))).alias("pos"), F.coalesce("_ring", "ring").alias("ring")))
+        # what has come to its start only waits to be met
+        on = state.join(seen, F.col("p") == F.col("_h")).select("h", F.col("_p").alias("p"), (F.col("closed") | F.col("_closed")).alias("closed"), (F.col("pos") + F.col("_pos")).alias("pos"), F.col("_ring").alias("ring"))
+        state = written(on.unionByName(state.where("p is null").select("h", "p", "closed", "pos", "ring")))
     raise RuntimeError(f"a chain has more than 2 ** {ROUNDS} links")
 
 
@@ -99,7 +101,7 @@ def cells_from_edges(edges: DataFrame, nodes: DataFrame, max_sides: int | None =
     A cell is named by its smallest half-edge and starts there.  A face that is reached from both sides of an edge, as
     a dead end is, keeps that edge twice.
     """
-    rings = saved(face_rings(edges, nodes))
+    rings = written(face_rings(edges, nodes))
     held = signed_areas(rings, nodes).where(F.col("area") > 0)
     held = held.where(F.col("n") <= max_sides) if max_sides is not None else held
     return rings.join(held.select("ring"), "ring", "left_semi").select(F.col("ring").alias("cell"), "pos", "node")
@@ -107,7 +109,7 @@ def cells_from_edges(edges: DataFrame, nodes: DataFrame, max_sides: int | None =
 
 def outer_boundary(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(pos, node)``: the outermost boundary of a graph, counter-clockwise from its smallest half-edge's end: the ring of the largest negative area, reversed."""
-    rings = saved(face_rings(edges, nodes))
+    rings = written(face_rings(edges, nodes))
     best = signed_areas(rings, nodes).where("area < 0").orderBy("area", "ring").limit(1)
     own = rings.join(F.broadcast(best.select("ring", "n")), "ring")
     return own.select((F.col("n") - 1 - F.col("pos")).alias("pos"), "node")
@@ -122,7 +124,7 @@ def ordered_boundaries(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     rim = edges.where(F.col("left").isNull() != F.col("right").isNull())
     here = F.col("left").isNotNull()
     half = rim.select(F.when(here, F.col("n1")).otherwise(F.col("n2")).alias("a"), F.when(here, F.col("n2")).otherwise(F.col("n1")).alias("b"))
-    rings = saved(ranked(_links(half, nodes)).select("ring", "pos", F.col("h.a").alias("node")))
+    rings = written(ranked(_links(half, nodes)).select("ring", "pos", F.col("h.a").alias("node")))
     return rings.join(signed_areas(rings, nodes).select("ring", "area"), "ring")
 
 
@@ -134,7 +136,7 @@ def nested(rings: DataFrame, nodes: DataFrame) -> DataFrame:
     at = rings.join(nodes.select("node", "x", "y"), "node")
     size = rings.groupBy("ring").agg(F.count("*").alias("n"))
     nxt = at.select("ring", F.col("pos").alias("_pos"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    edge = saved(at.join(size, "ring").withColumn("_pos", (F.col("pos") + 1) % F.col("n")).join(nxt, ["ring", "_pos"]).select(F.col("ring").alias("poly"), "pos", F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1"))
+    edge = written(at.join(size, "ring").withColumn("_pos", (F.col("pos") + 1) % F.col("n")).join(nxt, ["ring", "_pos"]).select(F.col("ring").alias("poly"), "pos", F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1"))
     middle = edge.where("pos = 0").select(F.col("poly").alias("pid"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     holds = in_polygons(middle, edge).where("pid <> poly").select(F.col("pid").alias("ring"), "poly")
     size = signed_areas(rings, nodes).select(F.col("ring").alias("poly"), F.abs("area").alias("size"))
@@ -150,8 +152,8 @@ def lines_to_polygons(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     point = lambda k: F.struct(F.col(f"x{k}").cast("double").alias("x"), F.col(f"y{k}").cast("double").alias("y"))
     e = segments.select(point(1).alias("n1"), point(2).alias("n2")).where("n1.x is not null and n1.y is not null and n2.x is not null and n2.y is not null")
-    nodes = saved(e.select(F.col("n1").alias("node")).union(e.select("n2")).distinct().select("node", "node.x", "node.y"))
-    rings = saved(cells_from_edges(e, nodes).select(F.col("cell").alias("ring"), "pos", "node"))
+    nodes = written(e.select(F.col("n1").alias("node")).union(e.select("n2")).distinct().select("node", "node.x", "node.y"))
+    rings = written(cells_from_edges(e, nodes).select(F.col("cell").alias("ring"), "pos", "node"))
     return rings.select("ring", "pos", "node.x", "node.y"), nested(rings, nodes)
 
 
@@ -201,7 +203,7 @@ def contours(grid: DataFrame, level: float) -> DataFrame:
         to = F.when(saddle & joined, crossing(after)).when(saddle, crossing(ago)).otherwise(only)
         return F.when(enters[s], F.struct(crossing(s).alias("a"), to.alias("b")))
 
-    parts = saved(square.select(F.explode(F.array_compact(F.array(*(segment(s) for s in order)))).alias("p")).select("p.a", "p.b"))
+    parts = written(square.select(F.explode(F.array_compact(F.array(*(segment(s) for s in order)))).alias("p")).select("p.a", "p.b"))
     spots = parts.select(F.col("a.h").alias("h"), F.col("a.x").alias("x"), F.col("a.y").alias("y")).unionByName(parts.select(F.col("b.h").alias("h"), F.col("b.x").alias("x"), F.col("b.y").alias("y")))
     spots = spots.groupBy("h").agg(F.min("x").alias("x"), F.min("y").alias("y"))
     to = parts.select(F.col("a.h").alias("_h"), F.col("b.h").alias("nxt"))

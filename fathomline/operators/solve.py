@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomline.operators.graph import components
 from fathomline.operators.mesh import cell_geometry, edge_geometry
-from fathomline.session import saved
+from fathomline.session import written
 
 
 def multiplied(matrix: DataFrame, vector: DataFrame, columns: list[str]) -> DataFrame:
@@ -22,13 +22,13 @@ def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, columns: list[str], t
     """``(i, *columns)`` with ``matrix x = rhs`` for each of ``columns``, until every residual is at most ``tolerance`` of its right side.
 
     ``matrix(i, j, v)`` is symmetric and positive definite, repeated places add up, and each i of it has a row of ``rhs``; a null there
-    counts as 0.  A step is one product, a join and a sum by row, of which the result is checkpointed, and one
+    counts as 0.  A step is one product, a join and a sum by row, of which the result is written to the shared folder, and one
     aggregation for the sums that it needs, so all columns are solved in the same passes and nothing but a few sums comes to the
     driver.  The diagonal is divided out first.  Rows that repeat in ``rhs`` are an error of the caller.
 
     Raises an error after ``most`` steps, or where a column finds the matrix not positive.
     """
-    matrix = saved(matrix.where("i is not null and j is not null").groupBy("i", "j").agg(F.sum("v").alias("v")))
+    matrix = written(matrix.where("i is not null and j is not null").groupBy("i", "j").agg(F.sum("v").alias("v")))
     diagonal = matrix.where("i = j").select("i", F.col("v").alias("_d"))
     state = rhs.select("i", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"r_{c}") for c in columns)).join(diagonal, "i")
     state = state.select("i", "_d", *(F.lit(0.0).alias(f"x_{c}") for c in columns), *(f"r_{c}" for c in columns), *((F.col(f"r_{c}") / F.col("_d")).alias(f"p_{c}") for c in columns))
@@ -36,7 +36,7 @@ def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, columns: list[str], t
     names = [f"{k}_{c}" for c in columns for k in "xrpq"]
     while True:
         q = multiplied(matrix, state, [f"p_{c}" for c in columns]).select("i", *(F.col(f"p_{c}").alias(f"q_{c}") for c in columns))
-        state = saved(state.join(q, "i", "left").select("i", "_d", *(F.coalesce(n, F.lit(0.0)).alias(n) for n in names)))
+        state = written(state.join(q, "i", "left").select("i", "_d", *(F.coalesce(n, F.lit(0.0)).alias(n) for n in names)))
         r, p, q = ({c: F.col(f"{k}_{c}") for c in columns} for k in "rpq")
         z = {c: F.col(f"r_{c}") / F.col("_d") for c in columns}
         sums = {"pq": lambda c: p[c] * q[c], "rr": lambda c: r[c] * r[c], "rz": lambda c: r[c] * z[c], "qz": lambda c: q[c] * z[c], "qq": lambda c: q[c] * q[c] / F.col("_d")}  # noqa: B023
@@ -107,11 +107,11 @@ def harmonic(links: DataFrame, fixed: DataFrame, tolerance: float = 1e-10) -> Da
     no way joins to a fixed one have null.
     """
     e = links.where("a <> b and w > 0").select("a", "b", "w")
-    both = saved(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
-    known = saved(fixed.where("node is not null and value is not null").groupBy("node").agg(F.avg("value").alias("value")))
+    both = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
+    known = written(fixed.where("node is not null and value is not null").groupBy("node").agg(F.avg("value").alias("value")))
     end = lambda c: known.select(F.col("node").alias(c), F.col("value").alias(f"_{c}"))
     at = both.join(end("b"), "b", "left").join(known.select(F.col("node").alias("a")), "a", "left_anti")
-    reach = saved(at.select("a", "b", "w", "_b"))
+    reach = written(at.select("a", "b", "w", "_b"))
     # what is not joined to a fixed node has no equation
     live = _reached(reach.where("_b is null").select("a", "b"), reach.where("_b is not null").select("a").distinct())
     reach = reach.join(live, "a", "left_semi")

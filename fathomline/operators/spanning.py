@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomline.operators.mesh import cell_neighbours
 from fathomline.operators.quadtree import in_polygons, ring_edges
-from fathomline.session import saved
+from fathomline.session import written
 
 
 def _merged(open_: DataFrame, comps: DataFrame) -> DataFrame:
@@ -19,13 +19,13 @@ def _merged(open_: DataFrame, comps: DataFrame) -> DataFrame:
     order = F.struct("w", "a", "b")
     both = open_.select(F.col("ca").alias("comp"), F.col("cb").alias("to"), order.alias("e")).unionByName(open_.select(F.col("cb").alias("comp"), F.col("ca").alias("to"), order.alias("e")))
     best = both.groupBy("comp").agg(F.min(F.struct("e", "to")).alias("m")).select("comp", "m.e.a", "m.e.b", "m.e.w", F.col("m.to").alias("to"))
-    best = saved(best)
+    best = written(best)
     back = best.select(F.col("comp").alias("to"), F.col("to").alias("_back"))
     root = (F.col("_back") == F.col("comp")) & (F.col("comp") < F.col("to"))
-    state = saved(best.join(back, "to", "left").select("comp", "a", "b", "w", F.when(root, F.col("comp")).otherwise(F.col("to")).alias("into")))
+    state = written(best.join(back, "to", "left").select("comp", "a", "b", "w", F.when(root, F.col("comp")).otherwise(F.col("to")).alias("into")))
     while True:
         on = state.select(F.col("comp").alias("into"), F.col("into").alias("_on"))
-        moved = saved(state.join(on, "into").select("comp", "a", "b", "w", F.col("_on").alias("into"), (F.col("_on") != F.col("into")).alias("moved")))
+        moved = written(state.join(on, "into").select("comp", "a", "b", "w", F.col("_on").alias("into"), (F.col("_on") != F.col("into")).alias("moved")))
         state = moved.drop("moved")
         if moved.where("moved").isEmpty():
             break
@@ -35,18 +35,18 @@ def _merged(open_: DataFrame, comps: DataFrame) -> DataFrame:
 def _rounds(edges: DataFrame, rounds: int = 64):
     """Each round's ``(comp, a, b, w, into)``, until no edge joins two components."""
     e = edges.where("a is not null and b is not null and w is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w")
-    e = saved(e.groupBy("a", "b").agg(F.min("w").alias("w")).select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    e = written(e.groupBy("a", "b").agg(F.min("w").alias("w")).select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")))
     comps = e.select(F.col("a").alias("comp")).union(e.select("b")).distinct()
     for _ in range(rounds):
         if e.isEmpty():
             return
-        step = saved(_merged(e, comps))
+        step = written(_merged(e, comps))
         yield step
         name = step.select("comp", "into")
         e = e.join(name.select(F.col("comp").alias("ca"), F.col("into").alias("_a")), "ca").join(name.select(F.col("comp").alias("cb"), F.col("into").alias("_b")), "cb").where("_a <> _b")
         # of the edges between two components only the least can be in the forest
         least = F.min(F.struct("w", "a", "b")).alias("m")
-        e = saved(e.groupBy(F.least("_a", "_b").alias("ca"), F.greatest("_a", "_b").alias("cb")).agg(least).select("m.a", "m.b", "m.w", "ca", "cb"))
+        e = written(e.groupBy(F.least("_a", "_b").alias("ca"), F.greatest("_a", "_b").alias("cb")).agg(least).select("m.a", "m.b", "m.w", "ca", "cb"))
         comps = name.select(F.col("into").alias("comp")).distinct()
     raise RuntimeError(f"edges are left after {rounds} rounds")
 
@@ -73,11 +73,11 @@ def bottlenecks(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     asked = pairs.select("u", "v").where("u is not null and v is not null").distinct()
     done = asked.where("u = v").select("u", "v", F.lit(None).cast(edges.schema["w"].dataType).alias("w"))
-    todo = saved(asked.where("u <> v").select("u", "v", F.col("u").alias("cu"), F.col("v").alias("cv"), F.lit(None).cast(edges.schema["w"].dataType).alias("w")))
+    todo = written(asked.where("u <> v").select("u", "v", F.col("u").alias("cu"), F.col("v").alias("cv"), F.lit(None).cast(edges.schema["w"].dataType).alias("w")))
     for step in _rounds(edges):
         side = lambda c: step.select(F.col("comp").alias(f"c{c}"), F.col("w").alias(f"_w{c}"), F.col("into").alias(f"_{c}"))  # noqa: E731, B023
         on = todo.join(side("u"), "cu", "left").join(side("v"), "cv", "left")
-        todo = saved(on.select("u", "v", F.coalesce("_u", "cu").alias("cu"), F.coalesce("_v", "cv").alias("cv"), F.greatest("w", "_wu", "_wv").alias("w")))
+        todo = written(on.select("u", "v", F.coalesce("_u", "cu").alias("cu"), F.coalesce("_v", "cv").alias("cv"), F.greatest("w", "_wu", "_wv").alias("w")))
         done = done.unionByName(todo.where("cu = cv").select("u", "v", "w"))
         todo = todo.where("cu <> cv")
     return done.unionByName(todo.select("u", "v", F.lit(None).cast(edges.schema["w"].dataType).alias("w")))
@@ -93,10 +93,10 @@ def connection_levels(edges: DataFrame, cell_nodes: DataFrame, nodes: DataFrame,
     at = grid.where(F.col("value").isNotNull() & ~F.isnan("value")).select(F.struct("row", "col").alias("pid"), (F.lit(x0) + F.col("col") * dx).alias("x"), (F.lit(y0) + F.col("row") * dy).alias("y"), F.col("value").cast("double").alias("value"))
     rings = cell_nodes.join(nodes.select("node", "x", "y"), "node").select(F.col("cell").alias("poly"), "pos", "x", "y")
     held = in_polygons(at, ring_edges(rings)).join(at.select("pid", "value"), "pid").select(F.col("poly").alias("cell"), "pid.row", "pid.col", "value")
-    held = saved(held)
+    held = written(held)
     inner = edges.where("left is not null and right is not null").select("n1", "n2", "left", "right")
     two = inner.select("n1", "n2", F.explode(F.array("left", "right")).alias("cell")).join(held, "cell").select("n1", "n2", "row", "col", "value").distinct()
-    two = saved(two)
+    two = written(two)
     step = F.explode(F.array(F.struct(F.lit(0).alias("i"), F.lit(1).alias("j")), F.struct(F.lit(1).alias("i"), F.lit(0).alias("j"))))
     to = two.select("n1", "n2", F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("value").alias("_value"))
     by = two.withColumn("s", step).withColumns({"_row": F.col("row") + F.col("s.i"), "_col": F.col("col") + F.col("s.j")})
@@ -105,7 +105,7 @@ def connection_levels(edges: DataFrame, cell_nodes: DataFrame, nodes: DataFrame,
     low = held.groupBy("cell").agg(F.min(F.struct("value", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))).alias("m"))
     a, b = (low.select(F.col("cell").alias(s), F.col("m").alias(f"_{s}")) for s in ("left", "right"))
     start = lambda s: F.struct("n1", "n2", F.col(f"_{s}.row").alias("row"), F.col(f"_{s}.col").alias("col"))
-    ends = saved(inner.join(a, "left", "left").join(b, "right", "left").select("n1", "n2", start("left").alias("u"), start("right").alias("v"), F.col("_left.value").alias("one"), F.when(F.col("_left").isNotNull() & F.col("_right").isNotNull(), True).alias("both")))
+    ends = written(inner.join(a, "left", "left").join(b, "right", "left").select("n1", "n2", start("left").alias("u"), start("right").alias("v"), F.col("_left.value").alias("one"), F.when(F.col("_left").isNotNull() & F.col("_right").isNotNull(), True).alias("both")))
     found = bottlenecks(links, ends.where("both").select("u", "v"))
     return ends.join(found, ["u", "v"], "left").select("n1", "n2", F.when(F.col("both") & (F.col("u") == F.col("v")), F.col("one")).otherwise(F.col("w")).alias("level"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a table in the folder that the cluster shares, for loops that join what they made before.
+
+    A checkpoint keeps the planner's guess of its size, and the guess for a join is the product of both sides'.  In a loop it squares
+    each round and its digits double, until planning alone takes minutes; a table has the size of its files.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions_of(spark: SparkSession) -> int:
     """The number of shuffle partitions that the user has set for this amount of data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -153,3 +153,14 @@ def test_solar_radiation_against_numpy(spark):
         ts = F.lit(text).cast("timestamp_ntz")
         got = spark.range(1).select(T.solar_radiation(ts), T.equation_of_time(ts)).first()
         assert abs(got[0] - want) < 1e-6 and abs(got[1] - late) < 1e-9
+
+
+def test_rounds_of_a_long_chain_stay_cheap(spark):
+    """3,000 links in a row: what a round plans doesn't grow with the rounds before."""
+    import time
+
+    chain = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    shuffled = chain.select((F.col("a") * 1009 % 3001).alias("a"), (F.col("b") * 1009 % 3001).alias("b"))
+    began = time.time()
+    assert graph.components(shuffled).agg(F.count("*"), F.max("component")).first() == (3001, 0)
+    assert time.time() - began < 120
