@@ -1,10 +1,10 @@
 import pytest
 
-from fathomline.plans import extract_queries, filter_queries, model_queries, more_queries, plane_queries, series_queries, space_queries, stream_queries
+from fathomline.plans import cleaning_queries, extract_queries, filter_queries, model_queries, more_queries, plane_queries, series_queries, space_queries, stream_queries
 from tests.oracle import both
 
 SF = "/root/testdata/sf0.001"
-ALL = series_queries.Q | space_queries.Q | filter_queries.Q | stream_queries.Q | more_queries.Q | extract_queries.Q | model_queries.Q | plane_queries.Q
+ALL = series_queries.Q | space_queries.Q | filter_queries.Q | stream_queries.Q | more_queries.Q | extract_queries.Q | model_queries.Q | plane_queries.Q | cleaning_queries.Q
 
 
 @pytest.mark.parametrize("name", sorted(ALL))
