@@ -9,18 +9,18 @@ from fathomline.functions.geometry import circumcentre
 from fathomline.operators.graph import components
 from fathomline.operators.mesh import cell_geometry, cell_neighbours, edge_geometry, half_edges, perot
 from fathomline.operators.spatial import knn, points_in_polygons, within_radius
-from fathomline.session import saved
+from fathomline.session import saved, shuffled
 
 
 def rings(cell_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(cell, pos, x, y)``."""
-    return cell_nodes.join(nodes.select("node", "x", "y"), "node").select("cell", "pos", "x", "y")
+    return cell_nodes.join(shuffled(nodes.select("node", "x", "y")), "node").select("cell", "pos", "x", "y")
 
 
 def points_to_cells(points: DataFrame, cell_nodes: DataFrame, nodes: DataFrame, size: float, pid: str = "pid") -> DataFrame:
     """``(pid, cell)`` for every point: the cell that holds it, the smallest of several, null for none.  ``size`` is about that of a cell."""
     hits = points_in_polygons(points, rings(cell_nodes, nodes), size, pid, "cell").groupBy(pid).agg(F.min("cell").alias("cell"))
-    return points.select(pid).join(hits, pid, "left")
+    return points.select(pid).join(shuffled(hits), pid, "left")
 
 
 def cells_nearest(points: DataFrame, cell_nodes: DataFrame, nodes: DataFrame, size: float, inside: bool = False, pid: str = "pid") -> DataFrame:
@@ -29,7 +29,7 @@ def cells_nearest(points: DataFrame, cell_nodes: DataFrame, nodes: DataFrame, si
     near = knn(points, centres, 1, size, pid, "cell").select(pid, F.col("cell").alias("_near"))
     if not inside:
         return near.select(pid, F.col("_near").alias("cell"))
-    return near.join(points_to_cells(points, cell_nodes, nodes, size, pid), pid, "left").select(pid, F.coalesce("cell", "_near").alias("cell"))
+    return near.join(shuffled(points_to_cells(points, cell_nodes, nodes, size, pid)), pid, "left").select(pid, F.coalesce("cell", "_near").alias("cell"))
 
 
 def nodes_clipped(nodes: DataFrame, box: tuple[float, float, float, float], invert: bool = False) -> DataFrame:
@@ -42,16 +42,16 @@ def edges_clipped(edges: DataFrame, nodes: DataFrame, box: tuple[float, float, f
     """Edges whose centre lies in the box, or with ``ends`` both of whose ends do."""
     if ends:
         held = nodes_clipped(nodes, box).select("node")
-        return edges.join(held.withColumnRenamed("node", "n1"), "n1", "left_semi").join(held.withColumnRenamed("node", "n2"), "n2", "left_semi")
+        return edges.join(shuffled(held.withColumnRenamed("node", "n1")), "n1", "left_semi").join(shuffled(held.withColumnRenamed("node", "n2")), "n2", "left_semi")
     at = edge_geometry(edges, nodes).where(F.col("ex").between(box[0], box[1]) & F.col("ey").between(box[2], box[3])).select("n1", "n2")
-    return edges.join(at, ["n1", "n2"], "left_semi")
+    return edges.join(shuffled(at), ["n1", "n2"], "left_semi")
 
 
 def cells_clipped(cell_nodes: DataFrame, nodes: DataFrame, box: tuple[float, float, float, float], by_centre: bool = True) -> DataFrame:
     """``(cell)``: cells whose centroid lies in the box, or any of whose nodes does."""
     if by_centre:
         return cell_geometry(cell_nodes, nodes).where(F.col("cx").between(box[0], box[1]) & F.col("cy").between(box[2], box[3])).select("cell")
-    return cell_nodes.join(nodes_clipped(nodes, box).select("node"), "node", "left_semi").select("cell").distinct()
+    return cell_nodes.join(shuffled(nodes_clipped(nodes, box).select("node")), "node", "left_semi").select("cell").distinct()
 
 
 def cells_in_polygons(cell_nodes: DataFrame, nodes: DataFrame, polygons: DataFrame, size: float, poly: str = "poly") -> DataFrame:
@@ -63,7 +63,7 @@ def cells_in_polygons(cell_nodes: DataFrame, nodes: DataFrame, polygons: DataFra
 def area_by_region(cell_nodes: DataFrame, nodes: DataFrame, polygons: DataFrame, size: float, poly: str = "poly") -> DataFrame:
     """``(poly, area, cells)``: area of the cells whose centroid lies in each polygon."""
     held = cells_in_polygons(cell_nodes, nodes, polygons, size, poly)
-    return held.join(cell_geometry(cell_nodes, nodes), "cell").groupBy(poly).agg(F.sum(F.abs("area")).alias("area"), F.count("*").alias("cells"))
+    return held.join(shuffled(cell_geometry(cell_nodes, nodes)), "cell").groupBy(poly).agg(F.sum(F.abs("area")).alias("area"), F.count("*").alias("cells"))
 
 
 def volume_at(cells: DataFrame, level: float) -> DataFrame:
@@ -75,22 +75,22 @@ def volume_at(cells: DataFrame, level: float) -> DataFrame:
 def cell_mean_of_pixels(pixels: DataFrame, cell_nodes: DataFrame, nodes: DataFrame, size: float) -> DataFrame:
     """``(cell, mean, n)``: mean of the pixels ``(pid, x, y, value)`` whose centre lies in each cell."""
     held = points_to_cells(pixels, cell_nodes, nodes, size).where("cell is not null")
-    return held.join(pixels.select("pid", "value"), "pid").groupBy("cell").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
+    return held.join(shuffled(pixels.select("pid", "value")), "pid").groupBy("cell").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
 
 
 def match_nodes(nodes: DataFrame, other: DataFrame, tolerance: float) -> DataFrame:
     """``(node, into)``: the nearest node of the other mesh within ``tolerance``, the smallest of equally near ones; -1 for none."""
     a, b = nodes.select("node", "x", "y"), other.select(F.col("node").alias("into"), "x", "y")
     near = within_radius(a, b, tolerance, "node", "into").groupBy("node").agg(F.min(F.struct("d", "into"))["into"].alias("into"))
-    return nodes.select("node").join(near, "node", "left").select("node", F.coalesce("into", F.lit(-1)).alias("into"))
+    return nodes.select("node").join(shuffled(near), "node", "left").select("node", F.coalesce("into", F.lit(-1)).alias("into"))
 
 
 def match_cells(cell_nodes: DataFrame, other_cells: DataFrame, node_map: DataFrame) -> DataFrame:
     """``(cell, into)``: the cell of the other mesh with the same set of nodes, -1 for none."""
-    mine = cell_nodes.join(node_map, "node").groupBy("cell").agg(F.sort_array(F.collect_list("into")).alias("k"))
+    mine = cell_nodes.join(shuffled(node_map), "node").groupBy("cell").agg(F.sort_array(F.collect_list("into")).alias("k"))
     other = other_cells.groupBy(F.col("cell").alias("into")).agg(F.sort_array(F.collect_list("node")).alias("k"))
-    best = mine.join(other, "k").groupBy("cell").agg(F.min("into").alias("into"))
-    return cell_nodes.select("cell").distinct().join(best, "cell", "left").select("cell", F.coalesce("into", F.lit(-1)).alias("into"))
+    best = mine.join(shuffled(other), "k").groupBy("cell").agg(F.min("into").alias("into"))
+    return cell_nodes.select("cell").distinct().join(shuffled(best), "cell", "left").select("cell", F.coalesce("into", F.lit(-1)).alias("into"))
 
 
 def added(nodes: DataFrame, cell_nodes: DataFrame, more_nodes: DataFrame, more_cells: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -100,8 +100,8 @@ def added(nodes: DataFrame, cell_nodes: DataFrame, more_nodes: DataFrame, more_c
     found = match_nodes(more_nodes, nodes, tolerance)
     new = F.lit(top_n + 1) + F.col("node")
     mapping = saved(found.select("node", F.when(F.col("into") < 0, new).otherwise(F.col("into")).alias("into"), (F.col("into") < 0).alias("new")))
-    fresh = more_nodes.join(mapping.where("new"), "node").select(F.col("into").alias("node"), "x", "y")
-    moved = more_cells.join(mapping.select("node", "into"), "node").select((F.col("cell") + top_c + 1).alias("cell"), "pos", F.col("into").alias("node"))
+    fresh = more_nodes.join(shuffled(mapping.where("new")), "node").select(F.col("into").alias("node"), "x", "y")
+    moved = more_cells.join(shuffled(mapping.select("node", "into")), "node").select((F.col("cell") + top_c + 1).alias("cell"), "pos", F.col("into").alias("node"))
     return nodes.select("node", "x", "y").unionByName(fresh), cell_nodes.select("cell", "pos", "node").unionByName(moved), mapping.select("node", "into")
 
 
@@ -115,26 +115,26 @@ def owners(local: DataFrame) -> DataFrame:
 
 def gathered(values: DataFrame, owned: DataFrame, cells: DataFrame, value: str = "value") -> DataFrame:
     """``(cell, value)`` for all global cells: the value ``(proc, local_cell, value)`` of the part that owns each; null for none."""
-    held = owned.join(values.select("proc", "local_cell", value), ["proc", "local_cell"]).select("cell", value)
-    return cells.select("cell").join(held, "cell", "left")
+    held = owned.join(shuffled(values.select("proc", "local_cell", value)), ["proc", "local_cell"]).select("cell", value)
+    return cells.select("cell").join(shuffled(held), "cell", "left")
 
 
 def gathered_last(values: DataFrame, mapping: DataFrame, value: str = "value") -> DataFrame:
     """``(node, value)``: of the values ``(proc, local, value)`` of a global node or edge that of the highest part, by ``mapping(proc, local, node)``."""
-    return mapping.join(values, ["proc", "local"]).groupBy("node").agg(F.max_by(value, "proc").alias(value))
+    return mapping.join(shuffled(values), ["proc", "local"]).groupBy("node").agg(F.max_by(value, "proc").alias(value))
 
 
 def edge_to_cell(edges: DataFrame, values: DataFrame) -> DataFrame:
     """``(cell, value)``: mean over a cell's edges of ``values(n1, n2, value)``."""
-    e = edges.join(values.select("n1", "n2", "value"), ["n1", "n2"])
+    e = edges.join(shuffled(values.select("n1", "n2", "value")), ["n1", "n2"])
     return e.select(F.explode(F.array("left", "right")).alias("cell"), "value").where("cell is not null").groupBy("cell").agg(F.avg("value").alias("value"))
 
 
 def edge_slopes(edges: DataFrame, cell_nodes: DataFrame, nodes: DataFrame, values: DataFrame) -> DataFrame:
     """``(n1, n2, value)``: from the left cell to the right the change of ``values(cell, value)`` over the distance of their centroids; 0 at the boundary."""
-    c = cell_geometry(cell_nodes, nodes).join(values.select("cell", "value"), "cell").select("cell", "cx", "cy", "value")
+    c = cell_geometry(cell_nodes, nodes).join(shuffled(values.select("cell", "value")), "cell").select("cell", "cx", "cy", "value")
     a, b = (c.select(F.col("cell").alias(s), *(F.col(x).alias(f"{s[0]}_{x}") for x in ("cx", "cy", "value"))) for s in ("left", "right"))
-    e = edges.join(a, "left", "left").join(b, "right", "left")
+    e = edges.join(shuffled(a), "left", "left").join(shuffled(b), "right", "left")
     far = F.sqrt(F.pow(F.col("r_cx") - F.col("l_cx"), 2) + F.pow(F.col("r_cy") - F.col("l_cy"), 2))
     return e.select("n1", "n2", F.coalesce((F.col("r_value") - F.col("l_value")) / far, F.lit(0.0)).alias("value"))
 
@@ -147,7 +147,7 @@ def cell_gradient(edges: DataFrame, cell_nodes: DataFrame, nodes: DataFrame, val
 def contour_edges(edges: DataFrame, values: DataFrame, level: float) -> DataFrame:
     """``(n1, n2)`` of the edges between a cell below a level and one at or above it."""
     v = values.select("cell", F.col("value").alias("v"))
-    e = edges.join(v.withColumnsRenamed({"cell": "left", "v": "a"}), "left").join(v.withColumnsRenamed({"cell": "right", "v": "b"}), "right")
+    e = edges.join(shuffled(v.withColumnsRenamed({"cell": "left", "v": "a"})), "left").join(shuffled(v.withColumnsRenamed({"cell": "right", "v": "b"})), "right")
     return e.where((F.col("a") < level) != (F.col("b") < level)).select("n1", "n2")
 
 
@@ -160,14 +160,14 @@ def boundary_rings(edges: DataFrame) -> DataFrame:
     """``(n1, n2, ring)``: boundary edges and the connected ring they belong to, named by its smallest node."""
     out = edges.where("left is null or right is null").select("n1", "n2")
     found = components(out, "n1", "n2")
-    return out.join(found.select(F.col("id").alias("n1"), F.col("component").alias("ring")), "n1")
+    return out.join(shuffled(found.select(F.col("id").alias("n1"), F.col("component").alias("ring"))), "n1")
 
 
 def cell_components(edges: DataFrame, cells: DataFrame, cut: DataFrame | None = None) -> DataFrame:
     """``(cell, component)``: cells that edges join, without the edges ``cut(n1, n2)``; the name is the smallest cell."""
-    open_ = edges if cut is None else edges.join(cut, ["n1", "n2"], "left_anti")
+    open_ = edges if cut is None else edges.join(shuffled(cut), ["n1", "n2"], "left_anti")
     found = components(cell_neighbours(open_), "cell", "other")
-    return cells.select("cell").join(found.withColumnRenamed("id", "cell"), "cell", "left").select("cell", F.coalesce("component", "cell").alias("component"))
+    return cells.select("cell").join(shuffled(found.withColumnRenamed("id", "cell")), "cell", "left").select("cell", F.coalesce("component", "cell").alias("component"))
 
 
 def main_component(edges: DataFrame, cells: DataFrame) -> DataFrame:
@@ -184,12 +184,12 @@ def linear_strings(edges: DataFrame) -> DataFrame:
     end = e.select(F.explode(F.array("n1", "n2")).alias("node"), "e")
     two = end.groupBy("node").agg(F.count("*").alias("n"), F.min("e").alias("a"), F.max("e").alias("b")).where("n = 2")
     found = components(two.select("a", "b"))
-    return e.join(found.withColumnRenamed("id", "e"), "e", "left").select("n1", "n2", F.coalesce("component", "e").alias("string"))
+    return e.join(shuffled(found.withColumnRenamed("id", "e")), "e", "left").select("n1", "n2", F.coalesce("component", "e").alias("string"))
 
 
 def nodes_rewritten(cell_nodes: DataFrame, mapping: DataFrame) -> DataFrame:
     """Cell nodes with nodes replaced by ``mapping(node, into)``."""
-    return cell_nodes.join(mapping, "node", "left").select("cell", "pos", F.coalesce("into", "node").alias("node"))
+    return cell_nodes.join(shuffled(mapping), "node", "left").select("cell", "pos", F.coalesce("into", "node").alias("node"))
 
 
 def dual(edges: DataFrame, cell_nodes: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -203,7 +203,7 @@ def angle_errors(edges: DataFrame, cell_nodes: DataFrame, nodes: DataFrame) -> D
     """``(n1, n2, error)``: for inner edges the cosine between the edge and the line of its cells' centroids; 0 where they are at right angles."""
     c = cell_geometry(cell_nodes, nodes)
     a, b = (c.select(F.col("cell").alias(s), F.col("cx").alias(f"{s[0]}x"), F.col("cy").alias(f"{s[0]}y")) for s in ("left", "right"))
-    e = edge_geometry(edges, nodes).join(a, "left").join(b, "right")
+    e = edge_geometry(edges, nodes).join(shuffled(a), "left").join(shuffled(b), "right")
     dx, dy = F.col("rx") - F.col("lx"), F.col("ry") - F.col("ly")
     along = (-F.col("ny") * dx + F.col("nx") * dy) / F.sqrt(dx * dx + dy * dy)
     return e.select("n1", "n2", along.alias("error"))
@@ -213,9 +213,9 @@ def polygon_circumcentre(cell_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(cell, x, y)``: mean of the circumcentres of each three consecutive nodes of a ring."""
     h = half_edges(cell_nodes)
     nxt = h.select("cell", F.col("a").alias("b"), F.col("b").alias("c"))
-    three = h.select("cell", "a", "b").join(nxt, ["cell", "b"])
+    three = h.select("cell", "a", "b").join(shuffled(nxt), ["cell", "b"])
     for n in "abc":
-        three = three.join(nodes.select(F.col("node").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y")), n)
+        three = three.join(shuffled(nodes.select(F.col("node").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))), n)
     x, y = circumcentre(*(F.col(f"{n}{k}") for n in "abc" for k in "xy"))
     return three.select("cell", x.alias("x"), y.alias("y")).groupBy("cell").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
 
@@ -224,7 +224,7 @@ def circumcentre_errors(cell_nodes: DataFrame, nodes: DataFrame, by_radius: bool
     """``(cell, error)``: population deviation of the distances from ``polygon_circumcentre`` to a cell's nodes, ``by_radius`` over their mean; 0 for triangles."""
     far = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
     centre = polygon_circumcentre(cell_nodes, nodes).select("cell", F.col("x").alias("_x"), F.col("y").alias("_y"))
-    each = cell_nodes.select("cell", "node").join(nodes.select("node", "x", "y"), "node").join(centre, "cell").select("cell", far.alias("_d"))
+    each = cell_nodes.select("cell", "node").join(shuffled(nodes.select("node", "x", "y")), "node").join(shuffled(centre), "cell").select("cell", far.alias("_d"))
     error = F.stddev_pop("_d") / F.avg("_d") if by_radius else F.stddev_pop("_d")
     return each.groupBy("cell").agg(F.when(F.count("*") > 3, error).otherwise(0.0).alias("error"))
 
@@ -236,9 +236,9 @@ def edge_clearance(edges: DataFrame, cell_nodes: DataFrame, nodes: DataFrame, bo
     Areas count as at least ``least_area``.
     """
     size = cell_geometry(cell_nodes, nodes).select("cell", F.sqrt(F.greatest("area", F.lit(least_area))).alias("size"))
-    c = polygon_circumcentre(cell_nodes, nodes).join(size, "cell")
+    c = polygon_circumcentre(cell_nodes, nodes).join(shuffled(size), "cell")
     a, b = (c.select(F.col("cell").alias(s), *(F.col(x).alias(f"_{s}_{x}") for x in ("x", "y", "size"))) for s in ("left", "right"))
-    e = edge_geometry(edges, nodes).join(a, "left", "left").join(b, "right", "left")
+    e = edge_geometry(edges, nodes).join(shuffled(a), "left", "left").join(shuffled(b), "right", "left")
     own = lambda s, sign: sign * ((F.col(f"_{s}_x") - F.col("ex")) * F.col("nx") + (F.col(f"_{s}_y") - F.col("ey")) * F.col("ny")) / F.col(f"_{s}_size")
     left, right = own("left", -1), own("right", 1)
     return e.select("n1", "n2", ((left + right) / 2 if both else F.least(left, right)).alias("clearance"))

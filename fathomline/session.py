@@ -40,6 +40,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast, for tables that grow with the input.
+
+    The planner guesses the size of a side from its files, packed and before any ``explode``, so it would send tables of millions of
+    rows through the driver.
+    """
+    return df.hint("merge")
+
+
 def partitions_of(spark: SparkSession) -> int:
     """The number of shuffle partitions that the user has set for this amount of data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
