@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomline.session import saved
+from fathomline.session import saved, shuffled
 
 
 def rectilinear(spark: SparkSession, nx: int, ny: int, dx: float = 1.0, dy: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +57,7 @@ def _sides(cell_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     h = half_edges(cell_nodes)
     a = nodes.select(F.col("node").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = nodes.select(F.col("node").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    s = h.join(a, "a").join(b, "b")
+    s = h.join(shuffled(a), "a").join(shuffled(b), "b")
     # Seen from a corner of the cell, so that products of large coordinates don't cancel.
     own = Window.partitionBy("cell")
     s = s.withColumn("_o", F.min(F.struct("pos", "ax", "ay")).over(own)).withColumns({"x0": F.col("_o.ax"), "y0": F.col("_o.ay")}).drop("_o")
@@ -77,7 +77,7 @@ def edge_geometry(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``edges`` with length, centre (ex, ey) and unit normal (nx, ny) from left to right."""
     a = nodes.select(F.col("node").alias("n1"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = nodes.select(F.col("node").alias("n2"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    e = edges.join(a, "n1").join(b, "n2")
+    e = edges.join(shuffled(a), "n1").join(shuffled(b), "n2")
     length = F.sqrt((F.col("bx") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("by") - F.col("ay")) * (F.col("by") - F.col("ay")))
     e = e.withColumn("length", length).withColumns({"ex": (F.col("ax") + F.col("bx")) / 2, "ey": (F.col("ay") + F.col("by")) / 2, "nx": (F.col("by") - F.col("ay")) / F.col("length"), "ny": (F.col("ax") - F.col("bx")) / F.col("length")})
     return e.drop("ax", "ay", "bx", "by")
@@ -85,36 +85,36 @@ def edge_geometry(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def node_to_cell(cell_nodes: DataFrame, values: DataFrame) -> DataFrame:
     """``(cell, value)``: mean over a cell's nodes, null if any node has none."""
-    both = cell_nodes.join(values.select("node", "value"), "node", "left")
+    both = cell_nodes.join(shuffled(values.select("node", "value")), "node", "left")
     return both.groupBy("cell").agg(F.when(F.count("value") == F.count("*"), F.avg("value")).alias("value"))
 
 
 def cell_to_node(cell_nodes: DataFrame, values: DataFrame) -> DataFrame:
     """``(node, value)``: unweighted mean over the cells at a node."""
-    return cell_nodes.join(values.select("cell", "value"), "cell").groupBy("node").agg(F.avg("value").alias("value"))
+    return cell_nodes.join(shuffled(values.select("cell", "value")), "cell").groupBy("node").agg(F.avg("value").alias("value"))
 
 
 def perot(cell_nodes: DataFrame, nodes: DataFrame, edges: DataFrame, values: DataFrame) -> DataFrame:
     """``(cell, u, v)``: vectors from normal components ``values(n1, n2, value)`` on edges: sums of v n d L / A, d from the cell's centre to the edge."""
     geo = cell_geometry(cell_nodes, nodes)
-    e = edge_geometry(edges, nodes).join(values.select("n1", "n2", "value"), ["n1", "n2"])
+    e = edge_geometry(edges, nodes).join(shuffled(values.select("n1", "n2", "value")), ["n1", "n2"])
     side = e.where("left is not null").withColumn("cell", F.col("left")).unionByName(e.where("right is not null").withColumn("cell", F.col("right")))
     d = F.abs((F.col("ex") - F.col("cx")) * F.col("nx") + (F.col("ey") - F.col("cy")) * F.col("ny"))
-    part = side.join(geo, "cell").withColumn("w", F.col("value") * d * F.col("length") / F.abs("area"))
+    part = side.join(shuffled(geo), "cell").withColumn("w", F.col("value") * d * F.col("length") / F.abs("area"))
     return part.groupBy("cell").agg(F.sum(F.col("w") * F.col("nx")).alias("u"), F.sum(F.col("w") * F.col("ny")).alias("v"))
 
 
 def divergence(edges: DataFrame, flux: DataFrame) -> DataFrame:
     """``(cell, net)``: flux out of each cell, ``flux(n1, n2, value)`` counted from left to right."""
-    e = edges.join(flux.select("n1", "n2", "value"), ["n1", "n2"])
+    e = edges.join(shuffled(flux.select("n1", "n2", "value")), ["n1", "n2"])
     each = e.select(F.col("left").alias("cell"), "value").union(e.select("right", -F.col("value"))).where("cell is not null")
     return each.groupBy("cell").agg(F.sum("value").alias("net"))
 
 
 def smoothed(edges: DataFrame, values: DataFrame, f: float = 0.5) -> DataFrame:
     """``(cell, value)``: (1 - f) of a cell's value and f of its neighbours' mean."""
-    near = cell_neighbours(edges).join(values.select(F.col("cell").alias("other"), F.col("value").alias("_o")), "other").groupBy("cell").agg(F.avg("_o").alias("_m"))
-    return values.join(near, "cell", "left").select("cell", ((1 - f) * F.col("value") + f * F.coalesce("_m", "value")).alias("value"))
+    near = cell_neighbours(edges).join(shuffled(values.select(F.col("cell").alias("other"), F.col("value").alias("_o"))), "other").groupBy("cell").agg(F.avg("_o").alias("_m"))
+    return values.join(shuffled(near), "cell", "left").select("cell", ((1 - f) * F.col("value") + f * F.coalesce("_m", "value")).alias("value"))
 
 
 def merged_nodes(nodes: DataFrame) -> DataFrame:
@@ -129,4 +129,4 @@ def renumbered(df: DataFrame, key: str, partitions: int = 64) -> DataFrame:
     size = keys.groupBy("_p").agg(F.count("*").alias("_n"))
     size = size.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row for each range
     numbered = keys.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    return numbered.join(size, "_p").select(key, (F.col("_before") + F.col("_i") - 1).alias("number"))
+    return numbered.join(F.broadcast(size), "_p").select(key, (F.col("_before") + F.col("_i") - 1).alias("number"))

@@ -11,6 +11,7 @@ from fathomline.operators import filters, graph, lines, mesh, mesh_joins, metric
 from fathomline.operators import temporal as S
 from fathomline.plans.series_queries import _BIN, events, r6, table
 from fathomline.plans.space_queries import _GRID, _PTS, _transect, grid, points, supply_edges
+from fathomline.session import shuffled
 from fathomline.sources import observations as O
 
 BOX = (-0.1, 0.2, -0.2, 0.1)
@@ -22,7 +23,7 @@ def lattice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     n = F.col("p_partkey")
     nodes = p.select(n.alias("node"), (n % 40 + F.col("p_size") / 200.0).alias("x"), (F.floor(n / 40) + (n % 7) / 20.0).alias("y"))
     last = p.select((n - 41).alias("cell"))
-    cells = p.select(n.alias("cell")).where("cell % 40 < 39").join(last, "cell", "left_semi")
+    cells = p.select(n.alias("cell")).where("cell % 40 < 39").join(shuffled(last), "cell", "left_semi")
     return nodes, cells.select("cell", F.posexplode(F.array(*(F.col("cell") + k for k in (0, 1, 41, 40)))).alias("pos", "node"))
 
 

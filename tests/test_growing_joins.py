@@ -18,3 +18,11 @@ def test_match_nodes_broadcasts_no_buckets(spark):
     got = mesh_joins.match_nodes(nodes, nodes, 0.1)
     assert "Broadcast" not in plan(got)
     assert got.where("node = into").count() == (LATTICE + 1) ** 2
+
+
+def test_points_to_cells_broadcasts_no_mesh(spark):
+    nodes, ring = lattice(spark)
+    points = nodes.selectExpr("node as pid", "x + 0.5 as x", "y + 0.5 as y")
+    got = mesh_joins.points_to_cells(points, ring, nodes, 1.0)
+    assert "Broadcast" not in plan(got)
+    assert got.where("cell is not null").count() == LATTICE**2
