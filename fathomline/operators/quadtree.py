@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.session import saved, written
+from fathomline.session import saved, shuffled, written
 
 #: Points whose places shape a tree, halvings of each side at most, and points of a leaf.
 SAMPLE, LEVELS, LEAF_POINTS = 1 << 17, 24, 4096
@@ -189,7 +189,7 @@ def within(left: DataFrame, right: DataFrame, r: float | Column, tree: Quadtree
     a = tree.meets(a, F.col("_ax") - F.col("_r"), F.col("_ay") - F.col("_r"), F.col("_ax") + F.col("_r"), F.col("_ay") + F.col("_r")).withColumn("part", F.explode(tree.all_parts(F.col("leaf"))))
     b = dealt(right, tree, rid).select("leaf", "part", F.col(rid).alias("_q"), F.col("x").cast("double").alias("_bx"), F.col("y").cast("double").alias("_by"), *(F.col(c).alias(f"_k_{c}") for c in keep))
     d = F.sqrt((F.col("_ax") - F.col("_bx")) * (F.col("_ax") - F.col("_bx")) + (F.col("_ay") - F.col("_by")) * (F.col("_ay") - F.col("_by")))
-    return a.join(b, ["leaf", "part"]).withColumn("_d", d).where("_d <= _r").select(F.col("_l").alias(lid), F.col("_q").alias(rid), *(F.col(f"_k_{c}").alias(c) for c in keep), F.col("_d").alias("d"))
+    return a.join(shuffled(b), ["leaf", "part"]).withColumn("_d", d).where("_d <= _r").select(F.col("_l").alias(lid), F.col("_q").alias(rid), *(F.col(f"_k_{c}").alias(c) for c in keep), F.col("_d").alias("d"))
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, lid: str = "pid", rid: str = "qid") -> DataFrame:
@@ -202,7 +202,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, lid: str = "pid", rid: st
     tree = quadtree(right)
     have = placed(right).limit(k).count()
     crowd = dealt(right, tree, rid).groupBy("leaf").agg(F.count("*").alias("_n"))
-    size = tree.frame(right).join(crowd, "leaf", "left").select("leaf", F.sqrt(F.lit(2.0 * k) / F.greatest("_n", F.lit(1))).alias("_f"), "side")
+    size = tree.frame(right).join(shuffled(crowd), "leaf", "left").select("leaf", F.sqrt(F.lit(2.0 * k) / F.greatest("_n", F.lit(1))).alias("_f"), "side")
     todo = placed(left).withColumn("leaf", tree.leaf(F.col("x").cast("double"), F.col("y").cast("double")))
     # a row for each leaf, bounded by the sample
     out = [F.greatest(F.lit(at) - F.col(c), F.col(c) - (at + tree.size), F.lit(0.0)) for c, at in (("x", tree.x0), ("y", tree.y0))]
@@ -214,9 +214,9 @@ def nearest(left: DataFrame, right: DataFrame, k: int, lid: str = "pid", rid: st
         got = within(todo, right, F.col("_w"), tree, lid, rid).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         got = written(got)
         full = got.groupBy(lid).agg(F.count("*").alias("_m")).where(F.col("_m") >= have).select(lid)
-        part = got.join(full, lid, "left_semi")
+        part = got.join(shuffled(full), lid, "left_semi")
         done = part if done is None else done.unionByName(part)
-        todo = written(todo.join(full, lid, "left_anti").withColumn("_w", F.col("_w") * 2))
+        todo = written(todo.join(shuffled(full), lid, "left_anti").withColumn("_w", F.col("_w") * 2))
         if todo.isEmpty():
             break
     return done if done is not None else within(left, right, -1.0, tree, lid, rid).withColumn("rank", F.lit(1)).where("false")
@@ -248,7 +248,7 @@ def in_polygons(points: DataFrame, edges: DataFrame, pid: str = "pid", tree: Qua
     box = edges.groupBy("poly").agg(F.min(F.least("x0", "x1")).alias("xa"), F.min(F.least("y0", "y1")).alias("ya"), F.max(F.greatest("x0", "x1")).alias("xb"), F.max(F.greatest("y0", "y1")).alias("yb"))
     spans = tree.meets(box, F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")).select("poly", "leaf")
     frame = F.broadcast(tree.frame(points))  # bounded by the sample
-    corner = spans.join(frame, "leaf").select("poly", "leaf", (F.col("xa") + F.col("side")).alias("cx"), F.col("ya").alias("cy"))
+    corner = spans.join(shuffled(frame), "leaf").select("poly", "leaf", (F.col("xa") + F.col("side")).alias("cx"), F.col("ya").alias("cy"))
 
     # An edge covers the levels' intervals of y that make up its own from lower to upper end; a corner lies in one of each level.
     unit = tree.size / 2**LEVELS
@@ -260,20 +260,20 @@ def in_polygons(points: DataFrame, edges: DataFrame, pid: str = "pid", tree: Qua
     cross = lambda y: (F.col("y0") <= y) != (F.col("y1") <= y)
     x_at = lambda y: F.col("x0") + F.try_divide((y - F.col("y0")) * (F.col("x1") - F.col("x0")), F.col("y1") - F.col("y0"))
     right = F.when(cross(F.col("cy")) & (x_at(F.col("cy")) > F.col("cx")), 1).otherwise(0)
-    flags = own.join(far, ["poly", "level", "at"]).groupBy("poly", "leaf").agg((F.sum(right) % 2).alias("flag"))
-    flags = saved(corner.join(flags, ["poly", "leaf"], "left").select("poly", "leaf", "cx", "cy", F.coalesce("flag", F.lit(0)).alias("flag")))
+    flags = own.join(shuffled(far), ["poly", "level", "at"]).groupBy("poly", "leaf").agg((F.sum(right) % 2).alias("flag"))
+    flags = saved(corner.join(shuffled(flags), ["poly", "leaf"], "left").select("poly", "leaf", "cx", "cy", F.coalesce("flag", F.lit(0)).alias("flag")))
 
     held = dealt(points, tree, pid).select("leaf", "part", F.col(pid).alias("_p"), F.monotonically_increasing_id().alias("_row"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
     held = saved(held)
     touched = pieces.select("poly", "leaf").distinct()
-    whole = flags.join(touched, ["poly", "leaf"], "left_anti").where("flag = 1").select("poly", "leaf").withColumn("part", F.explode(tree.all_parts(F.col("leaf"))))
-    inside = held.join(whole, ["leaf", "part"]).select(F.col("_p").alias(pid), "poly")
-    cut = pieces.join(flags, ["poly", "leaf"]).withColumn("part", F.explode(tree.all_parts(F.col("leaf"))))
+    whole = flags.join(shuffled(touched), ["poly", "leaf"], "left_anti").where("flag = 1").select("poly", "leaf").withColumn("part", F.explode(tree.all_parts(F.col("leaf"))))
+    inside = held.join(shuffled(whole), ["leaf", "part"]).select(F.col("_p").alias(pid), "poly")
+    cut = pieces.join(shuffled(flags), ["poly", "leaf"]).withColumn("part", F.explode(tree.all_parts(F.col("leaf"))))
     px, py = F.col("px"), F.col("py")
     hit = F.when(cross(py) & (x_at(py) > px) & (x_at(py) <= F.col("cx")), 1).otherwise(0)
     y_at = F.col("y0") + F.try_divide((F.col("cx") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.col("x1") - F.col("x0"))
     parts = F.when(((F.col("x0") <= F.col("cx")) != (F.col("x1") <= F.col("cx"))) & (y_at > F.col("cy")) & (y_at <= py), 1).otherwise(0)
-    counted = held.join(cut, ["leaf", "part"]).groupBy("_row", "poly").agg(F.first("_p").alias("_p"), (F.first("flag") + F.sum(hit + parts)).alias("_n"))
+    counted = held.join(shuffled(cut), ["leaf", "part"]).groupBy("_row", "poly").agg(F.first("_p").alias("_p"), (F.first("flag") + F.sum(hit + parts)).alias("_n"))
     return inside.unionByName(counted.where("_n % 2 = 1").select(F.col("_p").alias(pid), "poly"))
 
 

@@ -1,6 +1,7 @@
 """Joins whose sides grow with the input never send a side through the driver, however small the planner takes it to be."""
 
-from fathomline.operators import mesh, mesh_joins
+from fathomline import session
+from fathomline.operators import graph, mesh, mesh_joins, overlay, quadtree
 
 LATTICE = 6
 
@@ -26,3 +27,22 @@ def test_points_to_cells_broadcasts_no_mesh(spark):
     got = mesh_joins.points_to_cells(points, ring, nodes, 1.0)
     assert "Broadcast" not in plan(got)
     assert got.where("cell is not null").count() == LATTICE**2
+
+
+def test_points_in_polygons_and_overlaps_broadcast_no_edges(spark):
+    nodes, ring = lattice(spark)
+    cells = overlay.cell_edges(ring, nodes)
+    points = nodes.selectExpr("node as pid", "x + 0.5 as x", "y + 0.5 as y")
+    held = quadtree.in_polygons(points, cells)
+    assert "Broadcast" not in plan(cells)
+    # whole tables of leaves are bounded by the sample and may go round
+    assert plan(held).count("BroadcastHashJoin") == 0
+    assert held.count() == LATTICE**2
+
+
+def test_components_broadcast_no_labels(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(graph, "written", lambda df: plans.append(plan(df)) or session.written(df))
+    got = graph.components(spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long"))
+    assert plans and not any("Broadcast" in p for p in plans)
+    assert got.where("component = 0").count() == 21
