@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomline.operators.mesh import half_edges
 from fathomline.operators.quadtree import in_polygons, quadtree
-from fathomline.session import saved
+from fathomline.session import saved, shuffled
 
 #: By so much of the extent the second layer is moved aside, so that no corner lies on an edge of the other.
 ASIDE = (3.1e-12, 2.3e-12)
@@ -16,14 +16,14 @@ ASIDE = (3.1e-12, 2.3e-12)
 def cell_edges(cell_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(poly, x0, y0, x1, y1)``: the sides of mesh cells."""
     a, b = (nodes.select(F.col("node").alias(n), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")) for k, n in enumerate("ab"))
-    return half_edges(cell_nodes).join(a, "a").join(b, "b").select(F.col("cell").alias("poly"), "x0", "y0", "x1", "y1")
+    return half_edges(cell_nodes).join(shuffled(a), "a").join(shuffled(b), "b").select(F.col("cell").alias("poly"), "x0", "y0", "x1", "y1")
 
 
 def areas(edges: DataFrame) -> DataFrame:
     """``(poly, area)``: signed, positive where the inside is at the left of ``edges(poly, x0, y0, x1, y1)``."""
     at = edges.groupBy("poly").agg(F.min("x0").alias("_ox"), F.min("y0").alias("_oy"))
     cross = (F.col("x0") - F.col("_ox")) * (F.col("y1") - F.col("_oy")) - (F.col("x1") - F.col("_ox")) * (F.col("y0") - F.col("_oy"))
-    return edges.join(at, "poly").groupBy("poly").agg((F.sum(cross) / 2).alias("area"))
+    return edges.join(shuffled(at), "poly").groupBy("poly").agg((F.sum(cross) / 2).alias("area"))
 
 
 def overlaps(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def overlaps(first: DataFrame, second: DataFrame) -> DataFrame:
         t = tree.meets(t, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), segments=True)
         return t.select("leaf", side, F.col("e").alias(f"{p}e"), *(F.col(c).alias(p + c) for c in ("x0", "y0", "x1", "y1")))
 
-    met = dealt(a, "a", "first").join(dealt(b, "b", "second"), "leaf")
+    met = dealt(a, "a", "first").join(shuffled(dealt(b, "b", "second")), "leaf")
     dx, dy, ex, ey = F.col("ax1") - F.col("ax0"), F.col("ay1") - F.col("ay0"), F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0")
     turn = ex * dy - ey * dx  # positive where the first's edge comes into the second
     t = F.try_divide((F.col("by0") - F.col("ay0")) * ex - (F.col("bx0") - F.col("ax0")) * ey, turn)
@@ -61,12 +61,12 @@ def overlaps(first: DataFrame, second: DataFrame) -> DataFrame:
     hit = met.withColumns({"t": t, "u": u, "s": F.signum(turn)}).where("t >= 0 and t < 1 and u >= 0 and u < 1").dropDuplicates(["ae", "be"])
     origin = a.groupBy("first").agg(F.min("x0").alias("ox"), F.min("y0").alias("oy"))
     cross = lambda p: (F.col(f"{p}x0") - F.col("ox")) * (F.col(f"{p}y1") - F.col("oy")) - (F.col(f"{p}x1") - F.col("ox")) * (F.col(f"{p}y0") - F.col("oy"))
-    crossing = hit.join(origin, "first").select("first", "second", (F.col("s") * ((1 - F.col("t")) * cross("a") - (1 - F.col("u")) * cross("b"))).alias("part"))
+    crossing = hit.join(shuffled(origin), "first").select("first", "second", (F.col("s") * ((1 - F.col("t")) * cross("a") - (1 - F.col("u")) * cross("b"))).alias("part"))
     starts = lambda t: t.select(F.col("e").alias("pid"), F.col("x0").alias("x"), F.col("y0").alias("y"))
     layer = lambda t, side: t.select(F.col(side).alias("poly"), "x0", "y0", "x1", "y1")
-    in_b = in_polygons(starts(a), layer(b, "second"), tree=tree).join(a.withColumnRenamed("e", "pid"), "pid").join(origin, "first").select("first", F.col("poly").alias("second"), cross("").alias("part"))
-    in_a = in_polygons(starts(b), layer(a, "first"), tree=tree).join(b.withColumnRenamed("e", "pid"), "pid").select(F.col("poly").alias("first"), "second", "x0", "y0", "x1", "y1")
-    in_a = in_a.join(origin, "first").select("first", "second", cross("").alias("part"))
+    in_b = in_polygons(starts(a), layer(b, "second"), tree=tree).join(shuffled(a.withColumnRenamed("e", "pid")), "pid").join(shuffled(origin), "first").select("first", F.col("poly").alias("second"), cross("").alias("part"))
+    in_a = in_polygons(starts(b), layer(a, "first"), tree=tree).join(shuffled(b.withColumnRenamed("e", "pid")), "pid").select(F.col("poly").alias("first"), "second", "x0", "y0", "x1", "y1")
+    in_a = in_a.join(shuffled(origin), "first").select("first", "second", cross("").alias("part"))
     total = crossing.unionByName(in_b).unionByName(in_a).groupBy("first", "second").agg((F.sum("part") / 2).alias("area"))
     return total.where(F.col("area") > (move[0] + move[1]) * size["s"])
 
@@ -74,7 +74,7 @@ def overlaps(first: DataFrame, second: DataFrame) -> DataFrame:
 def areas_in_regions(cell_nodes: DataFrame, nodes: DataFrame, regions: DataFrame) -> DataFrame:
     """``(cell, region, area, share)``: how much of each mesh cell lies in each region, given as ``overlaps`` takes it."""
     cells = saved(cell_edges(cell_nodes, nodes))
-    found = overlaps(cells, regions).join(areas(cells).select(F.col("poly").alias("first"), F.col("area").alias("_whole")), "first")
+    found = overlaps(cells, regions).join(shuffled(areas(cells).select(F.col("poly").alias("first"), F.col("area").alias("_whole"))), "first")
     return found.select(F.col("first").alias("cell"), F.col("second").alias("region"), "area", (F.col("area") / F.col("_whole")).alias("share"))
 
 
