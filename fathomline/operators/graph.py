@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.session import saved, written
+from fathomline.session import saved, shuffled, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
@@ -20,12 +20,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
     pairs = saved(pairs.union(pairs.select("t", "s")).distinct())
     labels = saved(pairs.groupBy(F.col("s").alias("id")).agg(F.min(F.least("s", "t")).alias("label")))
     for _ in range(max_rounds):
-        near = pairs.join(labels, pairs.s == labels.id).groupBy(F.col("t").alias("id")).agg(F.min("label").alias("near"))
-        seen = labels.join(near, "id", "left").select("id", "label", F.least("label", "near").alias("now"))
+        near = pairs.join(shuffled(labels), pairs.s == labels.id).groupBy(F.col("t").alias("id")).agg(F.min("label").alias("near"))
+        seen = labels.join(shuffled(near), "id", "left").select("id", "label", F.least("label", "near").alias("now"))
         above = seen.where("now < label").select(F.col("label").alias("id"), F.lit(None).cast(labels.schema["label"].dataType).alias("was"), "now")
         hooked = seen.select("id", F.col("label").alias("was"), "now").unionByName(above).groupBy("id").agg(F.max("was").alias("was"), F.min("now").alias("now"))
         up = labels.select(F.col("id").alias("now"), F.col("label").alias("above"))
-        moved = written(hooked.join(up, "now", "left").select("id", "was", F.least("now", F.coalesce("above", "now")).alias("label")))
+        moved = written(hooked.join(shuffled(up), "now", "left").select("id", "was", F.least("now", F.coalesce("above", "now")).alias("label")))
         labels = moved.select("id", "label")
         if moved.where("label <> was").isEmpty():
             return labels.select("id", F.col("label").alias("component"))
@@ -41,9 +41,9 @@ def distances(edges: DataFrame, sources: DataFrame, max_distance: float = float(
     known = saved(sources.select("node").distinct().withColumn("distance", F.lit(0.0)))
     front = known
     for _ in range(max_rounds):
-        step = front.join(both, front.node == both.a).groupBy(F.col("b").alias("node")).agg(F.min(F.col("distance") + F.col("w")).alias("via"))
+        step = front.join(shuffled(both), front.node == both.a).groupBy(F.col("b").alias("node")).agg(F.min(F.col("distance") + F.col("w")).alias("via"))
         step = step.where(F.col("via") <= max_distance)
-        merged = written(known.join(step, "node", "full").select("node", F.least("distance", "via").alias("distance"), (F.col("distance").isNull() | (F.col("via") < F.col("distance"))).alias("nearer")))
+        merged = written(known.join(shuffled(step), "node", "full").select("node", F.least("distance", "via").alias("distance"), (F.col("distance").isNull() | (F.col("via") < F.col("distance"))).alias("nearer")))
         known, front = merged.select("node", "distance"), merged.where("nearer").select("node", "distance")
         if front.isEmpty():
             return known
@@ -60,13 +60,13 @@ def shortest_path(edges: DataFrame, start: int, end: int) -> DataFrame:
     far = distances(edges, spark.createDataFrame([(start,)], "node bigint"))
     both = edges.select("a", "b", "w").union(edges.select("b", "a", "w"))
     ends = far.select(F.col("node").alias("b"), F.col("distance").alias("to"))
-    ways = both.join(far.select(F.col("node").alias("a"), F.col("distance").alias("of")), "a").join(ends, "b")
+    ways = both.join(shuffled(far.select(F.col("node").alias("a"), F.col("distance").alias("of"))), "a").join(shuffled(ends), "b")
     jump = saved(ways.where("of < to and of + w = to").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")))
     on = saved(far.where(F.col("node") == end).select("node"))
     while True:
-        more = on.join(jump, "node").select(F.col("up").alias("node"))
+        more = on.join(shuffled(jump), "node").select(F.col("up").alias("node"))
         grown = written(on.union(more).distinct())
         if grown.count() == on.count():
-            return grown.join(far, "node").select("node", "distance")
+            return grown.join(shuffled(far), "node").select("node", "distance")
         on = grown
-        jump = written(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("above")), "up").select("node", F.col("above").alias("up")))
+        jump = written(jump.join(shuffled(jump.select(F.col("node").alias("up"), F.col("up").alias("above"))), "up").select("node", F.col("above").alias("up")))
