@@ -246,9 +246,9 @@ def in_polygons(points: DataFrame, edges: DataFrame, pid: str = "pid", tree: Qua
     tree = tree or quadtree(points, edges.select(F.col("x0").alias("x"), F.col("y0").alias("y")))
     pieces = saved(tree.meets(edges, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), segments=True))
     box = edges.groupBy("poly").agg(F.min(F.least("x0", "x1")).alias("xa"), F.min(F.least("y0", "y1")).alias("ya"), F.max(F.greatest("x0", "x1")).alias("xb"), F.max(F.greatest("y0", "y1")).alias("yb"))
-    spans = tree.meets(box, F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")).select("poly", "leaf")
+    spans = tree.meets(box, F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")).select("poly", "leaf", F.struct("xa", "ya", "xb", "yb").alias("box"))
     frame = F.broadcast(tree.frame(points))  # bounded by the sample
-    corner = spans.join(shuffled(frame), "leaf").select("poly", "leaf", (F.col("xa") + F.col("side")).alias("cx"), F.col("ya").alias("cy"))
+    corner = spans.join(shuffled(frame), "leaf").select("poly", "leaf", "box", (F.col("xa") + F.col("side")).alias("cx"), F.col("ya").alias("cy"))
 
     # An edge covers the levels' intervals of y that make up its own from lower to upper end; a corner lies in one of each level.
     unit = tree.size / 2**LEVELS
@@ -261,7 +261,7 @@ def in_polygons(points: DataFrame, edges: DataFrame, pid: str = "pid", tree: Qua
     x_at = lambda y: F.col("x0") + F.try_divide((y - F.col("y0")) * (F.col("x1") - F.col("x0")), F.col("y1") - F.col("y0"))
     right = F.when(cross(F.col("cy")) & (x_at(F.col("cy")) > F.col("cx")), 1).otherwise(0)
     flags = own.join(shuffled(far), ["poly", "level", "at"]).groupBy("poly", "leaf").agg((F.sum(right) % 2).alias("flag"))
-    flags = saved(corner.join(shuffled(flags), ["poly", "leaf"], "left").select("poly", "leaf", "cx", "cy", F.coalesce("flag", F.lit(0)).alias("flag")))
+    flags = saved(corner.join(shuffled(flags), ["poly", "leaf"], "left").select("poly", "leaf", "box", "cx", "cy", F.coalesce("flag", F.lit(0)).alias("flag")))
 
     held = dealt(points, tree, pid).select("leaf", "part", F.col(pid).alias("_p"), F.monotonically_increasing_id().alias("_row"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
     held = saved(held)
@@ -273,7 +273,9 @@ def in_polygons(points: DataFrame, edges: DataFrame, pid: str = "pid", tree: Qua
     hit = F.when(cross(py) & (x_at(py) > px) & (x_at(py) <= F.col("cx")), 1).otherwise(0)
     y_at = F.col("y0") + F.try_divide((F.col("cx") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.col("x1") - F.col("x0"))
     parts = F.when(((F.col("x0") <= F.col("cx")) != (F.col("x1") <= F.col("cx"))) & (y_at > F.col("cy")) & (y_at <= py), 1).otherwise(0)
-    counted = held.join(shuffled(cut), ["leaf", "part"]).groupBy("_row", "poly").agg(F.first("_p").alias("_p"), (F.first("flag") + F.sum(hit + parts)).alias("_n"))
+    # only polygons whose box holds a point are counted for it, else each point of a leaf would take a group for every polygon there
+    met = held.join(shuffled(cut), ["leaf", "part"]).where(px.between(F.col("box.xa"), F.col("box.xb")) & py.between(F.col("box.ya"), F.col("box.yb")))
+    counted = met.groupBy("_row", "_p", "poly").agg((F.first("flag") + F.sum(hit + parts)).alias("_n"))
     return inside.unionByName(counted.where("_n % 2 = 1").select(F.col("_p").alias(pid), "poly"))
 
 

@@ -108,6 +108,26 @@ def test_levels_of_edges(spark):
     assert {(r["n1"], r["n2"]): r["level"] for r in got.collect()}[1, 5] == 9.0
 
 
+def test_connection_levels_of_small_and_large_pairs_agree(spark, monkeypatch):
+    """Tasks that take whole pairs and the way for large ones give each edge one level, and pairs in tasks take no rounds."""
+    nodes, ring = mesh.rectilinear(spark, 4, 3, 4.0, 3.0)
+    rng = np.random.default_rng(3)
+    rows = [(r, c, float(rng.integers(0, 9))) for r in range(9) for c in range(16) if rng.random() < 0.8]
+    rows += [(0, 0, 0.5), (0, 0, 7.5), (20, 3, 1.0)]
+    grid = spark.createDataFrame(rows, "row int, col int, value double")
+    called = []
+    rounds = spanning._rounds
+    monkeypatch.setattr(spanning, "_rounds", lambda e: called.append(e) or rounds(e))
+    found = []
+    for most in (1 << 12, 20):
+        monkeypatch.setattr(spanning, "PAIR_POINTS", most)
+        got = spanning.connection_levels(mesh.edges_of(ring), ring, nodes, grid, 0.5, 0.5).collect()
+        assert bool(called) == (most < 100)
+        found.append({(r["n1"], r["n2"]): r["level"] for r in got})
+    assert found[0] == found[1]
+    assert len(found[0]) == 17 and any(v is not None for v in found[0].values())
+
+
 def dense(rows, n):
     m = np.zeros((n, n))
     for r in rows:
