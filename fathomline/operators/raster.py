@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from fathomline.session import saved
+from fathomline.session import dealt_by, saved
+
+#: Cells along the side of a tile.
+TILE = 64
 
 
 def downsample(grid: DataFrame, n: int) -> DataFrame:
@@ -34,23 +37,42 @@ def hillshade(grid: DataFrame, azimuth: float = 225.0, zenith: float = 45.0, fac
     return g.select("row", "col", (F.cos(z) * F.cos(slope) + F.sin(z) * F.sin(slope) * F.cos(a - aspect)).alias("shade"))
 
 
-def _neighbours(grid: DataFrame) -> DataFrame:
-    """Sums and counts of values over each cell's 3 by 3 cells: partial sums go to the 9 cells, then meet."""
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    spread = grid.where("value is not null").select(F.col("row").alias("r"), F.col("col").alias("c"), "value", F.explode(near).alias("i")).select("r", "c", "value", "i", F.explode(near).alias("j"))
-    return spread.groupBy((F.col("r") + F.col("i")).alias("row"), (F.col("c") + F.col("j")).alias("col")).agg(F.sum("value").alias("_s"), F.count("*").alias("_n"))
+def _tiled(grid: DataFrame, reach: int) -> DataFrame:
+    """``grid`` with ``_t``, the tile of a cell and each other one that a cell at most ``reach`` away lies in, dealt by tile.
+
+    So cells meet their neighbours within a task, and only those along a tile's sides are sent twice.  ``home`` marks a cell's own tile.
+    """
+    tile = lambda r, c: F.struct(F.floor(r / TILE).alias("r"), F.floor(c / TILE).alias("c"))
+    steps = (-reach, 0, reach)
+    near = F.array_distinct(F.array(*(tile(F.col("row") + i, F.col("col") + j) for i in steps for j in steps)))
+    each = grid.select("row", "col", "value", tile(F.col("row"), F.col("col")).alias("_own"), F.explode(near).alias("_t"))
+    return dealt_by(each.select("row", "col", "value", "_t", F.col("_own").eqNullSafe(F.col("_t")).alias("home")), "_t")
+
+
+def _in_columns(grid: DataFrame, reach: int, columns: list[int]) -> tuple[DataFrame, WindowSpec, Column]:
+    """``grid`` in tiles, each cell in every column ``_c`` that sees it ``j`` of ``columns`` further on; the window over such a column by row; and whether a row is the cell itself."""
+    each = _tiled(grid, reach).select("*", F.explode(F.array(*map(F.lit, columns))).alias("j")).withColumn("_c", F.col("col") - F.col("j"))
+    return each, Window.partitionBy("_t", "_c").orderBy("row"), F.col("home") & (F.col("j") == 0)
+
+
+def _means_around(grid: DataFrame) -> DataFrame:
+    """``(row, col, value, _mean)``: each cell and the mean of the values in its 3 by 3 cells."""
+    each, w, own = _in_columns(grid, 1, [-1, 0, 1])
+    w = w.rangeBetween(-1, 1)
+    placed = F.col("row").isNotNull() & F.col("col").isNotNull()
+    found = each.withColumn("_mean", F.when(placed, F.try_divide(F.sum("value").over(w), F.count("value").over(w))))
+    return found.where(own).select("row", "col", "value", "_mean")
 
 
 def smooth(grid: DataFrame) -> DataFrame:
     """Each cell with a value becomes the mean of the values in its 3 by 3 cells."""
-    mean = F.when(F.col("value").isNotNull(), F.col("_s") / F.col("_n"))
-    return grid.join(_neighbours(grid), ["row", "col"], "left").select("row", "col", mean.alias("value"))
+    return _means_around(grid).select("row", "col", F.when(F.col("value").isNotNull(), F.col("_mean")).alias("value"))
 
 
 def fill(grid: DataFrame, iterations: int = 7) -> DataFrame:
     """Cells without a value take the mean of those around them, as often as ``iterations``."""
     for _ in range(iterations):
-        grid = saved(grid.join(_neighbours(grid), ["row", "col"], "left").select("row", "col", F.coalesce("value", F.col("_s") / F.col("_n")).alias("value")))
+        grid = saved(_means_around(grid).select("row", "col", F.coalesce("value", "_mean").alias("value")))
         if grid.where("value is null").isEmpty():
             break
     return grid

@@ -49,6 +49,15 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def dealt_by(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by keys in as many partitions as the user has set for this amount of data, none of them merged.
+
+    The planner merges partitions up to a size on disk; rows of counted keys pack there to a hundredth of what sorts and windows
+    hold of them, so a task's memory would grow with the input.
+    """
+    return df.repartition(partitions_of(df.sparkSession), *keys)
+
+
 def partitions_of(spark: SparkSession) -> int:
     """The number of shuffle partitions that the user has set for this amount of data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
