@@ -152,11 +152,20 @@ def combined(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
 
 def upsampled(grid: DataFrame) -> DataFrame:
     """Twice the resolution: each cell's value at even places, means of the two or four cells around at odd ones, where all of them exist."""
-    share = grid.where("value is not null").select(F.col("row").alias("r"), F.col("col").alias("c"), "value", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("i"))
-    share = share.select("r", "c", "value", "i", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("j"))
-    to = share.select((2 * F.col("r") + F.col("i")).alias("row"), (2 * F.col("c") + F.col("j")).alias("col"), "value")
-    wanted = (1 + F.pmod(F.col("row"), F.lit(2))) * (1 + F.pmod(F.col("col"), F.lit(2)))
-    return to.groupBy("row", "col").agg(F.avg("value").alias("value"), F.count("*").alias("_n")).where(F.col("_n") == wanted).select("row", "col", "value")
+    own, v = _ahead(grid.where("value is not null"), [(i, j) for i in (0, 1) for j in (0, 1)])
+    made = []
+    for i, j in v:
+        met = [v[a, b] for a in range(i + 1) for b in range(j + 1)]
+        value = sum(met[1:], met[0]) / len(met)  # null where one of them is missing
+        made.append(F.struct((2 * F.col("row") + i).alias("row"), (2 * F.col("col") + j).alias("col"), value.alias("value")))
+    return own.select(F.inline(F.filter(F.array(*made), lambda x: x["value"].isNotNull())))
+
+
+def _ahead(grid: DataFrame, steps: list[tuple[int, int]]) -> tuple[DataFrame, dict[tuple[int, int], Column]]:
+    """``grid``, and of each of its cells the value so many rows on and columns beside as a column, null where there is none."""
+    each, w, own = _in_columns(grid.where("row is not null and col is not null"), max(abs(k) for step in steps for k in step), sorted({j for _, j in steps}))
+    at = {f"_v{k}": F.max(F.when(F.col("j") == j, F.col("value").cast("double"))).over(w.rangeBetween(i, i)) for k, (i, j) in enumerate(steps)}
+    return each.withColumns(at).where(own), {step: F.col(f"_v{k}") for k, step in enumerate(steps)}
 
 
 def rectified(points: DataFrame, dx: float, dy: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:

@@ -41,3 +41,17 @@ def test_fill_across_tiles(spark, cells):
 def test_smooth_keeps_cells_that_repeat_or_have_no_place(spark):
     df = spark.createDataFrame([(0, 0, 1.0), (0, 0, 3.0), (0, 1, None), (None, 0, 5.0)], "row int, col int, value double")
     assert sorted(map(str, raster.smooth(df).collect())) == sorted(["Row(row=0, col=0, value=2.0)"] * 2 + ["Row(row=0, col=1, value=None)", "Row(row=None, col=0, value=None)"])
+
+
+def test_upsampled_across_tiles_shuffles_cells_once(spark, cells):
+    held = {k: v for k, v in cells.items() if v is not None}
+    want = {}
+    for i, j in held:
+        for a in (0, 1):
+            for b in (0, 1):
+                met = [held.get((i + c, j + d)) for c in range(a + 1) for d in range(b + 1)]
+                if None not in met:
+                    want[2 * i + a, 2 * j + b] = sum(met) / len(met)
+    got = raster.upsampled(frame(spark, cells))
+    assert shuffles(got) == 1
+    assert {(x.row, x.col): x.value for x in got.collect()} == pytest.approx(want)
