@@ -217,16 +217,15 @@ def cell_edges(grid: DataFrame, degree: int = 8, highest: float | None = None, d
     """``(a_row, a_col, b_row, b_col, length, value)``: a raster as a graph: links of cells that have values, none of them above ``highest``.
 
     Degree 4 links the next cells in rows and columns, 8 diagonals too, 16 also the jumps of a knight.  All cells that a link
-    touches have values, and their mean is the link's.  Each cell deals itself to the links that it can be part of, so one
-    aggregation finds them all.
+    touches have values, and their mean is the link's.  Each link is found at its first end, which sees the others within its tile.
     """
-    steps = [s for d in STEPS if d <= degree for s in STEPS[d]]
-    parts = [(k, r, c) for k, cells in enumerate(steps) for r, c in cells]
-    deal = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(r).alias("r"), F.lit(c).alias("c")) for k, r, c in parts))).alias("_p")
+    links = [[(i - s[0][0], j - s[0][1]) for i, j in s] for d in STEPS if d <= degree for s in STEPS[d]]
     held = grid.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.lit(True) if highest is None else F.col("value") <= highest))
-    each = held.select("row", "col", "value", deal).groupBy((F.col("row") - F.col("_p.r")).alias("_r"), (F.col("col") - F.col("_p.c")).alias("_c"), F.col("_p.k").alias("_k"))
-    found = each.agg(F.avg("value").alias("value"), F.count("*").alias("_n"))
-    ends = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("n", "ar", "ac", "br", "bc"), (len(s), *s[0], *s[1]), strict=True))) for s in steps))
-    found = found.withColumn("_e", F.get(ends, F.col("_k"))).where("_n = _e.n")
-    length = F.sqrt(F.pow((F.col("_e.br") - F.col("_e.ar")) * dy, 2) + F.pow((F.col("_e.bc") - F.col("_e.ac")) * dx, 2))
-    return found.select(*((F.col(f"_{k[-1]}") + F.col(f"_e.{k}")).alias(n) for k, n in (("ar", "a_row"), ("ac", "a_col"), ("br", "b_row"), ("bc", "b_col"))), length.alias("length"), "value")
+    own, v = _ahead(held, sorted({x for cells in links for x in cells}))
+    made = []
+    for cells in links:
+        i, j = cells[1]
+        value = sum((v[x] for x in cells[1:]), v[cells[0]]) / len(cells)  # null where one of them is missing
+        length = F.sqrt(F.pow(F.lit(i * float(dy)), 2) + F.pow(F.lit(j * float(dx)), 2))
+        made.append(F.struct(F.col("row").alias("a_row"), F.col("col").alias("a_col"), (F.col("row") + i).alias("b_row"), (F.col("col") + j).alias("b_col"), length.alias("length"), value.alias("value")))
+    return own.select(F.inline(F.filter(F.array(*made), lambda x: x["value"].isNotNull())))

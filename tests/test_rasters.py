@@ -55,3 +55,19 @@ def test_upsampled_across_tiles_shuffles_cells_once(spark, cells):
     got = raster.upsampled(frame(spark, cells))
     assert shuffles(got) == 1
     assert {(x.row, x.col): x.value for x in got.collect()} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("degree", [4, 8, 16])
+def test_cell_edges_across_tiles_shuffle_cells_once(spark, cells, degree):
+    held = {k: v for k, v in cells.items() if v is not None and v < 7}
+    want = {}
+    for i, j in held:
+        for a, b in ((1, 0), (0, 1), (1, 1), (1, -1), (2, 1), (2, -1), (1, 2), (1, -2)):
+            side = (a > 0) * 1, (b > 0) - (b < 0)
+            way = {(0, 0), (a, b)} | ({(1, 0), (0, side[1])} if abs(a * b) == 1 else {(1, 0), (1, side[1])} if a == 2 else {(0, side[1]), (1, side[1])} if abs(b) == 2 else set())
+            met = [held.get((i + c, j + d)) for c, d in way]
+            if (a * a + b * b) <= {4: 1, 8: 2, 16: 5}[degree] and None not in met:
+                want[i, j, i + a, j + b] = sum(met) / len(met)
+    got = raster.cell_edges(frame(spark, cells), degree, 5.0)
+    assert shuffles(got) == 1
+    assert {(x.a_row, x.a_col, x.b_row, x.b_col): x.value for x in got.collect()} == pytest.approx(want)
