@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.time import micros
-from fathomline.operators import lines, mesh_joins, raster, temporal
+from fathomline.operators import lines, mesh_joins, quadtree, raster, temporal
 from fathomline.operators.spatial import within_radius
+from fathomline.session import shuffled
 
 
 def at_time(df: DataFrame, keys: list[str], moment: str, value: str, ts: str = "ts") -> DataFrame:
@@ -36,9 +37,17 @@ def cruise_matches(obs: DataFrame, model: DataFrame, stations: DataFrame, radius
 
 
 def paired_points(left: DataFrame, right: DataFrame, radius: float, value: str = "value", lid: str = "pid", rid: str = "qid") -> DataFrame:
-    """``(lid, rid, value, other)``: points with the nearest of the other field within ``radius``, the smallest of equally near ones; those without have no row."""
-    near = within_radius(left, right, radius, lid, rid, (value,)).groupBy(lid).agg(F.min(F.struct("d", rid, value)).alias("b"))
-    return near.join(left.select(lid, value), lid).select(lid, F.col(f"b.{rid}").alias(rid), value, F.col(f"b.{value}").alias("other"))
+    """``(lid, rid, value, other)``: points with the nearest of the other field within ``radius``, the smallest of equally near ones; those without have no row.
+
+    Only places are compared: of points in one place the smallest is first, and the nearest place of each comes from a circle by
+    density, see ``quadtree.nearest``, so neither copies nor crowds make pairs that grow as their square.
+    """
+    place = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("_p")
+    own = left.select(lid, place)
+    firsts = right.groupBy("x", "y").agg(F.min(F.struct(rid, value)).alias("_r"))
+    near = quadtree.nearest(left.select("x", "y", place).dropDuplicates(["_p"]), firsts, 1, "_p", "_r").where(F.col("d") <= radius)
+    best = own.join(shuffled(near.select("_p", "d", "_r")), "_p").groupBy(lid).agg(F.min(F.struct("d", F.col(f"_r.{rid}").alias(rid), F.col(f"_r.{value}").alias(value))).alias("b"))
+    return best.join(shuffled(left.select(lid, value)), lid).select(lid, F.col(f"b.{rid}").alias(rid), value, F.col(f"b.{value}").alias("other"))
 
 
 def along_edges(edges: DataFrame, grid: DataFrame, eid: str, samples: int = 5) -> DataFrame:

@@ -1,7 +1,7 @@
 """Joins whose sides grow with the input never send a side through the driver, however small the planner takes it to be."""
 
 from fathomline import session
-from fathomline.operators import graph, mesh, mesh_joins, overlay, quadtree, spatial
+from fathomline.operators import extracts, graph, mesh, mesh_joins, overlay, quadtree, spatial
 
 LATTICE = 6
 
@@ -64,3 +64,19 @@ def test_overlaps_of_boxes_are_made_once_and_not_compared(spark):
     assert "HashAggregate" not in plan(got)
     want = [(a[0], b[0]) for a in boxes for b in boxes if a[1] <= b[2] and b[1] <= a[2] and a[3] <= b[4] and b[3] <= a[4]]
     assert sorted((r.lid, r.rid) for r in got.collect()) == sorted(want)
+
+
+def test_paired_points_compare_places_not_copies(spark, monkeypatch):
+    met = []
+    within = quadtree.within
+    monkeypatch.setattr(quadtree, "within", lambda *a, **k: met.append(within(*a, **k)) or met[-1])
+    left = [(k, float(k % 5), 0.0, k * 1.0) for k in range(50)] + [(90, None, 0.0, 1.0), (91, 40.0, 0.0, 2.0)]
+    right = [(k, k % 5 + 0.25 * (k % 2 * 2 - 1), 0.0, k * 10.0) for k in range(100, 160)]
+    got = extracts.paired_points(spark.createDataFrame(left, "pid long, x double, y double, value double"), spark.createDataFrame(right, "qid long, x double, y double, value double"), 0.25)
+    want = {}
+    for p, x, y, v in left:
+        near = sorted((abs(x - a), q, w) for q, a, b, w in right if x is not None and abs(x - a) <= 0.25)
+        if near:
+            want[p] = (near[0][1], v, near[0][2])
+    assert {r.pid: (r.qid, r.value, r.other) for r in got.collect()} == want and len(want) == 50
+    assert met and met[0].count() <= 60
