@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.geometry import circumcentre
 from fathomline.operators.graph import components
-from fathomline.operators.mesh import cell_geometry, cell_neighbours, edge_geometry, half_edges, perot
+from fathomline.operators.mesh import cell_geometry, cell_neighbours, edge_geometry, perot
 from fathomline.operators.spatial import knn, points_in_polygons, within_radius
-from fathomline.session import saved, shuffled
+from fathomline.session import dealt_by, saved, shuffled
 
 
 def rings(cell_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -209,22 +209,33 @@ def angle_errors(edges: DataFrame, cell_nodes: DataFrame, nodes: DataFrame) -> D
     return e.select("n1", "n2", along.alias("error"))
 
 
+def _corners(cell_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(cell, x, y, cx, cy, whole)``, dealt by cell: each node of a ring and the circumcentre of it and the next two, if all three are ``whole``, that is known.
+
+    Rings get their places by one join, and windows in a cell do the rest.
+    """
+    at = nodes.select("node", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(True).alias("_in"))
+    ring = dealt_by(cell_nodes.select("cell", "pos", "node"), "node").join(shuffled(at), "node", "left")
+    w = Window.partitionBy("cell").orderBy("pos")
+    all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    p = F.struct("x", "y", F.coalesce("_in", F.lit(False)).alias("known"))
+    ring = dealt_by(ring.select("cell", "pos", p.alias("a")), "cell").withColumns({"_b": F.lead("a").over(w), "_c": F.lead("a", 2).over(w), "_1": F.first("a").over(all_), "_2": F.nth_value("a", 2).over(all_)})
+    ring = ring.withColumns({"b": F.coalesce("_b", "_1"), "c": F.coalesce("_c", F.when(F.col("_b").isNull(), F.col("_2")), F.col("_1"))})
+    whole = F.col("a.known") & F.col("b.known") & F.col("c.known")
+    x, y = circumcentre(*(F.when(whole, F.col(f"{n}.{k}")) for n in "abc" for k in "xy"))
+    return ring.where("a.known").select("cell", "a.x", "a.y", x.alias("cx"), y.alias("cy"), whole.alias("whole"))
+
+
 def polygon_circumcentre(cell_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(cell, x, y)``: mean of the circumcentres of each three consecutive nodes of a ring."""
-    h = half_edges(cell_nodes)
-    nxt = h.select("cell", F.col("a").alias("b"), F.col("b").alias("c"))
-    three = h.select("cell", "a", "b").join(shuffled(nxt), ["cell", "b"])
-    for n in "abc":
-        three = three.join(shuffled(nodes.select(F.col("node").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))), n)
-    x, y = circumcentre(*(F.col(f"{n}{k}") for n in "abc" for k in "xy"))
-    return three.select("cell", x.alias("x"), y.alias("y")).groupBy("cell").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return _corners(cell_nodes, nodes).where("whole").groupBy("cell").agg(F.avg("cx").alias("x"), F.avg("cy").alias("y"))
 
 
 def circumcentre_errors(cell_nodes: DataFrame, nodes: DataFrame, by_radius: bool = False) -> DataFrame:
     """``(cell, error)``: population deviation of the distances from ``polygon_circumcentre`` to a cell's nodes, ``by_radius`` over their mean; 0 for triangles."""
-    far = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
-    centre = polygon_circumcentre(cell_nodes, nodes).select("cell", F.col("x").alias("_x"), F.col("y").alias("_y"))
-    each = cell_nodes.select("cell", "node").join(shuffled(nodes.select("node", "x", "y")), "node").join(shuffled(centre), "cell").select("cell", far.alias("_d"))
+    own = Window.partitionBy("cell")
+    each = _corners(cell_nodes, nodes).withColumns({"_x": F.avg("cx").over(own), "_y": F.avg("cy").over(own), "_n": F.count_if("whole").over(own)}).where("_n > 0")
+    each = each.select("cell", F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2)).alias("_d"))
     error = F.stddev_pop("_d") / F.avg("_d") if by_radius else F.stddev_pop("_d")
     return each.groupBy("cell").agg(F.when(F.count("*") > 3, error).otherwise(0.0).alias("error"))
 

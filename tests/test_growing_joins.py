@@ -1,5 +1,7 @@
 """Joins whose sides grow with the input never send a side through the driver, however small the planner takes it to be."""
 
+import numpy as np
+
 from fathomline import session
 from fathomline.operators import extracts, graph, mesh, mesh_joins, overlay, quadtree, spatial
 
@@ -80,3 +82,32 @@ def test_paired_points_compare_places_not_copies(spark, monkeypatch):
             want[p] = (near[0][1], v, near[0][2])
     assert {r.pid: (r.qid, r.value, r.other) for r in got.collect()} == want and len(want) == 50
     assert met and met[0].count() <= 60
+
+
+def test_circumcentres_join_nodes_once(spark):
+    places = {k: (float(k % 4) + 0.1 * (k % 3), k // 4 + 0.2 * (k % 5)) for k in range(12)}
+    rings = {0: [0, 1, 5, 4], 1: [1, 2, 6], 2: [4, 5, 99, 9, 8], 3: [5, 77, 98], 4: [6, 7, 11, 10, 9]}
+    nodes = spark.createDataFrame([(k, *v) for k, v in places.items()], "node long, x double, y double")
+    ring = spark.createDataFrame([(c, p, n) for c, ns in rings.items() for p, n in enumerate(ns)], "cell long, pos int, node long")
+
+    def centre(a, b, c):
+        bx, by, cx, cy = b[0] - a[0], b[1] - a[1], c[0] - a[0], c[1] - a[1]
+        d, e, f = 2 * (bx * cy - by * cx), bx * bx + by * by, cx * cx + cy * cy
+        return np.array([a[0] + (cy * e - by * f) / d, a[1] + (bx * f - cx * e) / d])
+
+    want, errors = {}, {}
+    for c, ns in rings.items():
+        three = [[places.get(ns[(k + i) % len(ns)]) for i in range(3)] for k in range(len(ns))]
+        three = [centre(*t) for t in three if None not in t]
+        if three:
+            want[c] = tuple(np.mean(three, axis=0))
+            far = [np.hypot(*(np.array(places[n]) - want[c])) for n in ns if n in places]
+            errors[c] = np.std(far) if len(far) > 3 else 0.0
+    found = mesh_joins.polygon_circumcentre(ring, nodes)
+    assert plan(found).count("SortMergeJoin") == 1
+    got = {r.cell: (r.x, r.y) for r in found.collect()}
+    assert got.keys() == want.keys() == {0, 1, 2, 4} and all(np.allclose(got[c], want[c]) for c in want)
+    found = mesh_joins.circumcentre_errors(ring, nodes)
+    assert plan(found).count("SortMergeJoin") == 1
+    got = {r.cell: r.error for r in found.collect()}
+    assert got.keys() == errors.keys() and all(np.isclose(got[c], errors[c]) for c in errors)
