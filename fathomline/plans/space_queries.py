@@ -9,6 +9,7 @@ from fathomline.functions import geometry as G
 from fathomline.operators import graph, mesh, raster, reshape, spatial, transect
 from fathomline.operators import temporal as S
 from fathomline.plans.series_queries import events, r6, table
+from fathomline.session import dealt_by
 
 
 def points(spark: SparkSession, sf_dir: str, pid: str = "pid") -> DataFrame:
@@ -55,8 +56,8 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
 
 
 def _layers(s: SparkSession, d: str) -> DataFrame:
-    li = table(s, d, "lineitem")
-    return li.groupBy(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col"), F.col("l_linenumber").alias("priority")).agg(F.max("l_quantity").alias("value"), (F.max("l_discount") * 5).alias("alpha"))
+    li = table(s, d, "lineitem").select(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col"), F.col("l_linenumber").alias("priority"), "l_quantity", "l_discount")
+    return dealt_by(li, "row", "col").groupBy("row", "col", "priority").agg(F.max("l_quantity").alias("value"), (F.max("l_discount") * 5).alias("alpha"))
 
 
 def _transect(s: SparkSession, d: str) -> DataFrame:

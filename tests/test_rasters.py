@@ -5,6 +5,7 @@ import random
 import pytest
 
 from fathomline.operators import raster
+from fathomline.plans import space_queries
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +72,8 @@ def test_cell_edges_across_tiles_shuffle_cells_once(spark, cells, degree):
     got = raster.cell_edges(frame(spark, cells), degree, 5.0)
     assert shuffles(got) == 1
     assert {(x.a_row, x.a_col, x.b_row, x.b_col): x.value for x in got.collect()} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("name", ["first_valid_layer", "raster_composite"])
+def test_layers_are_shuffled_once(spark, name):
+    assert shuffles(space_queries.Q[name][0](spark, "/root/testdata/sf0.001")) == 1
