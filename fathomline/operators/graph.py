@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.session import saved, shuffled, written
+from fathomline.session import laid_by, saved, saved_as_laid, shuffled, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
@@ -14,10 +14,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
     Each round takes the smallest label among neighbours, hands it on to the node that gave the label before, so that all
     under that follow it, and then takes the label of that label, so long paths take few rounds in any order of ids.  Every round aggregates on the map side before its shuffle, is
     written to the shared folder, and survives lost executors.  Edges with a null end are ignored; repeated edges
-    and loops change nothing; an empty table gives an empty result.
+    and loops change nothing; an empty table gives an empty result.  Pairs are laid by node once, so rounds shuffle and sort labels alone.
     """
-    pairs = edges.select(F.col(a).alias("s"), F.col(b).alias("t")).where("s is not null and t is not null")
-    pairs = saved(pairs.union(pairs.select("t", "s")).distinct())
+    pairs = written(edges.select(F.col(a).alias("s"), F.col(b).alias("t")).where("s is not null and t is not null"))
+    pairs = saved_as_laid(laid_by(pairs.union(pairs.select("t", "s")), 2 * pairs.count(), "s").distinct().sortWithinPartitions("s"))
     labels = saved(pairs.groupBy(F.col("s").alias("id")).agg(F.min(F.least("s", "t")).alias("label")))
     for _ in range(max_rounds):
         near = pairs.join(shuffled(labels), pairs.s == labels.id).groupBy(F.col("t").alias("id")).agg(F.min("label").alias("near"))
@@ -32,16 +32,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
-def distances(edges: DataFrame, sources: DataFrame, max_distance: float = float("inf"), max_rounds: int = 10_000) -> DataFrame:
-    """``(node, distance)``: least sum of ``edges(a, b, w)``, in either direction, from any of ``sources(node)``.
+def _laid(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``(a, b, w)``: the edges in both directions, each once at its least weight, laid by ``a`` and sorted; and a bound of their number."""
+    one = written(edges.select("a", "b", "w"))
+    rows = 2 * one.count()
+    both = laid_by(one.union(one.select("b", "a", "w")), rows, "a").groupBy("a", "b").agg(F.min("w").alias("w"))
+    return saved_as_laid(both.sortWithinPartitions("a")), rows
 
-    Each round relaxes only the edges of nodes that the round before brought nearer, and is written to the shared folder.
-    """
-    both = saved(edges.select("a", "b", "w").union(edges.select("b", "a", "w")).groupBy("a", "b").agg(F.min("w").alias("w")))
+
+def _relaxed(both: DataFrame, sources: DataFrame, max_distance: float, max_rounds: int) -> DataFrame:
     known = saved(sources.select("node").distinct().withColumn("distance", F.lit(0.0)))
     front = known
     for _ in range(max_rounds):
-        step = front.join(shuffled(both), front.node == both.a).groupBy(F.col("b").alias("node")).agg(F.min(F.col("distance") + F.col("w")).alias("via"))
+        step = both.join(shuffled(front), both.a == front.node).groupBy(F.col("b").alias("node")).agg(F.min(F.col("distance") + F.col("w")).alias("via"))
         step = step.where(F.col("via") <= max_distance)
         merged = written(known.join(shuffled(step), "node", "full").select("node", F.least("distance", "via").alias("distance"), (F.col("distance").isNull() | (F.col("via") < F.col("distance"))).alias("nearer")))
         known, front = merged.select("node", "distance"), merged.where("nearer").select("node", "distance")
@@ -50,17 +53,30 @@ def distances(edges: DataFrame, sources: DataFrame, max_distance: float = float(
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
+def distances(edges: DataFrame, sources: DataFrame, max_distance: float = float("inf"), max_rounds: int = 10_000) -> DataFrame:
+    """``(node, distance)``: least sum of ``edges(a, b, w)``, in either direction, from any of ``sources(node)``.
+
+    Each round relaxes only the edges of nodes that the round before brought nearer, and is written to the shared folder.  Edges are laid
+    by node once, so rounds shuffle and sort nodes alone.
+    """
+    return _relaxed(_laid(edges)[0], sources, max_distance, max_rounds)
+
+
 def shortest_path(edges: DataFrame, start: int, end: int) -> DataFrame:
     """``(node, distance)`` along one least path; of equal ways to a node the one from the smallest node.  Weights are positive.
 
     Each node's way back to the start is one row.  Jumps along it double until they reach the start, so a path of
     n nodes takes log n joins.  No path gives no rows.
     """
-    spark = edges.sparkSession
-    far = distances(edges, spark.createDataFrame([(start,)], "node bigint"))
-    both = edges.select("a", "b", "w").union(edges.select("b", "a", "w"))
+    both, rows = _laid(edges)
+    far = _relaxed(both, edges.sparkSession.createDataFrame([(start,)], "node bigint"), float("inf"), 10_000)
+    last = far.where(F.col("node") == end).first()
+    if last is None:
+        return far.where("false")
     ends = far.select(F.col("node").alias("b"), F.col("distance").alias("to"))
-    ways = both.join(shuffled(far.select(F.col("node").alias("a"), F.col("distance").alias("of"))), "a").join(shuffled(ends), "b")
+    # nodes of the path are no farther than its end
+    ways = both.join(shuffled(far.select(F.col("node").alias("a"), F.col("distance").alias("of"))), "a").where(F.col("of") + F.col("w") <= last["distance"])
+    ways = laid_by(ways, rows, "b").join(shuffled(ends), "b")
     jump = saved(ways.where("of < to and of + w = to").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")))
     on = saved(far.where(F.col("node") == end).select("node"))
     while True:

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a partition at most, on average, of tables that are laid by keys, and rows under which a table is not dealt any further.
+PART_ROWS, FEW_ROWS = 1 << 19, 1 << 14
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares, ``spark.checkpoint.dir``.
@@ -61,3 +64,25 @@ def dealt_by(df: DataFrame, *keys: str) -> DataFrame:
 def partitions_of(spark: SparkSession) -> int:
     """The number of shuffle partitions that the user has set for this amount of data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def laid_by(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by keys in as many partitions as the user has set, more if its ``rows`` are many and fewer if they are few.
+
+    So what a task holds is bounded whatever the input.
+    """
+    return df.repartition(max(-(-rows // PART_ROWS), min(partitions_of(df.sparkSession), -(-rows // FEW_ROWS)), 1), *keys)
+
+
+def saved_as_laid(df: DataFrame) -> DataFrame:
+    """``saved``, of a table that ``laid_by`` deals and that is sorted: joins and groups by these keys neither shuffle nor sort it again.
+
+    A checkpoint keeps how it is laid, but an adaptive plan doesn't say so before it has run; this one has nothing to adapt.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    was = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return saved(df)
+    finally:
+        conf.set(name, was)

@@ -111,3 +111,26 @@ def test_circumcentres_join_nodes_once(spark):
     assert plan(found).count("SortMergeJoin") == 1
     got = {r.cell: r.error for r in found.collect()}
     assert got.keys() == errors.keys() and all(np.isclose(got[c], errors[c]) for c in errors)
+
+
+def over_scans(df, column):
+    """What the plan has straight above scans of a checkpoint with a column, filters and projections left out."""
+    lines = plan(df).splitlines()
+    for k, line in enumerate(lines):
+        if "ExistingRDD" in line and f"[{column}#" in line:
+            yield next(x for x in reversed(lines[:k]) if "Filter" not in x and "Project" not in x)
+
+
+def test_graphs_lay_pairs_by_node_once(spark, monkeypatch):
+    rounds, laid = [], []
+    monkeypatch.setattr(session, "PART_ROWS", 16, raising=False)
+    monkeypatch.setattr(graph, "written", lambda df: rounds.append(df) or session.written(df))
+    monkeypatch.setattr(graph, "saved_as_laid", lambda df: laid.append(session.saved_as_laid(df)) or laid[-1], raising=False)
+    edges = spark.range(100).selectExpr("id as a", "id + 1 as b", "1.0D as w").union(spark.range(30).selectExpr("id + 1", "id", "2.0D"))
+    assert graph.components(edges).where("component = 0").count() == 101
+    found = graph.distances(edges, spark.createDataFrame([(90,)], "node long"), 3.0)
+    assert sorted((r.node, r.distance) for r in found.collect()) == [(n, abs(n - 90.0)) for n in range(87, 94)]
+    assert [d.count() for d in laid] == [200, 200]
+    assert min(d.rdd.getNumPartitions() for d in laid) >= 200 // 16
+    above = [x for df in rounds for c in "sa" for x in over_scans(df, c)]
+    assert above and not any("Exchange" in x or "Sort " in x for x in above)
