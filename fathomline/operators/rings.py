@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.operators.quadtree import in_polygons
-from fathomline.session import written
+from fathomline.session import laid_by, shuffled, written
 
 #: Doublings at most: a chain of 2 ** ROUNDS links.
 ROUNDS = 40
@@ -16,40 +18,51 @@ def ranked(links: DataFrame) -> DataFrame:
     """``(h, ring, pos, closed)`` of ``links(h, nxt)``: chains and cycles, named by their first link, with positions from 0.
 
     Every h has one row, ``nxt`` is null at the end of a chain, and no two rows have the same ``nxt``.  A cycle starts at its
-    smallest h.  Each round joins every link with that which its pointer leads to and doubles the pointer, so a chain of n links takes
-    log n rounds forwards, to find what is smallest, and log n back to the start; each round is written to the shared folder.
+    smallest h.  Each round joins every link with that which its pointer leads to and doubles the pointer; each round is written to
+    the shared folder.  A link leaves the rounds once it knows its cycle, so a cycle of n links takes part in log n rounds
+    whatever the longest needs; chains then take log n rounds back to their start.
     """
-    state = written(links.select("h", F.col("nxt").alias("p"), F.col("h").alias("least")))
-    for _ in range(ROUNDS):
-        seen = state.select(F.col("h").alias("_h"), F.col("p").alias("_p"), F.col("least").alias("_least"))
-        moved = state.join(seen, F.col("p") == F.col("_h")).select("h", F.col("_p").alias("p"), F.col("least").alias("was"), F.least("least", "_least").alias("least"))
-        moved = written(moved.unionByName(state.where("p is null").select("h", "p", F.col("least").alias("was"), "least")))
-        state = moved.select("h", "p", "least")
-        if moved.where("least <> was").isEmpty():
+    first = written(links.select("h", F.col("nxt").alias("p"), F.col("h").alias("least"), F.lit(0).cast("long").alias("off"), F.lit(False).alias("done")))
+    state, cycles, ended = first, [], first.where("p is null")
+    for k in range(ROUNDS):
+        open_ = state.where("not done and p is not null")
+        rows = open_.count()
+        if not rows:
             break
+        # links of a cycle find out in two rounds that follow, so those that left in the last one are still met
+        met = (state if k == 0 else state.unionByName(ended)).select(F.col("h").alias("_h"), F.col("p").alias("_p"), F.col("least").alias("_least"), F.col("off").alias("_off"))
+        to = laid_by(open_, rows, "p").join(shuffled(laid_by(met, rows, "_h")), F.col("p") == F.col("_h"))
+        # the links that this one and its pointer cover are as many and follow each other: a least one that both have is met again
+        off = F.when(F.col("_least") < F.col("least"), F.col("_off") + (1 << k)).otherwise(F.col("off"))
+        moved = written(to.select("h", F.col("_p").alias("p"), F.least("least", "_least").alias("least"), off.alias("off"), (F.col("least") == F.col("_least")).alias("done")))
+        if k > 0:
+            ended = ended.unionByName(state.where("not done and p is null"))
+        state = moved
+        cycles.append(moved.where("done").select("h", F.col("least").alias("ring"), "off"))
     else:
         raise RuntimeError(f"a chain has more than 2 ** {ROUNDS} links")
-    # a pointer that never came to an end is in a cycle once every chain is shorter than what it has covered
-    while True:
-        seen = state.select(F.col("h").alias("_h"), F.col("p").alias("_p"))
-        chains = state.where("p is null")
-        open_ = state.join(chains.select(F.col("h").alias("_c")), F.col("p") == F.col("_c"), "left_semi")
-        if open_.isEmpty():
-            break
-        state = written(state.join(seen, F.col("p") == F.col("_h")).select("h", F.col("_p").alias("p"), "least").unionByName(state.where("p is null")))
-    start = state.where(F.col("p").isNotNull() & (F.col("least") == F.col("h"))).select(F.col("h").alias("_s"), F.lit(True).alias("closed"))
-    # pointers back, broken at the first link of each cycle
-    back = links.where("nxt is not null").select(F.col("nxt").alias("_to"), F.col("h").alias("_from"))
-    state = links.select("h").join(start, F.col("h") == F.col("_s"), "left").join(back, F.col("h") == F.col("_to"), "left")
-    state = written(state.select("h", F.when(F.col("closed").isNull(), F.col("_from")).alias("p"), F.coalesce("closed", F.lit(False)).alias("closed"), F.lit(0).cast("long").alias("pos")))
-    state = written(state.select("h", "p", "closed", F.when(F.col("p").isNotNull(), 1).otherwise(0).cast("long").alias("pos"), F.coalesce("p", "h").alias("ring")))
+    if state is not first:
+        ended = ended.unionByName(state.where("not done and p is null"))
+    found = [_chains(first, ended)]
+    if cycles:
+        held = reduce(DataFrame.unionByName, cycles)
+        size = held.groupBy("ring").agg((F.max("off") + 1).alias("_n"))
+        found.append(held.join(shuffled(size), "ring").select("h", "ring", ((F.col("_n") - F.col("off")) % F.col("_n")).alias("pos"), F.lit(True).alias("closed")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _chains(links: DataFrame, held: DataFrame) -> DataFrame:
+    """``(h, ring, pos, closed)`` of the links ``(h, p)`` that are ``held(h)``, all in chains: pointers back double until the start."""
+    back = links.where("p is not null").select(F.col("p").alias("_to"), F.col("h").alias("_from"))
+    state = held.select("h").join(shuffled(back), F.col("h") == F.col("_to"), "left")
+    state = written(state.select("h", F.col("_from").alias("p"), F.when(F.col("_from").isNotNull(), 1).otherwise(0).cast("long").alias("pos"), F.coalesce("_from", "h").alias("ring")))
     for _ in range(ROUNDS):
         if state.where("p is not null").isEmpty():
-            return state.select("h", "ring", "pos", "closed")
-        seen = state.select(F.col("h").alias("_h"), F.col("p").alias("_p"), F.col("pos").alias("_pos"), F.col("ring").alias("_ring"), F.col("closed").alias("_closed"))
+            return state.select("h", "ring", "pos", F.lit(False).alias("closed"))
+        seen = state.select(F.col("h").alias("_h"), F.col("p").alias("_p"), F.col("pos").alias("_pos"), F.col("ring").alias("_ring"))
         # what has come to its start only waits to be met
-        on = state.join(seen, F.col("p") == F.col("_h")).select("h", F.col("_p").alias("p"), (F.col("closed") | F.col("_closed")).alias("closed"), (F.col("pos") + F.col("_pos")).alias("pos"), F.col("_ring").alias("ring"))
-        state = written(on.unionByName(state.where("p is null").select("h", "p", "closed", "pos", "ring")))
+        on = state.join(shuffled(seen), F.col("p") == F.col("_h")).select("h", F.col("_p").alias("p"), (F.col("pos") + F.col("_pos")).alias("pos"), F.col("_ring").alias("ring"))
+        state = written(on.unionByName(state.where("p is null").select("h", "p", "pos", "ring")))
     raise RuntimeError(f"a chain has more than 2 ** {ROUNDS} links")
 
 
@@ -59,7 +72,7 @@ def _links(half: DataFrame, nodes: DataFrame) -> DataFrame:
     So a face, or the domain, stays at the left.  A node's edges are put in order by one window; nodes of a mesh have few.
     """
     at = lambda n: nodes.select(F.col("node").alias(n), F.col("x").alias(f"_{n}x"), F.col("y").alias(f"_{n}y"))
-    e = half.join(at("a"), "a").join(at("b"), "b")
+    e = half.join(shuffled(at("a")), "a").join(shuffled(at("b")), "b")
     turn = lambda i, j: F.atan2(F.col(f"_{j}y") - F.col(f"_{i}y"), F.col(f"_{j}x") - F.col(f"_{i}x"))
     leaves = e.select(F.col("a").alias("node"), turn("a", "b").alias("angle"), F.lit(1).alias("kind"), F.col("b").alias("other"))
     comes = e.select(F.col("b").alias("node"), turn("b", "a").alias("angle"), F.lit(0).alias("kind"), F.col("a").alias("other"))
@@ -75,11 +88,11 @@ def _links(half: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def signed_areas(rings: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(ring, n, area)`` of ``rings(ring, pos, node)``: positive counter-clockwise; seen from each ring's first node, so large coordinates don't cancel."""
-    at = rings.join(nodes.select("node", F.col("x").alias("_x"), F.col("y").alias("_y")), "node")
+    at = rings.join(shuffled(nodes.select("node", F.col("x").alias("_x"), F.col("y").alias("_y"))), "node")
     first = at.where("pos = 0").select("ring", F.col("_x").alias("_x0"), F.col("_y").alias("_y0"))
     size = rings.groupBy("ring").agg(F.count("*").alias("_n"))
     nxt = at.select("ring", F.col("pos").alias("_pos"), (F.col("_x")).alias("_u"), F.col("_y").alias("_v"))
-    pair = at.join(size, "ring").join(first, "ring").withColumn("_pos", (F.col("pos") + 1) % F.col("_n")).join(nxt, ["ring", "_pos"])
+    pair = at.join(shuffled(size), "ring").join(shuffled(first), "ring").withColumn("_pos", (F.col("pos") + 1) % F.col("_n")).join(shuffled(nxt), ["ring", "_pos"])
     x, y, u, v = F.col("_x") - F.col("_x0"), F.col("_y") - F.col("_y0"), F.col("_u") - F.col("_x0"), F.col("_v") - F.col("_y0")
     return pair.groupBy("ring").agg(F.count("*").alias("n"), (F.sum(x * v - u * y) / 2).alias("area"))
 
@@ -104,7 +117,7 @@ def cells_from_edges(edges: DataFrame, nodes: DataFrame, max_sides: int | None =
     rings = written(face_rings(edges, nodes))
     held = signed_areas(rings, nodes).where(F.col("area") > 0)
     held = held.where(F.col("n") <= max_sides) if max_sides is not None else held
-    return rings.join(held.select("ring"), "ring", "left_semi").select(F.col("ring").alias("cell"), "pos", "node")
+    return rings.join(shuffled(held.select("ring")), "ring", "left_semi").select(F.col("ring").alias("cell"), "pos", "node")
 
 
 def outer_boundary(edges: DataFrame, nodes: DataFrame) -> DataFrame:
