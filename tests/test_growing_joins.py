@@ -1,9 +1,11 @@
 """Joins whose sides grow with the input never send a side through the driver, however small the planner takes it to be."""
 
+import re
+
 import numpy as np
 
 from fathomline import session
-from fathomline.operators import extracts, graph, mesh, mesh_joins, overlay, quadtree, spatial
+from fathomline.operators import extracts, graph, mesh, mesh_joins, overlay, quadtree, rings, spatial
 
 LATTICE = 6
 
@@ -117,7 +119,7 @@ def over_scans(df, column):
     """What the plan has straight above scans of a checkpoint with a column, filters and projections left out."""
     lines = plan(df).splitlines()
     for k, line in enumerate(lines):
-        if "ExistingRDD" in line and f"[{column}#" in line:
+        if re.search(rf"ExistingRDD.*\b{column}#", line):
             yield next(x for x in reversed(lines[:k]) if "Filter" not in x and "Project" not in x)
 
 
@@ -134,3 +136,17 @@ def test_graphs_lay_pairs_by_node_once(spark, monkeypatch):
     assert min(d.rdd.getNumPartitions() for d in laid) >= 200 // 16
     above = [x for df in rounds for c in "sa" for x in over_scans(df, c)]
     assert above and not any("Exchange" in x or "Sort " in x for x in above)
+
+
+def test_links_that_know_their_cycle_leave_the_rounds(spark, monkeypatch):
+    sizes, links, want = [], [], {}
+    monkeypatch.setattr(rings, "written", lambda df: sizes.append(session.written(df)) or sizes[-1])
+    for k, (n, closed) in enumerate([(1, True), (2, True), (3, True), (5, True), (7, True), (23, True), (1, False), (6, False)] + [(4, True)] * 20):
+        order = [100 * k + i * 37 % n for i in range(n)]
+        links += list(zip(order, order[1:] + [order[0] if closed else None]))
+        start = order.index(min(order)) if closed else 0
+        want |= {h: (order[start], (i - start) % n, closed) for i, h in enumerate(order)}
+    got = rings.ranked(spark.createDataFrame(links, "h long, nxt long"))
+    assert {r.h: (r.ring, r.pos, r.closed) for r in got.collect()} == want and got.count() == len(want)
+    counts = [d.count() for d in sizes if "done" in d.columns]
+    assert counts[0] == len(want) and counts[5] == 23
