@@ -9,7 +9,7 @@ from fathomline.operators.mesh import half_edges
 from fathomline.operators.quadtree import in_polygons, quadtree
 from fathomline.session import saved, shuffled
 
-#: By so much of the extent the second layer is moved aside, so that no corner lies on an edge of the other.
+#: By so much of the longest edge the second layer is moved aside, so that no corner lies on an edge of the other.
 ASIDE = (3.1e-12, 2.3e-12)
 
 
@@ -26,6 +26,19 @@ def areas(edges: DataFrame) -> DataFrame:
     return edges.join(shuffled(at), "poly").groupBy("poly").agg((F.sum(cross) / 2).alias("area"))
 
 
+def _apart(a: DataFrame, b: DataFrame) -> float | None:
+    """The length of which ASIDE is taken: the longest edge, or a share of the coordinates where the layers can meet, as rounding grows with both."""
+    far = lambda *of: F.max(F.greatest(*(F.abs(c) for c in of)))
+    sizes = [t.where(" and ".join(f"abs({c}) < double('infinity')" for c in ("x0", "y0", "x1", "y1"))).agg(
+        far(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("edge"), F.max(F.abs("x0")).alias("x"), F.max(F.abs("y0")).alias("y"),
+        (F.max("x0") - F.min("x0") + F.max("y0") - F.min("y0")).alias("extent"),
+    ).first() for t in (a, b)]
+    if None in (sizes[0]["edge"], sizes[1]["edge"]):
+        return None
+    # of an edge longer than the first layer, only so much can meet it
+    return max(sizes[0]["edge"], min(sizes[1]["edge"], sizes[0]["extent"]), 1e-3 * max(min(s[c] for s in sizes) for c in "xy"))
+
+
 def overlaps(first: DataFrame, second: DataFrame) -> DataFrame:
     """``(first, second, area)`` for each pair of polygons that overlap.
 
@@ -37,16 +50,17 @@ def overlaps(first: DataFrame, second: DataFrame) -> DataFrame:
     or less.  So only starts within polygons and crossings of edges are found, both by quadtree, and summed up; no ring is put
     together, no polygon meets another that it doesn't touch, and neither long rings nor crowded places fill a task.
 
-    The second layer is moved by ASIDE of the extent, so that edges which both layers share, or corners on edges, have one defined side;
-    areas are exact but for that times the length of the border, and overlaps as thin as that are left out.
+    The second layer is moved by ASIDE of the longest edge, so that edges which both layers share, or corners on edges, have one defined side;
+    areas are exact but for that times the length of the border, and overlaps as thin as that are left out.  So neither depends on
+    how far a layer reaches beyond the other.
     """
     number = lambda df, side: saved(df.select("poly", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).where("x0 <> x1 or y0 <> y1").withColumn("e", F.monotonically_increasing_id())).select(F.col("poly").alias(side), "e", "x0", "y0", "x1", "y1")
-    a = number(first, "first")
-    size = a.agg(F.max(F.greatest(F.abs("x0"), F.abs("y0"))).alias("m"), (F.max("x0") - F.min("x0") + F.max("y0") - F.min("y0")).alias("s")).first()
-    if size["s"] is None:
+    a, b = number(first, "first"), number(second, "second")
+    size = _apart(a, b)
+    if size is None:
         return first.select(F.col("poly").alias("first")).where("false").crossJoin(second.select(F.col("poly").alias("second")).where("false")).withColumn("area", F.lit(0.0))
-    move = [max(size["s"], size["m"] * 1e-3) * v for v in ASIDE]
-    b = number(second.select("poly", *((F.col(c) + move[c[0] == "y"]).alias(c) for c in ("x0", "y0", "x1", "y1"))), "second")
+    move = [size * v for v in ASIDE]
+    b = b.select("second", "e", *((F.col(c) + move[c[0] == "y"]).alias(c) for c in ("x0", "y0", "x1", "y1")))
     tree = quadtree(*(t.select(F.col("x0").alias("x"), F.col("y0").alias("y")) for t in (a, b)))
 
     def dealt(t: DataFrame, p: str, side: str) -> DataFrame:
@@ -61,14 +75,16 @@ def overlaps(first: DataFrame, second: DataFrame) -> DataFrame:
     hit = met.withColumns({"t": t, "u": u, "s": F.signum(turn)}).where("t >= 0 and t < 1 and u >= 0 and u < 1").dropDuplicates(["ae", "be"])
     origin = a.groupBy("first").agg(F.min("x0").alias("ox"), F.min("y0").alias("oy"))
     cross = lambda p: (F.col(f"{p}x0") - F.col("ox")) * (F.col(f"{p}y1") - F.col("oy")) - (F.col(f"{p}x1") - F.col("ox")) * (F.col(f"{p}y0") - F.col("oy"))
-    crossing = hit.join(shuffled(origin), "first").select("first", "second", (F.col("s") * ((1 - F.col("t")) * cross("a") - (1 - F.col("u")) * cross("b"))).alias("part"))
+    length = lambda p: F.hypot(F.col(f"{p}x1") - F.col(f"{p}x0"), F.col(f"{p}y1") - F.col(f"{p}y0"))
+    inside = lambda of: F.col("s") * ((1 - F.col("t")) * of("a") - (1 - F.col("u")) * of("b"))
+    crossing = hit.join(shuffled(origin), "first").select("first", "second", inside(cross).alias("part"), inside(length).alias("border"))
     starts = lambda t: t.select(F.col("e").alias("pid"), F.col("x0").alias("x"), F.col("y0").alias("y"))
     layer = lambda t, side: t.select(F.col(side).alias("poly"), "x0", "y0", "x1", "y1")
-    in_b = in_polygons(starts(a), layer(b, "second"), tree=tree).join(shuffled(a.withColumnRenamed("e", "pid")), "pid").join(shuffled(origin), "first").select("first", F.col("poly").alias("second"), cross("").alias("part"))
+    in_b = in_polygons(starts(a), layer(b, "second"), tree=tree).join(shuffled(a.withColumnRenamed("e", "pid")), "pid").join(shuffled(origin), "first").select("first", F.col("poly").alias("second"), cross("").alias("part"), length("").alias("border"))
     in_a = in_polygons(starts(b), layer(a, "first"), tree=tree).join(shuffled(b.withColumnRenamed("e", "pid")), "pid").select(F.col("poly").alias("first"), "second", "x0", "y0", "x1", "y1")
-    in_a = in_a.join(shuffled(origin), "first").select("first", "second", cross("").alias("part"))
-    total = crossing.unionByName(in_b).unionByName(in_a).groupBy("first", "second").agg((F.sum("part") / 2).alias("area"))
-    return total.where(F.col("area") > (move[0] + move[1]) * size["s"])
+    in_a = in_a.join(shuffled(origin), "first").select("first", "second", cross("").alias("part"), length("").alias("border"))
+    total = crossing.unionByName(in_b).unionByName(in_a).groupBy("first", "second").agg((F.sum("part") / 2).alias("area"), F.sum("border").alias("border"))
+    return total.where(F.col("area") > (move[0] + move[1]) * F.greatest("border", F.lit(size))).select("first", "second", "area")
 
 
 def areas_in_regions(cell_nodes: DataFrame, nodes: DataFrame, regions: DataFrame) -> DataFrame:

@@ -97,3 +97,27 @@ def test_halves_of_polygons(spark):
     half = [(0.2 + s * far * d[0] + t * far * n[0], -0.1 + s * far * d[1] + t * far * n[1]) for s, t in ((-1, 0), (1, 0), (1, 1), (-1, 1))]
     for p, r in rings:
         assert got[p][0] == pytest.approx(area(clipped(r, half)), abs=1e-9) and sum(got[p]) == pytest.approx(area(r), abs=1e-9)
+
+
+def test_areas_do_not_depend_on_how_far_a_layer_reaches(spark):
+    """A cell 30,000 units away neither hides thin overlaps nor moves areas, and a far corner of the regions doesn't either."""
+    square = lambda y: [(0.0, y), (1.0, y), (1.0, y + 1), (0.0, y + 1)]
+    tiles = edges_of([(1, square(0.0)), (2, square(3e4))])
+    thin = edges_of([(7, [(0.25, 0.998), (1.5, 0.998), (1.5, 2.0), (0.25, 2.0)]), (8, [(0.5, -5.0), (0.75, -5.0), (0.75, 9.0), (0.5, 9.0)])])
+    far = edges_of([(9, [(-3e4, 0.1), (-2.9999e4, 0.1), (-2.9999e4, 0.2)])])
+    for regions in (thin, thin + far):
+        got = {(r["first"], r["second"]): r["area"] for r in overlay.overlaps(spark.createDataFrame(tiles, SCHEMA), spark.createDataFrame(regions, SCHEMA)).collect()}
+        assert set(got) == {(1, 7), (1, 8)} and abs(got[1, 7] - 0.0015) < 1e-9 and abs(got[1, 8] - 0.25) < 1e-9
+
+
+def test_a_shared_border_of_many_short_edges_is_no_overlap(spark):
+    """A disc and the square around it with the disc as its hole share all corners of the disc."""
+    n = 600
+    disc = [(5 + 3 * math.cos(2 * math.pi * i / n), 5 + 3 * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    a = spark.createDataFrame(edges_of([(1, disc)]), SCHEMA)
+    frame = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    b = spark.createDataFrame(edges_of([(2, frame), (2, disc[::-1]), (3, disc)]), SCHEMA)
+    got = {(r["first"], r["second"]): r["area"] for r in overlay.overlaps(a, b).collect()}
+    assert set(got) == {(1, 3)} and got[1, 3] == pytest.approx(area(disc), abs=1e-8)
+    back = {(r["first"], r["second"]): r["area"] for r in overlay.overlaps(b, a).collect()}
+    assert set(back) == {(3, 1)} and back[3, 1] == pytest.approx(area(disc), abs=1e-8)
