@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.session import saved, shuffled, written
+from fathomline.session import laid_by, saved, shuffled, written
 
 #: Points whose places shape a tree, halvings of each side at most, and points of a leaf.
 SAMPLE, LEVELS, LEAF_POINTS = 1 << 17, 24, 4096
 #: Sampled points of a leaf at least, so a tree has a few leaves for so many sampled points at most.
 LEAST = 8
+#: Ids of points in one place that a row holds on average, at most.
+TOGETHER = 1024
 
 
 def _spread(v: np.ndarray) -> np.ndarray:
@@ -42,10 +44,11 @@ class Quadtree:
     """Leaves in the order of a Z curve: leaf i holds the codes from ``low[i]`` up to the next, a square of ``side[i]`` at ``xa[i], ya[i]``.
 
     ``parts[i]`` says how many tasks share leaf i: more than one where points that lie together can't be divided further.
+    ``count`` is the number of points that it was grown for.
     """
 
-    def __init__(self, x0: float, y0: float, size: float, low: np.ndarray, level: np.ndarray, parts: np.ndarray) -> None:
-        self.x0, self.y0, self.size, self.low, self.level, self.parts = x0, y0, size, low, level, parts
+    def __init__(self, x0: float, y0: float, size: float, low: np.ndarray, level: np.ndarray, parts: np.ndarray, count: int = 0) -> None:
+        self.x0, self.y0, self.size, self.low, self.level, self.parts, self.count = x0, y0, size, low, level, parts, count
         self.side = size / np.exp2(level)
         unit = size / 2**LEVELS
         self.xa, self.ya = x0 + _gathered(low) * unit, y0 + _gathered(low >> 1) * unit
@@ -167,7 +170,7 @@ def quadtree(*tables: DataFrame, leaf_points: int = LEAF_POINTS) -> Quadtree:
     leaves.sort(key=lambda p: p[1])
     deep = {b: c for a, b, c in zip(level.tolist(), low.tolist(), count.tolist(), strict=True) if a == LEVELS}
     parts = [-(-deep[b] // int(most)) if a == LEVELS and b in deep else 1 for a, b in leaves]
-    return Quadtree(tree.x0, tree.y0, tree.size, np.array([b for _, b in leaves], np.int64), np.array([a for a, _ in leaves], np.int64), np.array(parts, np.int64))
+    return Quadtree(tree.x0, tree.y0, tree.size, np.array([b for _, b in leaves], np.int64), np.array([a for a, _ in leaves], np.int64), np.array(parts, np.int64), n)
 
 
 def dealt(points: DataFrame, tree: Quadtree, name: str) -> DataFrame:
@@ -176,20 +179,48 @@ def dealt(points: DataFrame, tree: Quadtree, name: str) -> DataFrame:
     return held.withColumn("part", tree.part(F.col("leaf"), F.col(name)))
 
 
-def within(left: DataFrame, right: DataFrame, r: float | Column, tree: Quadtree | None = None, lid: str = "pid", rid: str = "qid", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(lid, rid, *keep, d)`` for pairs at most ``r`` apart, a number or a column of the left side.
+def within(left: DataFrame, right: DataFrame, r: float | Column, tree: Quadtree | None = None, lid: str = "pid", rid: str = "qid", keep: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
+    """``(lid, rid, *keep, d)`` for pairs at most ``r`` apart, a number or a column of the left side; d rounded to ``digits``.
 
     Right points lie in one leaf each, left ones go to the leaves that their circle's box touches.  A task so meets about
     ``LEAF_POINTS`` right points however crowded they are, and no pair is met twice.  Points without two finite coordinates are
     near nothing; ids may be null or repeat, then so do pairs.
+
+    Left points of one place and radius meet right points once for all of them, and part when all else is done: pairs grow as the
+    square of the points that crowd in a place, the rows that are shuffled and compared don't.  All pairs of a right point with
+    a place follow each other, so files of them pack well.  The number of tasks follows the points, not the bytes that the planner
+    merges by, which pairs outgrow; a task's right points are few enough that files number them in dictionaries.
     """
     tree = tree or quadtree(left, right)
+    a = _ids_by_place(_circles(left, r, lid))
+    met = _beside(tree, a, right, rid, keep, laid=True)
+    met = met if digits is None else met.withColumn("_d", F.round("_d", digits))
+    return met.select(F.explode("_ls").alias(lid), F.col("_q").alias(rid), *(F.col(f"_k_{c}").alias(c) for c in keep), F.col("_d").alias("d"))
+
+
+def _circles(left: DataFrame, r: float | Column, lid: str) -> DataFrame:
     radius = F.lit(float(r)) if not isinstance(r, Column) else r
-    a = placed(left).select(F.col(lid).alias("_l"), F.col("x").cast("double").alias("_ax"), F.col("y").cast("double").alias("_ay"), radius.cast("double").alias("_r"))
+    return placed(left).select(F.col(lid).alias("_l"), F.col("x").cast("double").alias("_ax"), F.col("y").cast("double").alias("_ay"), radius.cast("double").alias("_r"))
+
+
+def _ids_by_place(a: DataFrame) -> DataFrame:
+    """``(_ax, _ay, _r, _ls)``: the ids of equal circles in lists of about TOGETHER at most; ids that repeat there do so in as many rows."""
+    place = ["_ax", "_ay", "_r"]
+    ids = a.groupBy(*place, "_l").agg(F.count("*").alias("_n"))
+    crowd = ids.groupBy(*place).count().agg(F.max("count")).first()[0] or 1
+    lists = ids.withColumn("_c", F.pmod(F.xxhash64("_l"), F.lit(-(-crowd // TOGETHER)))).groupBy(*place, "_n", "_c", F.isnull("_l").alias("_z")).agg(F.collect_list("_l").alias("_ls"))
+    kept = F.when(F.col("_z"), F.array(F.lit(None).cast(ids.schema["_l"].dataType))).otherwise(F.col("_ls"))  # a list leaves nulls out
+    return lists.select(*place, kept.alias("_ls"), F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("col")
+
+
+def _beside(tree: Quadtree, a: DataFrame, right: DataFrame, rid: str, keep: tuple[str, ...] = (), laid: bool = False) -> DataFrame:
+    """Circles ``a(_ax, _ay, _r)`` joined to the right points in them, as ``_q``, ``_k_*`` and ``_d``."""
     a = tree.meets(a, F.col("_ax") - F.col("_r"), F.col("_ay") - F.col("_r"), F.col("_ax") + F.col("_r"), F.col("_ay") + F.col("_r")).withColumn("part", F.explode(tree.all_parts(F.col("leaf"))))
     b = dealt(right, tree, rid).select("leaf", "part", F.col(rid).alias("_q"), F.col("x").cast("double").alias("_bx"), F.col("y").cast("double").alias("_by"), *(F.col(c).alias(f"_k_{c}") for c in keep))
     d = F.sqrt((F.col("_ax") - F.col("_bx")) * (F.col("_ax") - F.col("_bx")) + (F.col("_ay") - F.col("_by")) * (F.col("_ay") - F.col("_by")))
-    return a.join(shuffled(b), ["leaf", "part"]).withColumn("_d", d).where("_d <= _r").select(F.col("_l").alias(lid), F.col("_q").alias(rid), *(F.col(f"_k_{c}").alias(c) for c in keep), F.col("_d").alias("d"))
+    if laid:
+        a, b = (laid_by(t, 4 * tree.count, "leaf", "part") for t in (a, b))
+    return a.join(shuffled(b), ["leaf", "part"]).withColumn("_d", d).where("_d <= _r")
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, lid: str = "pid", rid: str = "qid") -> DataFrame:
@@ -211,7 +242,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, lid: str = "pid", rid: st
     best = Window.partitionBy(lid).orderBy("d", rid)
     done = None
     while have:
-        got = within(todo, right, F.col("_w"), tree, lid, rid).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        got = _beside(tree, _circles(todo, F.col("_w"), lid), right, rid).select(F.col("_l").alias(lid), F.col("_q").alias(rid), F.col("_d").alias("d")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         got = written(got)
         full = got.groupBy(lid).agg(F.count("*").alias("_m")).where(F.col("_m") >= have).select(lid)
         part = got.join(shuffled(full), lid, "left_semi")

@@ -107,7 +107,7 @@ def cuts(s: SparkSession, d: str) -> DataFrame:
 
 Q = {
     "quad_radius": (
-        lambda s, d: r6(quadtree.within(posts(s, d), crowded(s, d), 1.5), "d"),
+        lambda s, d: quadtree.within(posts(s, d), crowded(s, d), 1.5, digits=6),
         f"with {_CROWDED}, {_POSTS} select pid, qid, round({_NEAR}, 6) as d from p join q on {_NEAR} <= 1.5",
     ),
     "quad_nearest": (

@@ -123,3 +123,34 @@ def test_nothing_and_one_place(spark):
     assert qt.nearest(none, one.withColumnRenamed("pid", "qid"), 2).count() == 0
     assert qt.within(one, one.withColumnRenamed("pid", "qid"), 0.0).count() == 9
     assert qt.in_polygons(one, edges).count() == 3 and qt.in_polygons(none, edges).count() == 0 and qt.in_polygons(one, edges.where("false")).count() == 0
+
+
+def test_points_of_one_place_part_only_after_the_join(spark, monkeypatch):
+    """30 places of 40 points each, some ids null or repeated, lists of 8: all pairs, from as many joined rows as there are lists."""
+    monkeypatch.setattr(qt, "TOGETHER", 8)
+    rng = np.random.default_rng(8)
+    x, y = rng.uniform(0, 9, 30), rng.uniform(0, 9, 30)
+    ids = [None, None, *range(7), *range(7), *range(100, 124)]
+    left = spark.createDataFrame([(i, float(a), float(b)) for a, b in zip(x, y, strict=True) for i in ids], "pid long, x double, y double")
+    rx, ry = rng.uniform(0, 9, 200), rng.uniform(0, 9, 200)
+    right = frame(spark, rx, ry, "qid")
+    got = qt.within(left, right, 1.3, digits=2)
+    d = np.hypot(x[:, None] - rx[None], y[:, None] - ry[None])
+    want = [(i, int(q), round(float(d[p, q]), 2)) for p, q in np.argwhere(d <= 1.3) for i in ids]
+    key = lambda v: (v[0] is None, v[0] or 0, *v[1:])
+    assert sorted(((r["pid"], r["qid"], r["d"]) for r in got.collect()), key=key) == sorted(want, key=key)
+    lists = qt._ids_by_place(qt._circles(left, 1.3, "pid")).withColumn("n", F.size("_ls"))
+    assert lists.agg(F.max("n"), F.sum("n")).first()[:] == (lists.agg(F.max("n")).first()[0], 30 * 40) and lists.agg(F.max("n")).first()[0] <= 16 and lists.count() < 30 * 15
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(_ls") < plan.index("Join Inner")  # pairs are made above the join, not sent through it
+
+
+def test_pairs_of_crowded_places_pack_into_small_files(spark, tmp_path):
+    """20 places of 200 points each near 2,000 points: a quarter of a byte for a pair, which takes over a byte where points meet one by one."""
+    rng = np.random.default_rng(9)
+    at = rng.permutation(np.repeat(np.arange(20), 200))
+    left = frame(spark, rng.uniform(0, 9, 20)[at], rng.uniform(0, 9, 20)[at])
+    right = frame(spark, rng.uniform(0, 9, 2000), rng.uniform(0, 9, 2000), "qid")
+    qt.within(left, right, 1.3).write.parquet(str(tmp_path / "pairs"))
+    rows = spark.read.parquet(str(tmp_path / "pairs")).count()
+    assert rows > 100_000 and sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * rows
