@@ -179,7 +179,9 @@ def dealt(points: DataFrame, tree: Quadtree, name: str) -> DataFrame:
     return held.withColumn("part", tree.part(F.col("leaf"), F.col(name)))
 
 
-def within(left: DataFrame, right: DataFrame, r: float | Column, tree: Quadtree | None = None, lid: str = "pid", rid: str = "qid", keep: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
+def within(
+    left: DataFrame, right: DataFrame, r: float | Column, tree: Quadtree | None = None, lid: str = "pid", rid: str = "qid", keep: tuple[str, ...] = (), digits: int | None = None, together: bool = True
+) -> DataFrame:
     """``(lid, rid, *keep, d)`` for pairs at most ``r`` apart, a number or a column of the left side; d rounded to ``digits``.
 
     Right points lie in one leaf each, left ones go to the leaves that their circle's box touches.  A task so meets about
@@ -189,22 +191,25 @@ def within(left: DataFrame, right: DataFrame, r: float | Column, tree: Quadtree
     Left points of one place and radius meet right points once for all of them, and part when all else is done: pairs grow as the
     square of the points that crowd in a place, the rows that are shuffled and compared don't.  All pairs of a right point with
     a place follow each other, so files of them pack well.  The number of tasks follows the points, not the bytes that the planner
-    merges by, which pairs outgrow; a task's right points are few enough that files number them in dictionaries.
+    merges by, which pairs outgrow; a task's right points are few enough that files number them in dictionaries.  Where few points share a
+    place and pairs are few, ``together=False`` saves the gathering.
     """
     tree = tree or quadtree(left, right)
-    a = _ids_by_place(_circles(left, r, lid))
-    met = _beside(tree, a, right, rid, keep, laid=True)
-    met = met if digits is None else met.withColumn("_d", F.round("_d", digits))
-    return met.select(F.explode("_ls").alias(lid), F.col("_q").alias(rid), *(F.col(f"_k_{c}").alias(c) for c in keep), F.col("_d").alias("d"))
-
-
-def _circles(left: DataFrame, r: float | Column, lid: str) -> DataFrame:
     radius = F.lit(float(r)) if not isinstance(r, Column) else r
-    return placed(left).select(F.col(lid).alias("_l"), F.col("x").cast("double").alias("_ax"), F.col("y").cast("double").alias("_ay"), radius.cast("double").alias("_r"))
+    a = placed(left).select(F.col(lid).alias("_l"), F.col("x").cast("double").alias("_ax"), F.col("y").cast("double").alias("_ay"), radius.cast("double").alias("_r"))
+    a = _ids_by_place(a) if together else a
+    a = tree.meets(a, F.col("_ax") - F.col("_r"), F.col("_ay") - F.col("_r"), F.col("_ax") + F.col("_r"), F.col("_ay") + F.col("_r")).withColumn("part", F.explode(tree.all_parts(F.col("leaf"))))
+    b = dealt(right, tree, rid).select("leaf", "part", F.col(rid).alias("_q"), F.col("x").cast("double").alias("_bx"), F.col("y").cast("double").alias("_by"), *(F.col(c).alias(f"_k_{c}") for c in keep))
+    d = F.sqrt((F.col("_ax") - F.col("_bx")) * (F.col("_ax") - F.col("_bx")) + (F.col("_ay") - F.col("_by")) * (F.col("_ay") - F.col("_by")))
+    if together:
+        a, b = (laid_by(t, 4 * tree.count, "leaf", "part") for t in (a, b))
+    met = a.join(shuffled(b), ["leaf", "part"]).withColumn("_d", d).where("_d <= _r")
+    met = met if digits is None else met.withColumn("_d", F.round("_d", digits))
+    return met.select((F.explode("_ls") if together else F.col("_l")).alias(lid), F.col("_q").alias(rid), *(F.col(f"_k_{c}").alias(c) for c in keep), F.col("_d").alias("d"))
 
 
 def _ids_by_place(a: DataFrame) -> DataFrame:
-    """``(_ax, _ay, _r, _ls)``: the ids of equal circles in lists of about TOGETHER at most; ids that repeat there do so in as many rows."""
+    """``(_ax, _ay, _r, _ls)``: the ids ``_l`` of equal circles in lists of about TOGETHER at most; ids that repeat there do so in as many rows."""
     place = ["_ax", "_ay", "_r"]
     ids = a.groupBy(*place, "_l").agg(F.count("*").alias("_n"))
     crowd = ids.groupBy(*place).count().agg(F.max("count")).first()[0] or 1
@@ -213,16 +218,6 @@ def _ids_by_place(a: DataFrame) -> DataFrame:
     return lists.select(*place, kept.alias("_ls"), F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("col")
 
 
-def _beside(tree: Quadtree, a: DataFrame, right: DataFrame, rid: str, keep: tuple[str, ...] = (), laid: bool = False) -> DataFrame:
-    """Circles ``a(_ax, _ay, _r)`` joined to the right points in them, as ``_q``, ``_k_*`` and ``_d``."""
-    a = tree.meets(a, F.col("_ax") - F.col("_r"), F.col("_ay") - F.col("_r"), F.col("_ax") + F.col("_r"), F.col("_ay") + F.col("_r")).withColumn("part", F.explode(tree.all_parts(F.col("leaf"))))
-    b = dealt(right, tree, rid).select("leaf", "part", F.col(rid).alias("_q"), F.col("x").cast("double").alias("_bx"), F.col("y").cast("double").alias("_by"), *(F.col(c).alias(f"_k_{c}") for c in keep))
-    d = F.sqrt((F.col("_ax") - F.col("_bx")) * (F.col("_ax") - F.col("_bx")) + (F.col("_ay") - F.col("_by")) * (F.col("_ay") - F.col("_by")))
-    if laid:
-        a, b = (laid_by(t, 4 * tree.count, "leaf", "part") for t in (a, b))
-    return a.join(shuffled(b), ["leaf", "part"]).withColumn("_d", d).where("_d <= _r")
-
-
 def nearest(left: DataFrame, right: DataFrame, k: int, lid: str = "pid", rid: str = "qid") -> DataFrame:
     """``(lid, rid, d, rank)``: the k nearest right points of each left point, equal distances by rid.
 
@@ -242,7 +237,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, lid: str = "pid", rid: st
     best = Window.partitionBy(lid).orderBy("d", rid)
     done = None
     while have:
-        got = _beside(tree, _circles(todo, F.col("_w"), lid), right, rid).select(F.col("_l").alias(lid), F.col("_q").alias(rid), F.col("_d").alias("d")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        got = within(todo, right, F.col("_w"), tree, lid, rid, together=False).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         got = written(got)
         full = got.groupBy(lid).agg(F.count("*").alias("_m")).where(F.col("_m") >= have).select(lid)
         part = got.join(shuffled(full), lid, "left_semi")

@@ -139,8 +139,10 @@ def test_points_of_one_place_part_only_after_the_join(spark, monkeypatch):
     want = [(i, int(q), round(float(d[p, q]), 2)) for p, q in np.argwhere(d <= 1.3) for i in ids]
     key = lambda v: (v[0] is None, v[0] or 0, *v[1:])
     assert sorted(((r["pid"], r["qid"], r["d"]) for r in got.collect()), key=key) == sorted(want, key=key)
-    lists = qt._ids_by_place(qt._circles(left, 1.3, "pid")).withColumn("n", F.size("_ls"))
-    assert lists.agg(F.max("n"), F.sum("n")).first()[:] == (lists.agg(F.max("n")).first()[0], 30 * 40) and lists.agg(F.max("n")).first()[0] <= 16 and lists.count() < 30 * 15
+    assert sorted(((r["pid"], r["qid"], r["d"]) for r in qt.within(left, right, 1.3, digits=2, together=False).collect()), key=key) == sorted(want, key=key)
+    lists = qt._ids_by_place(left.select(F.col("pid").alias("_l"), F.col("x").alias("_ax"), F.col("y").alias("_ay"), F.lit(1.3).alias("_r"))).withColumn("n", F.size("_ls"))
+    most, ids, rows = lists.agg(F.max("n"), F.sum("n"), F.count("*")).first()
+    assert most <= 16 and ids == 30 * 40 and rows < 30 * 15
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(_ls") < plan.index("Join Inner")  # pairs are made above the join, not sent through it
 
